@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import mixing, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +20,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
 
+def op3_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages, read_warc
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return read_warc(spark, archive_pages(pages), with_payload=False).drop("payload")
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_plan
+
+    plan = mix_plan(_documents(spark, sf_dir))
+    digest = plan.select(
+        "doc_id", "size", "source_size", "target", "taken", F.size("copies").alias("n_copies"), F.when(F.size("copies") > 0, F.col("copies")[0]["position"]).alias("first_position")
+    )
+    return digest.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_archive_pages": warc.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL}
