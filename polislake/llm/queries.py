@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, warc
+from . import mixing, substring_dedup, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op3_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, archive_pages(pages), with_payload=False).drop("payload")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir), with_text=False).drop("kept_text")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_plan
 
@@ -42,4 +48,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_archive_pages": warc.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL}
+    return {"op3_archive_pages": warc.ORACLE_SQL, "op5_substring_dedup": substring_dedup.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL}
