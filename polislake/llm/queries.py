@@ -43,6 +43,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
