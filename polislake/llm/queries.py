@@ -27,6 +27,14 @@ def op3_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, archive_pages(pages), with_payload=False).drop("payload")
 
 
+def op4_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice_lm import score_texts
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    scored = score_texts(_documents(spark, sf_dir), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
