@@ -28,7 +28,7 @@ SLOPES = (-0.5, 0.0, 0.5)
 BUDGET = 1.5
 MAX_EPOCHS = 2
 #: Documents of the largest source that one bucket holds on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def words_in(text: str) -> Column:
