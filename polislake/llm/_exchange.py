@@ -19,9 +19,9 @@ SHIPPED = "bucket int, blob binary"
 
 
 def bucket_count(texts: DataFrame, column: str = "text") -> int:
-    """Grows with the text; never fewer than four a shuffle partition, so that partitions get even shares."""
+    """Grows with the text; never fewer than the shuffle partitions."""
     size = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return min(MOST_BUCKETS, max(4 * shuffle_partitions(texts.sparkSession), -(-size // BUCKET_BYTES)))
+    return min(MOST_BUCKETS, max(shuffle_partitions(texts.sparkSession), -(-size // BUCKET_BYTES)))
 
 
 def batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -29,7 +29,7 @@ def batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def exchange(shipped: DataFrame, buckets: int, reduce: Callable[[int, list], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """reduce(bucket, blobs) for each bucket; a task holds its packed blobs and unpacks one bucket at a time."""
+    """reduce(bucket, blobs) for each bucket, a task each; it holds the bucket's packed blobs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -39,5 +39,4 @@ def exchange(shipped: DataFrame, buckets: int, reduce: Callable[[int, list], Ite
         for bucket in list(held):
             yield from reduce(bucket, held.pop(bucket))
 
-    parts = max(shuffle_partitions(shipped.sparkSession), buckets // 4)
-    return shipped.repartition(parts, "bucket").mapInArrow(run, schema)
+    return shipped.repartitionById(buckets, "bucket").mapInArrow(run, schema)

@@ -22,11 +22,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._exchange import SHIPPED, batch, bucket_count, exchange
-from ._store import free_shuffles, materialize
+from ._store import free_shuffles, materialize, release
 from ._tokens import Words, gather, gram_starts, grams, pack, portions, split_by, unpack
 
 WINDOW = 13
@@ -222,30 +223,51 @@ def _windows(buckets: int) -> Callable:
     return run
 
 
+def _stripped(texts: pa.Array, marks: pa.Array, with_text: bool) -> list[pa.Array]:
+    """n_words, n_removed, kept_sha256 and kept_text of texts whose marked windows go."""
+    n, gone, digest, kept_text = [], [], [], []
+    for text, mark in zip(texts.cast(pa.large_binary()), marks, strict=True):
+        words = (text.as_py() or b"").split()
+        size = len(words)
+        if mark.is_valid:
+            cover = np.zeros(size + WINDOW + 1, np.int64)
+            p = np.frombuffer(mark.as_py(), np.uint32).astype(np.int64)
+            p = p[p <= size - WINDOW]
+            np.add.at(cover, p, 1)
+            np.add.at(cover, p + WINDOW, -1)
+            words = [words[i] for i in np.flatnonzero(np.cumsum(cover)[:size] == 0)]
+        n.append(size)
+        gone.append(size - len(words))
+        kept = b" ".join(words)
+        digest.append(hashlib.sha256(kept).hexdigest())
+        kept_text.append(kept if with_text else None)
+    return [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.binary()).cast(pa.string())]
+
+
+END = ("n_words", "n_removed", "kept_sha256", "kept_text")
+RESULT = "n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
+
+
+def _settle(with_text: bool) -> Callable:
+    """Rows (doc_id, row, text, hits): those without hits are finished, the others keep their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            open_ = b.column(3).is_valid()
+            for part, done in ((b.filter(open_), False), (b.filter(pc.invert(open_)), True)):
+                if part.num_rows:
+                    none = pa.nulls(part.num_rows)
+                    end = _stripped(part.column(2), part.column(3), with_text) if done else [none.cast(t) for t in (pa.int64(), pa.int64(), pa.string(), pa.string())]
+                    text = none.cast(pa.string()) if done else part.column(2)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), text, part.column(3), *end], ["doc_id", "row", "text", "hits", *END])
+
+    return run
+
+
 def _strip(with_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, marks, n, gone, digest, kept_text = b.column(2).cast(pa.large_binary()), b.column(3), [], [], [], []
-            for text, mark in zip(texts, marks, strict=True):
-                words = (text.as_py() or b"").split()
-                size = len(words)
-                if mark.is_valid:
-                    cover = np.zeros(size + WINDOW + 1, np.int64)
-                    p = np.frombuffer(mark.as_py(), np.uint32).astype(np.int64)
-                    p = p[p <= size - WINDOW]
-                    np.add.at(cover, p, 1)
-                    np.add.at(cover, p + WINDOW, -1)
-                    stay = np.flatnonzero(np.cumsum(cover)[:size] == 0)
-                    words = [words[i] for i in stay]
-                n.append(size)
-                gone.append(size - len(words))
-                kept = b" ".join(words)
-                digest.append(hashlib.sha256(kept).hexdigest())
-                kept_text.append(kept if with_text else None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.binary()).cast(pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), *_stripped(b.column(1), b.column(2), with_text)], ["doc_id", *END])
 
     return run
 
@@ -259,12 +281,18 @@ def remove_repeats(documents: DataFrame, with_text: bool = True) -> DataFrame:
     hits = exchange(ordered.mapInArrow(_anchors(buckets), SHIPPED), buckets, _meet(buckets, windows=False), SHIPPED)
     hits = materialize(exchange(hits, buckets, _by_document, "row bigint, marks binary"), "hits")
     free_shuffles(documents.sparkSession)
-    near = ordered.join(hits, "row").select("doc_id", "row", "text", "marks")
-    marks = exchange(near.mapInArrow(_windows(buckets), SHIPPED), buckets, _meet(buckets, windows=True), SHIPPED)
+    # Documents without a hit are finished in this pass; only the texts of the others are kept and move again.
+    joined = rows.join(hits, "row", "left").select("doc_id", "row", "text", F.col("marks").alias("hits"))
+    settled = materialize(joined.mapInArrow(_settle(with_text), f"doc_id bigint, row bigint, text string, hits binary, {RESULT}"), "settled")
+    release(hits)
+    free_shuffles(documents.sparkSession)
+    near = settled.where(F.col("hits").isNotNull())
+    windows = near.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "row", "text", "hits").mapInArrow(_windows(buckets), SHIPPED)
+    marks = exchange(windows, buckets, _meet(buckets, windows=True), SHIPPED)
     marks = materialize(exchange(marks, buckets, _by_document, "row bigint, marks binary"), "marks")
     free_shuffles(documents.sparkSession)
-    joined = rows.join(marks, "row", "left").select("doc_id", "row", "text", "marks")
-    return joined.mapInArrow(_strip(with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    stripped = near.join(marks, "row", "left").select("doc_id", "text", "marks").mapInArrow(_strip(with_text), f"doc_id bigint, {RESULT}")
+    return settled.where(F.col("hits").isNull()).select("doc_id", *END).unionByName(stripped)
 
 
 ORACLE_SQL = r"""
