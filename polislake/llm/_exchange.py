@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,3 +41,19 @@ def exchange(shipped: DataFrame, buckets: int, reduce: Callable[[int, list], Ite
             yield from reduce(bucket, held.pop(bucket))
 
     return shipped.repartitionById(buckets, "bucket").mapInArrow(run, schema)
+
+
+def by_key(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, pa.Table]]:
+    """All rows of each key of a partition that is sorted by an integer key."""
+    held, now = [], None
+    for b in batches:
+        key = b.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)] if len(key) else []
+        for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if now is not None and key[a] != now:
+                yield int(now), pa.Table.from_batches(held)
+                held = []
+            now = key[a]
+            held.append(b.slice(a, e - a))
+    if held:
+        yield int(now), pa.Table.from_batches(held)

@@ -5,9 +5,13 @@ shingle. Documents with equal sets are one node. Two nodes link when 100 * inter
 
 1. Linked sets of size n share one of the first n - ceil(PERCENT * n / 100) + 1 shingles of each in any common order. The order is by hash,
    with frequent shingles last (a first pass counts them), so that common lines and passages seldom bring documents together.
-2. Documents that share such a shingle are chained to the least of them; components of these chains are blocks. A pair that links is in one block.
-3. A block is cut into slices of SLICE set elements; each pair of slices is a task of bounded size, so a block of any size is searched exactly.
-4. In a task each document, against an inverted index, looks for partners that reach its required overlap T: DivideSkip sets its longest lists
+2. Documents of like size (classes a factor PERCENT apart, each with its neighbour) that share such a shingle are members of the group of the least
+   of them; a mapper ships the least of its own only.
+3. In a group, signatures (how many elements lie in each of about n / 8 equal ranges of the hash) bound the difference of two sets from
+   below; documents that this bound lets link are chained. Components of the chains are blocks. A pair that links is in one block, and
+   documents that share a shingle by chance are not. Large groups are cut into slices whose pairs are tasks.
+4. A block is cut into slices of SLICE set elements; each pair of slices is a task of bounded size, so a block of any size is searched exactly.
+5. In a task each document, against an inverted index, looks for partners that reach its required overlap T: DivideSkip sets its longest lists
    aside, merges the short ones in list order, keeps what occurs often enough there, and probes the long lists by binary search.
    Documents already known to be in one component are not compared again, so a group of copies costs its size and not its square.
    A task returns the links of a spanning forest.
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._exchange import SHIPPED, batch, bucket_count, exchange
+from ._exchange import SHIPPED, batch, bucket_count, by_key, exchange
 from ._graph import components
 from ._store import free_shuffles, materialize
 from ._tokens import Words, constants, gram_starts, grams, mix, pack, portions, split_by, unpack
@@ -41,6 +45,8 @@ SLICE = 400_000
 #: A shingle is frequent if more than this many of all documents' prefixes hold it, or one in COMMON_SHARE of all documents.
 COMMON, COMMON_SHARE = 200, 10_000
 FLUSH = 1_000_000
+#: Documents in a slice of a group.
+GROUP_SLICE = 2_000
 #: A list longer than this is merged with others by sorting rather than by a heap; the same merge, fewer Python steps.
 HEAP_POSTINGS = 24
 U = np.uint64
@@ -77,6 +83,25 @@ class Sets:
         return out[0], out[1]
 
 
+    def signatures(self) -> list[bytes]:
+        """Elements in each of a power of two of equal hash ranges, at most 255 each."""
+        out = []
+        for a, b in zip(self.first[:-1], self.first[1:], strict=True):
+            k = max(int(b - a) // 8, 1).bit_length() - 1
+            ranges = (self.values[a:b] >> U(63 - k) >> U(1)).astype(np.int64)
+            out.append(np.minimum(np.bincount(ranges, minlength=1 << k), 255).astype(np.uint8).tobytes())
+        return out
+
+
+def size_class(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sizes of which the smaller is at least `percent` of the larger are in one class or in neighbours."""
+    bounds, x = [1], 1
+    while x <= int(n.max(initial=1)):
+        x = max(x + 1, -(-x * 100 // percent))
+        bounds.append(x)
+    return np.searchsorted(np.array(bounds), n, "right")
+
+
 def least_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
@@ -88,7 +113,7 @@ def short_name(values: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _prefix(sets: Sets, percent: int, buckets: int, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Shipped names of the prefix shingles, and their texts."""
+    """Places in `values` of the prefix shingles, and their texts."""
     names = short_name(sets.values, buckets)
     rank = np.zeros(len(names), np.int64)
     if len(common[0]):
@@ -98,7 +123,7 @@ def _prefix(sets: Sets, percent: int, buckets: int, common: tuple[np.ndarray, np
     doc = sets.doc[order]
     place = np.arange(len(names)) - sets.first[:-1][doc]
     keep = place < (sets.size - least_overlap(sets.size, percent) + 1)[doc]
-    return names[order][keep], doc[keep]
+    return order[keep], doc[keep]
 
 
 def _ship(buckets: int, name: np.ndarray, node: np.ndarray, counts_only: bool) -> list[tuple[int, bytes]]:
@@ -132,10 +157,15 @@ def _prefix_mapper(n: int, percent: int, seed: int, buckets: int, common: tuple[
         for b in batches:
             for _, data, offsets in portions(b.column(0)):
                 sets = Sets(data, offsets, n, seed)
-                name, doc = _prefix(sets, percent, buckets, common)
-                names.append(name)
-                nodes.append(sets.keys()[0][doc])
-                held += len(name)
+                at, doc = _prefix(sets, percent, buckets, common)
+                value, node = sets.values[at], sets.keys()[0][doc]
+                if not counts_only:  # one name a size class and its neighbour
+                    c = size_class(sets.size, percent)[doc].astype(U)
+                    value = np.concatenate([mix(value + (c + U(k)) * U(0xD6E8FEB86659FD93)) for k in (0, 1)])
+                    node = np.concatenate([node, node])
+                names.append(short_name(value, buckets))
+                nodes.append(node)
+                held += len(node)
                 if held >= FLUSH:
                     yield batch(_ship(buckets, np.concatenate(names), np.concatenate(nodes), counts_only))
                     names, nodes, held = [], [], 0
@@ -163,10 +193,14 @@ def _count_reducer(buckets: int, over: int) -> Callable:
     return reduce
 
 
-def _edge_reducer(buckets: int) -> Callable:
+def _group_reducer(buckets: int) -> Callable:
+    """a: a node, b: the least node of a group of its mapper (local) or of all mappers."""
+
     def reduce(bucket: int, blobs: list) -> Iterator[pa.RecordBatch]:
         rows = [unpack(x) for x in blobs]
-        pairs = [np.stack([r[1].astype(np.int64), r[2].astype(np.int64)]) for r in rows if r[0][0] == 1]
+        local = [np.stack([r[1].astype(np.int64), r[2].astype(np.int64)]) for r in rows if r[0][0] == 1]
+        if local:
+            yield _edges(np.unique(np.concatenate(local, axis=1), axis=1), True)
         rows = [r for r in rows if r[0][0] == 0]
         if rows:
             name, node = _joined_names(bucket, buckets, rows), np.concatenate([r[3].astype(np.int64) for r in rows])
@@ -174,14 +208,91 @@ def _edge_reducer(buckets: int) -> Callable:
             name, node = name[order], node[order]
             head = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
             least = np.repeat(node[head], np.diff(np.append(head, len(name))))
-            pairs.append(np.stack([node, least])[:, node != least])
-        if pairs:
-            found = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+            other = node != least
+            if other.any():
+                yield _edges(np.unique(np.stack([node, least])[:, other], axis=1), False)
 
     return reduce
 
 
+def _edges(pairs: np.ndarray, local: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.full(len(pairs[0]), local))], ["a", "b", "local"])
+
+
+def possible_links(nodes: np.ndarray, size: np.ndarray, signatures: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
+    """Star edges of the components of `nodes` under "the signatures allow a link"."""
+    sig = [np.frombuffer(x, np.uint8).astype(np.int32) for x in signatures]
+    fold = lambda v: v.reshape(-1, 2).sum(axis=1)
+    width = np.array([len(v) for v in sig])
+    levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # at a width: signatures of that width, and of twice that width folded
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        for level, rows in ((w, [sig[i] for i in own]), (w // 2, [fold(sig[i]) for i in own] if w > 1 else [])):
+            if rows:
+                held = levels.get(level)
+                rows = np.stack(rows)
+                levels[level] = (own, rows) if held is None else (np.concatenate([held[0], own]), np.concatenate([held[1], rows]))
+    left = np.ones(len(nodes), bool)
+    for root in np.argsort(nodes, kind="stable"):
+        if not left[root]:
+            continue
+        left[root] = False
+        todo, found = [root], [root]
+        while todo:
+            x = todo.pop()
+            for level, mine in ((width[x], sig[x]), (width[x] // 2, fold(sig[x]) if width[x] > 1 else None)):
+                if mine is None or level not in levels:
+                    continue
+                who, rows = levels[level]
+                near = left[who] & (100 * np.minimum(size[who], size[x]) >= percent * np.maximum(size[who], size[x]))
+                if not near.any():
+                    continue
+                who, rows = who[near], rows[near]
+                apart = np.abs(rows - mine).sum(axis=1)
+                # intersection <= (|x| + |y| - difference) / 2, and a link needs percent * (|x| + |y|) / (100 + percent).
+                fit = who[(100 + percent) * (size[who] + size[x] - apart) >= 2 * percent * (size[who] + size[x])]
+                left[fit] = False
+                todo.extend(fit.tolist())
+                found.extend(fit.tolist())
+            if not left.any():
+                todo.clear()
+        for y in found[1:]:
+            yield int(nodes[y]), int(nodes[root])
+
+
+def _chain_mapper(percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for _, t in by_key(batches, 0):
+            if t.num_rows > 1:
+                for x, y in possible_links(t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_pylist(), percent):
+                    a.append(x)
+                    b.append(y)
+            if len(a) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def chains_of(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Chains (a, b) among the members of each group that their signatures allow to link."""
+    local = groups.where("local").select("a", "b")
+    wide = groups.where("NOT local").select(F.col("a").alias("b"), F.col("b").alias("c"))
+    through = local.join(wide, "b").select("a", F.col("c").alias("b"))
+    leaders = groups.select(F.col("b").alias("a"), "b")
+    members = materialize(groups.select("a", "b").unionByName(through).unionByName(leaders).distinct(), "group-members")
+    counts = materialize(members.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP_SLICE).cast("int").alias("slices")).where("slices > 1").withColumnRenamed("b", "large"), "large-groups")
+    m, s = F.coalesce("slices", F.lit(1)), F.pmod(F.xxhash64("a", F.lit(2)), F.coalesce("slices", F.lit(1)).cast("long"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), m - F.lit(1).cast("long")), lambda j: (m == 1) | (j != s))
+    tasks = F.transform(others, lambda j: F.xxhash64("b", F.least(s, j), F.greatest(s, j)))
+    placed = members.join(counts, F.col("b") == F.col("large"), "left").select(F.col("a").alias("node"), F.explode(tasks).alias("task"))
+    told = placed.join(nodes.select("node", "n", "signature"), "node").select("task", "node", "n", "signature")
+    return told.repartition("task").sortWithinPartitions("task").mapInArrow(_chain_mapper(percent), "a bigint, b bigint")
+
+
 class _Forest:
     def __init__(self, n: int) -> None:
         self.up = np.arange(n)
@@ -357,7 +468,7 @@ def _node_mapper(n: int, seed: int) -> Callable:
                 k1, k2 = sets.keys()
                 k = slice(part.start, part.stop)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[k], b.column(1)[k], pa.array(sets.size.astype(np.int64)), pa.array(k1), pa.array(k2)], ["doc_id", "row", "n_shingles", "node", "check"]
+                    [b.column(0)[k], b.column(1)[k], pa.array(sets.size.astype(np.int64)), pa.array(k1), pa.array(k2), pa.array(sets.signatures(), pa.binary())], ["doc_id", "row", "n_shingles", "node", "check", "signature"]
                 )
 
     return run
@@ -370,11 +481,11 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("row"), text.alias("text"))
     seed = 0
     while True:  # 64-bit names of sets are checked against a second hash; a clash takes another seed
-        named = materialize(rows.mapInArrow(_node_mapper(shingle, seed), "doc_id bigint, row bigint, n_shingles bigint, node bigint, check bigint"), "nodes")
+        named = materialize(rows.mapInArrow(_node_mapper(shingle, seed), "doc_id bigint, row bigint, n_shingles bigint, node bigint, check bigint, signature binary"), "nodes")
         nodes = named.where("n_shingles > 0").groupBy("node").agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least"), F.max("n_shingles").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2")
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least"), F.max("n_shingles").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.first("signature").alias("signature")
         )
-        nodes = materialize(nodes.select("node", F.col("least.doc_id").alias("least_doc"), F.col("least.row").alias("row"), "n", (F.col("c1") != F.col("c2")).alias("clash")), "sets")
+        nodes = materialize(nodes.select("node", F.col("least.doc_id").alias("least_doc"), F.col("least.row").alias("row"), "n", "signature", (F.col("c1") != F.col("c2")).alias("clash")), "sets")
         if not nodes.where("clash").limit(1).count():
             break
         seed += 1
@@ -391,8 +502,9 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     common = (names[by_name], ranks[by_name])
     free_shuffles(spark)
     shipped = texts.mapInArrow(_prefix_mapper(shingle, percent, seed, buckets, common, False), SHIPPED)
-    chains = materialize(exchange(shipped, buckets, _edge_reducer(buckets), "a bigint, b bigint").distinct(), "chains")
+    groups = materialize(exchange(shipped, buckets, _group_reducer(buckets), "a bigint, b bigint, local boolean").distinct(), "groups")
     free_shuffles(spark)
+    chains = materialize(chains_of(groups, nodes, percent), "chains")
     blocks = components(chains).select("node", F.col("root").alias("block"))
     weighed = materialize(blocks.join(nodes.select("node", "row", "n"), "node"), "blocks")
     sizes = materialize(weighed.groupBy("block").agg(F.ceil(F.sum("n") / slice_elements).cast("int").alias("slices")), "block-sizes")

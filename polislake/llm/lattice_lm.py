@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._exchange import SHIPPED, batch, exchange
+from ._exchange import SHIPPED, batch, by_key, exchange
 from ._store import free_shuffles, materialize, release, shuffle_partitions
 from ._tokens import Words, gather, lower_az, mix, pack, portions, split_by, unpack
 from .pieces import MARK, default_vocabulary, vocabulary
@@ -344,22 +344,6 @@ def _ask_mapper(buckets: int) -> Callable:
     return run
 
 
-def _by_chunk(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, pa.Table]]:
-    """All rows of each chunk of a partition that is sorted by chunk."""
-    held, now = [], None
-    for b in batches:
-        chunk = b.column(column).to_numpy()
-        cuts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else []
-        for a, e in zip(cuts, [*cuts[1:], len(chunk)], strict=True):
-            if now is not None and chunk[a] != now:
-                yield int(now), pa.Table.from_batches(held)
-                held = []
-            now = chunk[a]
-            held.append(b.slice(a, e - a))
-    if held:
-        yield int(now), pa.Table.from_batches(held)
-
-
 def score_texts(
     documents: DataFrame, train: F.Column, path: str | None = None, class_column: str | None = "lang", classes: int = CLASSES, rounds: int = ROUNDS
 ) -> DataFrame:
@@ -401,7 +385,7 @@ def _answer(held: DataFrame, words: DataFrame, buckets: int, parts: int, path: s
     floor = np.log10(n + ADD * (v + 1)) if n + v else 0.0
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, table in _by_chunk(batches, 1):
+        for chunk, table in by_key(batches, 1):
             data, offsets = _texts(table.column(0))
             out = ask(chunk, data, offsets)
             if out:
@@ -441,7 +425,7 @@ def _answer(held: DataFrame, words: DataFrame, buckets: int, parts: int, path: s
         yield batch(out)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in _by_chunk(batches, 2):
+        for _, table in by_key(batches, 2):
             answers = [x.as_py() for x in table.column(3) if x.is_valid]
             docs = table.filter(table.column(3).is_null())
             data, offsets = _texts(docs.column(1))
