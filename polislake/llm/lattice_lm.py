@@ -5,8 +5,10 @@ A word's probability is the sum over all segmentations into pieces (and single b
 probabilities: a forward recursion in log space over the word's lattice, many words at a time. A text's log probability is
 the sum over its words plus the end's: words are cut at white space, so its lattice is a chain of theirs.
 
-The piece probabilities start from the vocabulary's own scores and are then fitted to all training documents by expectation
-maximisation over the same lattices, on the corpus table of distinct words and counts. The vocabulary itself is not changed. The
+The piece probabilities start from the vocabulary's own scores and are then fitted to the distinct words of all training documents by expectation
+maximisation over the same lattices. The vocabulary itself is not changed. A word seen in training has one more arc, from its start to
+its end: with count c, N training words and V distinct ones its probability is (c + V * L) / (N + V), L the sum over its segmentations
+(Witten-Bell smoothing, so what is gathered grows with the corpus). whole_words=False leaves these arcs out. The
 probabilities are fitted for CLASSES latent kinds of text, which the words' own training languages (the most frequent values of
 `class_column`, others together) start, and a text's probability is the mixture over the kinds: its own words alone decide how much each counts.
 
@@ -259,14 +261,15 @@ def _word_reducer(classes: int) -> Callable:
         h, i, (total,) = _distinct(h, counts)
         words, ends = gather(flat, at[i], at[i + 1])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([bucket], pa.int32()), pa.array([pack(words, np.diff(ends), *total.T)], pa.binary()), pa.array([len(h)], pa.int64()), pa.array([int(total.sum())], pa.int64())], ["bucket", "blob", "v", "n"]
+            [pa.array([bucket], pa.int32()), pa.array([pack(words, np.diff(ends), *total.T)], pa.binary()), pa.array([len(h)], pa.int64()), pa.array([(total > 0).sum(axis=0).tolist()], pa.list_(pa.int64())), pa.array([total.sum(axis=0).tolist()], pa.list_(pa.int64()))],
+            ["bucket", "blob", "v", "kinds", "uses"],
         )
 
     return reduce
 
 
 def _expectations(path: str, logp: np.ndarray) -> Callable:
-    """Rows (blob): expected piece counts by class of the words of each blob."""
+    """Rows (blob): expected piece counts by class of the distinct words of each blob."""
     classes, size = logp.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +278,7 @@ def _expectations(path: str, logp: np.ndarray) -> Callable:
             for blob in b.column(0):
                 flat, length, *counts = unpack(blob.as_py())
                 at = np.concatenate([[0], np.cumsum(length.astype(np.int64))])
-                counts = np.stack([c.astype(float) for c in counts])
+                counts = np.stack([np.minimum(c, 1).astype(float) for c in counts])
                 for s in word_slices(at):
                     chart = Chart(lattices_of(path), flat[at[s.start] : at[s.stop]], at[s.start : s.stop + 1] - at[s.start])
                     for k in range(classes):
@@ -304,16 +307,13 @@ def _add_up(parts: DataFrame) -> np.ndarray | None:
     return sum(np.frombuffer(r[0], float) for r in rows) if rows else None
 
 
-def fit(words: DataFrame, path: str, texts_by_class: list[int], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece log probabilities by class, the end's, and the classes' own log weights."""
+def fit(words: DataFrame, path: str, classes: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Piece log probabilities by class."""
     v = vocabulary(path)
-    classes = len(texts_by_class)
     normal = v.normal | v.is_byte
     base = np.where(normal, np.exp(v.logp), 0)
     logp = np.tile(v.logp, (classes, 1))
-    texts = np.array(texts_by_class, float)
-    end = np.full(classes, np.log(1e-3))
-    for _ in range(rounds if texts.sum() else 0):
+    for _ in range(rounds):
         got = _add_up(words.select("blob").mapInArrow(_expectations(path, logp), "sums binary"))
         if got is None:
             break
@@ -321,11 +321,9 @@ def fit(words: DataFrame, path: str, texts_by_class: list[int], rounds: int = RO
         # A prior of ten uses a thousand pieces, shared by the vocabulary's own probabilities and all classes' uses, keeps unseen pieces possible.
         pooled = (got.sum(axis=0) + 1000 * base) / (got.sum() + 1000)
         every = got + 1000 * pooled
-        total = every.sum(axis=1) + texts + 1
         with np.errstate(divide="ignore"):
-            logp = np.where(normal, np.log(every / total[:, None]), -np.inf)
-        end = np.log((texts + 1) / total)
-    return logp, end, np.log((texts + 1) / (texts + 1).sum())
+            logp = np.where(normal, np.log(every / every.sum(axis=1)[:, None]), -np.inf)
+    return logp
 
 
 def _ask_mapper(buckets: int) -> Callable:
@@ -345,7 +343,7 @@ def _ask_mapper(buckets: int) -> Callable:
 
 
 def score_texts(
-    documents: DataFrame, train: F.Column, path: str | None = None, class_column: str | None = "lang", classes: int = CLASSES, rounds: int = ROUNDS
+    documents: DataFrame, train: F.Column, path: str | None = None, class_column: str | None = "lang", classes: int = CLASSES, rounds: int = ROUNDS, whole_words: bool = True
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score (word unigram), score (this model), both log10.
 
@@ -362,24 +360,33 @@ def score_texts(
     stats = rows.agg(F.sum(F.octet_length("text")), *[F.sum((F.col("kind") == k).cast("long")) for k in range(classes)]).first()
     size, texts_by_class = stats[0] or 0, [x or 0 for x in stats[1:]]
     buckets = max(2 * shuffle_partitions(spark), -(-size // (16 << 20)))
-    words = exchange(rows.select("text", "kind").mapInArrow(_word_mapper(buckets, classes), SHIPPED), buckets, _word_reducer(classes), "bucket int, blob binary, v bigint, n bigint")
+    words = exchange(rows.select("text", "kind").mapInArrow(_word_mapper(buckets, classes), SHIPPED), buckets, _word_reducer(classes), "bucket int, blob binary, v bigint, kinds array<bigint>, uses array<bigint>")
     words = materialize(words, "words")
     free_shuffles(spark)
-    v, n = words.agg(F.sum("v"), F.sum("n")).first()
-    trained = sum(texts_by_class)
+    told = words.agg(F.sum("v"), *[F.sum(F.col(c)[k]) for c in ("kinds", "uses") for k in range(classes)]).first()
+    v, *by_class = (x or 0 for x in told)
+    kinds, uses = np.array(by_class[:classes], float), np.array(by_class[classes:], float)
+    texts = np.array(texts_by_class, float)
+    trained = int(texts.sum())
     # The end is a token of each training text.
-    v, n = (v or 0) + (trained > 0), (n or 0) + trained
-    logp, end, weight = fit(words, path, texts_by_class, rounds)
+    v, n = v + (trained > 0), int(uses.sum()) + trained
+    logp = fit(words, path, classes, rounds if trained else 0)
+    end = (texts + 1) / (uses + texts + 1000)
+    model = {
+        "logp": logp, "end": np.log(end), "weight": np.log((texts + 1) / (texts + 1).sum()),
+        "kinds": kinds if whole_words else np.zeros(classes), "uses": uses if whole_words else np.zeros(classes), "go_on": np.log1p(-end), "whole": whole_words,
+    }
     chunks = max(4 * shuffle_partitions(spark), -(-size // GROUP_BYTES))
     parts = max(shuffle_partitions(spark), chunks // 4)
     held = materialize(
         rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(parts, "chunk").sortWithinPartitions("chunk").select("doc_id", "text", "chunk"), "chunks"
     )
     free_shuffles(spark)
-    return _answer(held, words, buckets, parts, path, logp, end, weight, v, n, trained)
+    return _answer(held, words, buckets, parts, path, model, v, n, trained)
 
 
-def _answer(held: DataFrame, words: DataFrame, buckets: int, parts: int, path: str, logp: np.ndarray, end: np.ndarray, weight: np.ndarray, v: int, n: int, trained: int) -> DataFrame:
+def _answer(held: DataFrame, words: DataFrame, buckets: int, parts: int, path: str, model: dict, v: int, n: int, trained: int) -> DataFrame:
+    logp = model["logp"]
     classes = len(logp)
     ask = _ask_mapper(buckets)
     floor = np.log10(n + ADD * (v + 1)) if n + v else 0.0
@@ -404,24 +411,29 @@ def _answer(held: DataFrame, words: DataFrame, buckets: int, parts: int, path: s
         at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         h = _spelling_hash(flat, at)
         distinct, i, _ = _distinct(h)
-        counts = np.zeros(len(distinct), np.int64)
+        counts = np.zeros((classes, len(distinct)), np.int64)
         for x in known:
             words_flat, length, *c = unpack(x[1:])
             kh = _spelling_hash(words_flat, np.concatenate([[0], np.cumsum(length.astype(np.int64))]))
             where = np.minimum(np.searchsorted(distinct, kh), len(distinct) - 1)
             ok = distinct[where] == kh
-            counts[where[ok]] += sum(y.astype(np.int64) for y in c)[ok]
+            for k in range(classes):
+                counts[k, where[ok]] += c[k].astype(np.int64)[ok]
         own, ends = gather(flat, at[i], at[i + 1])
         logs = np.zeros((classes, len(distinct)))
         for s in word_slices(ends):
             chart = Chart(lattices_of(path), own[ends[s.start] : ends[s.stop]], ends[s.start : s.stop + 1] - ends[s.start])
             for k in range(classes):
                 logs[k, s] = chart.forward(logp[k])[chart.last]
+        for k in range(classes):
+            if model["whole"] and model["kinds"][k]:
+                logs[k] = np.log(counts[k] + model["kinds"][k] * np.exp(logs[k])) - np.log(model["uses"][k] + model["kinds"][k])
+            logs[k] += model["go_on"][k]
         a, out = 0, []
         for (chunk, _, length), _size in zip(asked, sizes, strict=True):
             w = np.searchsorted(distinct, h[a : a + len(length)])
             a += len(length)
-            out.append((int(chunk[0]), pack(np.array([bucket]), counts[w], *logs[:, w])))
+            out.append((int(chunk[0]), pack(np.array([bucket]), counts.sum(axis=0)[w], *logs[:, w])))
         yield batch(out)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,11 +455,11 @@ def _answer(held: DataFrame, words: DataFrame, buckets: int, parts: int, path: s
             tokens = np.diff(g.words.first) + 1
             known = total((counts[word] > 0).astype(float)).astype(np.int64) + (1 if trained else 0)
             base = total(np.log10(counts[word] + ADD)) + np.log10(trained + ADD) - tokens * floor
-            each = np.stack([total(logs[k][word]) + end[k] + weight[k] for k in range(classes)])
+            each = np.stack([total(logs[k][word]) + model["end"][k] + model["weight"][k] for k in range(classes)])
             top = each.max(axis=0)
-            model = (top + np.log(np.exp(each - top).sum(axis=0))) / LN10
+            likely = (top + np.log(np.exp(each - top).sum(axis=0))) / LN10
             yield pa.RecordBatch.from_arrays(
-                [docs.column(0).combine_chunks(), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(np.full(size, n, np.int64)), pa.array(base), pa.array(model)],
+                [docs.column(0).combine_chunks(), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(np.full(size, n, np.int64)), pa.array(base), pa.array(likely)],
                 ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
