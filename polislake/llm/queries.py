@@ -20,6 +20,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return identify(_documents(spark, sf_dir), ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_pages, read_warc
 
