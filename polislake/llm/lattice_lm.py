@@ -41,6 +41,7 @@ ADD = 0.1
 GROUP_BYTES = 8 << 20
 U = np.uint64
 LN10 = float(np.log(10))
+MARK_BYTE = 0xFF
 
 
 class Lattices:
@@ -50,26 +51,22 @@ class Lattices:
 
     SEED = 0x1B873593
 
-    def __init__(self, names: list[str], ids: np.ndarray, byte_ids: np.ndarray) -> None:
-        self.byte_ids = byte_ids
-        self.size = len(names)
-        raw = [names[i].replace(MARK, "\x00").encode() for i in ids]
-        keep = [i for i, r in enumerate(raw) if 0 < len(r) and b"\x00" not in r[1:]]
+    def __init__(self, names: list[str], ids: np.ndarray, byte_ids: np.ndarray, bytes_everywhere: bool = True) -> None:
+        self.byte_ids = byte_ids.copy()
+        self.byte_ids[MARK_BYTE] = byte_ids[32]
+        self.bytes_everywhere = bytes_everywhere
+        raw = [names[i].encode().replace(MARK.encode(), bytes([MARK_BYTE])) for i in ids]
+        keep = [i for i, r in enumerate(raw) if 0 < len(r) and MARK_BYTE not in r[1:]]
         raw, self.ids = [raw[i] for i in keep], ids[keep]
         self.longest = max(map(len, raw))
         at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
         flat = np.frombuffer(b"".join(raw), np.uint8)
         self.table = mix(np.arange(256, dtype=U) + U(self.SEED))
         h = np.zeros(len(raw), U)
-        done = np.zeros(len(raw), np.int64)
         for k in range(self.longest):
             live = np.flatnonzero(np.diff(at) > k)
             h[live] = self.step(h[live], flat[at[live] + k])
-            done[live] += 1
-        # Open addressing by the low bits, and a filter of all prefixes so that dead ends stop early.
-        self.bits = 20
-        self.slots = np.full(1 << self.bits, -1, np.int64)
-        self.hash_of = h
+        # Filters of all prefixes and all pieces by 24 bits of the hash, so that dead ends stop early.
         order = np.argsort(h)
         self.sorted, self.by = h[order], self.ids[order]
         self.alive = np.zeros(1 << 24, bool)
@@ -90,7 +87,7 @@ class Lattices:
         n = len(data)
         ends = np.repeat(offsets[1:], np.diff(offsets))
         start, h = np.arange(n), np.zeros(n, U)
-        out = [(start, start + 1, self.byte_ids[np.where(data == 0, 0, data)])]
+        out = [(start, start + 1, self.byte_ids[data])]
         for k in range(self.longest):
             live = start + k < ends[start]
             start, h = start[live], h[live]
@@ -105,23 +102,34 @@ class Lattices:
             hit = self.sorted[i] == h[maybe]
             found = maybe[hit]
             out.append((start[found], start[found] + k + 1, self.by[i[hit]]))
+        if not self.bytes_everywhere:  # bytes only for characters that are no piece
+            head = (data & 0xC0) != 0x80
+            head[offsets[:-1]] = True
+            at, size = np.flatnonzero(head), np.diff(np.append(np.flatnonzero(head), n))
+            char = np.cumsum(head) - 1
+            known = np.zeros(len(at), bool)
+            for a, e, _ in out[1:]:
+                one = head[a] & (e - a == size[char[a]])
+                known[char[a[one]]] = True
+            spelled = ~known[char]
+            out[0] = tuple(x[spelled] for x in out[0])
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def mark(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A zero byte, which no word piece holds, before each word for its mark."""
+    """A byte that UTF-8 does not use before each word, for its mark."""
     to = offsets + np.arange(len(offsets))
-    out = np.zeros(len(data) + len(offsets) - 1, np.uint8)
-    place = np.arange(len(data)) + np.repeat(np.arange(1, len(offsets)), np.diff(offsets))
-    out[place] = np.where(data == 0, 1, data)
+    out = np.full(len(data) + len(offsets) - 1, MARK_BYTE, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(1, len(offsets)), np.diff(offsets))] = data
     return out, to
 
 
 class Chart:
     """Forward and backward sums over the arcs of many words, from position to position in step with the words' lengths."""
 
-    def __init__(self, lattices: Lattices, data: np.ndarray, offsets: np.ndarray) -> None:
-        data, offsets = mark(data, offsets)
+    def __init__(self, lattices: Lattices, data: np.ndarray, offsets: np.ndarray, marked: bool = False) -> None:
+        if not marked:
+            data, offsets = mark(data, offsets)
         self.n = len(offsets) - 1
         start, end, piece = lattices.arcs(data, offsets)
         word = np.repeat(np.arange(self.n), np.diff(offsets))
@@ -151,9 +159,7 @@ class Chart:
                 alpha[to[head]] = safe + np.log(np.add.reduceat(np.exp(v - np.repeat(safe, size)), head))
         return alpha
 
-    def expected(self, logp: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
-        """Expected number of uses of each piece, where each word counts `weight` times."""
-        alpha = self.forward(logp)
+    def backward(self, logp: np.ndarray) -> np.ndarray:
         w = logp[self.piece]
         beta = np.full(self.nodes, -np.inf)
         beta[self.last] = 0
@@ -170,8 +176,13 @@ class Chart:
             safe = np.where(np.isfinite(top), top, 0)
             with np.errstate(divide="ignore"):
                 beta[to[head]] = safe + np.log(np.add.reduceat(np.exp(x - np.repeat(safe, np.diff(np.append(head, b - a)))), head))
+        return beta
+
+    def expected(self, logp: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
+        """Expected number of uses of each piece, where each word counts `weight` times."""
+        alpha, beta = self.forward(logp), self.backward(logp)
         z = alpha[self.last]
-        share = np.exp(np.minimum(alpha[self.start] + w + beta[self.end] - z[self.word], 0)) * weight[self.word]
+        share = np.exp(np.minimum(alpha[self.start] + logp[self.piece] + beta[self.end] - z[self.word], 0)) * weight[self.word]
         return np.bincount(self.piece, weights=share, minlength=size)
 
 

@@ -48,6 +48,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), with_text=False).drop("kept_text")
 
 
+def op7_sample_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sampling import sample_segmentations
+
+    return sample_segmentations(_documents(spark, sf_dir))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_plan
 
