@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from . import mixing, substring_dedup, warc
 
 
+#: A deployment takes its own from where it keeps its secrets.
+PSEUDONYM_KEY = "polislake test key"
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -64,6 +68,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymize
+
+    return pseudonymize(_documents(spark, sf_dir).select("doc_id", "text"), key=PSEUDONYM_KEY, count="n_pseudonyms")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
