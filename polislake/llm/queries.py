@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, substring_dedup, warc
+from . import bm25_search, mixing, substring_dedup, warc
 
 
 #: A deployment takes its own from where it keeps its secrets.
@@ -52,6 +52,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), with_text=False).drop("kept_text")
 
 
+def op6_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bm25_search import search
+
+    return search(_documents(spark, sf_dir), F.col("doc_id") % 100 == 0)
+
+
 def op7_sample_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sampling import sample_segmentations
 
@@ -85,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_archive_pages": warc.ORACLE_SQL, "op5_substring_dedup": substring_dedup.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL}
+    return {"op6_bm25_search": bm25_search.ORACLE_SQL, "op3_archive_pages": warc.ORACLE_SQL, "op5_substring_dedup": substring_dedup.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL}
