@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ._exchange import SHIPPED, batch, bucket_count, by_key, exchange
 from ._graph import components
-from ._store import free_shuffles, materialize
+from ._store import free_shuffles, fresh, materialize
 from ._tokens import Words, constants, gram_starts, grams, mix, pack, portions, split_by, unpack
 
 SHINGLE = 4
@@ -46,7 +46,7 @@ SLICE = 400_000
 COMMON, COMMON_SHARE = 200, 10_000
 FLUSH = 1_000_000
 #: Documents in a slice of a group.
-GROUP_SLICE = 2_000
+GROUP_SLICE = 500
 #: A list longer than this is merged with others by sorting rather than by a heap; the same merge, fewer Python steps.
 HEAP_POSTINGS = 24
 U = np.uint64
@@ -534,9 +534,10 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     classes = materialize(jaccard_components(documents, **options), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     chosen = classes.where("n_shingles > 0").groupBy("class").agg(F.min(order).alias("least")).select("least.row")
-    first = materialize(chosen.unionByName(classes.where("n_shingles = 0").select("row")).distinct().withColumnRenamed("row", "kept_row"), "first")
+    name = fresh(documents.columns, "kept_row")
+    first = materialize(chosen.unionByName(classes.where("n_shingles = 0").select("row")).distinct().withColumnRenamed("row", name), "first")
     row = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    kept = documents.join(first, row == F.col("kept_row"), "left_semi")
+    kept = documents.join(first, row == F.col(name), "left_semi")
     if classes.where("n_shingles > 0").groupBy("row").count().where("count > 1").limit(1).count():
         whole = kept.where(F.size(F.split(F.coalesce("text", F.lit("")), "[^ \\t\\n\\x0B\\f\\r]", 2)) > 1)
         blank = kept.where(F.size(F.split(F.coalesce("text", F.lit("")), "[^ \\t\\n\\x0B\\f\\r]", 2)) <= 1)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import fresh
 from ._tokens import portions
 
 PER_LANGUAGE = 600
@@ -227,5 +228,5 @@ def keep_identified(documents: DataFrame, train: Column, least: float = 0.5) ->
             best = np.concatenate([np.zeros(0), *(net.label_texts(data, offsets).max(axis=1) for _, data, offsets in portions(text))])
             yield b.filter(pa.array((best >= least) & letters.to_numpy(zero_copy_only=False).astype(bool))).select(range(b.num_columns - 1))
 
-    mark = "__letters"
+    mark = fresh(documents.columns, "has_letters")
     return documents.withColumn(mark, has_letter("text")).mapInArrow(run, documents.schema)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import free_shuffles, fresh, materialize
 
 WEIGHTS = (5, 2, 1)
 SLOPES = (-0.5, 0.0, 0.5)
@@ -55,8 +55,8 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 
 def mix_plan(documents: DataFrame, split_boundary: bool = True) -> DataFrame:
-    """A row a document row: doc_id, size, source_size, target, taken, copies array<struct<position, words>>."""
-    sized = materialize(documents.select("doc_id", "source", words_in("text").alias("size")), "sizes")
+    """A row a document row: doc_id, row (a hash of id and text), size, source_size, target, taken, copies array<struct<position, words>>."""
+    sized = materialize(documents.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("row"), words_in("text").alias("size")), "sizes")
     targets = materialize(source_targets(sized), "targets")
     most = targets.agg(F.max("rows")).first()[0] or 0
     digits = 0
@@ -65,9 +65,9 @@ def mix_plan(documents: DataFrame, split_boundary: bool = True) -> DataFrame:
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     named = targets.withColumnRenamed("source", "target_source")
     rows = sized.join(named, F.col("source").eqNullSafe(F.col("target_source"))).select(
-        "doc_id", "size", "sid", "source_size", "target", "slope", key.alias("key"), F.substring(key, 1, digits).alias("bucket")
+        "doc_id", "row", "size", "sid", "source_size", "target", "slope", key.alias("key"), F.substring(key, 1, digits).alias("bucket")
     )
-    inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("sid", "bucket", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("ahead"))
@@ -90,7 +90,7 @@ def mix_plan(documents: DataFrame, split_boundary: bool = True) -> DataFrame:
         lambda c: F.struct(position(c).alias("position"), F.when(c < F.col("full"), F.col("size")).otherwise(F.col("part")).alias("words")),
     )
     copies = F.when(F.col("whole") > 0, F.filter(everyone, lambda x: x["words"] > 0)).otherwise(F.filter(everyone, lambda x: F.lit(False)))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).alias("taken"), copies.alias("copies"))
+    return placed.select("doc_id", "row", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).alias("taken"), copies.alias("copies"))
 
 
 def training_order(plan: DataFrame) -> DataFrame:
@@ -98,6 +98,21 @@ def training_order(plan: DataFrame) -> DataFrame:
     return plan.select("doc_id", F.inline("copies")).orderBy("position", "doc_id")
 
 
+def mixed(documents: DataFrame) -> DataFrame:
+    """The documents of the mix, a row a copy, range-sorted by training position; whole documents only. Columns as in `documents`."""
+    plan = materialize(mix_plan(documents, split_boundary=False).where(F.size("copies") > 0).select("row", F.col("copies.position").alias("positions")), "plan")
+    row, positions, position = (fresh(documents.columns, x) for x in ("mixed_row", "mixed_positions", "mixed_position"))
+    texts = documents
+    if plan.groupBy("row").count().where("count > 1").limit(1).count():  # rows that repeat id and text: one text, all their copies
+        plan = plan.groupBy("row").agg(F.flatten(F.collect_list("positions")).alias("positions"))
+        texts = documents.groupBy(F.xxhash64("doc_id", "text").alias(row)).agg(*[F.first(c).alias(c) for c in documents.columns]).drop(row)
+    plan = plan.select(F.col("row").alias(row), F.col("positions").alias(positions))
+    joined = materialize(texts.join(plan, F.xxhash64("doc_id", "text") == F.col(row)).select(*documents.columns, positions), "mixed")
+    free_shuffles(documents.sparkSession)
+    copies = joined.select(*documents.columns, F.explode(positions).alias(position))
+    return copies.orderBy(position, "doc_id").select(*documents.columns)
+
+
 ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS key FROM documents

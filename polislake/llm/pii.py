@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import fresh
 from .quality_rules import bind
 
 ROUNDS = 8
@@ -207,9 +208,7 @@ def pseudonymize(documents: DataFrame, key: str, column: str = "text", count: st
     plain = F.struct(text.alias("text"), F.lit(0).alias("n"))
     # A candidate has a digit or an at sign; most texts have none and are passed on unread by the larger pattern.
     made = F.when(text.rlike("[0-9@]"), replaced(text)).otherwise(plain)
-    mark = "__pii"
-    while mark in documents.columns:
-        mark += "_"
+    mark = fresh([*documents.columns, count or ""], "pseudonymized")
     out = documents.withColumn(mark, made)
     keep = [F.col(f"{mark}.text").alias(c) if c == column else F.col(c) for c in documents.columns]
     return out.select(*keep, *([F.col(f"{mark}.n").alias(count)] if count else []))
