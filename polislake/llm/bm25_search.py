@@ -31,7 +31,7 @@ K = 10
 K1, B = 1.2, 0.75
 SHARD_BYTES = 24 << 20
 BLOCK = 64
-BLOCK_TERMS = 1_500_000
+BLOCK_TERMS = 400_000
 #: Blocks scored before the threshold is looked at again.
 STEP = 6
 U = np.uint64
@@ -254,8 +254,8 @@ def search(documents: DataFrame, is_query: Column, k: int = K, block_terms: int
     blocks = max(1, -(-total // block_terms))
     found = None
     for block in range(blocks):
-        mine = terms.where(F.pmod(F.xxhash64("query_id", F.lit(9)), F.lit(blocks)) == block).toPandas()
-        queries = Queries(mine["query_id"].to_numpy(np.int64), mine["term"].to_numpy(np.int64), mine["df"].to_numpy(np.int64), docs)
+        mine = terms.where(F.pmod(F.xxhash64("query_id", F.lit(9)), F.lit(blocks)) == block).toArrow()
+        queries = Queries(*(mine.column(c).to_numpy() for c in ("query_id", "term", "df")), docs)
         part = index.select("blob").mapInArrow(_search_mapper(queries, words / max(docs, 1), k), RESULT)
         found = materialize(part, "found") if found is None else found.unionByName(materialize(part, "found"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))

@@ -69,6 +69,9 @@ class Lattices:
         # Filters of all prefixes and all pieces by 24 bits of the hash, so that dead ends stop early.
         order = np.argsort(h)
         self.sorted, self.by = h[order], self.ids[order]
+        slot = (self.sorted >> U(44)).astype(np.int64)
+        self.slots = np.zeros(1 << 20, np.int32)  # the first piece of a slot; those after it are searched for
+        self.slots[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
         self.alive = np.zeros(1 << 24, bool)
         self.whole = np.zeros(1 << 24, bool)
         self.whole[(h >> U(40)).astype(np.int64)] = True
@@ -98,8 +101,13 @@ class Lattices:
             live = self.alive[slot]
             start, h, slot = start[live], h[live], slot[live]
             maybe = np.flatnonzero(self.whole[slot])
-            i = np.minimum(np.searchsorted(self.sorted, h[maybe]), len(self.sorted) - 1)
-            hit = self.sorted[i] == h[maybe]
+            want = h[maybe]
+            i = self.slots[(want >> U(44)).astype(np.int64)].astype(np.int64)
+            hit = self.sorted[i] == want
+            if not hit.all():
+                other = np.flatnonzero(~hit)
+                j = np.minimum(np.searchsorted(self.sorted, want[other]), len(self.sorted) - 1)
+                i[other], hit[other] = j, self.sorted[j] == want[other]
             found = maybe[hit]
             out.append((start[found], start[found] + k + 1, self.by[i[hit]]))
         if not self.bytes_everywhere:  # bytes only for characters that are no piece
@@ -139,7 +147,7 @@ class Chart:
         self.first, self.last = offsets[:-1] + np.arange(self.n), offsets[1:] + np.arange(self.n)
         self.nodes = len(data) + self.n
         depth = end - offsets[self.word]
-        order = np.lexsort((self.end, depth))
+        order = np.argsort(depth * np.int64(self.nodes + 1) + self.end)
         self.word, self.start, self.end, self.piece, depth = (x[order] for x in (self.word, self.start, self.end, self.piece, depth))
         self.levels = np.searchsorted(depth, np.arange(1, (int(depth.max()) if len(depth) else 0) + 2))
 
@@ -163,7 +171,7 @@ class Chart:
         w = logp[self.piece]
         beta = np.full(self.nodes, -np.inf)
         beta[self.last] = 0
-        by = np.lexsort((self.start, self.start - self.first[self.word]))
+        by = np.argsort((self.start - self.first[self.word]) * np.int64(self.nodes + 1) + self.start)
         start, end, v = self.start[by], self.end[by], w[by]
         depth = start - self.first[self.word[by]]
         cuts = np.searchsorted(depth, np.arange((int(depth.max()) if len(depth) else 0) + 2))
@@ -207,7 +215,7 @@ def word_slices(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[slice]:
 
 def _distinct(h: np.ndarray, *sums: np.ndarray) -> tuple:
     """Distinct hashes in order, an index of each, and sums of columns over it."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     s = h[order]
     head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
     return s[head], order[head], [np.add.reduceat(x[order], head, axis=0) if len(s) else x for x in sums]
@@ -217,19 +225,34 @@ class _Group:
     """Distinct lower-cased words of a group of texts, with their training counts by class."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray | None, classes: int) -> None:
-        self.words = Words(data, offsets)
         self.data = lower_az(data)
-        self.hash = self.words.hashes(lower=True)
-        doc = self.words.doc_of()
-        if kind is None:
-            counts = np.zeros((len(self.hash), 0), np.int64)
-        else:  # kind -1: not for training
-            counts = (kind[doc][:, None] == np.arange(classes)).astype(np.int64)
-        self.distinct, self.at, (self.counts,) = _distinct(self.hash, counts)
+        start, end, hashes, sizes = [], [], [], []
+        for part in word_slices(offsets, 1 << 20):  # hashing takes many bytes a byte of text
+            base = offsets[part.start]
+            w = Words(self.data[base : offsets[part.stop]], offsets[part.start : part.stop + 1] - base)
+            start.append(w.start + base)
+            end.append(w.end + base)
+            hashes.append(w.hashes())
+            sizes.append(np.diff(w.first))
+        none = np.zeros(0, np.int64)
+        self.start, self.end, self.hash, self.size = (np.concatenate([none.astype(t), *x]) for x, t in ((start, np.int64), (end, np.int64), (hashes, U), (sizes, np.int64)))
+        order = np.argsort(self.hash)
+        s = self.hash[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        self.distinct, self.at = s[new], order[new]
+        #: For each word its place in `distinct`.
+        self.word = np.empty(len(s), np.int32)
+        self.word[order] = np.cumsum(new) - 1
+        self.doc = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        if kind is not None:  # kind -1: not for training
+            k = kind[self.doc]
+            used = k >= 0
+            self.counts = np.bincount(self.word[used] * np.int64(classes) + k[used], minlength=len(self.distinct) * classes).reshape(-1, classes)
 
     def spelled(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i = self.at[which]
-        return gather(self.data, self.words.start[i], self.words.end[i])
+        return gather(self.data, self.start[i], self.end[i])
 
 
 def _word_mapper(buckets: int, classes: int) -> Callable:
@@ -258,7 +281,7 @@ def _spelling_hash(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The hash that Words gives these words."""
     spaced, to = np.full(len(flat) + len(at) - 1, 32, np.uint8), at + np.arange(len(at))
     spaced[np.arange(len(flat)) + np.repeat(np.arange(len(at) - 1), np.diff(at))] = flat
-    return Words(spaced, np.array([0, len(spaced)])).hashes(lower=True)
+    return Words(spaced, np.array([0, len(spaced)])).hashes()
 
 
 def _word_reducer(classes: int) -> Callable:
@@ -290,6 +313,8 @@ def _expectations(path: str, logp: np.ndarray) -> Callable:
                 flat, length, *counts = unpack(blob.as_py())
                 at = np.concatenate([[0], np.cumsum(length.astype(np.int64))])
                 counts = np.stack([np.minimum(c, 1).astype(float) for c in counts])
+                if classes == 1:
+                    counts = counts.max(axis=0, keepdims=True)
                 for s in word_slices(at):
                     chart = Chart(lattices_of(path), flat[at[s.start] : at[s.stop]], at[s.start : s.stop + 1] - at[s.start])
                     for k in range(classes):
@@ -323,31 +348,36 @@ def fit(words: DataFrame, path: str, classes: int, rounds: int = ROUNDS) -> np.n
     v = vocabulary(path)
     normal = v.normal | v.is_byte
     base = np.where(normal, np.exp(v.logp), 0)
-    logp = np.tile(v.logp, (classes, 1))
-    for _ in range(rounds):
-        got = _add_up(words.select("blob").mapInArrow(_expectations(path, logp), "sums binary"))
+    logp = np.tile(v.logp, (1, 1))
+    for n in range(rounds):
+        # The classes part in the last round; those before fit what they share.
+        apart = classes if n == rounds - 1 else 1
+        got = _add_up(words.select("blob").mapInArrow(_expectations(path, np.repeat(logp, apart, axis=0)), "sums binary"))
         if got is None:
             break
-        got = got.reshape(classes, -1)
-        # A prior of ten uses a thousand pieces, shared by the vocabulary's own probabilities and all classes' uses, keeps unseen pieces possible.
+        got = got.reshape(apart, -1)
+        # A prior of a thousand uses, shared by the vocabulary's own probabilities and all classes' uses, keeps unseen pieces possible.
         pooled = (got.sum(axis=0) + 1000 * base) / (got.sum() + 1000)
         every = got + 1000 * pooled
         with np.errstate(divide="ignore"):
             logp = np.where(normal, np.log(every / every.sum(axis=1)[:, None]), -np.inf)
+    logp = logp if len(logp) == classes else np.repeat(logp, classes, axis=0)
     return logp
 
 
 def _ask_mapper(buckets: int) -> Callable:
     """Rows (chunk, text) in runs of one chunk: ships the distinct words of each chunk to their buckets."""
 
-    def run(chunk: int, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, bytes]]:
+    def run(chunk: int, data: np.ndarray, offsets: np.ndarray, partial: bool) -> list[tuple[int, bytes]]:
         g = _Group(data, offsets, None, 0)
         places, bounds = split_by((g.distinct % U(buckets)).astype(np.int64), buckets)
         out = []
         for k in range(buckets):
             if bounds[k] < bounds[k + 1]:
-                flat, at = g.spelled(places[bounds[k] : bounds[k + 1]])
-                out.append((k, pack(np.array([chunk]), flat, np.diff(at))))
+                i = places[bounds[k] : bounds[k + 1]]
+                flat, at = g.spelled(i)
+                # A chunk that the reader may have cut names its words in the answer; a whole one has them in order.
+                out.append((k, pack(np.array([chunk]), flat, np.diff(at), g.distinct[i] if partial else np.zeros(0, U))))
         return out
 
     return run
@@ -387,13 +417,21 @@ def score_texts(
         "logp": logp, "end": np.log(end), "weight": np.log((texts + 1) / (texts + 1).sum()),
         "kinds": kinds if whole_words else np.zeros(classes), "uses": uses if whole_words else np.zeros(classes), "go_on": np.log1p(-end), "whole": whole_words,
     }
-    chunks = max(4 * shuffle_partitions(spark), -(-size // GROUP_BYTES))
-    parts = max(shuffle_partitions(spark), chunks // 4)
-    held = materialize(
-        rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(parts, "chunk").sortWithinPartitions("chunk").select("doc_id", "text", "chunk"), "chunks"
-    )
-    free_shuffles(spark)
-    return _answer(held, words, buckets, parts, path, model, v, n, trained)
+    held = materialize(rows.select("doc_id", "text").mapInArrow(_chunks, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, chunk bigint"), "chunks")
+    return _answer(held, words, buckets, max(shuffle_partitions(spark), -(-size // GROUP_BYTES) // 4), path, model, v, n, trained)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers runs of about GROUP_BYTES of text; the written table fixes the numbers."""
+    from pyspark import TaskContext
+
+    chunk, size = TaskContext.get().partitionId() << 32, 0
+    for b in batches:
+        for part, data, _ in portions(b.column(1), 1 << 20):
+            if size >= GROUP_BYTES:
+                chunk, size = chunk + 1, 0
+            size += len(data)
+            yield pa.RecordBatch.from_arrays([b.column(0)[part], b.column(1)[part], pa.array(np.full(part.stop - part.start, chunk))], ["doc_id", "text", "chunk"])
 
 
 def _answer(held: DataFrame, words: DataFrame, buckets: int, parts: int, path: str, model: dict, v: int, n: int, trained: int) -> DataFrame:
@@ -403,11 +441,15 @@ def _answer(held: DataFrame, words: DataFrame, buckets: int, parts: int, path: s
     floor = np.log10(n + ADD * (v + 1)) if n + v else 0.0
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, table in by_key(batches, 1):
-            data, offsets = _texts(table.column(0))
-            out = ask(chunk, data, offsets)
-            if out:
-                yield batch(out)
+        before, first = None, True
+        for group in by_key(batches, 1):
+            if before is not None:
+                if out := ask(before[0], *_texts(before[1].column(0)), first):
+                    yield batch(out)
+                first = False
+            before = group
+        if before is not None and (out := ask(before[0], *_texts(before[1].column(0)), True)):
+            yield batch(out)
 
     def reply(bucket: int, blobs: list) -> Iterator[pa.RecordBatch]:
         known = [x for x in blobs if x[:1] == b"W"]
@@ -415,7 +457,7 @@ def _answer(held: DataFrame, words: DataFrame, buckets: int, parts: int, path: s
         if not asked:
             return
         spelled, sizes = [], []
-        for _, flat, length in asked:
+        for _, flat, length, _ in asked:
             spelled.append(flat)
             sizes.append(length.astype(np.int64))
         flat = np.concatenate(spelled)
@@ -441,11 +483,12 @@ def _answer(held: DataFrame, words: DataFrame, buckets: int, parts: int, path: s
                 logs[k] = np.log(counts[k] + model["kinds"][k] * np.exp(logs[k])) - np.log(model["uses"][k] + model["kinds"][k])
             logs[k] += model["go_on"][k]
         a, out = 0, []
-        for (chunk, _, length), _size in zip(asked, sizes, strict=True):
+        for chunk, _, length, names in asked:
             w = np.searchsorted(distinct, h[a : a + len(length)])
             a += len(length)
-            out.append((int(chunk[0]), pack(np.array([bucket]), counts.sum(axis=0)[w], *logs[:, w])))
-        yield batch(out)
+            # The largest float32 error of a word's log probability is a millionth.
+            out.append((int(chunk[0]), pack(np.array([bucket]), names.astype(U), counts.sum(axis=0)[w], *logs[:, w].astype(np.float32))))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], ["chunk", "blob"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in by_key(batches, 2):
@@ -456,14 +499,13 @@ def _answer(held: DataFrame, words: DataFrame, buckets: int, parts: int, path: s
             counts, logs = np.zeros(len(g.distinct), np.int64), np.zeros((classes, len(g.distinct)))
             places, bounds = split_by((g.distinct % U(buckets)).astype(np.int64), buckets)
             for x in answers:
-                (k,), c, *parts_logs = unpack(x)
-                i = places[bounds[k] : bounds[k + 1]]
+                (k,), names, c, *parts_logs = unpack(x)
+                i = np.searchsorted(g.distinct, names.astype(U)) if len(names) else places[bounds[k] : bounds[k + 1]]
                 counts[i] = c
                 logs[:, i] = parts_logs
-            word = np.searchsorted(g.distinct, g.hash)
-            doc, size = g.words.doc_of(), len(offsets) - 1
+            word, doc, size = g.word, g.doc, len(offsets) - 1
             total = lambda x: np.bincount(doc, weights=x, minlength=size)
-            tokens = np.diff(g.words.first) + 1
+            tokens = g.size + 1
             known = total((counts[word] > 0).astype(float)).astype(np.int64) + (1 if trained else 0)
             base = total(np.log10(counts[word] + ADD)) + np.log10(trained + ADD) - tokens * floor
             each = np.stack([total(logs[k][word]) + model["end"][k] + model["weight"][k] for k in range(classes)])
@@ -476,8 +518,8 @@ def _answer(held: DataFrame, words: DataFrame, buckets: int, parts: int, path: s
 
     tag = lambda df, letter: df.select("bucket", F.concat(F.lit(letter).cast("binary"), F.col("blob")).alias("blob"))
     asked = tag(held.select("text", "chunk").mapInArrow(asks, SHIPPED), "A")
-    answers = exchange(asked.unionByName(tag(words.select("bucket", "blob"), "W")), buckets, reply, SHIPPED).select(
-        F.lit(None).cast(held.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("string").alias("text"), F.col("bucket").alias("chunk"), F.col("blob").alias("answer")
+    answers = exchange(asked.unionByName(tag(words.select("bucket", "blob"), "W")), buckets, reply, "chunk bigint, blob binary").select(
+        F.lit(None).cast(held.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("string").alias("text"), "chunk", F.col("blob").alias("answer")
     )
     both = held.select("doc_id", "text", "chunk", F.lit(None).cast("binary").alias("answer")).unionByName(answers)
     doc_type = held.schema["doc_id"].dataType.simpleString()
