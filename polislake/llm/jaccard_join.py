@@ -7,7 +7,7 @@ shingle. Documents with equal sets are one node. Two nodes link when 100 * inter
    with frequent shingles last (a first pass counts them), so that common lines and passages seldom bring documents together.
 2. Documents of like size (classes a factor PERCENT apart, each with its neighbour) that share such a shingle are members of the group of the least
    of them; a mapper ships the least of its own only.
-3. In a group, signatures (how many elements lie in each of about n / 8 equal ranges of the hash) bound the difference of two sets from
+3. In a group, signatures (how many elements lie in each of about n / 2 equal ranges of the hash) bound the difference of two sets from
    below; documents that this bound lets link are chained. Components of the chains are blocks. A pair that links is in one block, and
    documents that share a shingle by chance are not. Large groups are cut into slices whose pairs are tasks.
 4. A block is cut into slices of SLICE set elements; each pair of slices is a task of bounded size, so a block of any size is searched exactly.
@@ -87,7 +87,7 @@ class Sets:
         """Elements in each of a power of two of equal hash ranges, at most 255 each."""
         out = []
         for a, b in zip(self.first[:-1], self.first[1:], strict=True):
-            k = max(int(b - a) // 8, 1).bit_length() - 1
+            k = max(int(b - a) // 2, 1).bit_length() - 1
             ranges = (self.values[a:b] >> U(63 - k) >> U(1)).astype(np.int64)
             out.append(np.minimum(np.bincount(ranges, minlength=1 << k), 255).astype(np.uint8).tobytes())
         return out
