@@ -99,18 +99,23 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
 
     def hashes(self, seed: int = 0, lower: bool = False) -> np.ndarray:
-        table, powers = _tables(seed, lower)
-        up, down = powers(len(self.data) + 1)
-        sums = np.empty(len(self.data) + 1, U)
-        sums[0] = 0
-        np.cumsum(table[self.data] * up[:-1], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(U) * U(0x9E3779B97F4A7C15))
+        return span_hashes(self.data, self.start, self.end, seed, lower)
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0, lower: bool = False) -> np.ndarray:
+    """A hash of the bytes of each span."""
+    table, powers = _tables(seed, lower)
+    up, down = powers(len(data) + 1)
+    sums = np.empty(len(data) + 1, U)
+    sums[0] = 0
+    np.cumsum(table[data] * up[:-1], out=sums[1:])
+    h = (sums[end] - sums[start]) * down[start]
+    return mix(h + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
+
+
 def grams(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Hash of the n words from each position; the last n - 1 positions of the array are left out."""
     if len(h) < n:

@@ -29,7 +29,7 @@ from ._tokens import Words, pack, portions, split_by, unpack
 
 K = 10
 K1, B = 1.2, 0.75
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
 BLOCK = 64
 BLOCK_TERMS = 400_000
 #: Blocks scored before the threshold is looked at again.

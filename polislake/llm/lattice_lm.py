@@ -146,12 +146,19 @@ class Chart:
         self.start, self.end, self.piece = start + self.word, end + self.word, piece
         self.first, self.last = offsets[:-1] + np.arange(self.n), offsets[1:] + np.arange(self.n)
         self.nodes = len(data) + self.n
-        depth = end - offsets[self.word]
+        self.sorted = False
+
+    def _by_end(self) -> None:
+        """Arcs in the order of their ends' places in the words."""
+        depth = self.end - self.first[self.word]
         order = np.argsort(depth * np.int64(self.nodes + 1) + self.end)
         self.word, self.start, self.end, self.piece, depth = (x[order] for x in (self.word, self.start, self.end, self.piece, depth))
         self.levels = np.searchsorted(depth, np.arange(1, (int(depth.max()) if len(depth) else 0) + 2))
+        self.sorted = True
 
     def forward(self, logp: np.ndarray) -> np.ndarray:
+        if not self.sorted:
+            self._by_end()
         alpha = np.full(self.nodes, -np.inf)
         alpha[self.first] = 0
         w = logp[self.piece]
@@ -173,7 +180,7 @@ class Chart:
         beta[self.last] = 0
         by = np.argsort((self.start - self.first[self.word]) * np.int64(self.nodes + 1) + self.start)
         start, end, v = self.start[by], self.end[by], w[by]
-        depth = start - self.first[self.word[by]]
+        depth = (self.start - self.first[self.word])[by]
         cuts = np.searchsorted(depth, np.arange((int(depth.max()) if len(depth) else 0) + 2))
         for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
             if a == b:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._tokens import SPACE, constants, gather, mix, portions
+from ._tokens import SPACE, constants, gather, mix, portions, span_hashes
 from .lattice_lm import MARK_BYTE, Chart, Lattices
 from .pieces import MARK, default_vocabulary, vocabulary
 
@@ -43,9 +43,7 @@ SALT = constants(0x5EED, 4)
 
 def uniform(*parts: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from integers: the same integers, the same number."""
-    h = np.zeros(1, U)
-    for i, x in enumerate(parts):
-        h = mix(h + np.asarray(x).astype(U) * SALT[i % 4])
+    h = mix(sum((np.asarray(x).astype(U) * SALT[i % 4] for i, x in enumerate(parts)), np.zeros(1, U)))
     return ((h >> U(11)).astype(float) + 0.5) * 2.0**-53
 
 
@@ -86,12 +84,7 @@ class Lattice:
     """Arcs of the distinct units of some texts, with conditional probabilities by start node."""
 
     def __init__(self, lattices: Lattices, logp: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        table = mix(np.arange(256, dtype=U) + U(77))
-        h, live, k = np.zeros(len(start), U), np.arange(len(start)), 0
-        while len(live):
-            h[live] = mix(h[live] + table[data[start[live] + k]])
-            k += 1
-            live = live[start[live] + k < end[live]]
+        h = span_hashes(data, start, end)
         _, first, self.of = np.unique(h, return_index=True, return_inverse=True)
         flat, at = gather(data, start[first], end[first])
         chart = Chart(lattices, flat, at, marked=True)
@@ -100,7 +93,7 @@ class Lattice:
             log_p = logp[chart.piece] + beta[chart.end] - beta[chart.start]
         useful = np.flatnonzero(np.isfinite(log_p))
         order = useful[np.argsort(2.0 * chart.start[useful] - np.exp(log_p[useful]))]  # by node, likely arcs first
-        self.start, self.end, self.piece, log_p = (x[order] for x in (chart.start, chart.end, chart.piece, log_p))
+        self.start, self.end, self.piece, log_p = chart.start[order], chart.end[order], chart.piece[order].astype(np.int32), log_p[order]
         head = np.flatnonzero(np.concatenate([[True], self.start[1:] != self.start[:-1]])) if len(self.start) else np.zeros(0, np.int64)
         size = np.diff(np.append(head, len(self.start)))
         p = np.exp(log_p)
