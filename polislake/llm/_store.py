@@ -61,3 +61,17 @@ def fresh(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most `rows` rows: workers that keep tables of their own have less room for long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
+def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
+    """Writes `df` to the shared warehouse in buckets of `key`, so that grouping by it moves no rows of this table."""
+    name = f"polislake_{tag}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -28,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._exchange import SHIPPED, batch, by_key, exchange
-from ._store import free_shuffles, materialize, release, shuffle_partitions
+from ._store import bucketed, free_shuffles, materialize, modest_batches, shuffle_partitions
 from ._tokens import Words, gather, lower_az, mix, pack, portions, split_by, unpack
 from .pieces import MARK, default_vocabulary, vocabulary
 
@@ -38,7 +39,7 @@ ROUNDS = 3
 CLASSES = 4
 ADD = 0.1
 #: Bytes of text in a group whose words are looked up together.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
 U = np.uint64
 LN10 = float(np.log(10))
 MARK_BYTE = 0xFF
@@ -397,6 +398,7 @@ def score_texts(
 
     train: a condition on the rows to learn from."""
     spark = documents.sparkSession
+    modest_batches(spark)
     path = path or default_vocabulary()
     text = F.coalesce("text", F.lit(""))
     kind = F.lit(0)
@@ -424,8 +426,9 @@ def score_texts(
         "logp": logp, "end": np.log(end), "weight": np.log((texts + 1) / (texts + 1).sum()),
         "kinds": kinds if whole_words else np.zeros(classes), "uses": uses if whole_words else np.zeros(classes), "go_on": np.log1p(-end), "whole": whole_words,
     }
-    held = materialize(rows.select("doc_id", "text").mapInArrow(_chunks, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, chunk bigint"), "chunks")
-    return _answer(held, words, buckets, max(shuffle_partitions(spark), -(-size // GROUP_BYTES) // 4), path, model, v, n, trained)
+    parts = max(shuffle_partitions(spark), -(-size // GROUP_BYTES) // 4)
+    numbered = rows.select("doc_id", "text").mapInArrow(_chunks, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, chunk bigint")
+    return _answer(bucketed(numbered, "chunks", "chunk", parts), words, buckets, path, model, v, n, trained)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,7 +444,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0)[part], b.column(1)[part], pa.array(np.full(part.stop - part.start, chunk))], ["doc_id", "text", "chunk"])
 
 
-def _answer(held: DataFrame, words: DataFrame, buckets: int, parts: int, path: str, model: dict, v: int, n: int, trained: int) -> DataFrame:
+def _answer(held: DataFrame, words: DataFrame, buckets: int, path: str, model: dict, v: int, n: int, trained: int) -> DataFrame:
     logp = model["logp"]
     classes = len(logp)
     ask = _ask_mapper(buckets)
@@ -497,40 +500,40 @@ def _answer(held: DataFrame, words: DataFrame, buckets: int, parts: int, path: s
             out.append((int(chunk[0]), pack(np.array([bucket]), names.astype(U), counts.sum(axis=0)[w], *logs[:, w].astype(np.float32))))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], ["chunk", "blob"])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in by_key(batches, 2):
-            answers = [x.as_py() for x in table.column(3) if x.is_valid]
-            docs = table.filter(table.column(3).is_null())
-            data, offsets = _texts(docs.column(1))
-            g = _Group(data, offsets, None, 0)
-            counts, logs = np.zeros(len(g.distinct), np.int64), np.zeros((classes, len(g.distinct)))
-            places, bounds = split_by((g.distinct % U(buckets)).astype(np.int64), buckets)
-            for x in answers:
-                (k,), names, c, *parts_logs = unpack(x)
-                i = np.searchsorted(g.distinct, names.astype(U)) if len(names) else places[bounds[k] : bounds[k + 1]]
-                counts[i] = c
-                logs[:, i] = parts_logs
-            word, doc, size = g.word, g.doc, len(offsets) - 1
-            total = lambda x: np.bincount(doc, weights=x, minlength=size)
-            tokens = g.size + 1
-            known = total((counts[word] > 0).astype(float)).astype(np.int64) + (1 if trained else 0)
-            base = total(np.log10(counts[word] + ADD)) + np.log10(trained + ADD) - tokens * floor
-            each = np.stack([total(logs[k][word]) + model["end"][k] + model["weight"][k] for k in range(classes)])
-            top = each.max(axis=0)
-            likely = (top + np.log(np.exp(each - top).sum(axis=0))) / LN10
-            yield pa.RecordBatch.from_arrays(
-                [docs.column(0).combine_chunks(), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(np.full(size, n, np.int64)), pa.array(base), pa.array(likely)],
-                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+    kind = to_arrow_type(held.schema["doc_id"].dataType)
+    empty = pa.table({"doc_id": pa.array([], kind)} | {c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")} | {c: pa.array([], pa.float64()) for c in ("base_score", "score")})
+
+    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return empty
+        data, offsets = _texts(docs.column(1))
+        g = _Group(data, offsets, None, 0)
+        counts, logs = np.zeros(len(g.distinct), np.int64), np.zeros((classes, len(g.distinct)))
+        places, bounds = split_by((g.distinct % U(buckets)).astype(np.int64), buckets)
+        for x in (a.as_py() for a in answers.column(1)):
+            (k,), names, c, *parts_logs = unpack(x)
+            i = np.searchsorted(g.distinct, names.astype(U)) if len(names) else places[bounds[k] : bounds[k + 1]]
+            counts[i] = c
+            logs[:, i] = parts_logs
+        word, doc, size = g.word, g.doc, len(offsets) - 1
+        total = lambda x: np.bincount(doc, weights=x, minlength=size)
+        tokens = g.size + 1
+        known = total((counts[word] > 0).astype(float)).astype(np.int64) + (1 if trained else 0)
+        base = total(np.log10(counts[word] + ADD)) + np.log10(trained + ADD) - tokens * floor
+        each = np.stack([total(logs[k][word]) + model["end"][k] + model["weight"][k] for k in range(classes)])
+        top = each.max(axis=0)
+        likely = (top + np.log(np.exp(each - top).sum(axis=0))) / LN10
+        return pa.Table.from_arrays(
+            [docs.column(0), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(np.full(size, n, np.int64)), pa.array(base), pa.array(likely)],
+            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
     tag = lambda df, letter: df.select("bucket", F.concat(F.lit(letter).cast("binary"), F.col("blob")).alias("blob"))
     asked = tag(held.select("text", "chunk").mapInArrow(asks, SHIPPED), "A")
-    answers = exchange(asked.unionByName(tag(words.select("bucket", "blob"), "W")), buckets, reply, "chunk bigint, blob binary").select(
-        F.lit(None).cast(held.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("string").alias("text"), "chunk", F.col("blob").alias("answer")
-    )
-    both = held.select("doc_id", "text", "chunk", F.lit(None).cast("binary").alias("answer")).unionByName(answers)
+    answers = exchange(asked.unionByName(tag(words.select("bucket", "blob"), "W")), buckets, reply, "chunk bigint, blob binary")
     doc_type = held.schema["doc_id"].dataType.simpleString()
-    return both.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(score, f"doc_id {doc_type}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    schema = f"doc_id {doc_type}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return held.select("doc_id", "text", "chunk").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def _texts(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
