@@ -30,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._store import modest_batches
 from ._tokens import SPACE, constants, gather, mix, portions, span_hashes
 from .lattice_lm import MARK_BYTE, Chart, Lattices
 from .pieces import MARK, default_vocabulary, vocabulary
 
 K = 4
 #: Bytes of text whose searches advance in step.
-TOGETHER = 2 << 20
+TOGETHER = 5 << 18
 U = np.uint64
 SALT = constants(0x5EED, 4)
 
@@ -93,7 +94,8 @@ class Lattice:
             log_p = logp[chart.piece] + beta[chart.end] - beta[chart.start]
         useful = np.flatnonzero(np.isfinite(log_p))
         order = useful[np.argsort(2.0 * chart.start[useful] - np.exp(log_p[useful]))]  # by node, likely arcs first
-        self.start, self.end, self.piece, log_p = chart.start[order], chart.end[order], chart.piece[order].astype(np.int32), log_p[order]
+        self.start, self.end, self.piece, log_p = chart.start[order].astype(np.int32), chart.end[order].astype(np.int32), chart.piece[order].astype(np.int32), log_p[order]
+        del order, useful
         head = np.flatnonzero(np.concatenate([[True], self.start[1:] != self.start[:-1]])) if len(self.start) else np.zeros(0, np.int64)
         size = np.diff(np.append(head, len(self.start)))
         p = np.exp(log_p)
@@ -127,7 +129,7 @@ class Lattice:
             live, now = live[more], now[more]
             k += 1
         at = np.cumsum(length) - length
-        out = np.zeros(int(length.sum()), np.int64)
+        out = np.zeros(int(length.sum()), np.int32)
         for k, (who, arc) in enumerate(steps):
             out[at[who] + k] = arc
         return out, length
@@ -197,7 +199,7 @@ def sample_texts(lattices: Lattices, logp: np.ndarray, data: np.ndarray, offsets
         drawn, length = lattice.walk(np.concatenate(nodes), np.concatenate(seed_of), np.concatenate(place), turn)
         walker_at = np.concatenate([[0], np.cumsum(counts)])
         ends = np.concatenate([[0], np.cumsum(length)])[walker_at]
-        unit_of = np.repeat(np.concatenate([np.arange(h[4], s.b) for s, h in zip(todo, heads, strict=True)]), length)
+        unit_of = np.repeat(np.concatenate([np.arange(h[4], s.b, dtype=np.int32) for s, h in zip(todo, heads, strict=True)]), length)
         logs, rests = lattice.log_p[drawn], lattice.rest[drawn]
         run = np.cumsum(logs) - logs
         value_of = np.repeat(np.array([h[0] for h in heads]), np.diff(ends))
@@ -273,6 +275,7 @@ def _sampler(path: str, k: int, seed: int) -> Callable:
 
 def sample_segmentations(documents: DataFrame, path: str | None = None, k: int = K, seed: int = 1) -> DataFrame:
     """doc_id and SAMPLE: k rows a text, fewer where it has fewer segmentations."""
+    modest_batches(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(_sampler(path or default_vocabulary(), k, seed), f"doc_id {kind}, {SAMPLE}")
 
