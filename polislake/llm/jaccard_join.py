@@ -46,7 +46,9 @@ SLICE = 400_000
 COMMON, COMMON_SHARE = 200, 10_000
 FLUSH = 1_000_000
 #: Documents in a slice of a group.
-GROUP_SLICE = 500
+GROUP_SLICE = 1_000
+#: Most bytes of the filter that keeps documents without candidates from being moved.
+BLOOM_BYTES = 16 << 20
 #: A list longer than this is merged with others by sorting rather than by a heap; the same merge, fewer Python steps.
 HEAP_POSTINGS = 24
 U = np.uint64
@@ -293,6 +295,42 @@ def chains_of(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return told.repartition("task").sortWithinPartitions("task").mapInArrow(_chain_mapper(percent), "a bigint, b bigint")
 
 
+def bloom_filter(keys: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of a bigint column: 16 bits a key, at most BLOOM_BYTES; a fuller one only lets more rows through."""
+    size = 1 << min(BLOOM_BYTES.bit_length() - 1, max(10, (2 * count).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, np.uint8)
+        for b in batches:
+            for at in _probes(b.column(0).to_numpy(), size):
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(size, np.uint8)
+    for r in keys.coalesce(8).mapInArrow(run, "bits binary").collect():
+        out |= np.frombuffer(r[0], np.uint8)
+    return out
+
+
+def _probes(keys: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    h = mix(keys.astype(np.int64).view(U))
+    for i in range(3):
+        yield ((h >> U(20 * i)) * U(0x9E3779B97F4A7C15) >> U(64 - size.bit_length() - 2)).astype(np.int64)
+
+
+def _maybe_in(bits: np.ndarray) -> Callable:
+    """Passes on the rows (row, text) whose row may be in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            for at in _probes(b.column(0).to_numpy(), len(bits)):
+                ok &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            yield b.filter(pa.array(ok))
+
+    return run
+
+
 class _Forest:
     def __init__(self, n: int) -> None:
         self.up = np.arange(n)
@@ -513,7 +551,10 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
         "row", "node", "block", F.coalesce("slices", F.lit(1)).alias("slices")
     ).withColumn("slice", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int"))
     member = materialize(member, "members")
-    held = rows.select("row", "text").join(member, "row").select("text", "node", "block", "slices", "slice")
+    # Only documents of blocks are moved (and a few more).
+    bits = bloom_filter(member.select("row"), member.count())
+    texts_of = rows.select("row", "text").mapInArrow(_maybe_in(bits), "row bigint, text string")
+    held = texts_of.join(member, "row").select("text", "node", "block", "slices", "slice")
     sliced = held.mapInArrow(_slice_mapper(shingle, seed, buckets), SHIPPED)
     links = materialize(exchange(sliced, buckets, _link_reducer(percent), "a bigint, b bigint"), "links")
     free_shuffles(spark)
