@@ -242,7 +242,7 @@ class Compiler:
 
     def on_project(self, n: Project) -> Relation:
         child = self.run(n.child)
-        df = child.df.select(*[column(v) if v in child.vars else null().alias(v) for v in n.vars])
+        df = child.df.select(*[column(v) if v in child.vars else F.lit(self.bindings.get(v)).cast("string").alias(v) for v in n.vars])
         return Relation(df, n.vars, child.bound & set(n.vars))
 
     def on_distinct(self, n: Distinct) -> Relation:
