@@ -17,6 +17,8 @@ from polislake.llm.sampling import sample_segmentations
 
 #: Segmentations a document of the mix gets.
 SAMPLES = 2
+#: Bytes of text whose lattices a worker of the last stage holds: little, as executors have grown in the stages before.
+TOGETHER = 3 << 17
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SAMPLES distinct segmentations of each row, sampled without replacement."""
-    return sample_segmentations(docs, k=SAMPLES)
+    return sample_segmentations(docs, k=SAMPLES, together=TOGETHER)
 
 
 STAGES = [

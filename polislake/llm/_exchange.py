@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import shuffle_partitions
+from ._tokens import give_back
 
 BUCKET_BYTES = 16 << 20
 MOST_BUCKETS = 1 << 16
@@ -39,6 +40,7 @@ def exchange(shipped: DataFrame, buckets: int, reduce: Callable[[int, list], Ite
                 held.setdefault(bucket, []).append(blob.as_py())
         for bucket in list(held):
             yield from reduce(bucket, held.pop(bucket))
+        give_back()
 
     return shipped.repartitionById(buckets, "bucket").mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ every worker and run."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,19 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 U = np.uint64
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps workers, and a later stage needs the room."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (the published SplitMix64 constants)."""
     x = x.astype(U, copy=True)
@@ -143,6 +157,7 @@ def portions(column: pa.Array, at_most: int = 2 << 20) -> Iterator[tuple[slice,
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + at_most, "right")) - 1)
         yield slice(a, b), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
+    give_back()
 
 
 def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -29,9 +29,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ._store import modest_batches
-from ._tokens import SPACE, constants, gather, mix, portions, span_hashes
+from ._tokens import SPACE, constants, gather, give_back, mix, portions, span_hashes
 from .lattice_lm import MARK_BYTE, Chart, Lattices
 from .pieces import MARK, default_vocabulary, vocabulary
 
@@ -247,12 +248,12 @@ def lattices_for(path: str) -> Lattices:
 SAMPLE = "sample_rank int, n_pieces int, ids array<int>, log_prob double, perturbed double, inclusion double, log_likelihood double"
 
 
-def _sampler(path: str, k: int, seed: int) -> Callable:
+def _sampler(path: str, k: int, seed: int, together: int = TOGETHER) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices, logp = lattices_for(path), vocabulary(path).logp
         for b in batches:
             b = b.filter(b.column(1).is_valid())
-            for part, data, offsets in portions(b.column(1), TOGETHER):
+            for part, data, offsets in portions(b.column(1), together):
                 keys = b.column(0)[part]
                 found = sample_texts(lattices, logp, data, offsets, [f"{seed}|{x}".encode() for x in keys.to_pylist()], k)
                 doc, rows = [], []
@@ -269,15 +270,18 @@ def _sampler(path: str, k: int, seed: int) -> Callable:
                         [keys.take(pa.array(doc[a : a + 2000])), column(0, pa.int32()), pa.array(sizes), ids, *(column(i, pa.float64()) for i in (2, 3, 4, 5))],
                         ["doc_id", "sample_rank", "n_pieces", "ids", "log_prob", "perturbed", "inclusion", "log_likelihood"],
                     )
+                del found, rows
+                give_back()
 
     return run
 
 
-def sample_segmentations(documents: DataFrame, path: str | None = None, k: int = K, seed: int = 1) -> DataFrame:
-    """doc_id and SAMPLE: k rows a text, fewer where it has fewer segmentations."""
+def sample_segmentations(documents: DataFrame, path: str | None = None, k: int = K, seed: int = 1, together: int = TOGETHER) -> DataFrame:
+    """doc_id and SAMPLE: k rows a text, fewer where it has fewer segmentations. together: bytes of text a worker holds lattices for; more is faster, and takes
+    about 200 times as much memory."""
     modest_batches(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(_sampler(path or default_vocabulary(), k, seed), f"doc_id {kind}, {SAMPLE}")
+    return documents.select("doc_id", "text").mapInArrow(_sampler(path or default_vocabulary(), k, seed, together), f"doc_id {kind}, {SAMPLE}")
 
 
 def decode(ids: list[int], path: str | None = None) -> str:
@@ -292,7 +296,7 @@ def decode(ids: list[int], path: str | None = None) -> str:
 def decode_column(segmentations: DataFrame, path: str | None = None) -> DataFrame:
     """Adds `decoded` to rows with `ids`."""
     path = path or default_vocabulary()
-    schema = segmentations.schema.add("decoded", "string")
+    schema = StructType([*segmentations.schema.fields, StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
