@@ -18,11 +18,24 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(a.contains(b) | b.contains(a), 0.8).when(several & (j > 0.5), j).otherwise(0.0)
 
 
+def contained_names(names: DataFrame, gram: int = 3) -> DataFrame:
+    """(x, y), x contained in y and another name: y has the rarest of x's character grams, or x itself where x is shorter than a gram. names: n, distinct."""
+    of = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - (k - 1), F.lit(1))), lambda i: F.substring(F.col("n"), i, F.lit(k))))
+    keyed = names.select("n", F.explode(of(gram)).alias("g"))
+    common = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    rarest = keyed.where(F.length("n") >= gram).join(common, "g").groupBy("n").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
+    found = rarest.select(F.col("n").alias("x"), "g").join(keyed.select(F.col("n").alias("y"), "g"), "g").where("contains(y, x)").select("x", "y")
+    for k in range(1, gram):
+        short = names.where(F.length("n") == k).select(F.col("n").alias("x"), F.col("n").alias("g"))
+        found = found.unionByName(short.join(names.select(F.col("n").alias("y"), F.explode(of(k)).alias("g")), "g").select("x", "y"))
+    return found.where("x <> y")
+
+
 def resolve_participants(participants: DataFrame, cap: int | None = None, compat: bool = False, gram: int = 3) -> DataFrame:
     """Pairs (a, b, platform_a, platform_b, similarity, relation) of participants of different platforms.
 
     participants: id, name, platform. Candidates share a word, or, so that containment inside a word is found too, the rarest of the character
-    `gram`s of the shorter name; names shorter than that are compared by prefix blocks of themselves. cap keeps so many a platform, by id."""
+    `gram`s of the shorter name. cap keeps so many a platform, by id."""
     p = participants.select("id", "platform", X.normalize_name(F.col("name"), compat).alias("n")).where("id IS NOT NULL AND platform IS NOT NULL AND n IS NOT NULL")
     if not compat:
         p = p.where("n <> ''")
@@ -32,11 +45,9 @@ def resolve_participants(participants: DataFrame, cap: int | None = None, compat
     names = p.select("n", "platform").distinct()
     # Names are compared once, whoever bears them.
     distinct = names.select("n").distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - (gram - 1), F.lit(1))), lambda i: F.substring(F.col("n"), i, F.lit(gram))))
-    keyed = distinct.select("n", F.explode(grams).alias("g"))
-    common = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    rarest = keyed.join(common, "g").groupBy("n").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
-    inside = rarest.select(F.col("n").alias("x"), "g").join(keyed.select(F.col("n").alias("y"), "g"), "g").where("x <> y AND contains(y, x)").select("x", "y")
+    inside = contained_names(distinct.where("n <> ''"), gram)
+    if compat:  # an empty name is contained in every name
+        inside = inside.unionByName(distinct.where("n = ''").select(F.col("n").alias("x")).crossJoin(distinct.where("n <> ''").select(F.col("n").alias("y"))))
     words = distinct.where(F.col("n").contains(" ")).select("n", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
     shared = words.select(F.col("n").alias("x"), "w").join(words.select(F.col("n").alias("y"), "w"), "w").where("x < y").groupBy("x", "y").count().select("x", "y")
     pairs = inside.unionByName(shared).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionByName(distinct.select(F.col("n").alias("x"), F.col("n").alias("y"))).distinct()
@@ -128,18 +139,10 @@ def first_counterpart(people: DataFrame, others: DataFrame, marks: tuple[str, ..
 
 
 def similar_topics(topics: DataFrame) -> DataFrame:
-    """(a, b, process_a, process_b) of topics (id, name, process) of different processes whose names contain one another; by word blocks of the shorter name."""
+    """(a, b, process_a, process_b) of topics (id, name, process) of different processes whose names contain one another; by the rarest characters of the shorter name."""
     t = topics.select("id", "process", F.lower("name").alias("n")).where("n <> ''")
     names = t.select("n").distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - 2, F.lit(1))), lambda i: F.substring(F.col("n"), i, F.lit(3))))
-    keyed = names.select("n", F.explode(grams).alias("g"))
-    common = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    rarest = keyed.join(common, "g").groupBy("n").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
-    short = names.where("length(n) < 3").select(F.col("n").alias("x"))
-    inside = rarest.where("length(n) >= 3").select(F.col("n").alias("x"), "g").join(keyed.select(F.col("n").alias("y"), "g"), "g").where("contains(y, x)").select("x", "y")
-    # Names of one or two characters are few: at most the square of the alphabet.
-    tiny = short.join(names.select(F.col("n").alias("y")), F.expr("contains(y, x)"))
-    pairs = inside.unionByName(tiny).distinct()
+    pairs = contained_names(names).unionByName(names.select(F.col("n").alias("x"), F.col("n").alias("y")))
     pairs = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     a = t.select(F.col("id").alias("a"), F.col("process").alias("process_a"), F.col("n").alias("x"))
     b = t.select(F.col("id").alias("b"), F.col("process").alias("process_b"), F.col("n").alias("y"))

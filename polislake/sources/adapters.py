@@ -28,8 +28,13 @@ def _has(df: DataFrame, *path: str) -> bool:
 
 def field(df: DataFrame, *names: str, kind: str = "string") -> Column:
     """The first of these fields that is not null, of those that exist."""
-    found = [F.col(".".join(f"`{p}`" for p in n.split("/"))) for n in names if _has(df, *n.split("/"))]
-    return F.coalesce(*found).cast(kind) if found else F.lit(None).cast(kind)
+    found = []
+    for n in names:
+        if _has(df, *n.split("/")):
+            c = F.col(".".join(f"`{p}`" for p in n.split("/")))
+            if df.select(c).schema[0].dataType.typeName() != "struct":
+                found.append(c.cast(kind))
+    return F.coalesce(*found) if found else F.lit(None).cast(kind)
 
 
 def explode(df: DataFrame, name: str, *keep: Column) -> DataFrame | None:
@@ -393,9 +398,11 @@ def consultation_documents(spark: SparkSession, path: str) -> Entities:
 
 
 def sqlite_table(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """A small SQLite table; large ones are exported first."""
+    """The rows of a small SQLite query, as text; large tables are exported first."""
     with sqlite3.connect(path) as db:
-        return spark.createDataFrame(pd.read_sql_query(query, db).astype(object).where(lambda x: x.notna(), None))
+        rows = db.execute(query)
+        names = [d[0] for d in rows.description]
+        return spark.createDataFrame([tuple(None if v is None else str(v) for v in r) for r in rows], ", ".join(f"`{n}` string" for n in names))
 
 
 def consultation_sqlite(spark: SparkSession, path: str) -> Entities:

@@ -66,7 +66,7 @@ def counters(events: DataFrame) -> DataFrame:
 
 def start(events: DataFrame, path: str, checkpoint: str, every: str = "5 minutes", available_now: bool = False, delay: str = "1 hour"):
     """A query that appends the triples of a stream of events to `path`; a repeated event is dropped within the delay, later ones by the set on reading."""
-    timed = events.withColumn("event_time", F.coalesce(F.try_to_timestamp("timestamp"), F.lit("1970-01-01 00:00:00").cast("timestamp")))
+    timed = events.withColumn("event_time", F.coalesce(F.try_to_timestamp("timestamp"), F.current_timestamp()))
     once = timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["contribution_id"])
     out = ingest(once.drop("event_time")).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=every)).start()
