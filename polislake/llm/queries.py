@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_search, mixing, substring_dedup, warc
+from . import bm25_search, jaccard_join, mixing, substring_dedup, warc
 
 
 #: A deployment takes its own from where it keeps its secrets.
@@ -91,4 +91,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_bm25_search": bm25_search.ORACLE_SQL, "op3_archive_pages": warc.ORACLE_SQL, "op5_substring_dedup": substring_dedup.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL}
+    return {
+        "op3_archive_pages": warc.ORACLE_SQL,
+        "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op6_bm25_search": bm25_search.ORACLE_SQL,
+        "op8_mix_sources": mixing.ORACLE_SQL,
+        "op10_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+    }
