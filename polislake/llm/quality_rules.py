@@ -182,3 +182,42 @@ def quality_rules(documents: DataFrame, min_group: int = MIN_GROUP) -> DataFrame
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", bad.alias("base_failed"),
         (~bad & failed.isNull()).alias("kept"), F.when(bad, "base").otherwise(failed).alias("failed_rule"),
     )
+
+
+ORACLE_SQL = r"""
+WITH b AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), g AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS p FROM b),
+k AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(w[p:p + 2], ' ')) AS c FROM g),
+r AS (SELECT doc_id, len(list_distinct(flatten(list([p, p + 1, p + 2])))) AS n FROM k WHERE c > 1 GROUP BY doc_id),
+m AS (
+  SELECT b.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines
+  FROM b LEFT JOIN r USING (doc_id)
+), v AS (
+  SELECT *, 100 * word_chars // greatest(n_words, 1) AS mean_word, 1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats FROM m
+), u AS (
+  SELECT lang, source, x.metric AS metric, x.v AS v FROM (SELECT lang, source, unnest([{'metric': 'mean_word', 'v': mean_word}, {'metric': 'symbols', 'v': symbols}, {'metric': 'dup_lines', 'v': dup_lines}, {'metric': 'repeats', 'v': repeats}]) AS x FROM v)
+), k2 AS (SELECT lang, source, metric, v, greatest(length(bin(v)) - 1 - 5, 0) AS sh FROM u),
+s AS (SELECT lang, source, metric, CASE WHEN v < 64 THEN v ELSE (sh + 1) * 32 + (v >> sh) - 32 END AS bucket, count(*) AS n FROM k2 GROUP BY ALL),
+levels AS (
+  SELECT 'g' AS level, lang, source, metric, bucket, sum(n) AS n FROM s GROUP BY ALL UNION ALL SELECT 'l', lang, NULL, metric, bucket, sum(n) FROM s GROUP BY ALL UNION ALL SELECT 't', NULL, NULL, metric, bucket, sum(n) FROM s GROUP BY ALL
+), c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY level, lang, source, metric) AS members FROM levels),
+q AS (SELECT level, lang, source, metric, max(members) AS members, min(bucket) FILTER (seen >= ceil(members * 0.25)) AS b25, min(bucket) FILTER (seen >= ceil(members * 0.75)) AS b75 FROM c GROUP BY ALL),
+f AS (
+  SELECT *, CASE WHEN b25 < 64 THEN b25 ELSE CAST(b25 % 32 + 32 AS BIGINT) << CAST(b25 // 32 - 1 AS INT) END AS q25, CASE WHEN b75 < 64 THEN b75 ELSE CAST(b75 % 32 + 32 AS BIGINT) << CAST(b75 // 32 - 1 AS INT) END AS q75,
+    CASE metric WHEN 'mean_word' THEN SLACK_MEAN WHEN 'symbols' THEN SLACK_SYMBOLS WHEN 'dup_lines' THEN SLACK_LINES ELSE SLACK_REPEATS END AS slack FROM q
+), h AS (SELECT level, lang, source, members, metric, q25 - FENCE * greatest(q75 - q25, slack) AS low, q75 + FENCE * greatest(q75 - q25, slack) AS high FROM f),
+o AS (
+  SELECT level, lang, source, max(members) AS members, max(low) FILTER (metric = 'mean_word') AS low, max(high) FILTER (metric = 'mean_word') AS mean_word, max(high) FILTER (metric = 'symbols') AS symbols,
+    max(high) FILTER (metric = 'dup_lines') AS dup_lines, max(high) FILTER (metric = 'repeats') AS repeats FROM h GROUP BY ALL
+), j AS (
+  SELECT v.*, CASE WHEN g.members >= 50 THEN g ELSE CASE WHEN l.members >= 50 THEN l ELSE t END END AS x
+  FROM v JOIN o g ON g.level = 'g' AND g.lang IS NOT DISTINCT FROM v.lang AND g.source IS NOT DISTINCT FROM v.source JOIN o l ON l.level = 'l' AND l.lang IS NOT DISTINCT FROM v.lang JOIN o t ON t.level = 't'
+), z AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN mean_word > x.mean_word OR mean_word < x.low THEN 'mean_word' WHEN symbols > x.symbols THEN 'symbols' WHEN dup_lines > x.dup_lines THEN 'dup_lines' WHEN repeats > x.repeats THEN 'repeats' END AS failed FROM j
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, CASE WHEN base_failed THEN 'base' ELSE failed END AS failed_rule FROM z
+""".replace("FENCE", str(FENCE)).replace("SLACK_MEAN", str(METRICS["mean_word"][0])).replace("SLACK_SYMBOLS", str(METRICS["symbols"][0])).replace("SLACK_LINES", str(METRICS["dup_lines"][0])).replace("SLACK_REPEATS", str(METRICS["repeats"][0]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_search, jaccard_join, mixing, substring_dedup, warc
+from . import bm25_search, jaccard_join, mixing, quality_rules, substring_dedup, warc
 
 
 #: A deployment takes its own from where it keeps its secrets.
@@ -19,9 +19,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality_rules import quality_rules
-
-    return quality_rules(_documents(spark, sf_dir))
+    return quality_rules.quality_rules(_documents(spark, sf_dir))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_quality_rules": quality_rules.ORACLE_SQL,
         "op3_archive_pages": warc.ORACLE_SQL,
         "op5_substring_dedup": substring_dedup.ORACLE_SQL,
         "op6_bm25_search": bm25_search.ORACLE_SQL,
