@@ -30,7 +30,7 @@ from ._tokens import Words, pack, portions, split_by, unpack
 K = 10
 K1, B = 1.2, 0.75
 SHARD_BYTES = 8 << 20
-BLOCK = 64
+BLOCK = 128
 BLOCK_TERMS = 400_000
 #: Blocks scored before the threshold is looked at for the first time; each further round takes four times as many.
 STEP = 4
@@ -162,7 +162,7 @@ class Shard:
         head = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (term_of[1:] != term_of[:-1])])) if len(block) else np.zeros(0, np.int64)
         # Runs: the postings of one term in one block.
         self.run_block, self.run_start = block[head], head
-        self.run_end = np.append(head[1:], len(block)) if len(head) else head
+        self.run_length = np.diff(np.append(head, len(block)))
         self.run_max = np.maximum.reduceat(self.weight, head) if len(head) else np.zeros(0)
         self.term_runs = np.searchsorted(head, self.bounds)
         self.term_max = np.maximum.reduceat(self.run_max, self.term_runs[:-1]) if len(size) else np.zeros(0)
@@ -173,30 +173,32 @@ class Shard:
         threshold = best[0][-1] - 1e-6 if len(best[0]) == k else -np.inf
         if float((idf * self.term_max[term]).sum()) < threshold:
             return best
-        runs = _ranges(self.term_runs[term], self.term_runs[term + 1])
-        of = np.repeat(np.arange(len(term)), self.term_runs[term + 1] - self.term_runs[term])
-        bound = np.bincount(self.run_block[runs], weights=self.run_max[runs] * idf[of], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[(bound[order] >= threshold) & (bound[order] > 0)]
-        a, size = 0, STEP
-        while a < len(order) and bound[order[a]] >= threshold:
-            step = order[a : a + size]
-            step = step[bound[step] >= threshold]
-            a, size = a + size, size * 4
-            chosen = np.zeros(self.blocks, bool)
-            chosen[step] = True
-            mine = np.flatnonzero(chosen[self.run_block[runs]])
+        first, size = self.term_runs[term], self.term_runs[term + 1] - self.term_runs[term]
+        runs = _ranges(first, first + size)
+        block, idf = self.run_block[runs], np.repeat(idf, size)
+        bound = np.bincount(block, weights=self.run_max[runs] * idf, minlength=self.blocks)
+        left = (bound >= threshold) & (bound > 0)
+        rounds = STEP if threshold == -np.inf else self.blocks  # with a threshold from other shards one round is enough
+        while left.any():
+            step = left
+            if rounds < self.blocks and left.sum() > rounds:
+                step = np.zeros(self.blocks, bool)
+                step[np.argpartition(np.where(left, -bound, np.inf), rounds)[:rounds]] = True
+            mine = np.flatnonzero(step[block])
             r = runs[mine]
-            postings = _ranges(self.run_start[r], self.run_end[r])
-            weight = self.weight[postings] * np.repeat(idf[of[mine]], self.run_end[r] - self.run_start[r])
-            scores = np.bincount(self.doc[postings], weights=weight, minlength=len(self.ids))
-            docs = np.flatnonzero(scores > 0)
+            start, length = self.run_start[r], self.run_length[r]
+            postings = _ranges(start, start + length)
+            scores = np.bincount(self.doc[postings], weights=self.weight[postings] * np.repeat(idf[mine], length), minlength=len(self.ids))
+            docs = np.flatnonzero(scores >= max(threshold, 1e-12))
             scores = np.round(scores[docs], 6)
             if len(docs) > k:
                 least = np.partition(scores, len(scores) - k)[len(scores) - k]
                 docs, scores = docs[scores >= least], scores[scores >= least]
-            best = _best(np.concatenate([best[0], scores]), np.concatenate([best[1], self.ids[docs]]), k)
-            threshold = best[0][-1] - 1e-6 if len(best[0]) == k else -np.inf
+            if len(docs):
+                best = _best(np.concatenate([best[0], scores]), np.concatenate([best[1], self.ids[docs]]), k)
+                threshold = best[0][-1] - 1e-6 if len(best[0]) == k else -np.inf
+            left = left & ~step & (bound >= threshold)
+            rounds *= 4
         return best
 
 
