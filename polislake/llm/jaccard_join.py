@@ -533,9 +533,10 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     none = (np.zeros(0, U), np.zeros(0, np.int64))
     counted = texts.mapInArrow(_prefix_mapper(shingle, percent, seed, buckets, none, True), SHIPPED)
     # At most (prefix shingles / limit) rows, under a million whatever the input's size.
-    frequent = exchange(counted, buckets, _count_reducer(buckets, max(COMMON, total // COMMON_SHARE)), "name bigint, n bigint").toPandas()
-    frequent = frequent.sort_values(["n", "name"])
-    names, ranks = frequent["name"].to_numpy().astype(np.int64).view(U), np.arange(1, len(frequent) + 1)
+    frequent = exchange(counted, buckets, _count_reducer(buckets, max(COMMON, total // COMMON_SHARE)), "name bigint, n bigint").toArrow()
+    names, n = frequent.column("name").to_numpy().astype(np.int64).view(U), frequent.column("n").to_numpy()
+    ranks = np.empty(len(names), np.int64)
+    ranks[np.lexsort((names, n))] = np.arange(1, len(names) + 1)
     by_name = np.argsort(names)
     common = (names[by_name], ranks[by_name])
     free_shuffles(spark)
