@@ -307,8 +307,9 @@ def read_rdf(spark: SparkSession, path: str, fmt: str | None = None) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for where, content in zip(b["path"], b["content"], strict=True):
-                if "." not in where.rsplit("/", 1)[-1] or where.rsplit(".", 1)[-1].lower() not in FORMATS and not fmt:
-                    continue
+                ending = where.rsplit("/", 1)[-1].rpartition(".")[2]
+                if ending.lower() not in FORMATS and not fmt and not path.endswith(f".{ending}"):
+                    continue  # other files of a folder
                 text, first = bytes(content).decode("utf-8"), fmt or format_of(where)
                 rows, problem = None, None
                 for f in [first, *[x for x in PARSERS if x != first]]:
