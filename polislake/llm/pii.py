@@ -1,7 +1,7 @@
 """Operator 9, format-preserving pseudonyms for personal data. DataFrame functions only.
 
-Found and validated: e-mail addresses, IPv4 addresses (octets up to 255), telephone numbers, card numbers (Luhn), social security numbers (area, group and serial
-that are given out), dates of 1800 to 2199 that exist, and quoted hexadecimal secrets (token = "..."). A candidate that fails its validation stays as it is.
+Found and validated: e-mail addresses, IPv4 addresses (octets up to 255), telephone numbers, card numbers (Luhn), account numbers (IBAN), social security numbers (area, group and serial
+that are given out), dates of 1800 to 2199 that exist (2024-01-31, 31/1/2024, 31.1.2024, 31 January 2024, January 31, 2024), and quoted hexadecimal secrets (token = "..."). A candidate that fails its validation stays as it is.
 
 A value is a tuple of symbols, each with its own alphabet: a digit stays a digit, a letter a letter of its case, an octet an octet. Its
 halves L and R are permuted by a Feistel network over these alphabets: L[i] += F(key, round, R, i) modulo the size of L[i]'s alphabet, then the same for
@@ -26,11 +26,13 @@ PATTERNS = {
     "secret": r"""(?:token|secret|password|api[_-]?key|TOKEN|SECRET|PASSWORD|API[_-]?KEY) ?[=:] ?"[0-9A-Fa-f]{32,64}\"""",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+){1,8}",
     "ip": r"(?<![\p{L}\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d|\p{L})",
+    "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\d])",
+    "written": r"(?<![\p{L}\d])(?:\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December)|(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2},) \d{4}(?![\p{L}\d])",
     "iso": r"(?<![\p{L}\d-])\d{4}-\d{2}-\d{2}(?![\p{L}\d]|-\d)",
     "dmy": r"(?<![\p{L}\d./])\d{1,2}[./]\d{1,2}[./]\d{4}(?![\p{L}\d]|[./]\d)",
     "phone": r"(?<![\p{L}\d+(])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\p{L}\d+(.-])(?:\+\d{1,3}[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\p{L}\d]|[.-]\d)",
     "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\p{L}\d]|-\d)",
-    "card": r"(?<![\p{L}\d.-])\d(?:[ -]?\d){12,18}(?![\p{L}\d]|[.-]\d)",
+    "card": r"(?<![\p{L}\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\p{L}\d]|[.-]\d)",
 }
 #: Alphabets in natural order.
 DIGITS, HEX, HEX_UPPER = "0123456789", "0123456789abcdef", "0123456789ABCDEF"
@@ -141,6 +143,32 @@ def new_dmy(key: str, m: Column) -> Column:
     return new_date(key, m, day, lambda d: F.call_function("concat_ws", mark, F.when(padded, F.date_format(d, "dd")).otherwise(F.date_format(d, "d")), F.when(padded, F.date_format(d, "MM")).otherwise(F.date_format(d, "M")), F.date_format(d, "yyyy")))
 
 
+def new_written(key: str, m: Column) -> Column:
+    first = m.rlike("^\\d")
+    day = F.when(first, F.try_to_timestamp(m, F.lit("d MMMM yyyy"))).otherwise(F.try_to_timestamp(m, F.lit("MMMM d, yyyy"))).cast("date")
+    return new_date(key, m, day, lambda d: F.when(first, F.date_format(d, "d MMMM yyyy")).otherwise(F.date_format(d, "MMMM d, yyyy")))
+
+
+def mod_97(text: Column) -> Column:
+    """The remainder of a number in which letters stand for 10 to 35."""
+    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+    def step(a: Column, c: Column) -> Column:
+        at = F.call_function("locate", c, letters).cast("long")
+        return F.when(at > 0, (a * 100 + at + 9) % 97).otherwise((a * 10 + F.call_function("locate", c, F.lit(DIGITS)).cast("long") - 1) % 97)
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), step)
+
+
+def new_iban(key: str, m: Column) -> Column:
+    """The account part moves, spaces stay, the check digits are made anew."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    valid = mod_97(F.concat(F.call_function("substring", plain, F.lit(5)), F.substring(plain, 1, 4))) == 1
+    body = permute_characters(key, "iban", F.call_function("substring", m, F.lit(5)), lambda c, i: usual(c))
+    check = lambda b: F.lpad((98 - mod_97(F.concat(F.replace(b, F.lit(" "), F.lit("")), F.substring(m, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+    return F.when(valid, bind(body, lambda b: F.concat(F.substring(m, 1, 2), check(b), b))).otherwise(m)
+
+
 def new_phone(key: str, m: Column) -> Column:
     n = F.length(F.regexp_replace(m, "[^0-9]", ""))
 
@@ -175,17 +203,17 @@ def new_card(key: str, m: Column) -> Column:
     return F.when(valid, bind(body, lambda b: F.concat(b, check(b)))).otherwise(m)
 
 
-MAKERS = {"secret": new_secret, "email": new_email, "ip": new_ip, "iso": new_iso, "dmy": new_dmy, "phone": new_phone, "ssn": new_ssn, "card": new_card}
+MAKERS = {"iban": new_iban, "written": new_written, "secret": new_secret, "email": new_email, "ip": new_ip, "iso": new_iso, "dmy": new_dmy, "phone": new_phone, "ssn": new_ssn, "card": new_card}
 
 
 def pseudonym(key: str, m: Column) -> Column:
     """The pseudonym of a found value, or the value itself if it is not valid."""
     shapes = {
-        "secret": F.substring(m, -1, 1) == '"', "email": m.contains("@"), "ip": m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "iso": m.rlike(r"^\d{4}-\d{2}-\d{2}$"), "dmy": m.rlike(r"^\d{1,2}[./]\d{1,2}[./]\d{4}$"),
+        "iban": m.rlike("^[A-Z]{2}\\d{2}"), "written": m.rlike("^(?:\\d{1,2} )?[A-Z][a-z]+ (?:\\d{1,2}, )?\\d{4}$"), "secret": F.substring(m, -1, 1) == '"', "email": m.contains("@"), "ip": m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "iso": m.rlike(r"^\d{4}-\d{2}-\d{2}$"), "dmy": m.rlike(r"^\d{1,2}[./]\d{1,2}[./]\d{4}$"),
         "ssn": m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "phone": m.rlike(r"[(+]") | m.rlike(r"^\d{3}[ .-]\d{3}[ .-]\d{4}$"),
     }
     out = MAKERS["card"](key, m)
-    for kind in ("phone", "ssn", "dmy", "iso", "ip", "email", "secret"):
+    for kind in ("phone", "ssn", "dmy", "iso", "written", "iban", "ip", "email", "secret"):
         out = F.when(shapes[kind], MAKERS[kind](key, m)).otherwise(out)
     return out
 

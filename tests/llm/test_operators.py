@@ -389,7 +389,7 @@ def test_mix(docs, odd):
 # 9
 PRIVATE = [
     "mail éch.12@mail7.example.com, x", "ip 152.143.123.131. and 999.1.1.1", "call +1 (743) 555-3824 ok", "card 4111111111111111!! 4111-1111-1111-1111", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"###',
-    "born 1985-03-12 or 31/12/1999 or 1985-13-12", "ssn 123-45-6789 bad 000-12-1234", "Version 2.0. BY-NC 4.0. 4316522678525457", None, "", "no digits", "again 4111111111111111 (743) 555-3824",
+    "born 1985-03-12 or 31/12/1999 or 1985-13-12", "ssn 123-45-6789 bad 000-12-1234", "Version 2.0. BY-NC 4.0. 4316522678525457", None, "", "no digits", "again 4111111111111111 (743) 555-3824", "iban DE89370400440532013000, DE89 3704 0044 0532 0130 00 and DE88370400440532013000", "born 12 March 1985 or March 12, 1985 not 31 June 1985", "4111111111111111 12/25",
 ]
 
 
@@ -398,15 +398,18 @@ def test_pseudonyms(spark):
 
     df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(PRIVATE)], "doc_id long, text string, pseudonymized string")
     got = {r["doc_id"]: (r["text"], r["n"]) for r in pseudonymize(df, "k", count="n").collect()}
-    assert [got[i][1] for i in range(len(PRIVATE))] == [1, 1, 1, 2, 1, 2, 1, 0, 0, 0, 0, 2]
+    assert [got[i][1] for i in range(len(PRIVATE))] == [1, 1, 1, 2, 1, 2, 1, 0, 0, 0, 0, 2, 2, 2, 1]
     for i in (7, 8, 9, 10):
         assert got[i][0] == PRIVATE[i]
     for i, t in enumerate(PRIVATE):
         if t:
             assert len(got[i][0].split(" ")) == len(t.split(" "))
-    for secret in ("éch.12", "152.143.123.131", "555-3824", "4111111111111111", "24be64439e3e", "1985-03-12", "123-45-6789"):
+    for secret in ("éch.12", "152.143.123.131", "555-3824", "4111111111111111", "24be64439e3e", "1985-03-12", "123-45-6789", "DE893704", "12 March 1985", "March 12, 1985"):
         assert not any(secret in (x or "") for x, _ in got.values())
     assert "999.1.1.1" in got[1][0] and "1985-13-12" in got[5][0] and "000-12-1234" in got[6][0]
+    iban = got[12][0].split(" ")
+    assert iban[1][:-1] == "".join(iban[2:8]) and int("".join(str(int(c, 36)) for c in iban[1][4:-1] + iban[1][:4])) % 97 == 1
+    assert "DE88370400440532013000" in got[12][0] and "31 June 1985" in got[13][0]
     card = got[3][0].split(" ")[1][:16]
     assert card in got[11][0] and got[3][0].split(" ")[2].replace("-", "") == card
     assert got[2][0].split("(")[1] == got[11][0].split("(")[1] + " ok"
