@@ -117,7 +117,7 @@ class Lattices:
             at, size = np.flatnonzero(head), np.diff(np.append(np.flatnonzero(head), n))
             char = np.cumsum(head) - 1
             known = np.zeros(len(at), bool)
-            for a, e, _ in out[1:]:
+            for a, e, _ in out[1:5]:  # a character has four bytes at most
                 one = head[a] & (e - a == size[char[a]])
                 known[char[a[one]]] = True
             spelled = ~known[char]

@@ -115,9 +115,10 @@ class Lattice:
         """Arcs drawn from each node to its unit's end, one walk after the other, and the length of each walk."""
         length = np.zeros(len(node), np.int64)
         live = np.flatnonzero(~self.last[node])
-        now, steps, k = node[live], [], 0
+        base = seed * SALT[0] + (place * 8 + turn).astype(U) * SALT[1]  # the sum that uniform(seed, place, step) begins with
+        now, base, steps, k = node[live], base[live], [], 0
         while len(live):
-            u = uniform(seed[live], place[live] * 8 + turn, np.full(1, k + 1))
+            u = ((mix(base + np.full(1, k + 1, U) * SALT[2]) >> U(11)).astype(float) + 0.5) * 2.0**-53
             arc = self.arcs_from[now]
             over = np.flatnonzero(u > self.cum[arc])
             while len(over):  # likely arcs come first, so few look further
@@ -127,7 +128,7 @@ class Lattice:
             length[live] += 1
             now = self.end[arc]
             more = ~self.last[now]
-            live, now = live[more], now[more]
+            live, now, base = live[more], now[more], base[more]
             k += 1
         at = np.cumsum(length) - length
         out = np.zeros(int(length.sum()), np.int32)
@@ -175,28 +176,29 @@ def sample_texts(lattices: Lattices, logp: np.ndarray, data: np.ndarray, offsets
         at_arc = np.array([x[3] for x in popped])
         head_u = uniform(own_seed, np.full(1, turn * 8 + 5), at_arc).tolist()
         offer_u = uniform(own_seed, np.full(1, turn * 8 + 7), at_arc)
-        for s, u, (value, _, parent, p, excluded) in zip(todo, head_u, popped, strict=True):
-            if parent < 0:
-                unit, head = s.a, None
-                more = np.arange(s.a, s.b)
-                nodes.append(lattice.first[lattice.of[more]])
-            else:
-                arcs, units, before = s.paths[parent][:3]
-                unit = int(units[p])
-                a, b = (int(lattice.arcs_from[lattice.start[arcs[p]] + i]) for i in (0, 1))
-                p_left = lattice.p[a:b].copy()
-                p_left[[e - a for e in excluded]] = 0
-                run = np.cumsum(p_left)
-                chosen = a + int(min(np.searchsorted(run, u * run[-1], "right"), np.flatnonzero(p_left)[-1]))
-                left = float(run[-1] - lattice.p[chosen])
-                rest = np.log(left) if len(excluded) + 1 < b - a and left > 0 else -np.inf
-                head = (chosen, float(before[p]), rest, (*excluded, chosen))
-                more = np.arange(unit, s.b)
-                nodes.append(np.append(lattice.end[chosen], lattice.first[lattice.of[more[1:]]]))
+        if turn == 0:  # every text from its start
+            everyone = np.repeat(np.arange(len(searches)), np.diff(first))
+            nodes, place, seed_of = [lattice.first[lattice.of]], [np.arange(len(everyone)) - first[everyone]], [np.array(seeds, U)[everyone]]
+            heads = [(-x[0], -1, 0, None, s.a) for s, x in zip(todo, popped, strict=True)]
+            counts = np.array([s.b - s.a for s in todo])
+        for s, u, (value, _, parent, p, excluded) in zip(todo, head_u, popped, strict=True) if turn else ():
+            arcs, units, before = s.paths[parent][:3]
+            unit = int(units[p])
+            a, b = (int(lattice.arcs_from[lattice.start[arcs[p]] + i]) for i in (0, 1))
+            p_left = lattice.p[a:b].copy()
+            p_left[[e - a for e in excluded]] = 0
+            run = np.cumsum(p_left)
+            chosen = a + int(min(np.searchsorted(run, u * run[-1], "right"), np.flatnonzero(p_left)[-1]))
+            left = float(run[-1] - lattice.p[chosen])
+            rest = np.log(left) if len(excluded) + 1 < b - a and left > 0 else -np.inf
+            head = (chosen, float(before[p]), rest, (*excluded, chosen))
+            more = np.arange(unit, s.b)
+            nodes.append(np.append(lattice.end[chosen], lattice.first[lattice.of[more[1:]]]))
             place.append(more - s.a)
             seed_of.append(np.full(len(more), s.seed, U))
             heads.append((-value, parent, p, head, unit))
-        counts = np.array([len(x) for x in nodes])
+        if turn:
+            counts = np.array([len(x) for x in nodes])
         drawn, length = lattice.walk(np.concatenate(nodes), np.concatenate(seed_of), np.concatenate(place), turn)
         walker_at = np.concatenate([[0], np.cumsum(counts)])
         ends = np.concatenate([[0], np.cumsum(length)])[walker_at]
@@ -207,8 +209,10 @@ def sample_texts(lattices: Lattices, logp: np.ndarray, data: np.ndarray, offsets
         base = np.array([0.0 if h[3] is None else h[3][1] + float(lattice.log_p[h[3][0]]) for h in heads])
         before_of = run - np.repeat(np.append(run, 0.0)[np.minimum(ends[:-1], len(run))], np.diff(ends)) + np.repeat(base, np.diff(ends))
         index = np.arange(len(drawn)) - np.repeat(ends[:-1], np.diff(ends))
-        u = uniform(np.repeat(own_seed, np.diff(ends)), np.full(1, turn * 8 + 6), index)
-        values = cut_gumbel(before_of + rests, value_of, u)
+        some = np.flatnonzero(np.isfinite(rests))  # a node with one arc leaves nothing
+        u = uniform(np.repeat(own_seed, np.diff(ends))[some], np.full(1, turn * 8 + 6), index[some])
+        values = np.full(len(drawn), -np.inf)
+        values[some] = cut_gumbel((before_of + rests)[some], value_of[some], u)
         again = np.array([-np.inf if h[3] is None else h[3][1] + h[3][2] for h in heads])
         again = cut_gumbel(again, np.array([h[0] for h in heads]), offer_u)
         want = k - turn
