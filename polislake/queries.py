@@ -292,7 +292,7 @@ WITH t AS (SELECT CAST(min(p_partkey) AS VARCHAR) AS id, p_brand AS process, low
 SELECT a.id AS a, b.id AS b, a.process AS process_a, b.process AS process_b FROM t a JOIN t b ON a.process <> b.process AND (contains(a.n, b.n) OR contains(b.n, a.n)) WHERE a.n <> '' AND b.n <> ''
 """)
 def similar_topics(spark, sf_dir):
-    names = _t(spark, sf_dir, "part").groupBy(F.lower(F.substring("p_name", 1, 9)).alias("name"), F.col("p_brand").alias("process")).agg(F.min("p_partkey").cast("string").alias("id"))
+    names = _t(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("name"), F.col("p_brand").alias("process")).agg(F.min("p_partkey").cast("string").alias("id"))
     return L.similar_topics(names)
 
 
