@@ -95,11 +95,13 @@ class Compiler:
         return closed if path.op == "plus" else closed.unionByName(nodes).distinct()
 
     def closure(self, step: DataFrame) -> DataFrame:
-        """Transitive closure as a recursive query; UNION keeps it finite on cycles by distance only as long as rows are new."""
-        found, frontier = step, step
+        """Transitive closure by doubling: walks of 2^k steps, alone and followed by the shorter ones found, until they connect no new pair; rounds grow with the logarithm of the longest way."""
+        cut = lambda df: df.checkpoint() if self._can_checkpoint() else df
+        then = lambda x, y: x.withColumnRenamed("o", "m").join(y.withColumnRenamed("s", "m"), "m").select("s", "o")
+        found, power = step, step
         while True:
-            reach = frontier.withColumnRenamed("o", "m").join(step.withColumnRenamed("s", "m"), "m").select("s", "o").distinct()
-            frontier = reach.join(found, ["s", "o"], "left_anti").checkpoint() if self._can_checkpoint() else reach.join(found, ["s", "o"], "left_anti")
+            power = cut(then(power, power).distinct())
+            frontier = cut(power.unionByName(then(power, found)).distinct().join(found, ["s", "o"], "left_anti"))
             if frontier.isEmpty():
                 return found
             found = found.unionByName(frontier)

@@ -157,7 +157,7 @@ sparql_query(
 )
 sparql_query(
     "thread_structure",
-    f"SELECT ?later ?first WHERE {{ ?later del:responseTo+ ?first FILTER(?first = <{RES}conversation_1_0>) }}",
+    "SELECT ?later ?first WHERE { ?later del:responseTo+ ?first }",
     "SELECT '{R}conversation_1_' || turn AS later, '{R}conversation_1_0' AS first FROM (SELECT DISTINCT turn FROM conversations WHERE conv_id = 1) WHERE turn > 0 AND EXISTS (SELECT 1 FROM conversations WHERE conv_id = 1 AND turn = 0) AND turn <= (SELECT min(t) FROM (SELECT turn AS t FROM conversations WHERE conv_id = 1 AND turn + 1 NOT IN (SELECT turn FROM conversations WHERE conv_id = 1)))",
     conversation_graph,
 )

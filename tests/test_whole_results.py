@@ -3,11 +3,19 @@
 import duckdb
 
 from polislake import queries as Q
+from polislake.functions.terms import TRIPLE_SCHEMA
+from polislake.plans.results import sparql, values
 
 WHOLE = {
     "similar_topics": """
 WITH t AS (SELECT CAST(min(p_partkey) AS VARCHAR) AS id, p_brand AS process, lower(p_name) AS n FROM part WHERE p_name IS NOT NULL GROUP BY 2, 3)
 SELECT a.id AS a, b.id AS b, a.process AS process_a, b.process AS process_b FROM t a JOIN t b ON a.process <> b.process AND (contains(a.n, b.n) OR contains(b.n, a.n)) WHERE a.n <> '' AND b.n <> ''
+""",
+    "thread_structure": f"""
+WITH RECURSIVE s AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+r AS (SELECT a.conv_id, a.turn AS later, b.turn AS first FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1
+  UNION SELECT r.conv_id, r.later, s.turn FROM r JOIN s ON s.conv_id = r.conv_id AND s.turn = r.first - 1)
+SELECT '{Q.RES}conversation_' || conv_id || '_' || later AS later, '{Q.RES}conversation_' || conv_id || '_' || first AS first FROM r
 """,
 }
 
@@ -33,3 +41,25 @@ def test_similar_topics_past_nine_characters(spark, tmp_path):
     rows = [(1, "cold plate", "p"), (2, "old plate", "q"), (3, "environment law", "p"), (4, "environment tax", "q")]
     spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     assert {(r["a"], r["b"]) for r in Q.queries()["similar_topics"](spark, str(tmp_path)).collect()} == {("1", "2"), ("2", "1")}
+
+
+def test_thread_structure_all_conversations(spark, sf, tmp_path):
+    same(spark, sf, tmp_path, "thread_structure", ["conversations"])
+
+
+def test_thread_structure_gap_and_depth(spark, tmp_path):
+    rows = [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (2, 3), (3, 5), (3, 6), (3, 8), (3, 6), (None, 0)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r["later"].removeprefix(Q.RES), r["first"].removeprefix(Q.RES)) for r in Q.queries()["thread_structure"](spark, str(tmp_path)).collect())
+    assert got == [("conversation_1_1", "conversation_1_0"), *[(f"conversation_2_{a}", f"conversation_2_{b}") for a in range(4) for b in range(a)], ("conversation_3_6", "conversation_3_5")]
+
+
+def test_closure_of_long_chains_and_cycles(spark):
+    none = None
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(40)] + [("x", "y"), ("y", "z"), ("z", "x"), ("z", "w"), ("w", "c38"), ("l", "l"), ("x", "y")]
+    g = spark.createDataFrame([(a, "uri", "p:e", b, "uri", none, none, "t") for a, b in edges], TRIPLE_SCHEMA)
+    got = [(r["a"], r["b"]) for r in values(sparql(g, "SELECT ?a ?b WHERE { ?a <p:e>+ ?b }")).collect()]
+    want = set(edges)
+    while len(more := want | {(a, d) for a, b in want for c, d in edges if b == c}) > len(want):
+        want = more
+    assert sorted(got) == sorted(want)
