@@ -31,11 +31,22 @@ def contained_names(names: DataFrame, gram: int = 3) -> DataFrame:
     return found.where("x <> y")
 
 
+def similar_words(names: DataFrame) -> DataFrame:
+    """(x, y), x < y, of names of several words: all pairs whose words' Jaccard index is over 0.5, and few others. names: n, distinct.
+
+    Of k words such a pair shares over k / 2, so one of the rarest k - k div 2 of each name, in one order of all words; a word that most names have is not looked up."""
+    words = names.where(F.col("n").contains(" ")).select("n", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
+    common = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    ranked = words.join(common, "w").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
+    rare = ranked.select("n", F.explode(F.expr("slice(r, 1, size(r) - size(r) div 2)")).alias("r")).select("n", F.col("r.w").alias("w"))
+    return rare.select(F.col("n").alias("x"), "w").join(rare.select(F.col("n").alias("y"), "w"), "w").where("x < y").select("x", "y").distinct()
+
+
 def resolve_participants(participants: DataFrame, cap: int | None = None, compat: bool = False, gram: int = 3) -> DataFrame:
     """Pairs (a, b, platform_a, platform_b, similarity, relation) of participants of different platforms.
 
-    participants: id, name, platform. Candidates share a word, or, so that containment inside a word is found too, the rarest of the character
-    `gram`s of the shorter name. cap keeps so many a platform, by id."""
+    participants: id, name, platform. Candidates share one of the rarest words (see similar_words), or, so that containment inside a word is found too, the
+    rarest of the character `gram`s of the shorter name. cap keeps so many a platform, by id."""
     p = participants.select("id", "platform", X.normalize_name(F.col("name"), compat).alias("n")).where("id IS NOT NULL AND platform IS NOT NULL AND n IS NOT NULL")
     if not compat:
         p = p.where("n <> ''")
@@ -48,8 +59,7 @@ def resolve_participants(participants: DataFrame, cap: int | None = None, compat
     inside = contained_names(distinct.where("n <> ''"), gram)
     if compat:  # an empty name is contained in every name
         inside = inside.unionByName(distinct.where("n = ''").select(F.col("n").alias("x")).crossJoin(distinct.where("n <> ''").select(F.col("n").alias("y"))))
-    words = distinct.where(F.col("n").contains(" ")).select("n", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
-    shared = words.select(F.col("n").alias("x"), "w").join(words.select(F.col("n").alias("y"), "w"), "w").where("x < y").groupBy("x", "y").count().select("x", "y")
+    shared = similar_words(distinct)
     pairs = inside.unionByName(shared).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionByName(distinct.select(F.col("n").alias("x"), F.col("n").alias("y"))).distinct()
     scored = pairs.withColumn("similarity", name_similarity(F.col("x"), F.col("y"))).where(F.col("similarity") >= RELATED)
     both = scored.unionByName(scored.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "similarity"))

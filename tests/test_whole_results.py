@@ -1,9 +1,13 @@
 """Queries against SQL over whole tables, where the SQL in the catalogue covers less."""
 
+import random
+
 import duckdb
+import pytest
 
 from polislake import queries as Q
 from polislake.functions.terms import TRIPLE_SCHEMA
+from polislake.operators import link as L
 from polislake.plans.results import sparql, values
 
 WHOLE = {
@@ -63,3 +67,29 @@ def test_closure_of_long_chains_and_cycles(spark):
     while len(more := want | {(a, d) for a, b in want for c, d in edges if b == c}) > len(want):
         want = more
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["participant_resolution", "cross_platform_links"])
+def test_names_keep_their_words(spark, sf, monkeypatch, name):
+    seen, resolve = [], L.resolve_participants
+    monkeypatch.setattr(L, "resolve_participants", lambda p: seen.append(p) or resolve(p))
+    assert Q.queries()[name](spark, sf).count() > 0
+    assert seen[0].where("name NOT LIKE '%Member %'").count() == 0
+
+
+def test_a_common_word_makes_no_pairs(spark):
+    names = spark.createDataFrame([(f"member {i:06d}",) for i in range(500)] + [("member ann lee",), ("member ann fox lee",)], "n string")
+    assert [tuple(r) for r in L.similar_words(names).collect()] == [("member ann fox lee", "member ann lee")]
+
+
+def test_similar_words_loses_no_pair(spark):
+    draw = random.Random(7)
+    names = sorted({" ".join(draw.choices("abcdefghij", weights=[20, 10, 5, 3, 2, 1, 1, 1, 1, 1], k=draw.randint(1, 7))) for _ in range(200)})
+    want = set()
+    for x in names:
+        for y in names:
+            a, b = set(x.split()), set(y.split())
+            if x < y and " " in x and " " in y and len(a & b) / len(a | b) > 0.5:
+                want.add((x, y))
+    got = [tuple(r) for r in L.similar_words(spark.createDataFrame([(n,) for n in names], "n string")).collect()]
+    assert want and want <= set(got) and len(got) == len(set(got))
