@@ -8,7 +8,8 @@ Among records with equal payloads of at least MIN_REVISIT bytes the one with the
 revisits that refer to it. Types come from a count a digest (pre-aggregated before its shuffle), joined back to the records; Spark
 broadcasts the digests with two or more records if they are few, and splits hot digests otherwise.
 
-Record ids and dates derive from the page id alone, so a retried task writes the same bytes. Null html is an empty payload; a null url
+Record ids and dates derive from the page id alone, so a retried task writes the same bytes. A null page id has an empty X-Page-Id and is read as null; its date
+derives from the payload's digest and its record id from url and digest, and it is always a response. Null html is an empty payload; a null url
 becomes `urn:none`; white space and control characters of a url are percent-encoded. Repeated page ids give a record each, with the same
 record id. An empty table gives no archives and an empty result. Other columns are not read.
 """
@@ -55,8 +56,9 @@ def arc_bytes(version: int, name: str, records: list[tuple[int, str | None, byte
     about = f"{version} 0 polislake\n{' '.join(ARC_FIELDS[version])}\n\n".encode()
     out = [arc_line(1, {"URL": f"filedesc://{name}", "IP-address": "0.0.0.0", "Archive-date": "20010101000000", "Content-type": "text/plain", "Archive-length": str(len(about))}), about]
     for page_id, url, payload in records:
-        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page_id}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-        when = EPOCH + timedelta(seconds=abs(page_id) % 10**9)
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page_id is None else page_id}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+        number = int(hashlib.sha256(payload).hexdigest()[:15], 16) if page_id is None else abs(page_id)
+        when = EPOCH + timedelta(seconds=number % 10**9)
         values = {"URL": safe_uri(url), "IP-address": "0.0.0.0", "Archive-date": when.strftime("%Y%m%d%H%M%S"), "Content-type": "text/html", "Archive-length": str(len(head) + len(payload))}
         if version == 2:
             values |= {"Result-code": "200", "Checksum": hashlib.md5(payload).hexdigest(), "Offset": str(sum(map(len, out[-1:]))), "Filename": name}
@@ -146,9 +148,10 @@ def convert_arc(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     return archives.select("content").mapInArrow(convert, CONVERTED)
 
 
-def record_id(page_id: Column) -> Column:
-    """A version 8 style UUID from the page id."""
-    h = F.sha2(F.concat(F.lit("page:"), page_id.cast("string")), 256)
+def record_id(page_id: Column, *instead: Column) -> Column:
+    """A version 8 style UUID from the page id, or from other columns if it is null."""
+    key = F.concat(F.lit("page:"), page_id.cast("string"))
+    h = F.sha2(F.coalesce(key, F.concat_ws(" ", F.lit("none:"), *instead)) if instead else key, 256)
     part = lambda a, n: F.substring(h, a, n)
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("8"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12)))
 
@@ -169,10 +172,10 @@ def write_warc(records: DataFrame, path: str) -> None:
     block = F.when(revisit, F.encode("http_head", "UTF-8")).otherwise(F.concat(F.encode("http_head", "UTF-8"), F.col("payload")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.concat(F.lit("<"), record_id(F.col("page_id")), F.lit(">"))), line("WARC-Date", F.col("warc_date")),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.concat(F.lit("<"), record_id(F.col("page_id"), F.col("target_uri"), F.col("payload_digest")), F.lit(">"))), line("WARC-Date", F.col("warc_date")),
         line("WARC-Target-URI", F.col("target_uri")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))), line("WARC-Identified-Payload-Type", F.col("media_type")),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<"), record_id(F.col("refers_to")), F.lit(">"))), line("X-Refers-To-Page-Id", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
-        line("X-Page-Id", F.col("page_id").cast("string")), line("X-Payload-Length", F.col("payload_bytes").cast("string")), line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("X-Page-Id", F.coalesce(F.col("page_id").cast("string"), F.lit(""))), line("X-Payload-Length", F.col("payload_bytes").cast("string")), line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(F.col("block")).cast("string")), F.lit("\r\n"),
     )
     record = records.withColumn("block", block).select(F.concat(F.encode(head, "UTF-8"), F.col("block")).cast("string").alias("value"))
@@ -219,7 +222,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     elif hashlib.sha256(payload).hexdigest() != told:
                         raise ValueError(f"the payload of page {head['x-page-id']} does not have the digest it declares")
                     to = head.get("x-refers-to-page-id")
-                    rows.append({"page_id": int(head["x-page-id"]), "payload_bytes": length, "payload_digest": told, "record_type": kind, "refers_to": to and int(to), "payload": payload if with_payload else None})
+                    rows.append({"page_id": int(head["x-page-id"]) if head["x-page-id"] else None, "payload_bytes": length, "payload_digest": told, "record_type": kind, "refers_to": to and int(to), "payload": payload if with_payload else None})
                     size += len(payload)
                     if size >= ARC_BYTES or len(rows) >= 5000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
