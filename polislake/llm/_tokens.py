@@ -1,7 +1,7 @@
 """Words, hashes and packed arrays straight from Arrow string buffers, in numpy.
 
-Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. Hashes are 64-bit and depend on the bytes alone: the same in
-every worker and run."""
+Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. Hashes are 64-bit and depend on the bytes and a seed alone: the same in
+every worker and run. Two seeds give independent hashes."""
 
 from __future__ import annotations
 
@@ -49,33 +49,6 @@ def lower_az(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U(pow(self.inverse, k, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
-_TABLES: dict[tuple[int, bool], tuple[np.ndarray, _Powers]] = {}
-
-
-def _tables(seed: int, lower: bool) -> tuple[np.ndarray, _Powers]:
-    if (seed, lower) not in _TABLES:
-        table = mix(np.arange(256, dtype=U) * U(0xD6E8FEB86659FD93) + U(seed + 7))
-        if lower:
-            table[65:91] = table[97:123]
-        _TABLES[seed, lower] = table, _Powers(int(constants(seed, 1)[0]))
-    return _TABLES[seed, lower]
-
-
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -119,15 +92,51 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+#: The first n bytes of a little-endian 64-bit integer, by n.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+
+
+def by_eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as integers; zeros after the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0, lower: bool = False) -> np.ndarray:
-    """A hash of the bytes of each span."""
-    table, powers = _tables(seed, lower)
-    up, down = powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, U)
-    sums[0] = 0
-    np.cumsum(table[data] * up[:-1], out=sums[1:])
-    h = (sums[end] - sums[start]) * down[start]
-    return mix(h + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
+    """A hash of the bytes of each span: the sum of a bijection of each eight bytes, another one at each place and for each seed.
+
+    Spans that differ in one group of eight bytes never share a hash; others do by chance alone, and not for another seed."""
+    if lower:
+        data = lower_az(data)
+    eight = by_eights(data)
+    size = end - start
+    key = mix(np.array([seed], U) + U(0xD6E8FEB86659FD93))
+    h = mix((eight[start] & FIRST[np.minimum(size, 8)]) + key)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        head, rest, place, used = _after_eight(size[long])
+        values = eight[np.repeat(start[long], rest) + 8 * place] & FIRST[used]
+        h[long] += np.add.reduceat(mix(values + mix(place.astype(U) * U(0x9E3779B97F4A7C15) + key)), head)
+    return mix(h + size.astype(U) * U(0x9E3779B97F4A7C15))
+
+
+def _after_eight(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The groups of eight bytes after the first, of spans longer than one: where each span's begin, how many it has, and each group's place and bytes."""
+    rest = (size - 1) // 8
+    head = np.cumsum(rest) - rest
+    place = np.arange(int(rest.sum())) - np.repeat(head, rest) + 1
+    return head, rest, place, np.minimum(np.repeat(size, rest) - 8 * place, 8)
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each span of `data` has the bytes of the span of `other` with its number."""
+    a, b, size = by_eights(data), by_eights(other), end - start
+    same = (size == other_end - other_start) & (((a[start] ^ b[other_start]) & FIRST[np.minimum(size, 8)]) == 0)
+    long = np.flatnonzero(same & (size > 8))
+    if len(long):
+        head, rest, place, used = _after_eight(size[long])
+        apart = (a[np.repeat(start[long], rest) + 8 * place] ^ b[np.repeat(other_start[long], rest) + 8 * place]) & FIRST[used]
+        same[long] = np.bitwise_or.reduceat(apart, head) == 0
+    return same
 
 
 def grams(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:

@@ -57,17 +57,15 @@ U = np.uint64
 class Sets:
     """The shingle sets of some texts: `values` by text (each sorted), `first` offsets, `size`."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, n: int, seed: int) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, n: int, seed: int, check: bool = False) -> None:
+        """check: also hashes the shingles anew, from their words on, for check_key()."""
         w = Words(data, offsets)
-        h = w.hashes(seed, lower=True)
         count = np.diff(w.first)
         at, doc = gram_starts(w.first, n)
-        values = grams(h, n, seed)[at] if len(at) else np.zeros(0, U)
         short = np.flatnonzero((count > 0) & (count < n))
+        values = self._shingles(w, n, seed, at, short, count)
         if len(short):
-            c = constants(seed + 303, n)
-            own = [mix(np.array([(h[w.first[i] : w.first[i + 1]] * c[: count[i]]).sum() + U(int(count[i]))], U))[0] for i in short]
-            values, doc = np.concatenate([values, np.array(own, U)]), np.concatenate([doc, short])
+            doc = np.concatenate([doc, short])
         order = np.lexsort((values, doc))
         values, doc = values[order], doc[order]
         new = np.ones(len(values), bool)
@@ -75,15 +73,31 @@ class Sets:
         self.values, self.doc = values[new], doc[new]
         self.first = np.searchsorted(self.doc, np.arange(len(offsets)))
         self.size = np.diff(self.first)
+        if check:
+            self.others = self._shingles(w, n, seed + 0x10001, at, short, count)[order[new]]
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of each set."""
-        out = []
-        for salt in (0x51ED270B, 0x2545F491):
-            sums = np.concatenate([[U(0)], np.cumsum(mix(self.values ^ U(salt)))])
-            out.append(mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.size.astype(U)).view(np.int64))
-        return out[0], out[1]
+    @staticmethod
+    def _shingles(w: Words, n: int, seed: int, at: np.ndarray, short: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Hashes of the shingles that begin at `at`, then of the whole sequences of `short`."""
+        h = w.hashes(seed, lower=True)
+        values = grams(h, n, seed)[at] if len(at) else np.zeros(0, U)
+        if not len(short):
+            return values
+        c = constants(seed + 303, n)
+        own = [mix(np.array([(h[w.first[i] : w.first[i + 1]] * c[: count[i]]).sum() + U(int(count[i]))], U))[0] for i in short]
+        return np.concatenate([values, np.array(own, U)])
+
+    def key(self) -> np.ndarray:
+        """A 64-bit hash of each set."""
+        return self._sum_of(self.values, 0x51ED270B)
 
+    def check_key(self) -> np.ndarray:
+        """A second hash of each set, from the second hashes of its shingles."""
+        return self._sum_of(self.others, 0x2545F491)
+
+    def _sum_of(self, values: np.ndarray, salt: int) -> np.ndarray:
+        sums = np.concatenate([[U(0)], np.cumsum(mix(values ^ U(salt)))])
+        return mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.size.astype(U)).view(np.int64)
 
     def signatures(self) -> list[bytes]:
         """Elements in each of a power of two of equal hash ranges, at most 255 each."""
@@ -160,7 +174,7 @@ def _prefix_mapper(n: int, percent: int, seed: int, buckets: int, common: tuple[
             for _, data, offsets in portions(b.column(0)):
                 sets = Sets(data, offsets, n, seed)
                 at, doc = _prefix(sets, percent, buckets, common)
-                value, node = sets.values[at], sets.keys()[0][doc]
+                value, node = sets.values[at], sets.key()[doc]
                 if not counts_only:  # one name a size class and its neighbour
                     c = size_class(sets.size, percent)[doc].astype(U)
                     value = np.concatenate([mix(value + (c + U(k)) * U(0xD6E8FEB86659FD93)) for k in (0, 1)])
@@ -502,11 +516,10 @@ def _node_mapper(n: int, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, data, offsets in portions(b.column(2)):
-                sets = Sets(data, offsets, n, seed)
-                k1, k2 = sets.keys()
+                sets = Sets(data, offsets, n, seed, check=True)
                 k = slice(part.start, part.stop)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[k], b.column(1)[k], pa.array(sets.size.astype(np.int64)), pa.array(k1), pa.array(k2), pa.array(sets.signatures(), pa.binary())], ["doc_id", "row", "n_shingles", "node", "check", "signature"]
+                    [b.column(0)[k], b.column(1)[k], pa.array(sets.size.astype(np.int64)), pa.array(sets.key()), pa.array(sets.check_key()), pa.array(sets.signatures(), pa.binary())], ["doc_id", "row", "n_shingles", "node", "check", "signature"]
                 )
 
     return run
