@@ -31,12 +31,12 @@ def give_back() -> None:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (the published SplitMix64 constants)."""
-    x = x.astype(U, copy=True)
-    x ^= x >> U(30)
+    y = x.astype(U, copy=False) >> U(30)
+    x = y ^ x.astype(U, copy=False)
     x *= U(0xBF58476D1CE4E5B9)
-    x ^= x >> U(27)
+    x ^= np.right_shift(x, U(27), out=y)
     x *= U(0x94D049BB133111EB)
-    x ^= x >> U(31)
+    x ^= np.right_shift(x, U(31), out=y)
     return x
 
 

@@ -57,7 +57,8 @@ class Lattices:
         self.byte_ids[MARK_BYTE] = byte_ids[32]
         self.bytes_everywhere = bytes_everywhere
         raw = [names[i].encode().replace(MARK.encode(), bytes([MARK_BYTE])) for i in ids]
-        keep = [i for i, r in enumerate(raw) if 0 < len(r) and MARK_BYTE not in r[1:]]
+        # Pieces of words, or of marks before one: none has a mark after another character.
+        keep = [i for i, r in enumerate(raw) if 0 < len(r) and MARK_BYTE not in r.lstrip(bytes([MARK_BYTE]))]
         raw, self.ids = [raw[i] for i in keep], ids[keep]
         self.longest = max(map(len, raw))
         at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
@@ -88,6 +89,10 @@ class Lattices:
 
     def arcs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """start, end (in bytes of marked words, see mark()) and piece of every arc."""
+        return tuple(np.concatenate(x) for x in zip(*self.arc_lists(data, offsets), strict=True))
+
+    def arc_lists(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The arcs that are bytes, and those of pieces by rising length. No two arcs of a list begin at one place."""
         n = len(data)
         ends = np.repeat(offsets[1:], np.diff(offsets))
         start, h = np.arange(n), np.zeros(n, U)
@@ -122,7 +127,7 @@ class Lattices:
                 known[char[a[one]]] = True
             spelled = ~known[char]
             out[0] = tuple(x[spelled] for x in out[0])
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return out
 
 
 def mark(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

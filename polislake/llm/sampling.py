@@ -1,7 +1,8 @@
 """Operator 7, SentencePiece encoding and decoding: distinct sampled segmentations by Gumbel top-k.
 
-A text, with a space before it, is a chain of units: a space (written U+2581) with the run of characters other than 0x20 and 0x09-0x0D after it, such
-a run alone, or a single white space character. The pieces and their log probabilities are those of an existing vocabulary file; characters that are
+A text, with a space before it, is a chain of units: a run of spaces (written U+2581) with the characters after it up to the next space, tab or line feed,
+such characters alone, or a single tab or line feed. No piece goes beyond a unit (a vocabulary file with one that does is refused), so the segmentations
+of a text are all combinations of its units'. The pieces and their log probabilities are those of an existing vocabulary file; characters that are
 no piece fall back to bytes. Over the lattice of a text's units the K segmentations with the largest Gumbel-perturbed log probabilities are a sample of K
 without replacement.
 
@@ -9,14 +10,16 @@ They are found by a best-first (A*) search over sets of segmentations: a set is
 and everything after that free. The perturbed value of a set's best member is known in advance without error (a Gumbel at the log of the
 set's probability, cut at the value of the set it came from), so the top of the queue is the next sample. Its arc at the node is drawn among the others and its free
 units by backward sums, arc by arc; what remains of the set is split at each arc of the new path. The searches of many texts advance
-in step: each round draws the next sample of each text in vectorised passes, and distinct units of the run are solved once.
+in step: each round draws the next sample of each text in vectorised passes. Distinct units are solved once and kept for later runs, within a bound;
+units are told apart by their bytes.
 
 Results: rank, ids, log_prob (of the segmentation, among all segmentations of the text), perturbed, and inclusion, the probability that the
 segmentation is among the sample given the (K + 1)-th perturbed value: 1 - exp(-exp(log_prob - kappa)); 1 where the text has K segmentations or fewer.
 log_likelihood is the log of the sum over all segmentations. The random numbers depend on the seed, the row's key and the place in the text alone.
 
 Null text gives no samples; an empty text one, with no pieces. decode() gives back the text of any of them. Rows that repeat a key and a text repeat
-their samples. An empty table gives an empty result. Other columns are not read.
+their samples, and a null key is a key like any other. Equal perturbed values (which take equal 53-bit random numbers) are ranked in the order of the search. A text of any length
+is sampled whole, in a run of its own if it is long: memory grows with the longest text. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,21 +35,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ._store import modest_batches
-from ._tokens import SPACE, constants, gather, give_back, mix, portions, span_hashes
-from .lattice_lm import MARK_BYTE, Chart, Lattices
+from ._tokens import constants, gather, give_back, mix, portions, same_spans, span_hashes
+from .lattice_lm import MARK_BYTE, Lattices
 from .pieces import MARK, default_vocabulary, vocabulary
 
 K = 4
 #: Bytes of text whose searches advance in step.
 TOGETHER = 5 << 18
+#: Arcs of units that a worker keeps for the next run of texts (some 40 bytes each).
+KEPT = 3 << 20
 U = np.uint64
 SALT = constants(0x5EED, 4)
+ONE = 1 << 53
 
 
 def uniform(*parts: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from integers: the same integers, the same number."""
-    h = mix(sum((np.asarray(x).astype(U) * SALT[i % 4] for i, x in enumerate(parts)), np.zeros(1, U)))
-    return ((h >> U(11)).astype(float) + 0.5) * 2.0**-53
+    return unit_interval(sum((np.asarray(x).astype(U) * SALT[i % 4] for i, x in enumerate(parts)), np.zeros(1, U)))
+
+
+def unit_interval(x: np.ndarray) -> np.ndarray:
+    h = mix(x)
+    h >>= U(11)
+    u = h.astype(float)
+    u += 0.5
+    u *= 2.0**-53
+    return u
 
 
 def log1mexp(x: np.ndarray) -> np.ndarray:
@@ -69,65 +83,188 @@ def split_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     to = np.concatenate([[0], np.cumsum(size + lead)])
     out = np.full(int(to[-1]), 32, np.uint8)
     out[np.arange(len(data)) + np.repeat(to[:-1] + lead - offsets[:-1], size)] = data
-    space = SPACE[out]
-    before = np.ones(len(out), bool)
-    before[1:] = space[:-1]
-    before[to[:-1][size > 0]] = True
-    blank_before = np.zeros(len(out), bool)
-    blank_before[1:] = out[:-1] == 32
-    # A white space character begins a unit; another begins one after white space other than the space that leads it.
-    begins = space | (before & ~blank_before)
+    space, alone = out == 32, (out == 9) | (out == 10)
+    begins = space | alone
+    begins[1:] &= ~space[:-1] | alone[1:]
+    begins[1:] |= alone[:-1]
+    begins[to[:-1][size > 0]] = True
     start = np.flatnonzero(begins)
-    out[out == 32] = MARK_BYTE
+    out[space] = MARK_BYTE
     return out, start, np.append(start[1:], len(out)), np.searchsorted(start, to)
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type) -> None:
+        self.room, self.size = np.empty(1 << 16, dtype), 0
+
+    def put(self, values: np.ndarray, anew: bool) -> np.ndarray:
+        """The array with `values` after, or instead of, what it holds."""
+        n, size = len(values), 0 if anew else self.size
+        if size + n > len(self.room):
+            old, self.room = self.room, np.empty((size + n) * 3 // 2, self.room.dtype)
+            self.room[:size] = old[:size]
+        self.room[size : size + n] = values
+        self.size = size + n
+        return self.room[: self.size]
+
+
 class Lattice:
-    """Arcs of the distinct units of some texts, with conditional probabilities by start node."""
-
-    def __init__(self, lattices: Lattices, logp: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        h = span_hashes(data, start, end)
-        _, first, self.of = np.unique(h, return_index=True, return_inverse=True)
-        flat, at = gather(data, start[first], end[first])
-        chart = Chart(lattices, flat, at, marked=True)
-        beta = chart.backward(logp)
-        with np.errstate(invalid="ignore"):
-            log_p = logp[chart.piece] + beta[chart.end] - beta[chart.start]
-        useful = np.flatnonzero(np.isfinite(log_p))
-        order = useful[np.argsort(2.0 * chart.start[useful] - np.exp(log_p[useful]))]  # by node, likely arcs first
-        self.start, self.end, self.piece, log_p = chart.start[order].astype(np.int32), chart.end[order].astype(np.int32), chart.piece[order].astype(np.int32), log_p[order]
-        del order, useful
-        head = np.flatnonzero(np.concatenate([[True], self.start[1:] != self.start[:-1]])) if len(self.start) else np.zeros(0, np.int64)
-        size = np.diff(np.append(head, len(self.start)))
-        p = np.exp(log_p)
-        total = np.repeat(np.add.reduceat(p, head), size) if len(head) else p
-        self.p, self.log_p = p / total, np.minimum(log_p - np.log(total), 0)
-        self.log_p[np.repeat(size == 1, size)] = 0
-        run = np.cumsum(self.p)
-        self.cum = run - np.repeat(run[head] - self.p[head], size) if len(head) else run
-        self.cum[np.append(head[1:], len(self.start)) - 1] = 1.0
-        self.arcs_from = np.searchsorted(self.start, np.arange(chart.nodes + 1))
-        self.rest = np.where(np.repeat(size == 1, size), -np.inf, log1mexp(self.log_p))
-        self.first, self.last, self.log_z = chart.first, np.zeros(chart.nodes, bool), beta[chart.first]
-        self.last[chart.last] = True
+    """Arcs of distinct units with conditional probabilities by start node, kept from run to run.
+
+    The nodes of the units that come in together are numbered by place in the unit, then by unit (long units first), so that the arcs of a place are
+    side by side. Once there are more than `most` arcs, units that were met only once go before the next run."""
+
+    def __init__(self, lattices: Lattices, logp: np.ndarray, most: int = KEPT) -> None:
+        self.lattices, self.logp, self.most = lattices, logp, most
+        # By unit: a hash, uses, first node, log of the sum over its segmentations, end of its bytes; and the bytes.
+        self._of_units = {"hash": Grown(U), "uses": Grown(np.int64), "first": Grown(np.int32), "log_z": Grown(float), "until": Grown(np.int64)}
+        self._bytes = {"data": Grown(np.uint8)}
+        # By node: its unit, its first arc and their number (0 at the end of a unit).
+        self._of_nodes = {"unit": Grown(np.int32), "arcs_from": Grown(np.int32), "arcs": Grown(np.int32)}
+        # By arc: log probability among the node's arcs, sum of the probabilities up to it in parts of ONE, log of the sum of the others (NaN until asked for).
+        self._of_arcs = {"start": Grown(np.int32), "end": Grown(np.int32), "piece": Grown(np.int32), "log_p": Grown(float), "cum": Grown(U), "rest": Grown(float)}
+        self._set({})
+
+    def _set(self, more: dict[str, np.ndarray], anew: bool = False) -> None:
+        for group in (self._of_units, self._bytes, self._of_nodes, self._of_arcs):
+            for name, grown in group.items():
+                if name in more or not more:
+                    setattr(self, name, grown.put(more.get(name, ()), anew))
+
+    def admit(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The unit of each span. Spans share a unit if their bytes are equal, not their hashes alone."""
+        if len(self.start) > self.most:
+            self._forget()
+        _, first, of, count = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True, return_counts=True)
+        other = np.flatnonzero(~same_spans(data, start, end, data, start[first[of]], end[first[of]]))
+        if len(other):  # spans that share a hash with others get a unit each
+            of[other] = len(first) + np.arange(len(other))
+            first, count = np.append(first, other), np.append(count, np.ones(len(other), np.int64))
+        own = span_hashes(data, start[first], end[first])
+        unit = np.full(len(first), -1)
+        if len(self.hash):
+            order = np.argsort(self.hash)
+            i = order[np.minimum(np.searchsorted(self.hash, own, sorter=order), len(order) - 1)]
+            held = np.flatnonzero(self.hash[i] == own)
+            held = held[same_spans(data, start[first[held]], end[first[held]], self.data, np.append(0, self.until)[i[held]], self.until[i[held]])]
+            unit[held] = i[held]
+            self.uses[i[held]] += 1
+        new = np.flatnonzero(unit < 0)
+        new = new[np.argsort(start[first[new]] - end[first[new]], kind="stable")]
+        unit[new] = len(self.hash) + np.arange(len(new))
+        if len(new):
+            self._add(own[new], np.minimum(count[new], 2), *gather(data, start[first[new]], end[first[new]]))
+        return unit[of]
+
+    def _add(self, hashes: np.ndarray, uses: np.ndarray, data: np.ndarray, at: np.ndarray) -> None:
+        """New units, the longest first."""
+        size = np.diff(at)
+        longest = int(size[0])
+        width = np.searchsorted(-size, -np.arange(longest + 1), "right")  # units that have a node at each place
+        base = np.concatenate([[0], np.cumsum(width)])
+        nodes = int(base[-1])
+        unit = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        place = np.arange(len(data), dtype=np.int32) - np.repeat(at[:-1].astype(np.int32), size)
+        parts = self.lattices.arc_lists(data, at)
+        by_place = base.astype(np.int32)
+        node = by_place[place] + unit
+        arcs = np.zeros(nodes, np.int32)
+        for a, _, _ in parts:
+            arcs[node[a]] += 1
+        arcs_from = (np.cumsum(arcs) - arcs).astype(np.int32)
+        start, end, piece = (np.empty(int(arcs.sum()), np.int32) for _ in range(3))
+        fill = arcs_from.copy()
+        while parts:  # long pieces first: they are likely
+            a, e, p = parts.pop()
+            to = node[a]
+            i = fill[to]
+            fill[to] += 1
+            start[i], piece[i] = to, p
+            end[i] = by_place[place[a] + (e - a)] + unit[a]
+        beta = np.full(nodes, -np.inf)
+        beta[by_place[size] + np.arange(len(size))] = 0
+        log_p, cum = self.logp[piece], np.empty(len(piece), U)
+        cuts = np.append(arcs_from, len(piece))[base]
+        for k in range(longest - 1, -1, -1):
+            a, b = int(cuts[k]), int(cuts[k + 1])
+            if a == b:
+                continue
+            v = log_p[a:b]
+            v += beta[end[a:b]]
+            n = arcs[base[k] : base[k + 1]]
+            live = np.flatnonzero(n)
+            n = n[live]
+            head = arcs_from[base[k] : base[k + 1]][live] - a
+            top = np.maximum.reduceat(v, head)
+            top[~np.isfinite(top)] = 0
+            p = np.exp(v - np.repeat(top, n))
+            total = np.add.reduceat(p, head)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sums = top + np.log(total)
+                beta[base[k] + live] = sums
+                v -= np.repeat(sums, n)
+                p *= np.repeat(ONE / total, n)
+            p = p.astype(U)
+            run = np.cumsum(p)  # whole numbers: a node's sums do not depend on the units that came in with it
+            run -= np.repeat(run[head] - p[head], n)
+            run[head + n - 1] = ONE
+            cum[a:b] = run
+        np.minimum(log_p, 0, out=log_p)
+        log_p[np.isnan(log_p)] = -np.inf  # arcs between nodes that no segmentation visits
+        one = arcs[start] == 1
+        log_p[one] = 0
+        n, k, units = len(self.unit), len(self.start), len(self.hash)
+        start += n
+        end += n
+        self._set({
+            "hash": hashes, "uses": uses, "first": n + np.arange(len(size)), "log_z": beta[: len(size)], "until": at[1:] + len(self.data), "data": data,
+            "unit": units + np.arange(nodes) - np.repeat(base[:-1], width), "arcs_from": arcs_from + k, "arcs": arcs,
+            "start": start, "end": end, "piece": piece, "log_p": log_p, "cum": cum, "rest": np.where(one, -np.inf, np.nan),
+        })
+
+    def _forget(self) -> None:
+        """Keeps the units met twice or more, if they take at most half of the room."""
+        stay = self.uses > 1
+        here = stay[self.unit]
+        arc = here[self.start]
+        if 2 * int(arc.sum()) > self.most:
+            stay[:], here[:], arc[:] = False, False, False
+        units, nodes, arcs = ((np.cumsum(x) - 1).astype(np.int32) for x in (stay, here, arc))
+        data, at = gather(self.data, np.append(0, self.until)[:-1][stay], self.until[stay])
+        ends = self.arcs[here] == 0
+        self._set({
+            "hash": self.hash[stay], "uses": np.ones(int(stay.sum()), np.int64), "first": nodes[self.first[stay]], "log_z": self.log_z[stay], "until": at[1:], "data": data,
+            "unit": units[self.unit[here]], "arcs": self.arcs[here], "arcs_from": np.where(ends, 0, np.append(arcs, 0)[np.where(ends, 0, self.arcs_from[here])]),
+            "start": nodes[self.start[arc]], "end": nodes[self.end[arc]], "piece": self.piece[arc], "log_p": self.log_p[arc], "cum": self.cum[arc], "rest": self.rest[arc],
+        }, anew=True)
+
+    def others(self, arcs: np.ndarray) -> np.ndarray:
+        """The log of the sum of the other arcs' probabilities at each arc's node."""
+        out = self.rest[arcs]
+        new = np.flatnonzero(np.isnan(out))
+        if len(new):
+            out[new] = self.rest[arcs[new]] = log1mexp(self.log_p[arcs[new]])
+        return out
 
     def walk(self, node: np.ndarray, seed: np.ndarray, place: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
         """Arcs drawn from each node to its unit's end, one walk after the other, and the length of each walk."""
-        length = np.zeros(len(node), np.int64)
-        live = np.flatnonzero(~self.last[node])
+        length = np.zeros(len(node), np.int32)
+        live = np.flatnonzero(self.arcs[node]).astype(np.int32)
         base = seed * SALT[0] + (place * 8 + turn).astype(U) * SALT[1]  # the sum that uniform(seed, place, step) begins with
         now, base, steps, k = node[live], base[live], [], 0
         while len(live):
-            u = ((mix(base + np.full(1, k + 1, U) * SALT[2]) >> U(11)).astype(float) + 0.5) * 2.0**-53
+            u = mix(base + np.full(1, k + 1, U) * SALT[2]) >> U(11)
             arc = self.arcs_from[now]
-            over = np.flatnonzero(u > self.cum[arc])
+            over = np.flatnonzero(u >= self.cum[arc])
             while len(over):  # likely arcs come first, so few look further
                 arc[over] += 1
-                over = over[u[over] > self.cum[arc[over]]]
+                over = over[u[over] >= self.cum[arc[over]]]
             steps.append((live, arc))
             length[live] += 1
             now = self.end[arc]
-            more = ~self.last[now]
+            more = np.flatnonzero(self.arcs[now])
             live, now, base = live[more], now[more], base[more]
             k += 1
         at = np.cumsum(length) - length
@@ -152,13 +289,13 @@ class _Search:
 Sample = tuple[np.ndarray, float, float]
 
 
-def sample_texts(lattices: Lattices, logp: np.ndarray, data: np.ndarray, offsets: np.ndarray, keys: list[bytes], k: int) -> list[tuple[list[Sample], float, float]]:
+def sample_texts(lattice: Lattice, data: np.ndarray, offsets: np.ndarray, keys: list[bytes], k: int) -> list[tuple[list[Sample], float, float]]:
     """For each text: [(ids, log_prob, perturbed)] in falling order of perturbed, kappa (the next value, or -inf), log_likelihood."""
     marked, start, end, first = split_units(data, offsets)
     if not len(start):
         return [([(np.zeros(0, np.int64), 0.0, 0.0)], -np.inf, 0.0) for _ in keys]
-    lattice = Lattice(lattices, logp, marked, start, end)
-    log_z = np.add.reduceat(np.append(lattice.log_z[lattice.of], 0.0), np.minimum(first[:-1], len(start)))
+    of = lattice.admit(marked, start, end)
+    log_z = np.add.reduceat(np.append(lattice.log_z[of], 0.0), np.minimum(first[:-1], len(start)))
     seeds = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in keys]
     searches = [_Search(int(a), int(b), s) for a, b, s in zip(first[:-1], first[1:], seeds, strict=True)]
     begin = np.repeat(np.array(seeds, U), 1)
@@ -178,22 +315,24 @@ def sample_texts(lattices: Lattices, logp: np.ndarray, data: np.ndarray, offsets
         offer_u = uniform(own_seed, np.full(1, turn * 8 + 7), at_arc)
         if turn == 0:  # every text from its start
             everyone = np.repeat(np.arange(len(searches)), np.diff(first))
-            nodes, place, seed_of = [lattice.first[lattice.of]], [np.arange(len(everyone)) - first[everyone]], [np.array(seeds, U)[everyone]]
+            nodes, place, seed_of = [lattice.first[of]], [np.arange(len(everyone)) - first[everyone]], [np.array(seeds, U)[everyone]]
             heads = [(-x[0], -1, 0, None, s.a) for s, x in zip(todo, popped, strict=True)]
             counts = np.array([s.b - s.a for s in todo])
         for s, u, (value, _, parent, p, excluded) in zip(todo, head_u, popped, strict=True) if turn else ():
             arcs, units, before = s.paths[parent][:3]
             unit = int(units[p])
-            a, b = (int(lattice.arcs_from[lattice.start[arcs[p]] + i]) for i in (0, 1))
-            p_left = lattice.p[a:b].copy()
+            node = lattice.start[arcs[p]]
+            a = int(lattice.arcs_from[node])
+            b = a + int(lattice.arcs[node])
+            p_left = np.exp(lattice.log_p[a:b])
             p_left[[e - a for e in excluded]] = 0
             run = np.cumsum(p_left)
             chosen = a + int(min(np.searchsorted(run, u * run[-1], "right"), np.flatnonzero(p_left)[-1]))
-            left = float(run[-1] - lattice.p[chosen])
+            left = float(run[-1] - p_left[chosen - a])
             rest = np.log(left) if len(excluded) + 1 < b - a and left > 0 else -np.inf
             head = (chosen, float(before[p]), rest, (*excluded, chosen))
             more = np.arange(unit, s.b)
-            nodes.append(np.append(lattice.end[chosen], lattice.first[lattice.of[more[1:]]]))
+            nodes.append(np.append(lattice.end[chosen], lattice.first[of[more[1:]]]))
             place.append(more - s.a)
             seed_of.append(np.full(len(more), s.seed, U))
             heads.append((-value, parent, p, head, unit))
@@ -203,22 +342,23 @@ def sample_texts(lattices: Lattices, logp: np.ndarray, data: np.ndarray, offsets
         walker_at = np.concatenate([[0], np.cumsum(counts)])
         ends = np.concatenate([[0], np.cumsum(length)])[walker_at]
         unit_of = np.repeat(np.concatenate([np.arange(h[4], s.b, dtype=np.int32) for s, h in zip(todo, heads, strict=True)]), length)
-        logs, rests = lattice.log_p[drawn], lattice.rest[drawn]
+        logs, rests = lattice.log_p[drawn], lattice.others(drawn)
+        size = np.diff(ends)
         run = np.cumsum(logs) - logs
-        value_of = np.repeat(np.array([h[0] for h in heads]), np.diff(ends))
         base = np.array([0.0 if h[3] is None else h[3][1] + float(lattice.log_p[h[3][0]]) for h in heads])
-        before_of = run - np.repeat(np.append(run, 0.0)[np.minimum(ends[:-1], len(run))], np.diff(ends)) + np.repeat(base, np.diff(ends))
-        index = np.arange(len(drawn)) - np.repeat(ends[:-1], np.diff(ends))
-        some = np.flatnonzero(np.isfinite(rests))  # a node with one arc leaves nothing
-        u = uniform(np.repeat(own_seed, np.diff(ends))[some], np.full(1, turn * 8 + 6), index[some])
-        values = np.full(len(drawn), -np.inf)
-        values[some] = cut_gumbel((before_of + rests)[some], value_of[some], u)
+        before_of = run - np.repeat(np.append(run, 0.0)[np.minimum(ends[:-1], len(run))] - base, size)
+        # uniform(seed, turn * 8 + 6, place in the draw)
+        u = np.repeat(own_seed * SALT[0] + np.full(1, turn * 8 + 6, U) * SALT[1] - ends[:-1].astype(U) * SALT[2], size)
+        u += np.arange(len(drawn), dtype=U) * SALT[2]
+        # Gumbels at the log probability of each set left; below a bound they keep their order, so only the largest are cut. A node with one arc leaves nothing.
+        gumbels = before_of + rests
+        gumbels -= np.log(-np.log(unit_interval(u)))
         again = np.array([-np.inf if h[3] is None else h[3][1] + h[3][2] for h in heads])
         again = cut_gumbel(again, np.array([h[0] for h in heads]), offer_u)
         want = k - turn
         for i, (s, (value, parent, p, head, unit)) in enumerate(zip(todo, heads, strict=True)):
             a, b = int(ends[i]), int(ends[i + 1])
-            arcs, units, before, v = drawn[a:b], unit_of[a:b], before_of[a:b], values[a:b]
+            arcs, units, before, v = drawn[a:b], unit_of[a:b], before_of[a:b], gumbels[a:b]
             log_p = float(before[-1] + logs[b - 1]) if b > a else float(base[i])
             skip = 0
             if head is not None:
@@ -228,7 +368,8 @@ def sample_texts(lattices: Lattices, logp: np.ndarray, data: np.ndarray, offsets
             number = len(s.paths)
             s.paths.append((arcs, units, before, log_p, value))
             best = np.argpartition(v, len(v) - want)[-want:] if len(v) > want else np.arange(len(v))
-            offers = [(float(v[j]), skip + int(j), (int(drawn[a + j]),)) for j in best if np.isfinite(v[j])]
+            best = best[np.isfinite(v[best])]
+            offers = [(x, skip + j, (int(drawn[a + j]),)) for x, j in zip((-np.logaddexp(-value, -v[best])).tolist(), best.tolist(), strict=True)]
             if np.isfinite(again[i]):
                 offers.append((float(again[i]), p, head[3]))
             for x, j, ban in offers:
@@ -246,6 +387,9 @@ def sample_texts(lattices: Lattices, logp: np.ndarray, data: np.ndarray, offsets
 @lru_cache(maxsize=2)
 def lattices_for(path: str) -> Lattices:
     v = vocabulary(path)
+    for i in np.flatnonzero(v.normal):
+        if MARK in v.names[i].lstrip(MARK) or "\n" in v.names[i] or "\t" in v.names[i]:
+            raise ValueError(f"piece {i} of {path} goes beyond a unit")
     return Lattices(v.names, np.flatnonzero(v.normal), v.byte_ids, bytes_everywhere=False)
 
 
@@ -254,12 +398,12 @@ SAMPLE = "sample_rank int, n_pieces int, ids array<int>, log_prob double, pertur
 
 def _sampler(path: str, k: int, seed: int, together: int = TOGETHER) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices, logp = lattices_for(path), vocabulary(path).logp
+        lattice = Lattice(lattices_for(path), vocabulary(path).logp, KEPT * together // TOGETHER)
         for b in batches:
             b = b.filter(b.column(1).is_valid())
             for part, data, offsets in portions(b.column(1), together):
                 keys = b.column(0)[part]
-                found = sample_texts(lattices, logp, data, offsets, [f"{seed}|{x}".encode() for x in keys.to_pylist()], k)
+                found = sample_texts(lattice, data, offsets, [f"{seed}|{x}".encode() for x in keys.to_pylist()], k)
                 doc, rows = [], []
                 for i, (samples, kappa, z) in enumerate(found):
                     for rank, (ids, log_p, value) in enumerate(samples):
@@ -275,7 +419,6 @@ def _sampler(path: str, k: int, seed: int, together: int = TOGETHER) -> Callable
                         ["doc_id", "sample_rank", "n_pieces", "ids", "log_prob", "perturbed", "inclusion", "log_likelihood"],
                     )
                 del found, rows
-                give_back()
 
     return run
 

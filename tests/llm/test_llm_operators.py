@@ -42,6 +42,53 @@ def words(t):
     return t.encode().split()
 
 
+# Words and their hashes
+def thue_morse(n):
+    """Two words that every polynomial hash modulo a power of two takes for one."""
+    s = b"a"
+    while len(s) < n:
+        s += bytes(195 - c for c in s)
+    return s.decode(), bytes(195 - c for c in s).decode()
+
+
+def test_hashes_tell_words_apart():
+    from polislake.llm._tokens import Words, same_spans
+
+    rng = np.random.default_rng(3)
+    a, b = thue_morse(512)
+    texts = [a, b, "x" * 9, "x" * 10, "x" * 8, "\0" * 8, "\0" * 9, "ABCDEFGHIjkl", "abcdefghijkl", *("".join(map(chr, rng.integers(97, 99, int(rng.integers(1, 40))))) for _ in range(500))]
+    data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    w = Words(data, np.array([0, len(data)]))
+    assert len(w.start) == len(texts)
+    for seed in (0, 1):
+        h = w.hashes(seed)
+        assert len(set(h.tolist())) == len(set(texts))
+        assert {t: x for t, x in zip(texts, h.tolist())} == dict(zip(texts, h.tolist())) and all(h[i] == h[texts.index(t)] for i, t in enumerate(texts))
+        low = w.hashes(seed, lower=True)
+        assert low[7] == low[8] and h[7] != h[8]
+    order = rng.permutation(len(texts))
+    same = same_spans(data, w.start, w.end, data, w.start[order], w.end[order])
+    assert same.tolist() == [texts[i] == texts[j] for i, j in enumerate(order)]
+
+
+def test_words_alike_by_weak_hashes_stay_apart(spark):
+    from polislake.llm.bm25_search import search
+    from polislake.llm.jaccard_join import jaccard_components
+    from polislake.llm.lattice_lm import score_texts
+    from polislake.llm.sampling import decode_column, sample_segmentations
+    from polislake.llm.substring_dedup import remove_repeats
+
+    a, b = thue_morse(512)
+    tail = [f"{a} {x}" for x in "pqrstuvwxyzklmno"], [f"{b} {x}" for x in "pqrstuvwxyzklmno"]
+    df = spark.createDataFrame([(1, a), (2, b), (3, " ".join(tail[0])), (4, " ".join(tail[1]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_components(df, percent=50).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert remove_repeats(df).agg(F.sum("n_removed")).first()[0] == 0
+    assert all(r["query_id"] % 2 == r["doc_id"] % 2 for r in search(df.where("doc_id < 3"), F.lit(True)).collect())
+    assert {r["doc_id"]: r["n_known"] for r in score_texts(df.where("doc_id < 3"), F.col("doc_id") == 1, class_column=None).collect()} == {1: 2, 2: 1}
+    got = decode_column(sample_segmentations(df)).select("doc_id", "decoded").distinct().collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, df.collect()))
+
+
 # 1
 @pytest.mark.parametrize("name", ["docs", "odd"])
 def test_quality_counts(name, request):
@@ -293,21 +340,21 @@ def test_search(name, request):
 
 
 # 7
-def sample(texts, keys, k):
+def sample(texts, keys, k, lattice=None):
     from polislake.llm.pieces import default_vocabulary, vocabulary
-    from polislake.llm.sampling import lattices_for, sample_texts
+    from polislake.llm.sampling import Lattice, lattices_for, sample_texts
 
     path = default_vocabulary()
     b = [t.encode() for t in texts]
-    return sample_texts(lattices_for(path), vocabulary(path).logp, np.frombuffer(b"".join(b), np.uint8), np.cumsum([0, *map(len, b)]).astype(np.int64), keys, k)
+    return sample_texts(lattice or Lattice(lattices_for(path), vocabulary(path).logp), np.frombuffer(b"".join(b), np.uint8), np.cumsum([0, *map(len, b)]).astype(np.int64), keys, k)
 
 
 def test_samples_decode_and_differ(docs, odd):
     from polislake.llm.sampling import decode_column, sample_segmentations
 
-    for df in (docs.limit(40), odd.where("length(text) < 3000")):
-        df = df.where("doc_id IS NOT NULL")
-        got = decode_column(sample_segmentations(df)).join(df.select("doc_id", "text").where("text IS NOT NULL").dropDuplicates(["doc_id", "text"]), "doc_id")
+    for df in (docs, odd):
+        texts = df.select("doc_id", "text").where("text IS NOT NULL").dropDuplicates(["doc_id", "text"])
+        got = decode_column(sample_segmentations(df)).withColumnRenamed("doc_id", "of").join(texts, F.col("of").eqNullSafe(F.col("doc_id"))).drop("of")
         rows = got.where("decoded = text").select("doc_id", "text", "sample_rank", "ids", "perturbed", "inclusion").collect()
         by = {}
         for r in rows:
@@ -320,6 +367,23 @@ def test_samples_decode_and_differ(docs, odd):
     assert sample_segmentations(odd.limit(0)).count() == 0
 
 
+def test_samples_of_long_texts_and_white_space():
+    from polislake.llm.pieces import default_vocabulary, vocabulary
+    from polislake.llm.sampling import Lattice, decode, lattices_for
+
+    rng = np.random.default_rng(5)
+    v = vocabulary(default_vocabulary())
+    texts = ["  two  spaces    in\t\ta\r\n\r\n   row  ", "\n", " ", " " * 40, "\x0b\x0c \r", "▁ literal ▁▁mark", " ".join("".join(map(chr, rng.integers(97, 123, int(rng.integers(1, 12))))) for _ in range(20_000)), "y" * 20_000, *thue_morse(512)]
+    lattice = Lattice(lattices_for(default_vocabulary()), v.logp, most=50_000)
+    found = [sample(texts, [b"%d" % i for i in range(len(texts))], 4, lattice) for _ in range(3)]  # the second and third time from units that were kept, or forgotten
+    for run in found:
+        for t, (samples, _, log_z), (first, _, z) in zip(texts, run, found[0]):
+            assert all(decode(s[0]) == t for s in samples)
+            assert len({tuple(s[0]) for s in samples}) == len(samples)
+            assert all((s[0] == f[0]).all() and abs(s[1] - f[1]) < 1e-6 for s, f in zip(samples, first)) and abs(z - log_z) < 1e-6
+    assert any(v.names[i].startswith("▁▁") for s in found[0][0][0] for i in s[0])
+
+
 def test_samples_follow_the_distribution():
     from polislake.llm.pieces import default_vocabulary, vocabulary
 
