@@ -6,7 +6,7 @@ is trained here by backpropagation through time, in numpy, on snippets of at mos
 drawn by a hash of the id; rows whose `train` condition does not hold are never seen. Labels and ids are not inputs.
 
 Null text and text without a letter are `und` with score 0, as is every text if no language was learned. Equal probabilities go to
-the first language by name. Repeated rows get equal results. An empty table gives an empty result. Other columns are not read.
+the first language by name. A null doc_id is passed on; whether such a row trains is for the `train` condition to say. Repeated rows get equal results. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -155,7 +155,7 @@ class Network:
             longest = int(length[i].max())
             step = np.arange(longest)[:, None]
             inside = step < length[i]
-            x = np.where(inside, data[np.minimum(start[i] + step, len(data) - 1)], PAD).astype(np.int64)
+            x = np.where(inside, data[np.minimum(start[i] + step, len(data) - 1)].astype(np.int64), PAD)  # PAD is no byte
             p = (self.probabilities(x) * inside[:, :, None]).sum(axis=0)
             np.add.at(total, doc[i], p)
         return total / np.maximum(size, 1)[:, None]
