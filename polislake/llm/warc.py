@@ -1,17 +1,23 @@
 """Operator 3, legacy web archives to WARC.
 
-`pages_to_arc` makes ARC archives (versions 1 and 2 in turn), `convert_arc` parses ARC archives by their version's header line
+`pages_to_arc` makes ARC archives (versions 1 and 2 in turn), `convert_arc` parses ARC archives of any origin by their version's header line
 and the declared lengths and gives equivalent WARC records, `write_warc` writes them as .warc.gz files of the shared folder
 and `read_warc` reads such files back, again by declared lengths.
 
-Among records with equal payloads of at least MIN_REVISIT bytes the one with the smallest page id is a response and the others are
-revisits that refer to it. Types come from a count a digest (pre-aggregated before its shuffle), joined back to the records; Spark
+The version block is the record at the start of an archive whose URL begins with `filedesc://`; its own header line has the fields of its version, and its
+body names the fields of the others. A page whose URL begins so is a record like any other. URLs and media types may hold spaces: the fields around them do not.
+Where an archive breaks the format, its records up to there are converted, the rest of it is set aside, and a row tells why (`malformed`); write_warc leaves
+such rows out.
+
+Among records with equal payloads of at least MIN_REVISIT bytes those with the smallest page id are responses and the others are
+revisits that refer to the first of them. Types come from a count a digest (pre-aggregated before its shuffle), joined back to the records; Spark
 broadcasts the digests with two or more records if they are few, and splits hot digests otherwise.
 
-Record ids and dates derive from the page id alone, so a retried task writes the same bytes. A null page id has an empty X-Page-Id and is read as null; its date
-derives from the payload's digest and its record id from url and digest, and it is always a response. Null html is an empty payload; a null url
-becomes `urn:none`; white space and control characters of a url are percent-encoded. Repeated page ids give a record each, with the same
-record id. An empty table gives no archives and an empty result. Other columns are not read.
+WARC-Record-ID derives from the archive's name and the record's place in it, so no two records share one. A record's page id is that of its X-Page-Id header; records
+without one, as in foreign archives, have a null page id and are always responses. Null html is an empty payload; a null url
+becomes `urn:none`; white space and control characters of a url are percent-encoded. Dates derive from the page id, or from the payload if it is null. Repeated page ids give a
+record each. An archive is closed after ARC_BYTES of payload; a longer page is an archive of its own, and memory grows with the longest page. An empty table gives no
+archives and an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,19 +33,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import new_path
+from ._store import materialize, new_path, release
 
 MIN_REVISIT = 100
 #: Bytes of payload after which an ARC archive is closed.
 ARC_BYTES = 8 << 20
-RECORDS_PER_FILE = 20_000
+#: Bytes of payload in a WARC file, about, and records at most.
+WARC_BYTES, RECORDS_PER_FILE = 64 << 20, 20_000
 #: Fixed values of the ARC format: the fields of a record's header line by version.
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 EPOCH = datetime(2001, 1, 1, tzinfo=timezone.utc)
-CONVERTED = "page_id bigint, target_uri string, warc_date string, media_type string, http_head string, payload binary, payload_bytes bigint, payload_digest string"
+#: A header line by version: only the URL and the media type may hold spaces.
+ARC_LINE = {
+    1: re.compile(r"(.*) (\S+) (\d{8,17}|-) (.*) (\d+)"),
+    2: re.compile(r"(.*) (\S+) (\d{8,17}|-) (.*) (\S+) (\S+) (\S+) (\S+) (\S+) (\d+)"),
+}
+CONVERTED = "archive string, offset bigint, page_id bigint, target_uri string, warc_date string, media_type string, http_head string, payload binary, payload_bytes bigint, payload_digest string, malformed string"
 READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
 
@@ -51,59 +63,68 @@ def arc_line(version: int, values: dict[str, str]) -> bytes:
     return (" ".join(values.get(f, "-") for f in ARC_FIELDS[version]) + "\n").encode()
 
 
-def arc_bytes(version: int, name: str, records: list[tuple[int, str | None, bytes]]) -> bytes:
+def arc_bytes(version: int, name: str, records: list[tuple[int | None, str | None, bytes]]) -> bytes:
     """An ARC archive: the version block, then each record's header line and as many bytes as it declares."""
     about = f"{version} 0 polislake\n{' '.join(ARC_FIELDS[version])}\n\n".encode()
-    out = [arc_line(1, {"URL": f"filedesc://{name}", "IP-address": "0.0.0.0", "Archive-date": "20010101000000", "Content-type": "text/plain", "Archive-length": str(len(about))}), about]
+    own = {"URL": f"filedesc://{name}", "IP-address": "0.0.0.0", "Archive-date": "20010101000000", "Content-type": "text/plain", "Result-code": "200", "Offset": "0", "Filename": name, "Archive-length": str(len(about))}
+    out = [arc_line(version, own), about]
+    at = sum(map(len, out))
     for page_id, url, payload in records:
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page_id is None else page_id}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
         number = int(hashlib.sha256(payload).hexdigest()[:15], 16) if page_id is None else abs(page_id)
         when = EPOCH + timedelta(seconds=number % 10**9)
         values = {"URL": safe_uri(url), "IP-address": "0.0.0.0", "Archive-date": when.strftime("%Y%m%d%H%M%S"), "Content-type": "text/html", "Archive-length": str(len(head) + len(payload))}
         if version == 2:
-            values |= {"Result-code": "200", "Checksum": hashlib.md5(payload).hexdigest(), "Offset": str(sum(map(len, out[-1:]))), "Filename": name}
-        out += [arc_line(version, values), head, payload, b"\n"]
+            values |= {"Result-code": "200", "Checksum": hashlib.md5(payload).hexdigest(), "Offset": str(at), "Filename": name}
+        made = [arc_line(version, values), head, payload, b"\n"]
+        at += sum(map(len, made))
+        out += made
     return b"".join(out)
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """The records of an ARC archive, by the version and field names that its version block declares."""
-    at, fields = 0, ARC_FIELDS[1]
+    """The records of an ARC archive: fields of the header line by the version and names that its version block declares, offset and body. Raises ValueError where it breaks the format."""
+    at, version, names = 0, 1, ARC_FIELDS[1]
     while at < len(data):
         end = data.find(b"\n", at)
         if end == at:  # the line feed between records
             at += 1
             continue
         if end < 0:
-            raise ValueError("an ARC header line has no end")
-        line = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        about = line[0].startswith("filedesc://")
-        names = ARC_FIELDS[1] if about else fields
-        if len(line) != len(names):
-            raise ValueError(f"an ARC header line has {len(line)} fields instead of {len(names)}")
-        head = dict(zip(names, line, strict=True))
-        size = int(head["Archive-length"])
+            raise ValueError(f"the header line at {at} has no end")
+        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
+        about = at == 0 and line.startswith("filedesc://")
+        found = next((m for v in ((2, 1) if about else (version,)) if (m := ARC_LINE[v].fullmatch(line))), None)
+        if not found:
+            raise ValueError(f"the header line at {at} does not have the fields of version {version}")
+        size = int(found[found.re.groups])
         body = data[end + 1 : end + 1 + size]
         if len(body) != size:
-            raise ValueError("an ARC record is shorter than it declares")
-        at = end + 1 + size
+            raise ValueError(f"the record at {at} is shorter than it declares")
         if about:
-            version, told = body.decode().split("\n")[:2]
-            fields = tuple(told.split(" ")) or ARC_FIELDS[int(version.split(" ")[0])]
+            told = body.decode("utf-8", "replace").split("\n")
+            number = told[0].split(" ")[0]
+            if number not in ("1", "2"):
+                raise ValueError(f"version {number!r} is not known")
+            version = int(number)
+            names = tuple(told[1].split()) if len(told) > 1 and len(told[1].split()) == len(ARC_FIELDS[version]) else ARC_FIELDS[version]
         else:
-            yield head | {"body": body}
+            yield dict(zip(names, found.groups(), strict=True)) | {"offset": at, "body": body}
+        at = end + 1 + size
 
 
 def pages_to_arc(pages: DataFrame) -> DataFrame:
     """archive string, content binary: ARC archives that hold all pages."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, made = [], 0, 0
+        from pyspark import TaskContext
+
+        held, size, made, part = [], 0, 0, TaskContext.get().partitionId()
 
         def close() -> pa.RecordBatch:
             nonlocal held, size, made
             made += 1
-            name = f"legacy-{held[0][0]}-{made}.arc"
+            name = f"legacy-{part}-{made}.arc"
             row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([arc_bytes(1 + made % 2, name, held)], pa.binary())], ["archive", "content"])
             held, size = [], 0
             return row
@@ -121,65 +142,82 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(make, "archive string, content binary")
 
 
+def arc_date(value: str) -> str | None:
+    """The WARC date of an ARC date of 8 to 17 digits; null if it is none."""
+    d = (value[:14] + "0" * 14)[:14] if value.isdigit() else ""
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z" if d else None
+
+
 def convert_arc(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """A row a record of ARC archives (content binary), with what its WARC record needs."""
+    """A row a record of ARC archives (archive string, content binary), with what its WARC record needs; a row with `malformed` for the rest of an archive that breaks the format."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("media_type", pa.string()), ("http_head", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+        schema = pa.schema([
+            ("archive", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("media_type", pa.string()), ("http_head", pa.string()), ("payload", pa.binary()),
+            ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("malformed", pa.string()),
+        ])
         for b in batches:
-            for content in b.column(0):
+            for archive, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows, size = [], 0
-                for r in parse_arc(content.as_py()):
-                    head, _, payload = r["body"].partition(b"\r\n\r\n")
-                    text = head.decode("latin-1")
-                    found = re.search(r"(?im)^X-Page-Id: (-?\d+)\r?$", text)
-                    d = r["Archive-date"]
-                    rows.append({
-                        "page_id": int(found[1]) if found else None, "target_uri": r["URL"], "warc_date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", "media_type": r["Content-type"],
-                        "http_head": text + "\r\n\r\n", "payload": payload if with_payload else None, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(),
-                    })
-                    size += len(payload)
-                    if size >= ARC_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, size = [], 0
+                try:
+                    for r in parse_arc(content.as_py() or b""):
+                        head, split, payload = r["body"].partition(b"\r\n\r\n")
+                        if not split or not head.startswith(b"HTTP/"):  # not a web page's answer: all of it is payload
+                            head, payload = b"", r["body"]
+                        text = head.decode("latin-1")
+                        found = re.search(r"(?im)^X-Page-Id: (-?\d+)\r?$", text)
+                        rows.append({
+                            "archive": archive, "offset": r["offset"], "page_id": int(found[1]) if found else None, "target_uri": safe_uri(r["URL"]), "warc_date": arc_date(r["Archive-date"]), "media_type": r["Content-type"],
+                            "http_head": text + "\r\n\r\n" if text else "", "payload": payload if with_payload else None, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(),
+                        })
+                        size += len(payload)
+                        if size >= ARC_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, size = [], 0
+                except ValueError as e:
+                    rows.append({"archive": archive, "malformed": str(e)})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.select("content").mapInArrow(convert, CONVERTED)
+    return archives.select("archive", "content").mapInArrow(convert, CONVERTED)
 
 
-def record_id(page_id: Column, *instead: Column) -> Column:
-    """A version 8 style UUID from the page id, or from other columns if it is null."""
-    key = F.concat(F.lit("page:"), page_id.cast("string"))
-    h = F.sha2(F.coalesce(key, F.concat_ws(" ", F.lit("none:"), *instead)) if instead else key, 256)
+def record_id(archive: Column, offset: Column) -> Column:
+    """A version 8 style UUID from where the record was."""
+    h = F.sha2(F.concat_ws(" ", archive, offset.cast("string")), 256)
     part = lambda a, n: F.substring(h, a, n)
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("8"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12)))
 
 
 def with_types(records: DataFrame, digests: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """Adds record_type and refers_to. digests: payload_digest, payload_bytes and page_id of all records."""
+    """Adds record_type, refers_to and first_record (archive and offset of the response). digests: payload_digest, payload_bytes, page_id, archive and offset of all records."""
     shared = (
-        digests.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("payload_digest", "first_page")
+        digests.where((F.col("payload_bytes") >= min_revisit) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min(F.struct("page_id", "archive", "offset")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1").select("payload_digest", "first")
     )
-    again = F.col("first_page").isNotNull() & (F.col("page_id") != F.col("first_page"))
-    return records.join(shared, "payload_digest", "left").withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first_page"))}).drop("first_page")
+    again = F.col("first").isNotNull() & (F.col("page_id") != F.col("first.page_id"))
+    return records.join(shared, "payload_digest", "left").withColumns(
+        {"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first.page_id")), "first_record": F.when(again, F.col("first"))}
+    ).drop("first")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+def write_warc(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
     """Files of WARC/1.1 records. A revisit has its HTTP header only; its payload's digest and length stay in its header."""
     revisit = F.col("record_type") == "revisit"
-    block = F.when(revisit, F.encode("http_head", "UTF-8")).otherwise(F.concat(F.encode("http_head", "UTF-8"), F.col("payload")))
+    head_bytes = F.encode("http_head", "ISO-8859-1")
+    block = F.when(revisit, head_bytes).otherwise(F.concat(head_bytes, F.col("payload")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    named = lambda archive, offset: F.concat(F.lit("<"), record_id(archive, offset), F.lit(">"))
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.concat(F.lit("<"), record_id(F.col("page_id"), F.col("target_uri"), F.col("payload_digest")), F.lit(">"))), line("WARC-Date", F.col("warc_date")),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", named(F.col("archive"), F.col("offset"))), line("WARC-Date", F.coalesce("warc_date", F.lit("1970-01-01T00:00:00Z"))),
         line("WARC-Target-URI", F.col("target_uri")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))), line("WARC-Identified-Payload-Type", F.col("media_type")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<"), record_id(F.col("refers_to")), F.lit(">"))), line("X-Refers-To-Page-Id", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
-        line("X-Page-Id", F.coalesce(F.col("page_id").cast("string"), F.lit(""))), line("X-Payload-Length", F.col("payload_bytes").cast("string")), line("Content-Type", F.lit("application/http; msgtype=response")),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", named(F.col("first_record.archive"), F.col("first_record.offset"))), line("X-Refers-To-Page-Id", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
+        line("X-Page-Id", F.coalesce(F.col("page_id").cast("string"), F.lit(""))), line("X-Payload-Length", F.col("payload_bytes").cast("string")),
+        line("Content-Type", F.when(F.col("http_head") == "", F.col("media_type")).otherwise(F.lit("application/http; msgtype=response"))),
         line("Content-Length", F.octet_length(F.col("block")).cast("string")), F.lit("\r\n"),
     )
-    record = records.withColumn("block", block).select(F.concat(F.encode(head, "UTF-8"), F.col("block")).cast("string").alias("value"))
-    record.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    record = records.where(F.col("malformed").isNull()).withColumn("block", block).select(F.concat(F.encode(head, "UTF-8"), F.col("block")).cast("string").alias("value"))
+    record.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -215,7 +253,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     continue
                 for head, block in parse_warc(io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(data)))):
                     kind, told = head["warc-type"], head["warc-payload-digest"].removeprefix("sha256:")
-                    payload = block.partition(b"\r\n\r\n")[2]
+                    payload = block.partition(b"\r\n\r\n")[2] if head["content-type"].startswith("application/http") else block
                     length = len(payload)
                     if kind == "revisit":
                         length = int(head["x-payload-length"])
@@ -236,12 +274,23 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 def archive_pages(pages: DataFrame, path: str | None = None) -> str:
     """Pages through ARC archives to WARC files; the folder they are in."""
     path = path or new_path(pages.sparkSession, "warc")
-    archives = pages_to_arc(pages)
-    digests = convert_arc(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest")
-    write_warc(with_types(convert_arc(archives), digests), path)
+    archives = materialize(pages_to_arc(pages), "arc")
+    convert_archives(archives, path)
+    release(archives)
     return path
 
 
+def convert_archives(archives: DataFrame, path: str) -> None:
+    """ARC archives (archive string, content binary) to WARC files below `path`."""
+    digests = convert_arc(archives, with_payload=False).where(F.col("malformed").isNull()).select("page_id", "payload_bytes", "payload_digest", "archive", "offset")
+    digests = materialize(digests, "digests")
+    # As many records a file as take WARC_BYTES at their mean size.
+    size, n = digests.agg(F.sum("payload_bytes"), F.count(F.lit(1))).first()
+    per_file = min(RECORDS_PER_FILE, max(1, WARC_BYTES * n // max(1, size or 0)))
+    write_warc(with_types(convert_arc(archives), digests), path, per_file)
+    release(digests)
+
+
 ORACLE_SQL = """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_page FROM p)
