@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; one of our own only where the session names none (tests)."""
+    """The folder every executor sees. Where the session names none, a folder of our own in local mode (tests), an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='polislake-')}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -34,11 +36,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes what materialize() wrote for these tables; they must not be read again."""
+    """Deletes what materialize() or bucketed() wrote for these tables; they must not be read again."""
     for df in tables:
         path = getattr(df, "_stored_at", None)
         if path:
             remove(df.sparkSession, path)
+        name = getattr(df, "_stored_as", None)
+        if name:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -47,7 +52,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets the context cleaner drop the shuffle files of finished, unreferenced plans."""
+    """Lets the context cleaner drop the shuffle files of finished plans, which else stay on the executors' disks until the driver collects its garbage."""
     spark._jvm.System.gc()
 
 
@@ -74,4 +79,6 @@ def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
     """Writes `df` to the shared warehouse in buckets of `key`, so that grouping by it moves no rows of this table."""
     name = f"polislake_{tag}_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, key).format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
+    out = df.sparkSession.table(name)
+    out._stored_as = name
+    return out

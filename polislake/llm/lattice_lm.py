@@ -16,7 +16,8 @@ Nothing that grows with the corpus is broadcast: mappers ship their distinct wor
 table, which stays in buckets; a second pass asks those buckets for the counts and probabilities of the words of each group of texts.
 Only vectors as long as the vocabulary reach the driver.
 
-Null and empty texts have one token, the end. Repeated rows count as often as they occur. Without training text the vocabulary's own
+Null and empty texts have one token, the end. A null doc_id is passed on. Repeated rows count as often as they occur, and get equal scores; there are no ties. A very long text is scored
+whole, in a group of its own. Without training text the vocabulary's own
 scores apply. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ._exchange import SHIPPED, batch, by_key, exchange
-from ._store import bucketed, free_shuffles, materialize, modest_batches, shuffle_partitions
+from ._store import bucketed, free_shuffles, materialize, modest_batches, release, shuffle_partitions
 from ._tokens import Words, gather, lower_az, mix, pack, portions, split_by, unpack
 from .pieces import MARK, default_vocabulary, vocabulary
 
@@ -352,7 +353,7 @@ def _add_up(parts: DataFrame) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    rows = parts.coalesce(16).mapInArrow(run, "sums binary").collect()
+    rows = parts.repartition(16).mapInArrow(run, "sums binary").collect()
     return sum(np.frombuffer(r[0], float) for r in rows) if rows else None
 
 
@@ -399,7 +400,8 @@ def _ask_mapper(buckets: int) -> Callable:
 def score_texts(
     documents: DataFrame, train: F.Column, path: str | None = None, class_column: str | None = "lang", classes: int = CLASSES, rounds: int = ROUNDS, whole_words: bool = True
 ) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score (word unigram), score (this model), both log10.
+    """doc_id, n_tokens, n_known, train_tokens, base_score (word unigram), score (this model), lattice_score (the vocabulary's own scores alone: the sum over
+    the words of the log of the sum over their segmentations, without the end), all log10.
 
     train: a condition on the rows to learn from."""
     spark = documents.sparkSession
@@ -429,11 +431,14 @@ def score_texts(
     end = (texts + 1) / (uses + texts + 1000)
     model = {
         "logp": logp, "end": np.log(end), "weight": np.log((texts + 1) / (texts + 1).sum()),
-        "kinds": kinds if whole_words else np.zeros(classes), "uses": uses if whole_words else np.zeros(classes), "go_on": np.log1p(-end), "whole": whole_words,
+        "own": vocabulary(path).logp, "kinds": kinds if whole_words else np.zeros(classes), "uses": uses if whole_words else np.zeros(classes), "go_on": np.log1p(-end), "whole": whole_words,
     }
     parts = max(shuffle_partitions(spark), -(-size // GROUP_BYTES) // 4)
     numbered = rows.select("doc_id", "text").mapInArrow(_chunks, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, chunk bigint")
-    return _answer(bucketed(numbered, "chunks", "chunk", parts), words, buckets, path, model, v, n, trained)
+    held = bucketed(numbered, "chunks", "chunk", parts)
+    out = materialize(_answer(held, words, buckets, path, model, v, n, trained), "scores")
+    release(held, words)
+    return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,11 +493,11 @@ def _answer(held: DataFrame, words: DataFrame, buckets: int, path: str, model: d
             for k in range(classes):
                 counts[k, where[ok]] += c[k].astype(np.int64)[ok]
         own, ends = gather(flat, at[i], at[i + 1])
-        logs = np.zeros((classes, len(distinct)))
+        logs = np.zeros((classes + 1, len(distinct)))
         for s in word_slices(ends):
             chart = Chart(lattices_of(path), own[ends[s.start] : ends[s.stop]], ends[s.start : s.stop + 1] - ends[s.start])
-            for k in range(classes):
-                logs[k, s] = chart.forward(logp[k])[chart.last]
+            for k, weights in enumerate((*logp, model["own"])):
+                logs[k, s] = chart.forward(weights)[chart.last]
         for k in range(classes):
             if model["whole"] and model["kinds"][k]:
                 logs[k] = np.log(counts[k] + model["kinds"][k] * np.exp(logs[k])) - np.log(model["uses"][k] + model["kinds"][k])
@@ -506,14 +511,14 @@ def _answer(held: DataFrame, words: DataFrame, buckets: int, path: str, model: d
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.binary())], ["chunk", "blob"])
 
     kind = to_arrow_type(held.schema["doc_id"].dataType)
-    empty = pa.table({"doc_id": pa.array([], kind)} | {c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")} | {c: pa.array([], pa.float64()) for c in ("base_score", "score")})
+    empty = pa.table({"doc_id": pa.array([], kind)} | {c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")} | {c: pa.array([], pa.float64()) for c in ("base_score", "score", "lattice_score")})
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return empty
         data, offsets = _texts(docs.column(1))
         g = _Group(data, offsets, None, 0)
-        counts, logs = np.zeros(len(g.distinct), np.int64), np.zeros((classes, len(g.distinct)))
+        counts, logs = np.zeros(len(g.distinct), np.int64), np.zeros((classes + 1, len(g.distinct)))
         places, bounds = split_by((g.distinct % U(buckets)).astype(np.int64), buckets)
         for x in (a.as_py() for a in answers.column(1)):
             (k,), names, c, *parts_logs = unpack(x)
@@ -529,15 +534,15 @@ def _answer(held: DataFrame, words: DataFrame, buckets: int, path: str, model: d
         top = each.max(axis=0)
         likely = (top + np.log(np.exp(each - top).sum(axis=0))) / LN10
         return pa.Table.from_arrays(
-            [docs.column(0), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(np.full(size, n, np.int64)), pa.array(base), pa.array(likely)],
-            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            [docs.column(0), pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(np.full(size, n, np.int64)), pa.array(base), pa.array(likely), pa.array(total(logs[classes][word]) / LN10)],
+            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"],
         )
 
     tag = lambda df, letter: df.select("bucket", F.concat(F.lit(letter).cast("binary"), F.col("blob")).alias("blob"))
     asked = tag(held.select("text", "chunk").mapInArrow(asks, SHIPPED), "A")
     answers = exchange(asked.unionByName(tag(words.select("bucket", "blob"), "W")), buckets, reply, "chunk bigint, blob binary")
     doc_type = held.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {doc_type}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    schema = f"doc_id {doc_type}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, lattice_score double"
     return held.select("doc_id", "text", "chunk").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
 
 

@@ -25,7 +25,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))  # a null id is not held out
     return identify(_documents(spark, sf_dir), ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -39,9 +39,9 @@ def op3_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lattice_lm import score_texts
 
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     scored = score_texts(_documents(spark, sf_dir), ~held_out)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
