@@ -12,8 +12,9 @@ copy in this run, over the target, is the share y of the source's demand that co
 Running sums are two-level: buckets of the keyed order are summed first, so a hot source is spread over many tasks, and the
 window runs inside a bucket only. The source table has a row a source.
 
-Null text is size 0. A document of size 0 is never taken. Repeated rows are separate copies of a document.
-An empty table gives an empty result. Other columns are neither read nor kept.
+Null text is size 0. A document of size 0 is never taken. Repeated rows are separate copies of a document. Ties in the keyed order (a repeated or null doc_id) are
+broken by id, size and a hash of the row; rows that are equal in all of them are interchangeable. A very long text is one document of its size, read once. An empty table gives an empty
+result. `mix_plan` and `training_order` leave other columns out; `mixed` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import free_shuffles, fresh, materialize
+from ._store import free_shuffles, fresh, materialize, release
 
 WEIGHTS = (5, 2, 1)
 SLOPES = (-0.5, 0.0, 0.5)
@@ -54,9 +55,15 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return first.select("sid", "source", "source_size", "rows", "slope", target.alias("target"))
 
 
+def identity(documents: DataFrame) -> Column:
+    """128 bits of all columns (maps excepted, which have no hash): rows that differ in any of them are told apart."""
+    columns = [f"`{c}`" for c, kind in documents.dtypes if "map<" not in kind]
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
 def mix_plan(documents: DataFrame, split_boundary: bool = True) -> DataFrame:
-    """A row a document row: doc_id, row (a hash of id and text), size, source_size, target, taken, copies array<struct<position, words>>."""
-    sized = materialize(documents.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("row"), words_in("text").alias("size")), "sizes")
+    """A row a document row: doc_id, row (a hash of all columns), size, source_size, target, taken, copies array<struct<position, words>>."""
+    sized = materialize(documents.select("doc_id", "source", identity(documents).alias("row"), words_in("text").alias("size")), "sizes")
     targets = materialize(source_targets(sized), "targets")
     most = targets.agg(F.max("rows")).first()[0] or 0
     digits = 0
@@ -100,14 +107,15 @@ def training_order(plan: DataFrame) -> DataFrame:
 
 def mixed(documents: DataFrame) -> DataFrame:
     """The documents of the mix, a row a copy, range-sorted by training position; whole documents only. Columns as in `documents`."""
-    plan = materialize(mix_plan(documents, split_boundary=False).where(F.size("copies") > 0).select("row", F.col("copies.position").alias("positions")), "plan")
+    plan = stored = materialize(mix_plan(documents, split_boundary=False).where(F.size("copies") > 0).select("row", F.col("copies.position").alias("positions")), "plan")
     row, positions, position = (fresh(documents.columns, x) for x in ("mixed_row", "mixed_positions", "mixed_position"))
-    texts = documents
-    if plan.groupBy("row").count().where("count > 1").limit(1).count():  # rows that repeat id and text: one text, all their copies
-        plan = plan.groupBy("row").agg(F.flatten(F.collect_list("positions")).alias("positions"))
-        texts = documents.groupBy(F.xxhash64("doc_id", "text").alias(row)).agg(*[F.first(c).alias(c) for c in documents.columns]).drop(row)
+    texts = documents.withColumn(row, identity(documents))
+    if plan.groupBy("row").count().where("count > 1").limit(1).count():  # equal rows: any of them stands for all, with all their copies
+        plan = plan.select("row", F.explode("positions").alias("position")).groupBy("row").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+        texts = texts.dropDuplicates([row])
     plan = plan.select(F.col("row").alias(row), F.col("positions").alias(positions))
-    joined = materialize(texts.join(plan, F.xxhash64("doc_id", "text") == F.col(row)).select(*documents.columns, positions), "mixed")
+    joined = materialize(texts.join(plan, row).select(*documents.columns, positions), "mixed")
+    release(stored)
     free_shuffles(documents.sparkSession)
     copies = joined.select(*documents.columns, F.explode(positions).alias(position))
     return copies.orderBy(position, "doc_id").select(*documents.columns)
