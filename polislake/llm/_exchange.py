@@ -1,7 +1,9 @@
 """A shuffle of packed arrays: mappers make (bucket, blob) rows, reducers get all blobs of a bucket.
 
 Blobs cost the JVM a row each instead of a row a hash, and mappers combine before they ship, so that a hash of a third of all
-rows is one row a mapper. A bucket holds about BUCKET_BYTES of input text whatever the input's size."""
+rows is one row a mapper. A bucket holds about BUCKET_BYTES of input text, until there are MOST_BUCKETS of them (1 TiB of text);
+beyond that it grows with the input (about 1.5 GB of text at 100 TB, whose hashes its reducer holds packed), since a shuffle of more partitions costs Spark more
+than it saves. Results do not depend on it."""
 
 from __future__ import annotations
 

@@ -3,6 +3,8 @@
 Words are lower-cased (A-Z), as 64-bit hashes. A query is the set of its distinct words. BM25 with K1 and B, idf ln(1 + (N - df + 0.5) / (df + 0.5)), where N, the mean
 length and df are global: document frequencies are counted over all documents and come back to the queries by an exchange.
 
+The pruning is by block-max bounds, taken for all blocks of a shard at once in vectorised passes, not by a cursor that moves from pivot to pivot.
+
 Each mapper writes its documents as index shards of about SHARD_BYTES of text: postings by term, documents ordered within the shard so that like ones are
 neighbours (by their most frequent word and length), in blocks of BLOCK documents with each term's largest weight in each block. A query
 goes through a shard as follows: the sum of its terms' shard maxima must reach its threshold (the K-th best score so far in the task); the sums of block
@@ -10,7 +12,8 @@ maxima order the blocks; the best blocks are scored in full, the threshold rises
 enter the result is skipped, so merging the tasks' results is exact.
 
 Queries are processed in blocks of at most BLOCK_TERMS terms, one broadcast of bounded size a block. Scores are rounded to 6 decimals, ties go to the smaller
-doc_id. Null, empty and blank texts match nothing and, as queries, return nothing. Rows that repeat a doc_id are documents of their own. An empty table
+doc_id. Null, empty and blank texts match nothing and, as queries, return nothing. Rows that repeat a doc_id are documents of their own; as queries they are
+one, of all their words. A null doc_id is found, as null, but is no query. A very long text is a document and a query like any other; memory grows with the longest. An empty table
 gives an empty result. Other columns are not read.
 """
 
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._exchange import SHIPPED, batch, bucket_count, exchange
-from ._store import free_shuffles, materialize
+from ._store import free_shuffles, materialize, release
 from ._tokens import Words, pack, portions, split_by, unpack
 
 K = 10
@@ -260,6 +263,7 @@ def search(documents: DataFrame, is_query: Column, k: int = K, block_terms: int
         queries = Queries(*(mine.column(c).to_numpy() for c in ("query_id", "term", "df")), docs)
         part = index.select("blob").mapInArrow(_search_mapper(queries, words / max(docs, 1), k), RESULT)
         found = materialize(part, "found") if found is None else found.unionByName(materialize(part, "found"))
+    release(index, terms)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.when(F.col("doc_id") == none, None).otherwise(F.col("doc_id")).alias("doc_id"), "score")

@@ -20,7 +20,10 @@ No pairs of a group are ever made as rows. Both sides of a comparison are counte
 
 Null, empty and blank texts have an empty set and link with nothing, not even each other. Rows that repeat a doc_id are documents of
 their own with one id. A null doc_id is a document whose component_id is the least non-null id of its component, if any.
+Ties: the least doc_id names a component, and rows that share it are all members. A very long text is a set like any other; memory grows with the longest.
 An empty table gives an empty result. Other columns are not read.
+
+The links returned are those of a spanning forest: all that components need, not the number of links of each document.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ._exchange import SHIPPED, batch, bucket_count, by_key, exchange
 from ._graph import components
-from ._store import free_shuffles, fresh, materialize
+from ._store import free_shuffles, fresh, materialize, release
 from ._tokens import Words, constants, gram_starts, grams, mix, pack, portions, split_by, unpack
 
 SHINGLE = 4
@@ -321,7 +324,7 @@ def bloom_filter(keys: DataFrame, count: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
     out = np.zeros(size, np.uint8)
-    for r in keys.coalesce(8).mapInArrow(run, "bits binary").collect():
+    for r in keys.repartition(8).mapInArrow(run, "bits binary").collect():
         out |= np.frombuffer(r[0], np.uint8)
     return out
 
@@ -578,6 +581,7 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, percent: in
     to_component = materialize(linked.join(least, "root").select("node", "component_id", F.col("root").alias("class")), "node-components")
     both = nodes.select("node", "least_doc").join(to_component, "node", "left")
     own = materialize(both.select("node", F.coalesce("component_id", "least_doc").alias("component_id"), F.coalesce("class", "node").alias("class")), "classes")
+    release(nodes, groups, chains, weighed, sizes, member, links, least, to_component)
     out = named.join(own, "node", "left")
     return out.select(
         "doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("class")).alias("class")

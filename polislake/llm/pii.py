@@ -9,7 +9,8 @@ R, for ROUNDS rounds, F being keyed SHA-256. So the map is a bijection of each f
 ones different. A card keeps its first digit and gets a new check digit; a telephone number keeps its country code; an address keeps its
 domain; a date is a day number in the 146,097 days of a Gregorian cycle, as two symbols (189 x 773 days).
 
-Nothing is shuffled. Null text stays null. Repeated rows get equal results. An empty table gives an empty result. Other columns stay as they are.
+Nothing is shuffled. Null text stays null. Repeated rows get equal results. There are no ties: of overlapping candidates the one that begins first counts, and of those the first kind in the
+order of PATTERNS. A very long text is read whole. An empty table gives an empty result. Other columns stay as they are.
 """
 
 from __future__ import annotations

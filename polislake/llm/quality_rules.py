@@ -11,7 +11,7 @@ its ordinary members. A group of fewer than MIN_GROUP documents takes the fence
 small language that of all documents.
 
 Null text counts as empty; an empty text fails the base rules. Null lang or source is a group of its own. Repeated rows
-are judged row by row. An empty table gives an empty result. Extra columns are ignored; names are read only
+are judged row by row. There are no ties: a value on a fence is inside. A very long text is measured whole. An empty table gives an empty result. Extra columns are ignored; names are read only
 from `doc_id`, `text`, `lang` and `source`.
 """
 

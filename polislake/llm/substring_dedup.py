@@ -12,7 +12,7 @@ hash, though only positions of these residues are hashed.
 A mapper ships one document a hash (the smallest), so a passage of a third of all documents costs a row a mapper. No pairs are made.
 
 Null and empty text give no words. Documents shorter than a window are left whole. A null doc_id counts as the smallest. Rows that repeat a doc_id do
-not remove each other's words, and each row is judged by its own text. An empty table gives an empty result. Other columns are not read.
+not remove each other's words, and each row is judged by its own text. There are no ties: equal ids do not order each other. A very long text is read whole; memory grows with the longest. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
