@@ -65,10 +65,13 @@ def counters(events: DataFrame) -> DataFrame:
 
 
 def start(events: DataFrame, path: str, checkpoint: str, every: str = "5 minutes", available_now: bool = False, delay: str = "1 hour"):
-    """A query that appends the triples of a stream of events to `path`; a repeated event is dropped within the delay, later ones by the set on reading."""
-    timed = events.withColumn("event_time", F.coalesce(F.try_to_timestamp("timestamp"), F.current_timestamp()))
-    once = timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["contribution_id"])
-    out = ingest(once.drop("event_time")).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    """A query that appends the triples of a stream of events to `path`.
+
+    An event that repeats another in all its fields is dropped if it comes within the delay, later ones by the set on reading. The watermark is on the time of arrival alone,
+    so an event without an id or a time, or with an old time, is stored like any other."""
+    once = events.withColumn("arrived", F.current_timestamp()).withColumn("same", F.sha2(F.to_json(F.struct(*events.columns)), 256))
+    once = once.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["same"])
+    out = ingest(once.drop("arrived", "same")).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=every)).start()
 
 

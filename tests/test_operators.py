@@ -134,6 +134,23 @@ def test_ingest_batch_and_stream(spark, tmp_path):
     assert c["point-1"] == 1
 
 
+def test_stream_keeps_every_event(spark, tmp_path):
+    files = [
+        [EVENTS[0], {"text": "no id, no time"}, {"contribution_id": "now", "text": "no time"}], [{"text": "another without an id"}, {"contribution_id": "old", "text": "long ago", "timestamp": "1999-05-05T00:00:00"}],
+        [EVENTS[0], {"contribution_id": "point-1", "text": "Bello, changed", "timestamp": "2024-01-01T00:00:00"}, {"text": "no id, no time"}],
+    ]
+    (tmp_path / "in").mkdir()
+    for i, events in enumerate(files):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(map(json.dumps, events)))
+    batch = {tuple(r[c] for c in TRIPLE_COLUMNS) for r in I.ingest(I.parse_events(spark.read.text(f"{tmp_path}/in"))).collect()}
+    stream = I.parse_events(spark.readStream.option("maxFilesPerTrigger", 1).text(f"{tmp_path}/in"))
+    I.start(stream, f"{tmp_path}/out", f"{tmp_path}/cp", available_now=True).awaitTermination()
+    stored = [tuple(r[c] for c in TRIPLE_COLUMNS) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert {tuple(r[c] for c in TRIPLE_COLUMNS) for r in I.read_set(spark, f"{tmp_path}/out").collect()} == batch
+    texts = [o for _, _, p, o, *_ in stored if p == DEL + "text"]
+    assert sorted(texts) == ["Bello", "Bello, changed", "another without an id", "long ago", "no id, no time", "no time"]
+
+
 def test_product_counts(spark):
     l = spark.createDataFrame([("g", "x"), ("g", "x"), ("g", "y")], "g string, b string")
     r = spark.createDataFrame([("g", "x"), ("g", "x"), ("g", "x")], "g string, b string")
