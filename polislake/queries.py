@@ -158,7 +158,10 @@ sparql_query(
 sparql_query(
     "thread_structure",
     "SELECT ?later ?first WHERE { ?later del:responseTo+ ?first }",
-    "SELECT '{R}conversation_1_' || turn AS later, '{R}conversation_1_0' AS first FROM (SELECT DISTINCT turn FROM conversations WHERE conv_id = 1) WHERE turn > 0 AND EXISTS (SELECT 1 FROM conversations WHERE conv_id = 1 AND turn = 0) AND turn <= (SELECT min(t) FROM (SELECT turn AS t FROM conversations WHERE conv_id = 1 AND turn + 1 NOT IN (SELECT turn FROM conversations WHERE conv_id = 1)))",
+    """WITH RECURSIVE s AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    r AS (SELECT a.conv_id, a.turn AS later, b.turn AS first FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1
+      UNION SELECT r.conv_id, r.later, s.turn FROM r JOIN s ON s.conv_id = r.conv_id AND s.turn = r.first - 1)
+    SELECT '{R}conversation_' || conv_id || '_' || later AS later, '{R}conversation_' || conv_id || '_' || first AS first FROM r""",
     conversation_graph,
 )
 sparql_query(
@@ -166,6 +169,70 @@ sparql_query(
     "SELECT ?class (COUNT(?x) AS ?n) WHERE { ?x a ?class } GROUP BY ?class ORDER BY ?class",
     "SELECT '{D}DeliberationProcess' AS class, CAST(count(*) AS VARCHAR) AS n FROM nation UNION ALL SELECT '{D}Participant', CAST(count(*) AS VARCHAR) FROM customer UNION ALL SELECT '{D}Contribution', CAST(count(*) AS VARCHAR) FROM orders UNION ALL SELECT '{D}Organization', CAST(count(DISTINCT c_mktsegment) AS VARCHAR) FROM customer UNION ALL SELECT '{D}Topic', CAST(count(DISTINCT p_brand) AS VARCHAR) FROM part",
 )
+sparql_query(
+    "topics_of_named_processes",
+    """SELECT ?process ?topic WHERE { ?p a del:DeliberationProcess ; del:name ?process ; del:hasTopic ?t . ?t del:name ?topic FILTER(CONTAINS(LCASE(?process), "united")) }""",
+    "SELECT DISTINCT n_name AS process, p_brand AS topic FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE contains(lower(n_name), 'united')",
+)
+sparql_query(
+    "responses",
+    "SELECT ?answer ?to ?text WHERE { ?answer del:responseTo ?to . OPTIONAL { ?answer del:text ?text } }",
+    "SELECT '{R}conversation_' || a.conv_id || '_' || a.turn AS answer, '{R}conversation_' || b.conv_id || '_' || b.turn AS to, CAST(NULL AS VARCHAR) AS text FROM (SELECT DISTINCT conv_id, turn FROM conversations) a JOIN (SELECT DISTINCT conv_id, turn FROM conversations) b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1",
+    conversation_graph,
+)
+sparql_query(
+    "topics_with_ids",
+    "SELECT ?t ?name WHERE { ?t a del:Topic ; del:name ?name } ORDER BY ?name",
+    "SELECT DISTINCT '{R}topic_' || replace(p_brand, '#', '-') AS t, p_brand AS name FROM part",
+)
+sparql_query(
+    "participants_by_organization",
+    "SELECT ?org ?name WHERE { ?p del:isAffiliatedWith ?o ; del:name ?name . ?o del:name ?org } ORDER BY ?org ?name",
+    "SELECT c_mktsegment AS org, c_name AS name FROM customer",
+)
+sparql_query(
+    "participants_of_a_platform",
+    """SELECT ?name ?org WHERE { ?d a del:DeliberationProcess ; del:name "FRANCE" ; del:hasParticipant ?p . ?p del:name ?name . OPTIONAL { ?p del:isAffiliatedWith ?o . ?o del:name ?org } }""",
+    "SELECT c_name AS name, c_mktsegment AS org FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name = 'FRANCE'",
+)
+sparql_query(
+    "contributions_with_author",
+    "SELECT ?c ?text ?author WHERE { ?c a del:Contribution ; del:text ?text . OPTIONAL { ?c del:madeBy ?p . ?p del:name ?author } }",
+    "SELECT '{R}contribution_' || o_orderkey AS c, o_orderpriority AS text, c_name AS author FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
+)
+sparql_query(
+    "related_topics_of_processes",
+    """SELECT DISTINCT ?a ?b WHERE { ?x del:hasTopic ?t ; del:name ?a . ?y del:hasTopic ?t ; del:name ?b . ?t del:name "Brand#13" FILTER(?a != ?b) }""",
+    """WITH t AS (SELECT DISTINCT n_name FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_brand = 'Brand#13')
+    SELECT x.n_name AS a, y.n_name AS b FROM t x JOIN t y ON x.n_name <> y.n_name""",
+)
+
+
+def _linked(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A query over the people of two platforms, the links between them and what customers contribute."""
+    people = _people(spark, sf_dir)
+    pairs = L.resolve_participants(people).where("relation = 'sameAs'").select(F.col("a").alias("source"), F.col("b").alias("target"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        pairs = pairs.checkpoint()  # the graph scans the pairs once a pattern
+    made = _t(spark, sf_dir, "orders").select(res("contribution", "o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"), F.lit(None).cast("string").alias("timestamp"), res("c", "o_custkey").alias("author"))
+    triples = M.to_triples(M.Entities({"participant": people}, {"same_as": pairs}), "people")
+    more = made.select(F.inline(F.array(*[F.struct(F.col("id").alias("s"), F.lit("uri").alias("s_kind"), F.lit(T.DEL + p).alias("p"), F.col(c).alias("o"), F.lit(k).alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"), F.lit("orders").alias("src")) for p, c, k in (("madeBy", "author", "uri"), ("text", "text", "literal"))])))
+    return values(sparql(triples.select(*T.TRIPLE_COLUMNS, "src").unionByName(more), text))
+
+
+LINKS_SQL = "customer JOIN supplier ON regexp_replace(c_name, '[^0-9]', '', 'g') = regexp_replace(s_name, '[^0-9]', '', 'g')"
+
+
+@query(f"SELECT CAST(count(*) AS VARCHAR) AS n FROM {LINKS_SQL}")
+def same_as_count(spark, sf_dir):
+    return _linked(spark, sf_dir, "SELECT (COUNT(?a) AS ?n) WHERE { ?a owl:sameAs ?b }")
+
+
+@query(f"SELECT '{{R}}s_' || s_suppkey AS person, '{{R}}contribution_' || o_orderkey AS c, o_orderpriority AS text FROM {LINKS_SQL} JOIN orders ON o_custkey = c_custkey")
+def contributions_of_linked_participants(spark, sf_dir):
+    return _linked(spark, sf_dir, 'SELECT ?person ?c ?text WHERE { ?a owl:sameAs ?person . ?person del:platform "b" . ?c del:madeBy ?a ; del:text ?text }')
+
+
 sparql_query("initial_bindings", "SELECT ?p ?name WHERE { ?p del:name ?name }", "SELECT c_name AS name, CAST(NULL AS VARCHAR) AS p FROM customer WHERE c_custkey = 3", bound={"p": T.iri(RES + "participant_3")})
 ORACLE["initial_bindings"] = f"SELECT '{RES}participant_3' AS p, c_name AS name FROM customer WHERE c_custkey = 3"
 
@@ -287,8 +354,13 @@ def topic_relations(spark, sf_dir):
     return L.relate_topics(_topic_names(spark, sf_dir))
 
 
+@query(f"SELECT relation, count(*) AS n FROM ({TOPIC_SQL}) GROUP BY relation")
+def topic_relation_counts(spark, sf_dir):
+    return L.relate_topics(_topic_names(spark, sf_dir)).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""
-WITH t AS (SELECT CAST(min(p_partkey) AS VARCHAR) AS id, p_brand AS process, lower(substr(p_name, 1, 9)) AS n FROM part WHERE p_name IS NOT NULL GROUP BY 2, 3)
+WITH t AS (SELECT CAST(min(p_partkey) AS VARCHAR) AS id, p_brand AS process, lower(p_name) AS n FROM part WHERE p_name IS NOT NULL GROUP BY 2, 3)
 SELECT a.id AS a, b.id AS b, a.process AS process_a, b.process AS process_b FROM t a JOIN t b ON a.process <> b.process AND (contains(a.n, b.n) OR contains(b.n, a.n)) WHERE a.n <> '' AND b.n <> ''
 """)
 def similar_topics(spark, sf_dir):

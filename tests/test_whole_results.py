@@ -7,7 +7,6 @@ import pytest
 
 from polislake import queries as Q
 from polislake.functions.terms import TRIPLE_SCHEMA
-from polislake.llm import warc
 from polislake.operators import link as L
 from polislake.plans.results import sparql, values
 
@@ -94,14 +93,3 @@ def test_similar_words_loses_no_pair(spark):
                 want.add((x, y))
     got = [tuple(r) for r in L.similar_words(spark.createDataFrame([(n,) for n in names], "n string")).collect()]
     assert want and want <= set(got) and len(got) == len(set(got))
-
-
-def test_pages_without_an_id(spark, tmp_path):
-    same = "x" * 200
-    rows = [(None, "http://a/1", same), (None, "http://a/2", same), (None, None, None), (5, "http://a/5", same), (7, "http://a/7", same)]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    path = warc.archive_pages(pages, f"{tmp_path}/warc")
-    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, path).collect()), key=str)
-    assert got == sorted([(None, 200, "response", None), (None, 200, "response", None), (None, 0, "response", None), (5, 200, "response", None), (7, 200, "revisit", 5)], key=str)
-    text = "".join(r[0] for r in spark.read.text(path, lineSep="\r\n").collect() if r[0].startswith("WARC-Record-ID"))
-    assert len(set(text.split("WARC-Record-ID: ")[1:])) == 5
