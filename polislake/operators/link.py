@@ -72,20 +72,28 @@ def resolve_participants(participants: DataFrame, cap: int | None = None, compat
 def relate_topics(topics: DataFrame, broader: float = 0.7, related: float = 0.4) -> DataFrame:
     """(a, b, jaccard, relation): `broader` from the longer name to the shorter and `narrower` back, or `related` both ways.
 
-    topics: id, name. Only names longer than five characters. Of n tokens a related name shares at least related * n, so one of the rarest n - related * n + 1 of each,
-    in one order of all tokens; only those are joined, and a pair counts where its first shared one is. Exact for thresholds over 0; a token that most names have is
-    seldom looked up. Equal lengths: the second (by id) is the one with the longer name."""
+    topics: id, name. Only names longer than five characters. Names that must share two tokens or more are joined on the first two they share, in one order of all
+    tokens by frequency: of n tokens, both are among the rarest n - max(related * n, 2) + 2. A frequent pair of tokens is a key of few names, so candidates stay near the
+    result. Names so short that one shared token is enough are joined on it. Exact for thresholds over 0. Equal lengths: the second (by id) is the one with the longer name."""
     t = topics.select("id", "name", X.topic_tokens(F.col("name")).alias("tokens")).where((F.length("name") > 5) & (F.size("tokens") > 0)).dropDuplicates(["id", "name"])
     words = t.select("id", "name", F.explode("tokens").alias("w"))
     common = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     ranked = words.join(common, "w").groupBy("id", "name").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
-    n = F.size("r")
-    some = n - F.ceil(n * related - 1e-9).cast("int") + 1
-    sets = ranked.select("id", F.length("name").alias("len"), n.alias("n"), F.transform("r", lambda x: x["w"]).alias("tokens"), some.alias("some"))
-    index = sets.withColumn("prefix", F.slice("tokens", F.lit(1), F.col("some"))).select("id", "len", "n", "tokens", "prefix", F.explode("prefix").alias("w"))
-    other = index.select("w", *[F.col(c).alias(f"{c}2") for c in ("id", "len", "n", "tokens", "prefix")])
-    near = (F.col("id") < F.col("id2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * related - 1e-9)
-    hits = index.join(other, "w").where(near).where(F.array_intersect("prefix", "prefix2")[0] == F.col("w")).withColumn("c", F.size(F.array_intersect("tokens", "tokens2")))
+    sets = ranked.select("id", F.length("name").alias("len"), F.size("r").alias("n"), F.transform("r", lambda x: x["w"]).alias("tokens"))
+    least = F.ceil((F.col("n") + F.col("n2")) * related / (1 + related) - 1e-9)  # tokens that a pair of these sizes shares at least
+
+    def pairs(index: DataFrame, k: int) -> DataFrame:
+        other = index.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "len", "n", "tokens")])
+        near = (F.col("id") < F.col("id2")) & ((least > 1) if k == 2 else (least <= 1))
+        met = index.join(other, "key").where(near).withColumn("both", F.array_intersect("tokens", "tokens2"))
+        return met.where(F.slice("both", 1, k) == F.col("key")).withColumn("c", F.size("both"))
+
+    prefix = F.expr(f"slice(tokens, 1, n - CAST(greatest(ceil(n * {related} - 1e-9), 2) AS INT) + 2)")
+    twos = F.expr("flatten(transform(prefix, (x, i) -> transform(slice(prefix, i + 2, size(prefix)), y -> array(x, y))))")
+    hits = pairs(sets.where("n > 1").withColumn("prefix", prefix).withColumn("key", F.explode(twos)).drop("prefix"), 2)
+    if 2 * related <= 1 + related:  # two names of one token each need one
+        short = sets.where(F.col("n") + 1 <= (1 + related) / related + 1e-9)
+        hits = hits.unionByName(pairs(short.withColumn("key", F.explode(F.transform("tokens", lambda x: F.array(x)))), 1))
     scored = hits.withColumn("jaccard", F.col("c") / (F.col("n") + F.col("n2") - F.col("c"))).where(F.col("jaccard") >= related)
     first_longer = F.col("len") > F.col("len2")
     up = F.struct(F.when(first_longer, F.col("id")).otherwise(F.col("id2")).alias("a"), F.when(first_longer, F.col("id2")).otherwise(F.col("id")).alias("b"))

@@ -93,3 +93,18 @@ def test_similar_words_loses_no_pair(spark):
                 want.add((x, y))
     got = [tuple(r) for r in L.similar_words(spark.createDataFrame([(n,) for n in names], "n string")).collect()]
     assert want and want <= set(got) and len(got) == len(set(got))
+
+
+@pytest.mark.parametrize("related", [0.4, 0.2, 0.75])
+def test_relate_topics_loses_no_pair(spark, related):
+    draw = random.Random(11)
+    words = ["apple", "bread", "cider", "dates", "elder", "figs", "grape", "honey", "ivory", "jelly"]
+    names = [(f"t{i:03d}", " ".join(draw.choices(words, weights=[30, 20, 10, 5, 4, 3, 2, 1, 1, 1], k=draw.randint(1, 7)))) for i in range(120)]
+    want = set()
+    for i, x in names:
+        for j, y in names:
+            a, b = set(x.split()), set(y.split())
+            if i < j and len(x) > 5 and len(y) > 5 and (s := len(a & b) / len(a | b)) >= related:
+                want |= {(i, j, s >= 0.7), (j, i, s >= 0.7)}
+    got = [(r["a"], r["b"], r["relation"] != "related") for r in L.relate_topics(spark.createDataFrame(names, "id string, name string"), related=related).collect()]
+    assert want and sorted(got) == sorted(want)
