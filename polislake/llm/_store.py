@@ -26,10 +26,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes `df` once to the shared folder and reads it back: cuts lineage and survives a lost executor."""
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Writes `df` once to the shared folder and reads it back: cuts lineage and survives a lost executor. options: of the Parquet writer."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

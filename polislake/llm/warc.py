@@ -274,7 +274,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 def archive_pages(pages: DataFrame, path: str | None = None) -> str:
     """Pages through ARC archives to WARC files; the folder they are in."""
     path = path or new_path(pages.sparkSession, "warc")
-    archives = materialize(pages_to_arc(pages), "arc")
+    archives = materialize(pages_to_arc(pages), "arc", compression="zstd")
     convert_archives(archives, path)
     release(archives)
     return path
