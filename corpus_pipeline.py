@@ -1,6 +1,7 @@
 """From raw documents to sampled subword segmentations: language, near-duplicates, personal data, mixture, SentencePiece.
 
-Each stage reads what its predecessor wrote. All but the last return the columns of documents."""
+Each stage reads what its predecessor wrote. All but the last return the columns of documents. Every stage takes nulls in any column, whole texts of any length (memory grows with
+the longest), empty tables (an empty result) and extra columns of any name, which all but the last pass on."""
 
 from __future__ import annotations
 
@@ -22,28 +23,33 @@ TOGETHER = 3 << 17
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network tells with a score of at least 0.5; null texts and texts without a letter go."""
+    """Documents whose language the network tells with a score of at least 0.5; null texts and texts without a letter go.
+    Repeated rows get equal decisions, and a score of exactly 0.5 stays. A null doc_id trains and is judged like any other."""
     return keep_identified(docs, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle sets linked at a Jaccard similarity of 0.8: that with the smallest doc_id."""
+    """One document of each component of five-word shingle sets linked at a Jaccard similarity of 0.8: that with the smallest doc_id (a null one last; of
+    rows that tie in id by a hash of the row, of rows equal in id and text any one). Null, empty and blank texts stay: they are like nothing, not even each other."""
     return keep_one(docs, shingle=5, percent=80)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms for personal data; n_chars follows the text."""
+    """Documents with pseudonyms for personal data; n_chars follows the text. Null text stays null; rows are judged one by one, so repeated rows
+    stay equal and there are no ties."""
     out = pseudonymize(docs, PSEUDONYM_KEY)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, a row a copy, in training order."""
+    """The documents that the mix takes, a row a copy, in training order (ties by doc_id). Texts without words are not taken; a null source is a source;
+    repeated rows are copies that the mix counts one by one."""
     return mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SAMPLES distinct segmentations of each row, sampled without replacement."""
+    """SAMPLES distinct segmentations of each row, sampled without replacement; fewer where a row has fewer, none for a null text. Rows that repeat a doc_id and a text
+    repeat their samples."""
     return sample_segmentations(docs, k=SAMPLES, together=TOGETHER)
 
 
