@@ -195,6 +195,16 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[Column | str]) -> D
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) == 1).drop(name)
 
 
+def group_samples(rows: DataFrame, group: str, order: list[str], sample: Column, most: int = 3) -> DataFrame:
+    """group, n, samples: how many rows a group has and `sample` of its first `most` (by `order`, ties by the sample), each of at most that many rows
+    a task: both halves are cut down before they are shuffled."""
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy(group).orderBy(*order, "__sample")
+    top = rows.select(group, *order, sample.alias("__sample")).withColumn("__place", F.row_number().over(first)).where(F.col("__place") <= most)
+    kept = top.groupBy(F.col(group).alias("__group")).agg(F.sort_array(F.collect_list(F.struct("__place", "__sample"))).alias("__kept"))
+    return counts.join(kept, F.col(group).eqNullSafe(F.col("__group"))).select(group, "n", F.col("__kept.__sample").alias("samples"))
+
+
 def surrogate_ids(rows: DataFrame, group: str, key: str, position: str) -> DataFrame:
     """group, key, n: keys of a group numbered by first appearance."""
     first = rows.groupBy(group, key).agg(F.min(position).alias("first"))

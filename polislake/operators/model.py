@@ -90,9 +90,10 @@ def entities(triples: DataFrame) -> Entities:
     return Entities({c: instances(triples, c).join(by_id, "id", "left") for c in CLASSES}, {k: links(triples, k) for k in LINKS})
 
 
-def write_graph(triples: DataFrame, path: str) -> None:
-    """Partitioned by predicate, so that a pattern with a constant predicate reads its own files only."""
-    triples.repartition("p").write.mode("overwrite").partitionBy("p").parquet(path)
+def write_graph(triples: DataFrame, path: str, parts: int = 32) -> None:
+    """Partitioned by predicate, so that a pattern with a constant predicate reads its own files only. A predicate's triples are dealt to up to
+    `parts` tasks by their subject: most triples have one of a few predicates."""
+    triples.repartition("p", F.pmod(F.xxhash64("s"), F.lit(parts))).write.mode("overwrite").partitionBy("p").parquet(path)
 
 
 def read_graph(spark, path: str) -> DataFrame:

@@ -5,7 +5,9 @@ Ids that are local to a file are prefixed by their process, unless compat asks f
 from __future__ import annotations
 
 import sqlite3
+import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -316,6 +318,90 @@ def decidim_csv(spark: SparkSession, proposals_path: str, comments_path: str | N
     return _proposals(p, c, "decidim", "Decidim Barcelona")
 
 
+#: What a Decidim export file holds, by what its name contains; the first that fits counts.
+DECIDIM_FILES = (("meeting_comments", "meeting_comments"), ("comments", "proposal_comments"), ("proposals", "proposals"), ("meetings", "meetings"), ("results", "results"))
+DECIDIM_PLATFORM = "Decidim Barcelona Participatory Democracy Platform"
+
+
+def _cells(df: DataFrame | None, *names: str) -> list[Column]:
+    """Columns by name (with slashes); null where there is none, or for an empty text."""
+    return [F.nullif(F.col(f"`{n}`").cast("string"), F.lit("")).alias(n) if df is not None and n in df.columns else F.lit(None).cast("string").alias(n) for n in names]
+
+
+def decidim_spaces(proposals: DataFrame, meetings: DataFrame | None = None, proposal_comments: DataFrame | None = None, meeting_comments: DataFrame | None = None, results: DataFrame | None = None) -> Entities:
+    """One process a participatory space that has proposals. Columns are those of the open data files; one that is missing counts as null.
+
+    Meetings join spaces that exist; a comment belongs to every space its parent is in, and answers it. A category is a topic of the spaces whose
+    proposals have it, and of their contributions. Results are topics, of their space or, without a known one, of the platform. Rows without an id or
+    text give no contribution, authors without a name no participant; repeated rows give one; of several names of an id the least is taken."""
+    space, category = "participatory_space/id", "category/id"
+    text = lambda df, body: F.btrim(F.concat_ws("\n\n", _many(df, "title"), _many(df, body)), F.lit(" \t\n\r"))
+    who = ("author/id", "author/name")
+    p = proposals.select(*_cells(proposals, "id", space, "participatory_space/url", category, *who, "published_at"), _many(proposals, "category/name").alias("category_name"), text(proposals, "body").alias("text")).where(F.col(space).isNotNull())
+    pid = address("decidim_process_", F.col(space))
+    spaces = p.groupBy(space).agg(F.min(X.url_tail(F.col("participatory_space/url"))).alias("name"))
+    e = Entities()
+    e.tables["process"] = spaces.select(pid.alias("id"), F.concat(F.lit("decidim_process_"), F.col(space)).alias("identifier"), F.concat(F.lit("Decidim Barcelona: "), F.coalesce("name", F.lit(""))).alias("name"), F.lit("Decidim Barcelona").alias("platform"))
+
+    topics = p.where(F.col(category).isNotNull()).groupBy(space, category).agg(F.min("category_name").alias("name")).where("name IS NOT NULL")
+    tid = address("decidim_topic_", F.col(category))
+    e.tables["topic"] = topics.groupBy(category).agg(F.min("name").alias("name")).select(tid.alias("id"), "name")
+    e.links["has_topic"] = topics.select(pid.alias("source"), tid.alias("target"))
+
+    none = F.lit(None).cast("string")
+    columns = ["id", space, "text", F.col("author/id").alias("author"), F.col("author/name").alias("author_name"), "timestamp", category, "to"]
+    own = address("decidim_proposal_", F.col("id"))
+    body = [p.withColumns({"timestamp": F.col("published_at"), "to": none}).select(own.alias("id"), *columns[1:])]
+    parents = [(proposal_comments, p, "decidim_proposal_")]
+    if meetings is not None:
+        m = meetings.select(*_cells(meetings, "id", space, category, "start_time"), text(meetings, "description").alias("text")).join(spaces.select(space), space, "left_semi")
+        body.append(m.withColumns({"timestamp": F.col("start_time"), "to": none, "author/id": none, "author/name": none}).select(address("decidim_meeting_", F.col("id")).alias("id"), *columns[1:]))
+        parents.append((meeting_comments, m, "decidim_meeting_"))
+    for c, of, prefix in parents:
+        if c is not None:
+            c = c.select(*_cells(c, "id", "commentable_id", "body", *who, "created_at"))
+            c = c.join(of.select(F.col("id").alias("commentable_id"), space).distinct(), "commentable_id")
+            c = c.withColumns({"text": F.col("body"), "timestamp": F.col("created_at"), category: none, "to": address(prefix, F.col("commentable_id"))})
+            body.append(c.select(address("decidim_comment_", F.col("id")).alias("id"), *columns[1:]))
+    rows = reduce(DataFrame.unionByName, body)
+
+    person = address("decidim_participant_", F.col("author"))
+    # Whoever wrote a row of a space takes part in it, also where the row gives no contribution.
+    named = rows.where("author IS NOT NULL AND author_name IS NOT NULL").groupBy(space, "author").agg(F.min("author_name").alias("name"))
+    e.tables["participant"] = named.groupBy("author").agg(F.min("name").alias("name")).select(person.alias("id"), F.col("author").alias("identifier"), "name", F.lit("Decidim Barcelona").alias("platform"))
+    e.links["has_participant"] = named.select(pid.alias("source"), person.alias("target"))
+
+    said = rows.where("id IS NOT NULL AND text <> ''")
+    e.tables["contribution"] = said.groupBy("id").agg(F.min("text").alias("text"), F.min("timestamp").alias("timestamp"))
+    e.links["has_contribution"] = said.select(pid.alias("source"), F.col("id").alias("target")).distinct()
+    e.links["made_by"] = said.join(named.select(space, "author"), [space, "author"], "left_semi").select(F.col("id").alias("source"), person.alias("target")).distinct()
+    e.links["has_topic"] = e.links["has_topic"].unionByName(said.join(topics.select(space, category), [space, category], "left_semi").select(F.col("id").alias("source"), tid.alias("target")).distinct())
+    e.links["response_to"] = said.where(F.col("to").isNotNull()).select(F.col("id").alias("source"), F.col("to").alias("target")).distinct()
+
+    if results is not None:
+        r = results.select(*_cells(results, "id", space), _many(results, "title").alias("name")).where("id IS NOT NULL")
+        r = r.join(spaces.select(space, F.lit(True).alias("known")), space, "left")
+        rid, home = address("decidim_result_topic_", F.col("id")), F.when(F.col("known"), pid).otherwise(address("decidim_barcelona_process"))
+        e.tables["topic"] = e.tables["topic"].unionByName(r.groupBy("id").agg(F.min("name").alias("name")).select(rid.alias("id"), "name"))
+        e.links["has_topic"] = e.links["has_topic"].unionByName(r.select(home.alias("source"), rid.alias("target")).distinct())
+        platform = r.where("known IS NULL").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+        e.tables["process"] = e.tables["process"].unionByName(platform.select(address("decidim_barcelona_process").alias("id"), F.lit("decidim_barcelona_process").alias("identifier"), F.lit(DECIDIM_PLATFORM).alias("name"), F.lit("Decidim Barcelona").alias("platform")))
+    return e
+
+
+def decidim_folder(spark: SparkSession, folder: str, sep: str = ";") -> Entities:
+    """Spaces from a folder of open data files, each told by its name. Files of one kind need not have the same columns; others are left alone."""
+    kinds: dict[str, list[DataFrame]] = {}
+    for path in files(spark, folder):
+        name = path.rsplit("/", 1)[-1]
+        kind = next((k for part, k in DECIDIM_FILES if part in name), None)
+        if name.endswith(".csv") and kind:
+            kinds.setdefault(kind, []).append(read_csv(spark, path, sep))
+    if "proposals" not in kinds:
+        raise FileNotFoundError(f"no file of proposals in {folder}")
+    return decidim_spaces(**{k: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), v) for k, v in kinds.items()})
+
+
 def _conversations(rows: DataFrame) -> Entities:
     """rows: grp, mid, origin, text, kind, parent (annotation target)."""
     rows = rows.where(F.coalesce(F.upper("origin") != "SYSTEM", F.lit(True)) & (F.coalesce("text", F.lit("")) != "") & F.col("mid").isNotNull())
@@ -510,28 +596,41 @@ def sampled_text(df: DataFrame, rows: int | None = None, width: int = 100, least
 #: Fixed values of page extraction: link and reference patterns.
 INITIATIVE_LINK = r"/have-your-say/initiatives/(\d+[^\"'#? ]*)"
 FEEDBACK_REF = r"(F\d{5,})"
+METADATA = r"(?is)<dt\b[^>]*>(.*?)</dt>\s*<dd\b[^>]*>(.*?)</dd>"
 
 
 def page_parts(pages: DataFrame) -> DataFrame:
-    """url, links, ref, main_text, attachments, sha256 of raw pages (url, html), all as expressions."""
+    """url, links, ref, main_text, attachments, metadata, sha256 of raw pages (url, html), all as expressions. metadata: the terms of definition
+    lists and what stands beside them, in page order, repeated terms kept."""
     html = F.coalesce("html", F.lit(""))
     body = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1>", " ")
     hrefs = F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'))
+    term, value = [F.regexp_extract_all(html, F.lit(METADATA), F.lit(i)) for i in (1, 2)]
+    metadata = F.transform(F.arrays_zip(term.alias("term"), value.alias("value")), lambda x: F.struct(X.clean_html(x["term"]).alias("term"), X.clean_html(x["value"]).alias("value")))
     return pages.select(
         "url", F.array_distinct(F.regexp_extract_all(html, F.lit(INITIATIVE_LINK))).alias("links"), F.nullif(F.regexp_extract(html, FEEDBACK_REF, 1), F.lit("")).alias("ref"),
-        X.clean_html(body).alias("main_text"), F.filter(hrefs, lambda h: F.lower(h).rlike(r"\.(pdf|docx?|odt|rtf|txt)($|\?)") | F.lower(h).contains("attachment")).alias("attachments"), F.sha2(html, 256).alias("sha256"),
+        X.clean_html(body).alias("main_text"), F.filter(hrefs, lambda h: F.lower(h).rlike(r"\.(pdf|docx?|odt|rtf|txt)($|\?)") | F.lower(h).contains("attachment")).alias("attachments"),
+        metadata.alias("metadata"), F.sha2(html, 256).alias("sha256"),
     )
 
 
-def paginate(fetch: Callable[[dict], tuple[int, list, dict]], params: dict, size: int = 50, most: int | None = None) -> Iterator[dict]:
-    """Items of a paged interface: by offset until a short page or status 204, or until `last`; status 429 is asked again. fetch gives status, items, about."""
-    offset, page = 0, 0
+def paginate(fetch: Callable[[dict], tuple[int, list, dict]], params: dict, size: int = 50, most: int | None = None, pause: float = 10, tries: int = 20, wait: Callable[[float], None] = time.sleep) -> Iterator[dict]:
+    """Items of a paged interface: by offset until a short page or status 204, or until `last`. fetch gives status, items, about.
+
+    Status 429 is asked again after the seconds in about's Retry-After (`pause` without a number there); `tries` times in a row are an error."""
+    offset, page, refused = 0, 0, 0
     while most is None or page < most:
         status, items, about = fetch(params | {"offset": offset, "page": page, "limit": size})
         if status == 429:
+            refused += 1
+            if refused == tries:
+                raise TimeoutError(f"refused {tries} times in a row at offset {offset}")
+            after = str(about.get("Retry-After", ""))
+            wait(float(after) if after.isdecimal() else pause)
             continue
         if status == 204:
             return
+        refused = 0
         yield from items
         if about.get("last", len(items) < size):
             return
@@ -540,18 +639,24 @@ def paginate(fetch: Callable[[dict], tuple[int, list, dict]], params: dict, size
 
 #: Adapters by name: (kind of path, function).
 REGISTRY: dict[str, Callable[[SparkSession, str], Entities]] = {
-    "debates": debates, "parliament_api": parliament_api, "debate_html": debate_html, "madrid": madrid, "decidim": decidim, "delidata": delidata, "delidata_tsv": delidata_tsv,
-    "consultations": consultations, "consultation_documents": consultation_documents, "habermas": habermas_files, "habermas_json": habermas_json, "court": court, "court_csv": court_csv,
+    "debates": debates, "parliament_api": parliament_api, "debate_html": debate_html, "madrid": madrid, "madrid_csv": madrid_csv,
+    "decidim": decidim, "decidim_csv": decidim_csv, "decidim_folder": decidim_folder, "delidata": delidata, "delidata_tsv": delidata_tsv,
+    "consultations": consultations, "consultation_documents": consultation_documents, "consultation_sqlite": consultation_sqlite, "habermas": habermas_files, "habermas_json": habermas_json, "court": court, "court_csv": court_csv,
 }
 
 
+def files(spark: SparkSession, folder: str) -> list[str]:
+    """What is in a folder, by name, through Spark's file systems; nothing where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(str(s.getPath().toString()) for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def discover(spark: SparkSession, folder: str) -> dict[str, list[str]]:
-    """Files below `folder`/<adapter> for each registered adapter, through Spark's file systems."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    """Files below `folder`/<adapter> for each registered adapter; adapters that read a folder get the folder."""
     out = {}
     for name in REGISTRY:
-        at = path(f"{folder}/{name}")
-        if fs.exists(at):
-            out[name] = sorted(str(s.getPath()) for s in fs.listStatus(at))
+        found = files(spark, f"{folder}/{name}")
+        if found:
+            out[name] = [f"{folder}/{name}"] if REGISTRY[name] in (decidim_folder, habermas_files) else found
     return out

@@ -4,6 +4,7 @@ import json
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from polislake.functions.terms import DEL, OWL, TRIPLE_COLUMNS, TRIPLE_SCHEMA, TYPE, XSD
 from polislake.operators import analytics as A
@@ -120,6 +121,42 @@ def test_proposals(spark, tmp_path):
     assert counts(spark, S.decidim_csv(spark, p, c)) == (1, 2, 2, 1, 0)
 
 
+def test_decidim_spaces(spark, tmp_path):
+    folder = tmp_path / "open"
+    folder.mkdir()
+    head = "id;participatory_space/id;participatory_space/url;category/id;category/name/ca;category/name/es;author/id;author/name;title/ca;title/es;body/ca;published_at\n"
+    rows = ["1;3;https://x.y/processes/plan?locale=ca;5;;Calles;7;Ann;Bicis;;Mes;2020-01-01", "1;4;https://x.y/processes/other;5;Carrers;;7;Ann;Bicis;;Mes;2020-01-01", "1;3;https://x.y/processes/plan;5;;Calles;7;Ann;Bicis;;Mes;2020-01-01"]
+    rows += ["2;3;;;;;8;;;;;", "3;;;;;;7;Ann;No space;;;", "4;3;;6;;;9;;;Solo;;"]
+    put(folder, "www-proposals.csv", head + "\n".join(rows) + "\n")
+    put(folder, "www-meetings.csv", "id;participatory_space/id;category/id;title/ca;description/es;start_time\n1;3;5;Trobada;Charla;2020-02-02\n2;99;5;Unknown;;\n3;4;;;;\n")
+    put(folder, "www-proposal_comments.csv", "id;commentable_id;body;created_at;author/id;author/name\n9;1;Si;2020-01-02;8;Bob\n10;77;Orphan;;8;Bob\n11;1;;;12;Silent\n")
+    put(folder, "www-meeting_comments.csv", "id;commentable_id;body;author/id;author/name\n20;1;Fine;8;Bob\n21;2;Lost;8;Bob\n")
+    put(folder, "www-results.csv", "id;participatory_space/id;title/ca\n1;3;Done\n2;99;Elsewhere\n")
+    put(folder, "readme.txt", "proposals")
+    e = S.decidim_folder(spark, str(folder))
+    short = lambda x: x.rsplit("/", 1)[-1].rsplit("#", 1)[-1].removeprefix("decidim_")
+    got = {k: sorted((short(r["source"]), short(r["target"])) for r in v.collect()) for k, v in e.links.items()}
+    assert got["has_contribution"] == sorted([("process_3", x) for x in ("proposal_1", "proposal_4", "meeting_1", "comment_9", "comment_20")] + [("process_4", "proposal_1"), ("process_4", "comment_9")])
+    assert got["response_to"] == [("comment_20", "meeting_1"), ("comment_9", "proposal_1")]
+    assert got["made_by"] == [("comment_20", "participant_8"), ("comment_9", "participant_8"), ("proposal_1", "participant_7")]
+    assert got["has_participant"] == [(f"process_{s}", f"participant_{p}") for s in (3, 4) for p in (12, 7, 8)]
+    assert got["has_topic"] == sorted([("process_3", "topic_5"), ("process_4", "topic_5"), ("proposal_1", "topic_5"), ("meeting_1", "topic_5"), ("process_3", "result_topic_1"), ("barcelona_process", "result_topic_2")])
+    assert {short(r["id"]): r["text"] for r in e.tables["contribution"].collect()} == {"proposal_1": "Bicis\n\nMes", "proposal_4": "Solo", "meeting_1": "Trobada\n\nCharla", "comment_9": "Si", "comment_20": "Fine"}
+    assert {r["name"] for r in e.tables["process"].collect()} == {"Decidim Barcelona: plan", "Decidim Barcelona: other", S.DECIDIM_PLATFORM}
+    assert counts(spark, e) == (3, 3, 5, 3, 0)
+    assert set(S.discover(spark, str(tmp_path))) == set()
+    folder.rename(tmp_path / "decidim_folder")
+    assert S.discover(spark, str(tmp_path)) == {"decidim_folder": [f"{tmp_path}/decidim_folder"]}
+    with pytest.raises(FileNotFoundError):
+        S.decidim_folder(spark, f"{tmp_path}/none")
+
+
+def test_samples_by_group(spark):
+    rows = spark.createDataFrame([(g, i, f"t{i}") for g in ("a", None) for i in (4, 2, 3, 1)] + [("b", 1, None)], "g string, i int, t string")
+    got = {r["g"]: (r["n"], r["samples"]) for r in A.group_samples(rows, "g", ["i"], F.col("t")).collect()}
+    assert got == {"a": (4, ["t1", "t2", "t3"]), None: (4, ["t1", "t2", "t3"]), "b": (1, [None])}
+
+
 def test_delidata(spark, tmp_path):
     doc = {"conversations": [{"group_id": "g1", "messages": [{"message_id": 1, "origin": "Ann", "original_text": "Hi  all", "annotation_type": "Probing"}, {"message_id": 2, "origin": "system", "original_text": "joined"}, {"message_id": 3, "origin": "Bob", "original_text": "", "annotation_type": "0"}]}]}
     e = S.delidata(spark, put(tmp_path, "x.json", doc))
@@ -182,6 +219,14 @@ def test_page_parts_and_paging(spark):
     assert list(S.paginate(lambda p: next(pages), {}, size=3)) == [0, 1, 2, 3]
     pages = iter([(200, [1], {"last": False}), (200, [2], {"last": True})])
     assert list(S.paginate(lambda p: next(pages), {}, size=3)) == [1, 2]
+    waits, pages = [], iter([(429, [], {"Retry-After": "7"}), (429, [], {"Retry-After": "soon"}), (200, [1], {})])
+    assert list(S.paginate(lambda p: next(pages), {}, size=3, pause=4, wait=waits.append)) == [1] and waits == [7, 4]
+    with pytest.raises(TimeoutError):
+        list(S.paginate(lambda p: (429, [], {}), {}, tries=3, wait=waits.append))
+    assert len(waits) == 4
+    html = "<dl><dt>Topic</dt> <dd><b>Climate</b>  action</dd><dt class='x'>Topic</dt><dd></dd></dl><dt>Alone</dt>"
+    r = S.page_parts(spark.createDataFrame([("u", html), ("v", None)], "url string, html string")).collect()
+    assert [[tuple(m) for m in x["metadata"]] for x in r] == [[("Topic", "Climate action"), ("Topic", "")], []]
 
 
 def test_entities_round_trip(spark, tmp_path):
