@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from .operators import analytics as A
 from .operators import link as L
 from .operators import model as M
 from .plans.results import bindings, sparql, values
+from .sources.adapters import decidim_spaces
 from .sources.tables import STAMP, branch, conversation_graph, res, table, table_graph
 from .streaming import ingest as I
 
@@ -220,6 +222,17 @@ def _linked(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return values(sparql(triples.select(*T.TRIPLE_COLUMNS, "src").unionByName(more), text))
 
 
+def _linked_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables' graph, whose customers are of platform a, with the suppliers of platform b and the links between the two."""
+    people = _people(spark, sf_dir)
+    pairs = L.resolve_participants(people).where("relation = 'sameAs'")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        pairs = pairs.checkpoint()  # three checks read them
+    own = lambda c: F.when(F.col(c).startswith(RES + "c_"), F.concat(F.lit(RES + "participant_"), F.substring_index(c, "_", -1))).otherwise(F.col(c))
+    e = M.Entities({"participant": people.select(own("id").alias("id"), "name", "platform")}, {"same_as": pairs.select(own("a").alias("source"), own("b").alias("target"))})
+    return T.graph(table_graph(spark, sf_dir), M.to_triples(e, "people"))
+
+
 LINKS_SQL = "customer JOIN supplier ON regexp_replace(c_name, '[^0-9]', '', 'g') = regexp_replace(s_name, '[^0-9]', '', 'g')"
 
 
@@ -375,6 +388,44 @@ def multi_process_participants(spark, sf_dir):
     return seen.join(_t(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_name").alias("name"), "n")
 
 
+@query(f"""
+WITH f AS (SELECT 'processes' AS "check", 1 AS least, (SELECT count(DISTINCT n_nationkey) FROM nation) AS n UNION ALL SELECT 'participants', 10, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)
+UNION ALL SELECT 'contributions', 10, (SELECT count(DISTINCT o_orderkey) FROM orders) UNION ALL SELECT 'cross_platform_links', 1, (SELECT count(*) FROM {LINKS_SQL}) UNION ALL SELECT 'topic_relations', 0, 0
+UNION ALL SELECT 'cross_platform_participants', 0, (SELECT count(*) FROM {LINKS_SQL}) UNION ALL SELECT 'linked_contributions', 0, (SELECT count(*) FROM {LINKS_SQL} JOIN orders ON o_custkey = c_custkey))
+SELECT "check", CAST(n AS BIGINT) AS found, least AS expected_min, n >= least AS passed FROM f""")
+def graph_validation(spark, sf_dir):
+    return A.validate(_linked_people(spark, sf_dir))
+
+
+SPACES_SQL = """
+WITH p AS (SELECT o_orderkey AS id, o_orderpriority AS sp, nullif(o_orderstatus, 'O') AS cat, 'c' || o_custkey AS a, 'C' || o_custkey AS who FROM orders),
+m AS (SELECT s_suppkey AS id, sp FROM supplier JOIN (SELECT DISTINCT sp FROM p) ON sp = CASE WHEN s_nationkey % 2 = 0 THEN '5-LOW' ELSE 'elsewhere' END),
+b AS (SELECT 'proposal_' || id AS id, sp, a, who, cat, CAST(NULL AS VARCHAR) AS parent FROM p
+UNION ALL SELECT 'meeting_' || id, sp, NULL, NULL, 'P', NULL FROM m
+UNION ALL SELECT 'comment_' || l_orderkey || '_' || l_linenumber, sp, 's' || l_suppkey, CASE WHEN l_linestatus = 'F' THEN 'S' || l_suppkey END, NULL, 'proposal_' || l_orderkey FROM lineitem JOIN p ON id = l_orderkey
+UNION ALL SELECT 'comment_e' || event_id, sp, 'u' || user_id, 'U' || user_id, NULL, 'meeting_' || id FROM events JOIN m ON id = user_id),
+n AS (SELECT DISTINCT sp, a FROM b WHERE who IS NOT NULL), t AS (SELECT DISTINCT sp, cat FROM p WHERE cat IS NOT NULL), d AS (SELECT '{R}decidim_' AS d)
+SELECT 'has_contribution' AS link, d || 'process_' || sp AS source, d || id AS target FROM b, d
+UNION SELECT 'has_participant', d || 'process_' || sp, d || 'participant_' || a FROM n, d
+UNION SELECT 'made_by', d || id, d || 'participant_' || a FROM b JOIN n USING (sp, a), d
+UNION SELECT 'response_to', d || id, d || parent FROM b, d WHERE parent IS NOT NULL
+UNION SELECT 'has_topic', d || 'process_' || sp, d || 'topic_' || cat FROM t, d
+UNION SELECT 'has_topic', d || id, d || 'topic_' || cat FROM b JOIN t USING (sp, cat), d"""
+
+
+@query(SPACES_SQL)
+def space_links(spark, sf_dir):
+    """Orders as proposals, suppliers as meetings, line items and events as comments to them."""
+    t = lambda name, **cols: _t(spark, sf_dir, name).selectExpr(*[f"{c} AS `{n}`" for n, c in cols.items()])
+    space = "participatory_space/id"
+    proposals = t("orders", id="o_orderkey", **{space: "o_orderpriority", "category/id": "nullif(o_orderstatus, 'O')", "category/name/es": "'Status ' || o_orderstatus", "author/id": "'c' || o_custkey", "author/name": "'C' || o_custkey", "title/ca": "'Order ' || o_orderkey"})
+    meetings = t("supplier", id="s_suppkey", **{space: "if(s_nationkey % 2 = 0, '5-LOW', 'elsewhere')", "category/id": "'P'", "title/en": "s_name"})
+    answers = t("lineitem", id="l_orderkey || '_' || l_linenumber", commentable_id="l_orderkey", body="l_returnflag", **{"author/id": "'s' || l_suppkey", "author/name": "if(l_linestatus = 'F', 'S' || l_suppkey, null)"})
+    remarks = t("events", id="'e' || event_id", commentable_id="user_id", body="event_type", **{"author/id": "'u' || user_id", "author/name": "'U' || user_id"})
+    e = decidim_spaces(proposals, meetings, answers, remarks)
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("link"), "source", "target") for k, df in e.links.items()])
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("process"), F.concat_ws("_", "conv_id", "turn").alias("contribution"), F.col("turn").alias("timestamp"), "role", "text")
 
@@ -395,6 +446,12 @@ def most_answered(spark, sf_dir):
     return A.most_answered(L.temporal_chain(t).select("source", "target"))
 
 
+@query("""WITH w AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text NULLS FIRST) AS k FROM conversations)
+SELECT conv_id AS process, count(*) AS n, coalesce(string_agg(text, ' | ' ORDER BY k) FILTER (WHERE k <= 3), '') AS samples FROM w GROUP BY conv_id""")
+def conversation_samples(spark, sf_dir):
+    return A.group_samples(_turns(spark, sf_dir), "process", ["timestamp"], F.col("text")).withColumn("samples", F.array_join("samples", " | "))
+
+
 @query("SELECT conv_id AS process, role AS participant, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn), role) AS n FROM conversations GROUP BY conv_id, role")
 def surrogate_ids(spark, sf_dir):
     return A.surrogate_ids(_turns(spark, sf_dir).withColumnRenamed("role", "participant"), "process", "participant", "timestamp").select("process", "participant", F.col("n").cast("bigint"))
