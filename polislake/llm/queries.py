@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_search, jaccard_join, mixing, quality_rules, substring_dedup, warc
+from . import ball_kmeans, bm25_search, divergence, exact_dedup, jaccard_join, mixing, quality_rules, substring_dedup, warc
 
 
 #: A deployment takes its own from where it keeps its secrets.
@@ -84,6 +84,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.ball_kmeans(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_documents(spark, sf_dir))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_copies(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -96,4 +108,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_bm25_search": bm25_search.ORACLE_SQL,
         "op8_mix_sources": mixing.ORACLE_SQL,
         "op10_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op11_ball_kmeans": ball_kmeans.ORACLE_SQL,
+        "op12_source_divergence": divergence.ORACLE_SQL,
+        "op13_exact_dedup": exact_dedup.ORACLE_SQL,
     }
