@@ -19,6 +19,7 @@ result. `mix_plan` and `training_order` leave other columns out; `mixed` keeps t
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +122,29 @@ def mixed(documents: DataFrame) -> DataFrame:
     return copies.orderBy(position, "doc_id").select(*documents.columns)
 
 
+#: Files whose row counts are broadcast when places are told from them.
+MANY_FILES = 100_000
+
+
+def read_positions(stored: DataFrame, name: str = "position") -> DataFrame:
+    """Rows of a mix that was written and read back, with their place in training order (0, 1, ...) as `name`.
+
+    A range-sorted table is written a file a range, numbered in order, and a scan takes files in any order: the place is the rows in files before, and the row's number in its own. A table that was
+    not read from files, or is no plain scan of them, has lost its order: null places."""
+    name = fresh(stored.columns, name)
+    try:
+        placed = stored.select("*", F.col("_metadata.file_name").alias(f"{name}_file"), F.col("_metadata.row_index").alias(f"{name}_row"))
+    except AnalysisException:
+        return stored.withColumn(name, F.lit(None).cast("long"))
+    number = lambda pattern: F.regexp_extract(f"{name}_file", pattern, 1).try_cast("long")
+    files = placed.groupBy(f"{name}_file").agg(F.count(F.lit(1)).alias(f"{name}_rows"))
+    before = Window.orderBy(number(r"part-(\d+)"), number(r"-c(\d+)"), f"{name}_file").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = files.select(f"{name}_file", F.coalesce(F.sum(f"{name}_rows").over(before), F.lit(0)).alias(f"{name}_ahead"))  # a row a file
+    if len(stored.inputFiles()) <= MANY_FILES:
+        ahead = F.broadcast(ahead)
+    return placed.join(ahead, f"{name}_file").select(*stored.columns, (F.col(f"{name}_ahead") + F.col(f"{name}_row")).alias(name))
+
+
 ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS key FROM documents

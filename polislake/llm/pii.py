@@ -235,8 +235,8 @@ def pseudonymize(documents: DataFrame, key: str, column: str = "text", count: st
 
     text = F.col(column)
     plain = F.struct(text.alias("text"), F.lit(0).alias("n"))
-    # A candidate has a digit or an at sign; most texts have none and are passed on unread by the larger pattern.
-    made = F.when(text.rlike("[0-9@]"), replaced(text)).otherwise(plain)
+    # A candidate has a digit, an at sign or the quoted value of a secret; most texts have none and are passed on unread by the larger pattern.
+    made = F.when(text.rlike("[0-9@]|[=:] ?\""), replaced(text)).otherwise(plain)
     mark = fresh([*documents.columns, count or ""], "pseudonymized")
     out = documents.withColumn(mark, made)
     keep = [F.col(f"{mark}.text").alias(c) if c == column else F.col(c) for c in documents.columns]

@@ -618,6 +618,8 @@ def test_pseudonyms(spark):
     card = got[3][0].split(" ")[1][:16]
     assert card in got[11][0] and got[3][0].split(" ")[2].replace("-", "") == card
     assert got[2][0].split("(")[1] == got[11][0].split("(")[1] + " ok"
+    letters = f'api_key: "{"abcdef" * 6}" here'  # a secret without a digit
+    assert [r["n"] for r in pseudonymize(spark.createDataFrame([(letters,)], "text string"), "k", count="n").collect()] == [1]
     other = {r["doc_id"]: r["text"] for r in pseudonymize(df, "another key").collect()}
     assert other[3] != got[3][0]
     assert pseudonymize(df.limit(0), "k").count() == 0
@@ -830,10 +832,16 @@ def test_keep_one(docs, odd):
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline as P
     from polislake.llm._store import materialize
+    from polislake.llm.mixing import mix_plan, training_order
 
+    # Some documents get a secret and a phone number: not every small table has them.
+    private_words = F.concat(F.lit(' token = "'), F.sha2(F.col("doc_id").cast("string"), 256), F.lit('" and +1 (212) 555-'), F.lpad((F.col("doc_id") % 9000 + 1000).cast("string"), 4, "0"))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", private_words)).otherwise(F.col("text"))).persist()
     state = docs
     seen = []
+    before_mix = None
     for name, stage in P.STAGES[:-1]:
+        before_mix = state
         after = materialize(stage(spark, state, sf), "test-stage")
         assert after.columns == docs.columns, name
         seen.append({r["doc_id"] for r in after.select("doc_id").collect()})
@@ -846,8 +854,28 @@ def test_pipeline(spark, sf, docs):
     private = lambda df, kind: {m for (t,) in df.select("text").collect() for m in regex.findall(PATTERNS[kind], t)}
     for kind in ("phone", "secret"):  # the values that the documents had are gone
         assert private(docs, kind) and not private(docs, kind) & private(state, kind)
-    last = P.STAGES[-1][1](spark, state, sf)
+    last = materialize(P.STAGES[-1][1](spark, state, sf), "test-stage")
     assert {r["doc_id"] for r in last.select("doc_id").distinct().collect()} == seen[3]
+    # The mix's order, through two writes and reads; each copy has samples of its own.
+    order = [r["doc_id"] for r in training_order(mix_plan(before_mix, split_boundary=False)).select("doc_id").collect()]
+    rows = last.orderBy("position", "sample_rank").collect()
+    places = dict.fromkeys((r["position"], r["doc_id"]) for r in rows)
+    assert list(places) == list(enumerate(order)) and len(order) > len(set(order))
+    samples = {}
+    for r in rows:
+        samples.setdefault((r["doc_id"], r["position"]), []).append(tuple(r["ids"]))
+    twice = [[v for (j, _), v in samples.items() if j == i] for i in {i for i in order if order.count(i) > 1}]
+    assert sum(a != b for a, b in twice) > 0.9 * len(twice)
+
+
+def test_positions_read_back(spark, tmp_path):
+    from polislake.llm.mixing import read_positions
+
+    df = spark.range(0, 1000, numPartitions=5).selectExpr("id", "repeat('x', CAST(1000 - id AS INT)) AS text", "1 AS position")
+    df.write.option("maxRecordsPerFile", 70).parquet(f"{tmp_path}/t")
+    got = read_positions(spark.read.parquet(f"{tmp_path}/t"))
+    assert got.columns == ["id", "text", "position", "position_"] and got.where("id <> position_ OR position <> 1").count() == 0 and got.count() == 1000
+    assert {r["place"] for r in read_positions(spark.range(3), "place").collect()} == {None}
 
 
 def test_pipeline_stages_on_awkward_rows(spark, sf, odd):
