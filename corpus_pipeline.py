@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from polislake.llm._store import materialize
 from polislake.llm.jaccard_join import keep_one
 from polislake.llm.language_id import keep_identified
-from polislake.llm.mixing import mixed
+from polislake.llm.mixing import mixed, read_positions
 from polislake.llm.pii import pseudonymize
 from polislake.llm.queries import PSEUDONYM_KEY
 from polislake.llm.sampling import sample_segmentations
@@ -48,9 +48,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SAMPLES distinct segmentations of each row, sampled without replacement; fewer where a row has fewer, none for a null text. Rows that repeat a doc_id and a text
-    repeat their samples."""
-    return sample_segmentations(docs, k=SAMPLES, together=TOGETHER)
+    """SAMPLES distinct segmentations of each row, sampled without replacement; fewer where a row has fewer, none for a null text. `position` is the row's place in training order, told from the
+    files that the mix was written to: ordering by it gives the mix. Copies of a document have places, and so samples, of their own. Rows of a table that was not read from files have no
+    place (null); there rows that repeat a doc_id and a text repeat their samples."""
+    placed = read_positions(docs)
+    place = placed.columns[-1]
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (place, "doc_id")])
+    out = sample_segmentations(placed.select(key.alias("doc_id"), "text"), k=SAMPLES, together=TOGETHER)
+    told = lambda value, kind: F.nullif(value, F.lit("")).cast(kind)
+    own = told(F.expr("substring(doc_id, locate('|', doc_id) + 1)"), docs.schema["doc_id"].dataType)
+    return out.select(own.alias("doc_id"), told(F.substring_index("doc_id", "|", 1), "long").alias("position"), *[c for c in out.columns if c != "doc_id"])
 
 
 STAGES = [
