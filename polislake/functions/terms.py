@@ -21,6 +21,8 @@ FOAF = "http://xmlns.com/foaf/0.1/"
 DCT = "http://purl.org/dc/terms/"
 PREFIXES = {"del": DEL, "rdf": RDF, "rdfs": RDFS, "owl": OWL, "skos": SKOS, "xsd": XSD, "foaf": FOAF, "dct": DCT}
 TYPE = RDF + "type"
+#: A graph is named by its source: by the source itself if that is an address, else below this one.
+GRAPHS = RES + "graph/"
 
 TRIPLE_COLUMNS = ("s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
 TRIPLE_SCHEMA = "s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string, src string"
@@ -99,6 +101,21 @@ def make_literal(value: Column, dt: str | None = None) -> Column:
     return F.concat(F.lit(f'"{"^" + dt if dt else ""}|'), value.cast("string"))
 
 
+def graph_name(src: Column) -> Column:
+    """The encoded name of the graph of a source."""
+    return F.concat(F.lit("<"), F.when(src.contains(":"), src).otherwise(F.concat(F.lit(GRAPHS), src)))
+
+
+def in_graphs(names: list[str]) -> Column:
+    """Triples of the graphs with these (encoded) names, as a filter that scans take."""
+    found = set()
+    for name in (n[1:] for n in names):
+        below = name.removeprefix(GRAPHS)
+        found |= {name} if ":" in name else set()
+        found |= {below} if below != name and ":" not in below else set()
+    return F.col("src").isin(sorted(found)) if found else F.lit(False)
+
+
 def canonical(triples: DataFrame) -> DataFrame:
     """Synonymous predicates under their canonical names; partOf is turned into hasContribution."""
     named = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
@@ -120,6 +137,14 @@ def graph(*parts: DataFrame) -> DataFrame:
     return out.dropDuplicates(list(TRIPLE_COLUMNS))
 
 
+def quads(*parts: DataFrame) -> DataFrame:
+    """The union of triple tables, as a set of triples in each source: named graphs stay whole."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.dropDuplicates([*TRIPLE_COLUMNS, "src"])
+
+
 def added(before: DataFrame, after: DataFrame) -> DataFrame:
     """The triples of `after` that `before` lacks."""
     on = None

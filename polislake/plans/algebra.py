@@ -128,6 +128,14 @@ class Aggregate:
     separator: str = " "
 
 
+@dataclass
+class Graph:
+    """Patterns of one named graph: an IRI, or a Var that ranges over all."""
+
+    name: Any
+    child: Any
+
+
 @dataclass
 class Query:
     form: str  # SELECT, ASK, CONSTRUCT, DESCRIBE
@@ -135,6 +143,8 @@ class Query:
     vars: list[str]
     template: list[Pattern] = field(default_factory=list)
     described: list = field(default_factory=list)
+    default: list[str] | None = None  # FROM; None: the graph as it is
+    named: list[str] | None = None  # FROM NAMED; None: all graphs
 
 
 def variables(node: Any) -> list[str]:
@@ -159,6 +169,9 @@ def variables(node: Any) -> list[str]:
         elif isinstance(n, Values):
             for v in n.vars:
                 out.setdefault(v)
+        elif isinstance(n, Graph):
+            see(n.name)
+            walk(n.child)
         elif isinstance(n, Project):
             for v in n.vars:
                 out.setdefault(v)

@@ -14,8 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from .algebra import BGP, Aggregate, Call, Distinct, Exists, Extend, Filter, Group, Join, LeftJoin, Minus, OrderBy, Path, Pattern, Project, Query, Slice, Union, Values, Var, variables
+from ..functions.grams import contained_between
+from ..sources.store import written
+from .algebra import BGP, Aggregate, Call, Distinct, Exists, Extend, Filter, Graph, Group, Join, LeftJoin, Minus, OrderBy, Path, Pattern, Project, Query, Slice, Union, Values, Var, variables
+from .paths import Paths, closes, flip
 
+#: A closure starts from bound values if there are fewer than one in so many steps.
+MANY = 10
 BOOLEAN, INTEGER, DECIMAL, DOUBLE = (T.XSD + x for x in ("boolean", "integer", "decimal", "double"))
 
 
@@ -35,22 +40,55 @@ def column(v: str) -> Column:
 
 
 class Compiler:
-    def __init__(self, triples: DataFrame, bindings: dict[str, str] | None = None) -> None:
-        self.triples, self.spark = triples, triples.sparkSession
+    def __init__(self, triples: DataFrame, bindings: dict[str, str] | None = None, query: Query | None = None, quads: bool = False) -> None:
+        self.triples, self.spark, self.quads = triples, triples.sparkSession, quads
         self.bindings = bindings or {}
+        self.default, self.named = (query.default, query.named) if query else (None, None)
+        self.graph: Any = None  # what GRAPH names around the pattern at hand
         self.number = 0
 
     def fresh(self, tag: str) -> str:
         self.number += 1
         return f".{tag}{self.number}"
 
+    # Graphs
+    @property
+    def ranging(self) -> str | None:
+        """The variable that ranges over the named graphs, if patterns are inside such a GRAPH."""
+        return self.graph.name if isinstance(self.graph, Var) else None
+
+    def source(self) -> tuple[DataFrame, bool]:
+        """The triples that a pattern sees, and whether one may be there more than once."""
+        if (self.graph is not None or self.default is not None) and "src" not in self.triples.columns:
+            raise ValueError("the triples have no column src, which tells graphs apart")
+        if self.graph is None:
+            if self.default is None:
+                return self.triples, self.quads
+            return self.triples.where(T.in_graphs(self.default)), self.quads and len(set(self.default)) > 1
+        names = self.named
+        if isinstance(self.graph, str):
+            names = [self.graph] if names is None or self.graph in names else []
+        return (self.triples if names is None else self.triples.where(T.in_graphs(names))), False
+
+    def graph_names(self) -> Relation:
+        df, _ = self.source()
+        return Relation(df.select(T.graph_name(F.col("src")).alias(self.ranging)).distinct(), [self.ranging], {self.ranging})
+
+    def on_graph(self, n: Graph) -> Relation:
+        around = self.graph
+        self.graph = self.bindings.get(n.name.name, n.name) if isinstance(n.name, Var) else n.name
+        try:
+            return self.run(n.child)
+        finally:
+            self.graph = around
+
     # Patterns
     def unit(self) -> Relation:
-        return Relation(self.spark.range(1).select(), [], set())
+        return self.graph_names() if self.ranging else Relation(self.spark.range(1).select(), [], set())
 
-    def scan(self, s: Any, p: str | None, o: Any, names: tuple[str, str | None, str]) -> DataFrame:
-        """Triples that match the constants, as columns named `names` (p only if it is a variable)."""
-        df = self.triples
+    def scan(self, s: Any, p: str | None, o: Any, names: tuple[str, str | None, str], graph: str | None = None) -> DataFrame:
+        """Triples that match the constants, as columns named `names` (p only if it is a variable), and `graph` where one ranges."""
+        df, repeats = self.source()
         if p is not None:
             df = df.where(F.col("p") == p[1:])
         if isinstance(s, str):
@@ -70,57 +108,48 @@ class Compiler:
         if names[1]:
             out.append(F.concat(F.lit("<"), F.col("p")).alias(names[1]))
         out.append(T.encode(F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang")).alias(names[2]))
-        return df.select(*out)
-
-    def pairs(self, path: Any) -> DataFrame:
-        """All (s, o) that a path connects."""
-        if isinstance(path, str):
-            return self.scan(None, path, None, ("s", None, "o"))
-        if path.op == "inverse":
-            return self.pairs(path.args[0]).select(F.col("o").alias("s"), F.col("s").alias("o"))
-        if path.op == "sequence":
-            out = self.pairs(path.args[0])
-            for a in path.args[1:]:
-                out = out.withColumnRenamed("o", "m").join(self.pairs(a).withColumnRenamed("s", "m"), "m").select("s", "o")
-            return out
-        if path.op == "alternative":
-            return reduce(lambda a, b: a.unionByName(b), map(self.pairs, path.args))
-        step = self.pairs(path.args[0]).distinct()
-        nodes = self.triples.select(T.encode(F.col("s"), F.col("s_kind")).alias("s")).unionByName(
-            self.triples.select(T.encode(F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang")).alias("s"))
-        ).distinct().select("s", F.col("s").alias("o"))
-        if path.op == "optional":
-            return step.unionByName(nodes).distinct()
-        closed = self.closure(step)
-        return closed if path.op == "plus" else closed.unionByName(nodes).distinct()
-
-    def closure(self, step: DataFrame) -> DataFrame:
-        """Transitive closure by doubling: walks of 2^k steps, alone and followed by the shorter ones found, until they connect no new pair; rounds grow with the logarithm of the longest way."""
-        cut = lambda df: df.checkpoint() if self._can_checkpoint() else df
-        then = lambda x, y: x.withColumnRenamed("o", "m").join(y.withColumnRenamed("s", "m"), "m").select("s", "o")
-        found, power = step, step
-        while True:
-            power = cut(then(power, power).distinct())
-            frontier = cut(power.unionByName(then(power, found)).distinct().join(found, ["s", "o"], "left_anti"))
-            if frontier.isEmpty():
-                return found
-            found = found.unionByName(frontier)
-
-    def _can_checkpoint(self) -> bool:
-        return self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-    def pattern(self, t: Pattern) -> Relation:
+        if graph:
+            out.append(T.graph_name(F.col("src")).alias(graph))
+        return df.select(*out).distinct() if repeats else df.select(*out)
+
+    def paths(self) -> Paths:
+        g = "g" if self.ranging else None
+        keys = [g] if g else []
+
+        def nodes() -> DataFrame:
+            df, _ = self.source()
+            ends = F.array(T.encode(F.col("s"), F.col("s_kind")), T.encode(F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang")))
+            named = [T.graph_name(F.col("src")).alias(g)] if g else []
+            return df.select(*named, F.explode(ends).alias("s")).distinct()
+
+        return Paths(lambda p: self.scan(None, p, None, ("s", None, "o"), g), nodes, keys)
+
+    def along(self, path: Path, s: Any, o: Any, seeds: DataFrame | None, at: str | None) -> DataFrame:
+        """Pairs s, o of a path: from the constant end if there is one, or from `seeds`, distinct values of its end `at` (`s` or `o`)."""
+        paths = self.paths()
+        if seeds is None and (isinstance(s, str) or isinstance(o, str)):
+            at = "s" if isinstance(s, str) else "o"
+            seeds = self.spark.range(1).select(F.lit(s if at == "s" else o).alias("s"))
+            if self.ranging:
+                seeds = self.graph_names().df.withColumnRenamed(self.ranging, "g").crossJoin(seeds)  # one row a graph
+        if seeds is None:
+            return paths.pairs(path)
+        return paths.reach(path, seeds) if at == "s" else paths.turned(paths.reach(flip(path), seeds))
+
+    def pattern(self, t: Pattern, seeds: DataFrame | None = None, at: str | None = None) -> Relation:
         s, p, o = (self.bindings.get(x.name, x) if isinstance(x, Var) else x for x in (t.s, t.p, t.o))
-        names = (self.fresh("s"), self.fresh("p") if isinstance(p, Var) else None, self.fresh("o"))
+        g = Var(self.ranging) if self.ranging else None
+        names = (self.fresh("s"), self.fresh("p") if isinstance(p, Var) else None, self.fresh("o"), self.fresh("g") if g else None)
         if isinstance(p, Path):
-            df = self.pairs(p).select(F.col("s").alias(names[0]), F.col("o").alias(names[2]))
+            df = self.along(p, s, o, seeds, at)
+            df = df.select(F.col("s").alias(names[0]), F.col("o").alias(names[2]), *([F.col("g").alias(names[3])] if g else []))
             for term, name in ((s, names[0]), (o, names[2])):
                 if isinstance(term, str):
                     df = df.where(column(name) == term)
         else:
-            df = self.scan(s, None if isinstance(p, Var) else p, o, names)
+            df = self.scan(s, None if isinstance(p, Var) else p, o, names[:3], names[3])
         seen: dict[str, str] = {}
-        for term, name in zip((s, p, o), names, strict=True):
+        for term, name in zip((s, p, o, g), names, strict=True):
             if isinstance(term, Var) and name:
                 if term.name in seen:
                     df = df.where(column(seen[term.name]) == column(name))
@@ -133,15 +162,34 @@ class Compiler:
         rest = list(b.patterns)
         if not rest:
             return self.unit()
-        constants = lambda t: sum(isinstance(x, str) for x in (t.s, t.o))
+        constants = lambda t: sum(isinstance(x, str) or isinstance(x, Var) and x.name in self.bindings for x in (t.s, t.o))
         names = lambda t: {x.name for x in (t.s, t.p, t.o) if isinstance(x, Var)}
-        rest.sort(key=lambda t: -constants(t))
+        # Closures without a constant end come last: by then an end may be bound by the others.
+        rest.sort(key=lambda t: (closes(t.p) and not constants(t), -constants(t)))
         out = self.pattern(rest.pop(0))
         while rest:  # connected patterns first, so that no product arises that the query does not ask for
             i = next((i for i, t in enumerate(rest) if names(t) & set(out.vars)), 0)
-            out = self.join(out, self.pattern(rest.pop(i)))
+            t = rest.pop(i)
+            if closes(t.p) and not constants(t):
+                out, found = self.seeded(out, t)
+            else:
+                found = self.pattern(t)
+            out = self.join(out, found)
         return out
 
+    def seeded(self, out: Relation, t: Pattern) -> tuple[Relation, Relation]:
+        """A closure whose end is a variable of `out`: from the values that it has there, unless they are a good part of all nodes."""
+        ends = [(x.name, at) for x, at in ((t.s, "s"), (t.o, "o")) if isinstance(x, Var) and x.name in out.bound]
+        if not ends:
+            return out, self.pattern(t)
+        out = Relation(written(out.df, "bound")[0], out.vars, out.bound)
+        name, at = ends[0]
+        keys = [column(self.ranging).alias("g")] if self.ranging else []
+        seeds = written(out.df.select(*keys, column(name).alias("s")).distinct(), "ends")[0]
+        if isinstance(t.p.args[0], str) and seeds.count() * MANY > self.paths().pairs(t.p.args[0]).count():
+            return out, self.pattern(t)  # doubling needs fewer rounds
+        return out, self.pattern(t, seeds, at)
+
     # Joins
     def condition(self, left: Relation, right: Relation, suffix: str) -> tuple[Column | None, list[str]]:
         shared = [v for v in left.vars if v in right.vars]
@@ -204,13 +252,61 @@ class Compiler:
         on, shared = self.condition(a, b, suffix)
         if not shared:
             return a
-        some = reduce(lambda x, y: x | y, [column(v).isNotNull() & column(v + suffix).isNotNull() for v in shared])
+        told = [v for v in shared if v != self.ranging]  # the graph is the same on both sides, but not one of their variables
+        if not told:
+            return a
+        some = reduce(lambda x, y: x | y, [column(v).isNotNull() & column(v + suffix).isNotNull() for v in told])
         r = b.df.select(*[column(v).alias(v + suffix) for v in b.vars])
         return Relation(a.df.join(r, on & some if not set(shared) & a.bound & b.bound else on, "left_anti"), a.vars, a.bound)
 
     def on_filter(self, n: Filter) -> Relation:
-        child = self.run(n.child)
-        return self.filtered(child, n.condition)
+        met = self.contained(n)
+        return met if met is not None else self.filtered(self.run(n.child), n.condition)
+
+    def contained(self, n: Filter) -> Relation | None:
+        """Filters over patterns that nothing connects but CONTAINS of one text in another: a join by character grams in place of a product."""
+        conditions, node = [], n
+        while isinstance(node, Filter):
+            conditions += _conjuncts(node.condition)
+            node = node.child
+        parts = _components(node.patterns) if isinstance(node, BGP) and not self.ranging else []
+        if len(parts) < 2:
+            return None
+        owner = {v: i for i, p in enumerate(parts) for t in p for x in (t.s, t.p, t.o) if isinstance(x, Var) for v in [x.name] if v not in self.bindings}
+        sides = lambda e: {owner[v] for v in _names(e) if v in owner}
+        for c in conditions:
+            tests = _alternatives(c)
+            if not all(isinstance(x, Call) and x.name == "CONTAINS" for x in tests):
+                continue
+            x, y = tests[0].args
+            if not (len(sides(x)) == len(sides(y)) == 1 and sides(x) != sides(y) and all({*map(repr, a.args)} == {repr(x), repr(y)} for a in tests)):
+                continue
+            # Filters of a part go first.
+            rest, relations = [d for d in conditions if d is not c], {}
+            for i, p in enumerate(parts):
+                relations[i] = self.bgp(BGP(p))
+                for d in [d for d in rest if not _has_exists(d) and sides(d) == {i} and _names(d) <= set(relations[i].vars)]:
+                    relations[i] = self.filtered(relations[i], d)
+                    rest.remove(d)
+            (i,), (j,) = sides(x), sides(y)
+            out = self.join_contained(relations.pop(i), relations.pop(j), x, y, [a.args[0] == x for a in tests])
+            for r in relations.values():
+                out = self.join(out, r)
+            for d in rest:
+                out = self.filtered(out, d)
+            return out
+        return None
+
+    def join_contained(self, left: Relation, right: Relation, x: Any, y: Any, ways: list[bool]) -> Relation:
+        """Rows whose text x (of left) contains y (of right), for a way that is true, or is contained in it, for one that is not."""
+        a, b = self.fresh("x"), self.fresh("y")
+        l = left.df.withColumn(a, T.lexical(self.term(x, {v: column(v) for v in left.vars})))
+        r = right.df.withColumn(b, T.lexical(self.term(y, {v: column(v) for v in right.vars})))
+        texts = lambda df, c: written(df.select(column(c).alias("n")).where("n IS NOT NULL").distinct(), "names")[0]
+        xs, ys = texts(l, a), texts(r, b)
+        pairs = [contained_between(ys, xs).select(F.col("y").alias(a), F.col("x").alias(b)) if way else contained_between(xs, ys).select(F.col("x").alias(a), F.col("y").alias(b)) for way in sorted(set(ways))]
+        joined = l.join(reduce(DataFrame.unionByName, pairs).distinct(), a).join(r, b)
+        return Relation(joined.select(*map(column, left.vars + right.vars)), left.vars + right.vars, left.bound | right.bound)
 
     def filtered(self, child: Relation, condition: Any) -> Relation:
         if isinstance(condition, Call) and condition.name == "&&":
@@ -240,12 +336,14 @@ class Compiler:
     def on_values(self, n: Values) -> Relation:
         schema = ", ".join(f"`{v}` string" for v in n.vars)
         df = self.spark.createDataFrame([tuple(r) for r in n.rows], schema)
-        return Relation(df, n.vars, {v for i, v in enumerate(n.vars) if all(r[i] is not None for r in n.rows)})
+        out = Relation(df, n.vars, {v for i, v in enumerate(n.vars) if all(r[i] is not None for r in n.rows)})
+        return self.join(out, self.graph_names()) if self.ranging else out
 
     def on_project(self, n: Project) -> Relation:
         child = self.run(n.child)
-        df = child.df.select(*[column(v) if v in child.vars else F.lit(self.bindings.get(v)).cast("string").alias(v) for v in n.vars])
-        return Relation(df, n.vars, child.bound & set(n.vars))
+        names = n.vars + [v for v in child.vars if v == self.ranging and v not in n.vars]
+        df = child.df.select(*[column(v) if v in child.vars else F.lit(self.bindings.get(v)).cast("string").alias(v) for v in names])
+        return Relation(df, names, child.bound & set(names))
 
     def on_distinct(self, n: Distinct) -> Relation:
         child = self.run(n.child)
@@ -265,6 +363,8 @@ class Compiler:
         return child.df.orderBy(*by)
 
     def on_slice(self, n: Slice) -> Relation:
+        if self.ranging:
+            raise NotImplementedError("LIMIT or OFFSET inside GRAPH with a variable: it would hold for each graph")
         # DISTINCT and projection keep the order below them only if the sort is applied last.
         inner, wrap = n.child, []
         while isinstance(inner, (Project, Distinct)):
@@ -285,6 +385,11 @@ class Compiler:
         split = self.split_counts(n)
         if split is not None:
             return split
+        if self.ranging:
+            if not n.keys:
+                raise NotImplementedError("an aggregate without GROUP BY inside GRAPH with a variable")
+            if self.ranging not in [v for v, _ in n.keys]:
+                n = Group(n.child, [*n.keys, (self.ranging, Var(self.ranging))], n.aggregates)
         child = self.run(n.child)
         scope = {v: column(v) for v in child.vars}
         keys = [self.term(e, scope).alias(v) for v, e in n.keys]
@@ -296,7 +401,7 @@ class Compiler:
 
     def split_counts(self, n: Group) -> Relation | None:
         """COUNT(DISTINCT ?v) over unconnected OPTIONALs: a scalar aggregate a component instead of their product."""
-        if n.keys or not n.aggregates or not all(a.name == "COUNT" and a.distinct and isinstance(a.arg, Var) for _, a in n.aggregates):
+        if self.ranging or n.keys or not n.aggregates or not all(a.name == "COUNT" and a.distinct and isinstance(a.arg, Var) for _, a in n.aggregates):
             return None
         parts, node = [], n.child
         while isinstance(node, (LeftJoin, Join)):
@@ -423,6 +528,30 @@ def _names(e: Any) -> set[str]:
     return set().union(*[_names(a) for a in e.args]) if isinstance(e, Call) else set()
 
 
+def _conjuncts(e: Any) -> list:
+    return [x for a in e.args for x in _conjuncts(a)] if isinstance(e, Call) and e.name == "&&" else [e]
+
+
+def _alternatives(e: Any) -> list:
+    return [x for a in e.args for x in _alternatives(a)] if isinstance(e, Call) and e.name == "||" else [e]
+
+
+def _has_exists(e: Any) -> bool:
+    return isinstance(e, Exists) or isinstance(e, Call) and any(map(_has_exists, e.args))
+
+
+def _components(patterns: list[Pattern]) -> list[list[Pattern]]:
+    """Patterns in groups that share no variable."""
+    groups: list[tuple[set[str], list[Pattern]]] = []
+    for t in patterns:
+        names, mine = {x.name for x in (t.s, t.p, t.o) if isinstance(x, Var)}, [t]
+        for g in [g for g in groups if g[0] & names]:
+            groups.remove(g)
+            names, mine = names | g[0], g[1] + mine
+        groups.append((names, mine))
+    return [g for _, g in groups]
+
+
 TESTS = {"=": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}
 
 
@@ -554,19 +683,19 @@ _TERMS = {
 }
 
 
-def select(triples: DataFrame, query: Query, bindings: dict[str, str] | None = None) -> DataFrame:
+def select(triples: DataFrame, query: Query, bindings: dict[str, str] | None = None, quads: bool = False) -> DataFrame:
     """Encoded terms, a column a variable."""
-    out = Compiler(triples, bindings).run(query.plan)
+    out = Compiler(triples, bindings, query, quads).run(query.plan)
     return out.df.select(*[column(v) for v in query.vars]) if query.vars else out.df
 
 
-def ask(triples: DataFrame, query: Query) -> bool:
-    return not Compiler(triples).run(query.plan).df.isEmpty()
+def ask(triples: DataFrame, query: Query, quads: bool = False) -> bool:
+    return not Compiler(triples, None, query, quads).run(query.plan).df.isEmpty()
 
 
-def construct(triples: DataFrame, query: Query) -> DataFrame:
+def construct(triples: DataFrame, query: Query, quads: bool = False) -> DataFrame:
     """Triples of the template; solutions that leave a part unbound give none."""
-    c = Compiler(triples)
+    c = Compiler(triples, None, query, quads)
     found = c.run(query.plan)
     scope = {v: column(v) for v in found.vars}
     parts = [F.struct(*[c.term(x, scope).alias(n) for n, x in zip("spo", (t.s, t.p, t.o), strict=True)]) for t in query.template]
@@ -574,9 +703,10 @@ def construct(triples: DataFrame, query: Query) -> DataFrame:
     return decode_triples(rows)
 
 
-def describe(triples: DataFrame, query: Query) -> DataFrame:
-    """All triples about the named resources."""
-    c = Compiler(triples)
+def describe(triples: DataFrame, query: Query, quads: bool = False) -> DataFrame:
+    """All triples about the named resources, in the default graph."""
+    c = Compiler(triples, None, query, quads)
+    triples, _ = c.source()
     wanted = [x for x in query.described if isinstance(x, str)]
     out = triples.where(F.col("s").isin([w[1:] for w in wanted])) if wanted else None
     names = [x.name for x in query.described if isinstance(x, Var)]

@@ -36,9 +36,11 @@ def values(solutions: DataFrame) -> DataFrame:
     return solutions.select(*[T.lexical(F.col(f"`{v}`")).alias(v) for v in solutions.columns])
 
 
-def sparql(triples: DataFrame, text: str, bindings: dict[str, str] | None = None) -> DataFrame | bool:
-    """The answer to a query: solutions for SELECT, a truth value for ASK, triples for CONSTRUCT and DESCRIBE."""
+def sparql(triples: DataFrame, text: str, bindings: dict[str, str] | None = None, quads: bool = False) -> DataFrame | bool:
+    """The answer to a query: solutions for SELECT, a truth value for ASK, triples for CONSTRUCT and DESCRIBE.
+
+    GRAPH and FROM tell triples apart by `src`. quads: `triples` holds a triple once a source (terms.quads), and patterns outside GRAPH see it once."""
     q = parse(text)
     if q.form == "SELECT":
-        return C.select(triples, q, bindings)
-    return {"ASK": C.ask, "CONSTRUCT": C.construct, "DESCRIBE": C.describe}[q.form](triples, q)
+        return C.select(triples, q, bindings, quads)
+    return {"ASK": C.ask, "CONSTRUCT": C.construct, "DESCRIBE": C.describe}[q.form](triples, q, quads)

@@ -210,6 +210,97 @@ sparql_query(
 )
 
 
+MEMBERS, PLACED = "https://example.org/members", "placed"
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources of one graph: customers with their names and organisations, and orders with the names of those who placed them."""
+    customer, orders = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    who, by = res("participant", "c_custkey"), res("participant", "o_custkey")
+    named = customer.join(orders.select("o_custkey").distinct(), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    members = [branch(customer, who, T.DEL + "name", F.col("c_name")), branch(customer, who, T.DEL + "isAffiliatedWith", res("org", "c_mktsegment"), "uri")]
+    placed = [branch(named, who, T.DEL + "name", F.col("c_name")), branch(orders, res("contribution", "o_orderkey"), T.DEL + "madeBy", by, "uri")]
+    return T.quads(*[df.withColumn("src", F.lit(src)) for src, parts in ((MEMBERS, members), (PLACED, placed)) for df in parts])
+
+
+def quad_query(name: str, text: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return values(sparql(_sources(spark, sf_dir), text, quads=True))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+quad_query(
+    "names_by_graph",
+    "SELECT ?g (COUNT(?p) AS ?n) WHERE { GRAPH ?g { ?p del:name ?name } } GROUP BY ?g",
+    f"SELECT '{MEMBERS}' AS g, CAST(count(*) AS VARCHAR) AS n FROM customer UNION ALL SELECT '{T.GRAPHS}{PLACED}', CAST(count(DISTINCT c_custkey) AS VARCHAR) FROM customer JOIN orders ON o_custkey = c_custkey",
+)
+quad_query(
+    "contributions_across_graphs",
+    f"SELECT ?c ?org WHERE {{ GRAPH <{T.GRAPHS}{PLACED}> {{ ?c del:madeBy ?p }} GRAPH <{MEMBERS}> {{ ?p del:isAffiliatedWith ?org }} }}",
+    "SELECT '{R}contribution_' || o_orderkey AS c, '{R}org_' || c_mktsegment AS org FROM orders JOIN customer ON o_custkey = c_custkey",
+)
+quad_query(
+    "names_in_a_merge_of_graphs",
+    f"SELECT ?p ?name FROM <{T.GRAPHS}{PLACED}> FROM <{MEMBERS}> WHERE {{ ?p del:name ?name }}",
+    "SELECT '{R}participant_' || c_custkey AS p, c_name AS name FROM customer",
+)
+quad_query(
+    "members_named_in_one_graph",
+    f"SELECT ?p FROM <{MEMBERS}> FROM NAMED <{T.GRAPHS}{PLACED}> WHERE {{ ?p del:isAffiliatedWith ?o FILTER EXISTS {{ GRAPH ?g {{ ?p del:name ?n }} }} }}",
+    "SELECT '{R}participant_' || c_custkey AS p FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+)
+
+LONGEST = "SELECT conv_id, max(turn) AS most FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id ORDER BY most DESC, conv_id LIMIT 1"
+RUN = f"""WITH RECURSIVE one AS ({LONGEST}), s AS (SELECT DISTINCT c.conv_id, turn, most FROM conversations c JOIN one USING (conv_id)),
+r AS (SELECT conv_id, {{start}} AS turn FROM one UNION SELECT s.conv_id, s.turn FROM r JOIN s ON s.conv_id = r.conv_id AND s.turn = r.turn {{step}})
+SELECT '{{R}}conversation_' || r.conv_id || '_' || r.turn AS turn FROM r JOIN one USING (conv_id) WHERE r.turn <> {{start}}"""
+
+
+def _longest(spark: SparkSession, sf_dir: str) -> tuple[str, int, int]:
+    """The conversation with the highest turn, that turn, and its least one."""
+    c = _t(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id").agg(F.max("turn").alias("most"), F.min("turn").alias("least"))
+    return c.orderBy(F.desc("most"), "conv_id").first()
+
+
+@query(RUN.replace("{start}", "most").replace("{step}", "- 1"))
+def turns_before(spark, sf_dir):
+    """A path from a bound subject."""
+    conv, most, _ = _longest(spark, sf_dir)
+    return values(sparql(conversation_graph(spark, sf_dir), f"SELECT ?turn WHERE {{ <{RES}conversation_{conv}_{most}> del:responseTo+ ?turn }}"))
+
+
+@query(RUN.replace("{start}", "(SELECT min(turn) FROM conversations JOIN one USING (conv_id))").replace("{step}", "+ 1"))
+def turns_after(spark, sf_dir):
+    """A path to a bound object."""
+    conv, _, least = _longest(spark, sf_dir)
+    return values(sparql(conversation_graph(spark, sf_dir), f"SELECT ?turn WHERE {{ ?turn del:responseTo+ <{RES}conversation_{conv}_{least}> }}"))
+
+
+def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as processes whose topics are the names of their parts."""
+    p = _t(spark, sf_dir, "part").where("p_name IS NOT NULL AND p_brand IS NOT NULL").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("p_partkey"))
+    brand, topic = res("process", F.replace("p_brand", F.lit("#"), F.lit("-"))), res("topic", "p_partkey")
+    brands = p.select("p_brand").distinct()
+    parts = [
+        branch(brands, brand, T.TYPE, F.lit(T.DEL + "DeliberationProcess"), "uri"), branch(brands, brand, T.DEL + "name", F.col("p_brand")),
+        branch(p, brand, T.DEL + "hasTopic", topic, "uri"), branch(p, topic, T.DEL + "name", F.col("p_name")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+sparql_query(
+    "similar_topic_names",
+    """SELECT ?name1 ?topic1 ?name2 ?topic2 WHERE { ?process1 a del:DeliberationProcess ; del:name ?name1 ; del:hasTopic ?t1 . ?t1 del:name ?topic1 .
+    ?process2 a del:DeliberationProcess ; del:name ?name2 ; del:hasTopic ?t2 . ?t2 del:name ?topic2 .
+    FILTER(?process1 != ?process2) FILTER(CONTAINS(LCASE(?topic1), LCASE(?topic2)) || CONTAINS(LCASE(?topic2), LCASE(?topic1))) }""",
+    """WITH t AS (SELECT p_brand, p_name FROM part WHERE p_name IS NOT NULL AND p_brand IS NOT NULL GROUP BY ALL)
+    SELECT a.p_brand AS name1, a.p_name AS topic1, b.p_brand AS name2, b.p_name AS topic2 FROM t a JOIN t b ON a.p_brand <> b.p_brand AND (contains(lower(a.p_name), lower(b.p_name)) OR contains(lower(b.p_name), lower(a.p_name)))""",
+    part_graph,
+)
+
+
 def _linked(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A query over the people of two platforms, the links between them and what customers contribute."""
     people = _people(spark, sf_dir)
