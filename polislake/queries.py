@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,8 +14,10 @@ from .functions import text as X
 from .operators import analytics as A
 from .operators import link as L
 from .operators import model as M
+from .operators.versions import Versions
 from .plans.results import bindings, sparql, values
 from .sources.adapters import decidim_spaces
+from .sources.store import shared_dir
 from .sources.tables import STAMP, branch, conversation_graph, res, table, table_graph
 from .streaming import ingest as I
 
@@ -647,22 +650,39 @@ def added_triples(spark, sf_dir):
     return T.added(T.graph(_event_graph(e.where("event_type <> 'purchase'"))), T.graph(_event_graph(e))).select("s", "o")
 
 
-@query("""
+INGEST_SQL = """
 WITH e AS (SELECT 'https://example.org/ingest/' AS b, 'https://example.org/ingest/point-' || event_id AS me, 'https://example.org/ingest/user-' || user_id AS u, event_type AS x, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS t, CASE WHEN value > 50 THEN 1 ELSE -1 END AS v FROM events)
 SELECT me AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, '{D}Contribution' AS o FROM e UNION SELECT me, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '{D}Argument' FROM e
 UNION SELECT me, '{D}platform', 'Your Priorities' FROM e UNION SELECT me, '{D}text', x FROM e UNION SELECT me, '{D}hasTimestamp', t FROM e
 UNION SELECT u, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '{D}Participant' FROM e UNION SELECT me, '{D}madeBy', u FROM e
 UNION SELECT b || 'post-1', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '{D}Topic' FROM e UNION SELECT me, '{D}isAbout', b || 'post-1' FROM e UNION SELECT me, CASE WHEN v = 1 THEN '{D}supports' ELSE '{D}attacks' END, b || 'post-1' FROM e
-""")
-def ingest_triples(spark, sf_dir):
+"""
+
+
+def _ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "events")
     c = lambda x, t: F.lit(x).cast(t)
-    events = e.select(
+    return e.select(
         F.concat(F.lit("point-"), "event_id").alias("contribution_id"), F.col("event_type").alias("text"), F.date_format("ts", STAMP).alias("timestamp"), "user_id", c(None, "string").alias("user_name"), c(1, "bigint").alias("post_id"),
         c(None, "string").alias("post_name"), c(None, "bigint").alias("group_id"), c(None, "string").alias("group_name"), F.when(F.col("value") > 50, 1).otherwise(-1).alias("value"), c(None, "bigint").alias("parent_point_id"),
         c(None, "array<struct<type:string,score:double,rationale:string>>").alias("fallacies"),
     )
-    return T.graph(I.ingest(events)).select("s", "p", "o")
+
+
+@query(INGEST_SQL)
+def ingest_triples(spark, sf_dir):
+    return T.graph(I.ingest(_ingest_events(spark, sf_dir))).select("s", "p", "o")
+
+
+@query(INGEST_SQL)
+def versioned_ingest(spark, sf_dir):
+    """Three batches of events, one of them replayed, as versions of a graph."""
+    root = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    events = _ingest_events(spark, sf_dir)
+    part = F.pmod(F.xxhash64("contribution_id"), F.lit(3))
+    for batch, which in enumerate((0, 1, 0, 2)):
+        I.ingest_batch(events.where(part == which), root, "events", batch, buckets=4)
+    return Versions(spark, f"{root}/graph").read().select("s", "p", "o")
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

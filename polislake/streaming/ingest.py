@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import DEL, RDFS, TRIPLE_COLUMNS, TYPE, XSD
 from ..functions.text import stable_id
+from ..operators.versions import IDS, Versions
+from ..sources.store import drop, written
 
 BASE = "https://example.org/ingest/"
 EVENT = (
@@ -94,3 +96,38 @@ def windowed(events: DataFrame, keys: list[str], size: str, slide: str | None =
 def sessions(events: DataFrame, keys: list[str], gap: str, column: str = "ts", delay: str | None = None) -> DataFrame:
     out = timed(events, column, delay).groupBy(F.session_window(column, gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
+
+
+# Ingest into versions
+COUNTERS = "events bigint, new bigint, repeated bigint, fallacies_added bigint, participants_linked bigint, topics_linked bigint, processes_created bigint, triples_added bigint, total_triples bigint"
+
+
+def ingest_batch(events: DataFrame, root: str, name: str, batch: int, buckets: int = 32, **options) -> None:
+    """A batch of events into the graph of `root` (operators.versions): root/graph, root/events (hashes of the events that are in) and root/counters.
+
+    An event that is in already, however long ago, adds nothing and counts as repeated. The graph, the counters and the events are committed in this order, each once a batch: a batch
+    that was ended within it and is run again ends as if it had run once."""
+    spark = events.sparkSession
+    seen, graph = Versions(spark, f"{root}/events", IDS, buckets), Versions(spark, f"{root}/graph", buckets=buckets)
+    known = seen.manifest()
+    if known["applied"].get(name, [-1])[0] >= batch:
+        return
+    held, at = written(events.withColumn("id", F.sha2(F.to_json(F.struct(*events.columns)), 256)), "batch")
+    ids = seen._placed(held.select("id").distinct(), known["buckets"])
+    new, new_at = written(seen.missing(ids, known).select("id"), "new")
+    fresh = held.dropDuplicates(["id"]).join(new, "id", "left_semi")
+    made = graph.add(ingest(fresh.drop("id"), **options), (name, batch))
+    told = counters(fresh).agg(
+        F.count(F.lit(1)).alias("new"), F.coalesce(F.sum("fallacies_added"), F.lit(0)).alias("fallacies_added"), F.count_if("participant_linked").alias("participants_linked"),
+        F.count_if("topic_linked").alias("topics_linked"), F.count_if("process_created").alias("processes_created"),
+    )
+    told = told.withColumns({"events": F.lit(held.count()), "triples_added": F.lit(made["applied"][name][1]), "total_triples": F.lit(made["rows"])}).withColumn("repeated", F.col("events") - F.col("new"))
+    told.select(*[F.col(c.split()[0]).cast("long") for c in COUNTERS.split(", ")]).coalesce(1).write.mode("overwrite").parquet(f"{root}/counters/stream={name}/batch={batch}")
+    seen.add(new, (name, batch))
+    drop(spark, at, new_at)
+
+
+def start_versions(events: DataFrame, root: str, checkpoint: str, name: str = "ingest", every: str = "5 minutes", available_now: bool = False, **options):
+    """A query that saves a stream of events as versions of the graph: a version a batch, at most one each `every`, none while nothing comes."""
+    out = events.writeStream.foreachBatch(lambda df, batch: ingest_batch(df, root, name, batch, **options)).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=every)).start()
