@@ -146,7 +146,8 @@ def frequent_keywords(texts: DataFrame, most: int = 5) -> DataFrame:
 
 
 def tag_topics(texts: DataFrame, most: int = 3, topics: dict = X.TOPIC_KEYWORDS) -> DataFrame:
-    return texts.select("id", F.explode(X.topic_tags(F.col("text"), most, topics)).alias("topic"))
+    low = texts.select("id", F.lower("text").alias("low"))  # once, for all keywords
+    return low.select("id", F.explode(X.lowered_tags(F.col("low"), most, topics)).alias("topic"))
 
 
 def keyword_topic_links(left: DataFrame, right: DataFrame, rules=(("climate", "environment"), ("democracy", "participation"), ("citizen", "citizen")), most: int = 3) -> DataFrame:

@@ -14,9 +14,11 @@ from .functions import text as X
 from .operators import analytics as A
 from .operators import link as L
 from .operators import model as M
+from .operators import nested, search_index
 from .operators.versions import Versions
 from .plans.results import bindings, sparql, values
 from .sources.adapters import decidim_spaces
+from .sources.places import with_places
 from .sources.store import shared_dir
 from .sources.tables import STAMP, branch, conversation_graph, res, table, table_graph
 from .streaming import ingest as I
@@ -379,6 +381,55 @@ def keyword_search(spark, sf_dir):
     return A.search(table_graph(spark, sf_dir), "An")
 
 
+def _folder(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+@query("""
+SELECT '{R}process_' || n_nationkey AS id, 'DeliberationProcess' AS type, n_name AS text FROM nation WHERE contains(lower(n_name), 'nite')
+UNION SELECT '{R}participant_' || c_custkey, 'Participant', c_name FROM customer WHERE contains(lower(c_name), 'nite')
+UNION SELECT '{R}org_' || c_mktsegment, 'Organization', c_mktsegment FROM customer WHERE contains(lower(c_mktsegment), 'nite')
+UNION SELECT '{R}topic_' || replace(p_brand, '#', '-'), 'Topic', p_brand FROM part WHERE contains(lower(p_brand), 'nite')
+UNION SELECT '{R}contribution_' || o_orderkey, 'Contribution', o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), 'nite')
+""")
+def indexed_search(spark, sf_dir):
+    path = _folder(spark, "index")
+    search_index.write_index(table_graph(spark, sf_dir), path)
+    return search_index.search(spark, path, "Nite", None)
+
+
+@query("""
+WITH c AS (SELECT '{R}contribution_' || o_orderkey AS contribution, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS timestamp, n_name AS process, r_name AS platform
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+n AS (SELECT *, row_number() OVER (ORDER BY platform, process, timestamp, contribution) AS k FROM c)
+SELECT CAST(k AS BIGINT) AS k, contribution, CASE WHEN lag(platform) OVER (ORDER BY k) IS DISTINCT FROM platform THEN platform END AS opens_platform,
+CASE WHEN lag(process) OVER (ORDER BY k) IS DISTINCT FROM process THEN process END AS opens_process,
+CASE WHEN lead(platform) OVER (ORDER BY k) IS DISTINCT FROM platform THEN 2 WHEN lead(process) OVER (ORDER BY k) IS DISTINCT FROM process THEN 1 ELSE 0 END AS closes FROM n
+""")
+def nested_contributions(spark, sf_dir):
+    """Each piece of the nested document: its place, its contribution, what it opens, how many lists it closes."""
+    path = _folder(spark, "nested")
+    nested.write_contributions(table_graph(spark, sf_dir), path)
+    # The number of a line in its file, and of its file: those of one document.
+    lines = with_places(spark.read.text(path).select("value", "_metadata"), "line").withColumn("file", F.col("_metadata.file_name"))
+    files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+    before = files.alias("a").join(files.alias("b"), F.col("b.file") < F.col("a.file"), "left").groupBy(F.col("a.file").alias("file")).agg(F.coalesce(F.sum("b.lines"), F.lit(0)).alias("before"))  # a row a file
+    found = lambda pattern: F.nullif(F.regexp_extract("value", pattern, 1), F.lit(""))
+    return lines.join(before, "file").select(
+        (F.col("before") + F.col("line") + 1).alias("k"), found('"contribution":"([^"]*)"').alias("contribution"), found('[{]"platform":"([^"]*)","processes"').alias("opens_platform"),
+        found('[{]"process":"([^"]*)","contributions"').alias("opens_process"), F.length(F.regexp_replace(F.regexp_extract("value", r"}((?:\]})*)\]?$", 1), "]", "")).alias("closes"),
+    )
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey % 16 ORDER BY o_orderkey) - 1 AS BIGINT) AS place FROM orders")
+def places_in_files(spark, sf_dir):
+    """The place of rows in CSV files that are read in splits."""
+    path = _folder(spark, "orders")
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_custkey") % 16).alias("part"))
+    rows.repartition("part").sortWithinPartitions("part", "o_orderkey").write.partitionBy("part").option("header", True).csv(path)
+    return with_places(spark.read.option("header", True).csv(path)).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "place")
+
+
 @query("""
 WITH o AS (SELECT DISTINCT c_mktsegment FROM customer), topics AS (SELECT DISTINCT p_brand FROM part),
 t AS (SELECT DISTINCT c_nationkey, p_brand FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)
@@ -677,7 +728,7 @@ def ingest_triples(spark, sf_dir):
 @query(INGEST_SQL)
 def versioned_ingest(spark, sf_dir):
     """Three batches of events, one of them replayed, as versions of a graph."""
-    root = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    root = _folder(spark, "versions")
     events = _ingest_events(spark, sf_dir)
     part = F.pmod(F.xxhash64("contribution_id"), F.lit(3))
     for batch, which in enumerate((0, 1, 0, 2)):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.model import Entities, address
+from .places import with_places
 
 
 def _has(df: DataFrame, *path: str) -> bool:
@@ -579,7 +580,7 @@ def court(spark: SparkSession, path: str) -> Entities:
 
 def court_csv(spark: SparkSession, path: str) -> Entities:
     """case, speaker, text; or id, text, speaker, speaker_role with the file as the case. Rows keep their file order."""
-    d = read_csv(spark, path).select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("file"), F.monotonically_increasing_id().alias("pos"))
+    d = with_places(read_csv(spark, path).select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("file"), "_metadata"), "pos")
     rows = d.select(F.coalesce(field(d, "case"), F.col("file")).alias("case"), "pos", field(d, "speaker").alias("speaker"), field(d, "speaker_role").alias("role"), field(d, "text").alias("text"), F.lit(None).cast("string").alias("at"))
     name = F.max(X.case_name(F.col("text")))
     return _court(rows, rows.groupBy("case").agg(name.alias("name")).withColumn("start", F.lit(None).cast("string")))
