@@ -235,7 +235,17 @@ class Compiler:
         return self.bgp(n)
 
     def on_join(self, n: Join) -> Relation:
-        return self.join(self.run(n.left), self.run(n.right))
+        """Patterns that only the other side connects are joined one by one, connected ones first: no product of them arises."""
+        apart = lambda x: [BGP(p) for p in _components(x.patterns)] if isinstance(x, BGP) and x.patterns else [x]
+        left, right = apart(n.left), apart(n.right)
+        if len(left) + len(right) == 2:
+            return self.join(self.run(n.left), self.run(n.right))
+        rest = [self.run(x) for x in left + right]
+        out = rest.pop(next((i for i, x in enumerate(left + right) if not isinstance(x, BGP)), 0))
+        while rest:
+            i = next((i for i, r in enumerate(rest) if set(r.vars) & set(out.vars)), 0)
+            out = self.join(out, rest.pop(i))
+        return out
 
     def on_leftjoin(self, n: LeftJoin) -> Relation:
         return self.join(self.run(n.left), self.run(n.right), "left", n.condition)

@@ -329,6 +329,83 @@ def _linked_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.graph(table_graph(spark, sf_dir), M.to_triples(e, "people"))
 
 
+def opinion_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as contributions, labels as what was found in them, and the arguments in their texts."""
+    docs = _t(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    bad = _t(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.when(F.col("quality") == 1, "toxic").otherwise("toxic junk").alias("type"), F.when(F.col("quality") == 1, "1.0").otherwise("0.5").alias("sure")).distinct()
+    found = L.mine_arguments(docs, ("that ", "with "), "that ").select("id", "premise", "conclusion")
+    c, f, a = res("contribution", "id"), res("fallacy", "doc_id"), res("argument", "id")
+    parts = [
+        branch(docs, c, T.TYPE, F.lit(T.DEL + "Contribution"), "uri"), branch(docs, c, T.DEL + "text", F.col("text")), branch(bad, res("contribution", "doc_id"), T.DEL + "containsFallacy", f, "uri"),
+        branch(bad, res("argument", "doc_id"), T.DEL + "containsFallacy", f, "uri"), branch(bad, f, T.TYPE, F.lit(T.DEL + "FallacyType"), "uri"), branch(bad, f, T.DEL + "name", F.col("type")),
+        branch(bad, f, T.DEL + "confidence", F.col("sure"), dt=T.XSD + "decimal"), branch(found, a, T.TYPE, F.lit(T.DEL + "Argument"), "uri"), branch(found, c, T.DEL + "containsArgument", a, "uri"),
+    ]
+    for side in ("premise", "conclusion"):
+        some = found.where(F.col(side).isNotNull())
+        parts += [branch(some, a, T.DEL + f"has{side.title()}", res(side, "id"), "uri"), branch(some, res(side, "id"), T.DEL + "text", F.col(side))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+BAD_SQL = "(SELECT DISTINCT doc_id, CASE WHEN quality = 1 THEN 'toxic' ELSE 'toxic junk' END AS type, CASE WHEN quality = 1 THEN '1.0' ELSE '0.5' END AS sure FROM labels WHERE toxic = 1)"
+ARGUMENT_SQL = """(SELECT doc_id, text, CASE WHEN contains(lower(text), 'that ') THEN substr(substr(lower(text), instr(lower(text), 'that ') + 5), 1, 100) END AS premise,
+CASE WHEN contains(lower(text), 'that ') THEN substr(substr(lower(text), 1, instr(lower(text), 'that ') - 1), 1, 100) END AS conclusion FROM documents WHERE contains(lower(text), 'that ') OR contains(lower(text), 'with '))"""
+sparql_query(
+    "fallacies_by_confidence",
+    "SELECT ?text ?type ?confidence WHERE { ?c a del:Contribution ; del:text ?text ; del:containsFallacy ?f . ?f a del:FallacyType ; del:name ?type ; del:confidence ?confidence } ORDER BY DESC(?confidence)",
+    f"SELECT text, type, sure AS confidence FROM documents JOIN {BAD_SQL} USING (doc_id) WHERE text IS NOT NULL",
+    opinion_graph,
+)
+sparql_query(
+    "argument_analysis",
+    "SELECT ?argument ?premise ?conclusion ?fallacy WHERE { ?argument a del:Argument . OPTIONAL { ?argument del:hasPremise ?premise } OPTIONAL { ?argument del:hasConclusion ?conclusion } OPTIONAL { ?argument del:containsFallacy ?fallacy } }",
+    f"""SELECT '{{R}}argument_' || a.doc_id AS argument, CASE WHEN premise IS NOT NULL THEN '{{R}}premise_' || a.doc_id END AS premise, CASE WHEN conclusion IS NOT NULL THEN '{{R}}conclusion_' || a.doc_id END AS conclusion,
+    CASE WHEN b.doc_id IS NOT NULL THEN '{{R}}fallacy_' || a.doc_id END AS fallacy FROM {ARGUMENT_SQL} a LEFT JOIN {BAD_SQL} b ON a.doc_id = b.doc_id""",
+    opinion_graph,
+)
+sparql_query(
+    "argument_texts",
+    "SELECT ?text ?argument ?premise ?conclusion WHERE { ?c del:text ?text ; del:containsArgument ?argument . ?argument del:hasPremise ?a ; del:hasConclusion ?b . ?a del:text ?premise . ?b del:text ?conclusion }",
+    f"SELECT text, '{{R}}argument_' || doc_id AS argument, premise, conclusion FROM {ARGUMENT_SQL} WHERE premise IS NOT NULL AND conclusion IS NOT NULL",
+    opinion_graph,
+)
+
+
+def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as topics, related where parts of both come in one size and type."""
+    p = _t(spark, sf_dir, "part").select("p_brand", "p_size", "p_type").distinct()
+    topic = lambda c: res("topic", F.replace(c, F.lit("#"), F.lit("-")))
+    both = p.join(p.withColumnRenamed("p_brand", "other"), ["p_size", "p_type"]).where("p_brand <> other").select("p_brand", "other").distinct()
+    brands = p.select("p_brand").distinct()
+    return reduce(DataFrame.unionByName, [branch(brands, topic("p_brand"), T.TYPE, F.lit(T.DEL + "Topic"), "uri"), branch(both, topic("p_brand"), T.SKOS + "related", topic("other"), "uri")])
+
+
+sparql_query(
+    "count_of_related_topics",
+    "SELECT (COUNT(?link) AS ?count) WHERE { ?t1 a del:Topic . ?t2 a del:Topic . ?t1 skos:related ?t2 . BIND(?t1 AS ?link) }",
+    """SELECT CAST(count(*) AS VARCHAR) AS count FROM (SELECT DISTINCT a.p_brand, b.p_brand FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_type = b.p_type AND a.p_brand <> b.p_brand)""",
+    _brands,
+)
+sparql_query(
+    "count_of_triples",
+    "SELECT (COUNT(*) AS ?n) WHERE { ?s ?p ?o }",
+    """WITH t AS (SELECT DISTINCT c_nationkey, p_brand FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)
+    SELECT CAST(3 * (SELECT count(*) FROM nation) + 4 * (SELECT count(*) FROM customer) + 2 * (SELECT count(DISTINCT c_mktsegment) FROM customer) + 4 * (SELECT count(*) FROM orders)
+    + (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) + 2 * (SELECT count(DISTINCT p_brand) FROM part) + (SELECT count(*) FROM t) AS VARCHAR) AS n""",
+)
+
+
+def _with_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = _t(spark, sf_dir, "supplier").select(res("s", "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("b").alias("platform"))
+    return table_graph(spark, sf_dir).unionByName(M.to_triples(M.Entities({"participant": people}), "people").select(*T.TRIPLE_COLUMNS, "src"))
+
+
+sparql_query(
+    "participants_with_platform",
+    "SELECT ?participant ?name ?platform WHERE { ?participant a del:Participant ; del:name ?name . OPTIONAL { ?participant del:platform ?platform } }",
+    "SELECT '{R}participant_' || c_custkey AS participant, c_name AS name, NULL AS platform FROM customer UNION ALL SELECT '{R}s_' || s_suppkey, s_name, 'b' FROM supplier",
+    _with_suppliers,
+)
+
 LINKS_SQL = "customer JOIN supplier ON regexp_replace(c_name, '[^0-9]', '', 'g') = regexp_replace(s_name, '[^0-9]', '', 'g')"
 
 
@@ -342,6 +419,41 @@ def contributions_of_linked_participants(spark, sf_dir):
     return _linked(spark, sf_dir, 'SELECT ?person ?c ?text WHERE { ?a owl:sameAs ?person . ?person del:platform "b" . ?c del:madeBy ?a ; del:text ?text }')
 
 
+@query(f"SELECT 'Member ' || regexp_replace(c_name, '[^0-9]', '', 'g') AS name1, 'a' AS platform1, 'Dr. Member ' || regexp_replace(s_name, '[^0-9]', '', 'g') AS name2, 'b' AS platform2, 'sameAs' AS relation FROM {LINKS_SQL}")
+def connections(spark, sf_dir):
+    """Links of both kinds with their names: patterns that only the UNION connects."""
+    return _linked(
+        spark, sf_dir,
+        """SELECT ?name1 ?platform1 ?name2 ?platform2 ?relation WHERE { ?p1 del:name ?name1 ; del:platform ?platform1 . ?p2 del:name ?name2 ; del:platform ?platform2 .
+        { ?p1 owl:sameAs ?p2 . BIND("sameAs" AS ?relation) } UNION { ?p1 skos:related ?p2 . BIND("related" AS ?relation) } FILTER(?platform1 != ?platform2) }""",
+    )
+
+
+@query(f"""SELECT 'Member ' || regexp_replace(c_name, '[^0-9]', '', 'g') AS name, o_orderpriority AS text1, event_type AS text2 FROM {LINKS_SQL} JOIN orders ON o_custkey = c_custkey JOIN events ON user_id = s_suppkey""")
+def texts_of_linked_people(spark, sf_dir):
+    """What the same person wrote on two platforms: customers' orders and suppliers' events."""
+    people = _people(spark, sf_dir).withColumn("name", F.regexp_replace("name", "^Dr. ", ""))
+    pairs = L.resolve_participants(people).where("relation = 'sameAs'").select(F.col("a").alias("source"), F.col("b").alias("target"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        pairs = pairs.checkpoint()
+    g = M.to_triples(M.Entities({"participant": people}, {"same_as": pairs}), "people").select(*T.TRIPLE_COLUMNS, "src")
+    for df, key, who, by, text in ((_t(spark, sf_dir, "orders"), "o_orderkey", "c", "o_custkey", "o_orderpriority"), (_t(spark, sf_dir, "events"), "event_id", "s", "user_id", "event_type")):
+        me = res(f"{who}_contribution", key)
+        g = g.unionByName(branch(df, me, T.DEL + "madeBy", res(who, by), "uri")).unionByName(branch(df, me, T.DEL + "text", F.col(text)))
+    text = """SELECT ?name ?text1 ?text2 WHERE { ?p1 del:name ?name ; del:platform ?x . ?p2 del:name ?name ; del:platform ?y . ?p1 owl:sameAs ?p2 .
+    ?c1 del:madeBy ?p1 ; del:text ?text1 . ?c2 del:madeBy ?p2 ; del:text ?text2 FILTER(?x != ?y) }"""
+    return values(sparql(g, text))
+
+
+@query(f"""SELECT CAST(0 AS VARCHAR) AS processes, CAST((SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS VARCHAR) AS participants, CAST(0 AS VARCHAR) AS topics, CAST(count(DISTINCT c_custkey) AS VARCHAR) AS cross_links FROM {LINKS_SQL}""")
+def quick_stats(spark, sf_dir):
+    return _linked(
+        spark, sf_dir,
+        """SELECT (COUNT(DISTINCT ?process) AS ?processes) (COUNT(DISTINCT ?participant) AS ?participants) (COUNT(DISTINCT ?topic) AS ?topics) (COUNT(DISTINCT ?link) AS ?cross_links) WHERE {
+        OPTIONAL { ?process a del:DeliberationProcess } OPTIONAL { ?participant a del:Participant } OPTIONAL { ?topic a del:Topic } OPTIONAL { ?p1 owl:sameAs ?p2 . BIND(?p1 AS ?link) } }""",
+    )
+
+
 sparql_query("initial_bindings", "SELECT ?p ?name WHERE { ?p del:name ?name }", "SELECT c_name AS name, CAST(NULL AS VARCHAR) AS p FROM customer WHERE c_custkey = 3", bound={"p": T.iri(RES + "participant_3")})
 ORACLE["initial_bindings"] = f"SELECT '{RES}participant_3' AS p, c_name AS name FROM customer WHERE c_custkey = 3"
 
@@ -386,16 +498,16 @@ def _folder(spark: SparkSession, tag: str) -> str:
 
 
 @query("""
-SELECT '{R}process_' || n_nationkey AS id, 'DeliberationProcess' AS type, n_name AS text FROM nation WHERE contains(lower(n_name), 'nite')
-UNION SELECT '{R}participant_' || c_custkey, 'Participant', c_name FROM customer WHERE contains(lower(c_name), 'nite')
-UNION SELECT '{R}org_' || c_mktsegment, 'Organization', c_mktsegment FROM customer WHERE contains(lower(c_mktsegment), 'nite')
-UNION SELECT '{R}topic_' || replace(p_brand, '#', '-'), 'Topic', p_brand FROM part WHERE contains(lower(p_brand), 'nite')
-UNION SELECT '{R}contribution_' || o_orderkey, 'Contribution', o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), 'nite')
+SELECT '{R}process_' || n_nationkey AS id, 'DeliberationProcess' AS type, n_name AS text FROM nation WHERE contains(lower(n_name), 'ran')
+UNION SELECT '{R}participant_' || c_custkey, 'Participant', c_name FROM customer WHERE contains(lower(c_name), 'ran')
+UNION SELECT '{R}org_' || c_mktsegment, 'Organization', c_mktsegment FROM customer WHERE contains(lower(c_mktsegment), 'ran')
+UNION SELECT '{R}topic_' || replace(p_brand, '#', '-'), 'Topic', p_brand FROM part WHERE contains(lower(p_brand), 'ran')
+UNION SELECT '{R}contribution_' || o_orderkey, 'Contribution', o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), 'ran')
 """)
 def indexed_search(spark, sf_dir):
     path = _folder(spark, "index")
     search_index.write_index(table_graph(spark, sf_dir), path)
-    return search_index.search(spark, path, "Nite", None)
+    return search_index.search(spark, path, "Ran", None)
 
 
 @query("""
@@ -727,11 +839,11 @@ def ingest_triples(spark, sf_dir):
 
 @query(INGEST_SQL)
 def versioned_ingest(spark, sf_dir):
-    """Three batches of events, one of them replayed, as versions of a graph."""
+    """Two batches of events and a replay of the first, as versions of a graph."""
     root = _folder(spark, "versions")
     events = _ingest_events(spark, sf_dir)
-    part = F.pmod(F.xxhash64("contribution_id"), F.lit(3))
-    for batch, which in enumerate((0, 1, 0, 2)):
+    part = F.pmod(F.xxhash64("contribution_id"), F.lit(2))
+    for batch, which in enumerate((0, 1, 0)):
         I.ingest_batch(events.where(part == which), root, "events", batch, buckets=4)
     return Versions(spark, f"{root}/graph").read().select("s", "p", "o")
 
