@@ -79,9 +79,9 @@ def write_documents(e: Entities, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str, text: str | None = None, width: int = 500) -> None:
-    """CSV with a header; the column `text` is cut at `width` characters."""
+    """CSV with a header; the column `text` is cut at `width` characters. White space at the ends of values stays."""
     out = rows.withColumn(text, F.substring(F.col(text), 1, width)) if text else rows
-    out.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').csv(path)
+    out.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_statistics(triples: DataFrame, path: str) -> None:

@@ -15,12 +15,15 @@ from .operators import analytics as A
 from .operators import link as L
 from .operators import model as M
 from .operators import nested, search_index
+from .operators.sinks import load_version, save_version, write_csv
 from .operators.versions import Versions
 from .plans.results import bindings, sparql, values
 from .sources.adapters import decidim_spaces
 from .sources.places import with_places
+from .sources.rdf import read_rdf, write_rdf
 from .sources.store import shared_dir
 from .sources.tables import STAMP, branch, conversation_graph, res, table, table_graph
+from .sources.turtle import read_turtle
 from .streaming import ingest as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -533,6 +536,61 @@ def nested_contributions(spark, sf_dir):
     )
 
 
+def _member_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and nations with names, and texts of documents that need escaping."""
+    customer, nation, docs = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text <> ''")
+    who = res("participant", "c_custkey")
+    return T.graph(
+        branch(customer, who, T.TYPE, F.lit(T.DEL + "Participant"), "uri"), branch(customer, who, T.DEL + "name", F.col("c_name")), branch(customer, res("process", "c_nationkey"), T.DEL + "hasParticipant", who, "uri"),
+        branch(nation, res("process", "n_nationkey"), T.DEL + "name", F.col("n_name")), branch(docs, res("contribution", "doc_id"), T.DEL + "text", F.substring("text", 1, 300)),
+        branch(docs, res("contribution", "doc_id"), T.DEL + "length", F.length("text"), dt=T.XSD + "integer"),
+    )
+
+
+MEMBER_SQL = """SELECT '{R}participant_' || c_custkey AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, '{D}Participant' AS o, CAST(NULL AS VARCHAR) AS dt FROM customer
+UNION SELECT '{R}participant_' || c_custkey, '{D}name', c_name, NULL FROM customer UNION SELECT '{R}process_' || c_nationkey, '{D}hasParticipant', '{R}participant_' || c_custkey, NULL FROM customer
+UNION SELECT '{R}process_' || n_nationkey, '{D}name', n_name, NULL FROM nation UNION SELECT '{R}contribution_' || doc_id, '{D}text', substr(text, 1, 300), NULL FROM documents WHERE doc_id IS NOT NULL AND text <> ''
+UNION SELECT '{R}contribution_' || doc_id, '{D}length', CAST(length(text) AS VARCHAR), 'http://www.w3.org/2001/XMLSchema#integer' FROM documents WHERE doc_id IS NOT NULL AND text <> ''"""
+
+
+def _read_back(df: DataFrame) -> DataFrame:
+    return df.select("s", "p", "o", F.col("o_dt").alias("dt"))
+
+
+@query(MEMBER_SQL)
+def ntriples_round_trip(spark, sf_dir):
+    path = _folder(spark, "nt")
+    write_rdf(_member_graph(spark, sf_dir), path, "ntriples")
+    return _read_back(read_rdf(spark, path, "ntriples"))
+
+
+@query(MEMBER_SQL)
+def turtle_round_trip(spark, sf_dir):
+    """Written as Turtle, read back in splits."""
+    path = _folder(spark, "ttl")
+    write_rdf(_member_graph(spark, sf_dir), path, "turtle")
+    return _read_back(read_turtle(spark, path))
+
+
+@query(MEMBER_SQL)
+def saved_version(spark, sf_dir):
+    """A graph saved twice: the backup stays, the last version is read."""
+    path, graph = _folder(spark, "saved"), _member_graph(spark, sf_dir)
+    save_version(graph.where(F.col("p") == T.TYPE), path)
+    save_version(graph, path)
+    return _read_back(load_version(spark, path))
+
+
+@query(r"SELECT doc_id, substr(replace(text, chr(13), ''), 1, 500) AS text FROM documents WHERE text IS NOT NULL AND text <> ''")
+def csv_export(spark, sf_dir):
+    """Texts cut at 500 characters, as CSV and back."""
+    path = _folder(spark, "csv")
+    docs = _t(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''").select("doc_id", F.translate("text", "\r", "").alias("text"))
+    write_csv(docs, path, "text")
+    back = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 @query("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey % 16 ORDER BY o_orderkey) - 1 AS BIGINT) AS place FROM orders")
 def places_in_files(spark, sf_dir):
     """The place of rows in CSV files that are read in splits."""

@@ -1,6 +1,7 @@
 """RDF files: N-Triples, Turtle (and N3), RDF/XML and JSON-LD, read and written.
 
-N-Triples is read by lines, so its files split. The others are whole documents: a file is a row of a binary read and is parsed where it was read."""
+N-Triples is read by lines, so its files split; so does Turtle where a file has more than LARGE bytes (sources.turtle). The others are whole documents: a file is a row of a binary read and is parsed
+where it was read."""
 
 from __future__ import annotations
 
@@ -19,6 +20,8 @@ from ..plans.parser import TOKEN, unescape
 FORMATS = {
     "ttl": "turtle", "turtle": "turtle", "n3": "turtle", "rdf": "xml", "xml": "xml", "owl": "xml", "json": "json-ld", "jsonld": "json-ld", "json-ld": "json-ld", "nt": "ntriples", "ntriples": "ntriples",
 }
+#: A Turtle file of more bytes is read in splits.
+LARGE = 32 << 20
 Row = tuple[str, str, str, str, str, str | None, str | None]
 
 
@@ -301,6 +304,17 @@ def read_rdf(spark: SparkSession, path: str, fmt: str | None = None) -> DataFram
     extension unless given; one that cannot be parsed in it is tried in the others."""
     if (fmt or format_of(path)) == "ntriples" and not path.endswith("/"):
         return read_ntriples(spark, path).dropDuplicates(list(TRIPLE_COLUMNS))
+    if (fmt or FORMATS.get(path.rsplit(".", 1)[-1].lower())) == "turtle":
+        sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.max("length")).first()
+        if (sizes[0] or 0) > LARGE:
+            from .turtle import read_turtle
+
+            return read_turtle(spark, path)
+    return read_whole(spark, path, fmt)
+
+
+def read_whole(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """read_rdf of files that a task parses each."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     names = [c.split()[0] for c in TRIPLE_SCHEMA.split(", ")]
 
