@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import terms as T
@@ -15,10 +15,10 @@ from .operators import analytics as A
 from .operators import link as L
 from .operators import model as M
 from .operators import nested, search_index
-from .operators.sinks import load_version, save_version, write_csv
+from .operators.sinks import load_version, save_version, write_csv, write_documents, write_summary
 from .operators.versions import Versions
 from .plans.results import bindings, sparql, values
-from .sources.adapters import decidim_spaces
+from .sources.adapters import consultation_documents, consultations, court_csv, debates, decidim_spaces, delidata, delidata_tsv, madrid, madrid_csv
 from .sources.places import with_places
 from .sources.rdf import read_rdf, write_rdf
 from .sources.store import shared_dir
@@ -536,6 +536,169 @@ def nested_contributions(spark, sf_dir):
     )
 
 
+def _links(e: M.Entities, *names: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [e.links[k].select(F.lit(k).alias("link"), "source", "target").distinct() for k in names])
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations with their place, role and text on one line."""
+    c = _t(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL")
+    return c.select("conv_id", "turn", "role", F.coalesce(X.collapse(F.translate("text", '"\\\\', "''")), F.lit("")).alias("text"))
+
+
+def _json_files(docs: DataFrame, file: Column, name: str, path: str) -> None:
+    """A JSON document a `file` (some hundred documents each), which holds its documents as the list `name`."""
+    whole = docs.groupBy(file.alias("file")).agg(F.to_json(F.struct(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(name))).alias("value"))
+    whole.repartition("file").write.partitionBy("file").text(path)
+
+
+SAID_SQL = "WITH s AS (SELECT conv_id, turn, role FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL)"
+
+
+@query(SAID_SQL + """
+SELECT 'has_participant' AS link, '{R}' || conv_id AS source, '{R}' || conv_id || '_' || role AS target FROM s UNION SELECT 'has_contribution', '{R}' || conv_id, '{R}' || conv_id || '_t' || turn FROM s
+UNION SELECT 'made_by', '{R}' || conv_id || '_t' || turn, '{R}' || conv_id || '_' || role FROM s UNION SELECT 'response_to', '{R}' || conv_id || '_t' || turn, '{R}' || conv_id || '_t' || (turn - 1) FROM s WHERE turn > 0""")
+def debate_links(spark, sf_dir):
+    """Conversations as debate documents, a hundred to a file, and back."""
+    path, rows = _folder(spark, "debates"), _said(spark, sf_dir)
+    at = lambda c: F.struct(F.concat(F.lit(RES), c).alias("@id"))
+    turn = F.concat(F.lit("t"), F.col("turn"))
+    before = F.when(F.col("turn") > 0, at(F.concat(F.lit("t"), F.col("turn") - 1)))
+    said = F.struct(turn.alias("del:identifier"), F.col("text").alias("del:text"), at(F.col("role")).alias("del:madeBy"), before.alias("del:responseTo"))
+    docs = rows.groupBy("conv_id").agg(F.collect_list(said).alias("del:hasContribution"), F.collect_set(F.struct(F.col("role").alias("del:identifier"), F.col("role").alias("del:name"))).alias("del:hasParticipant"))
+    docs = docs.select(F.lit("del:DeliberationProcess").alias("@type"), F.col("conv_id").cast("string").alias("del:identifier"), "del:hasContribution", "del:hasParticipant")
+    _json_files(docs, F.floor(F.col("`del:identifier`").cast("long") / 100), "@graph", path)
+    return _links(debates(spark, path), "has_participant", "has_contribution", "made_by", "response_to")
+
+
+@query(r"""
+WITH s AS (SELECT conv_id, turn, role FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL AND upper(role) <> 'SYSTEM' AND trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) <> ''),
+n AS (SELECT '{R}delidata_' AS d)
+SELECT 'has_contribution' AS link, d || 'process_' || conv_id AS source, d || 'message_' || conv_id || '_' || turn AS target FROM s, n UNION SELECT 'made_by', d || 'message_' || conv_id || '_' || turn, d || 'participant_' || conv_id || '_' || lower(role) FROM s, n
+UNION SELECT 'has_participant', d || 'process_' || conv_id, d || 'participant_' || conv_id || '_' || lower(role) FROM s, n
+UNION SELECT 'has_argument', d || 'message_' || conv_id || '_' || turn, d || 'message_' || conv_id || '_' || turn || '_argument' FROM s, n WHERE turn % 3 > 0""")
+def delidata_links(spark, sf_dir):
+    """Conversations as annotated chat logs, and back."""
+    path = _folder(spark, "delidata")
+    kind = F.when(F.col("turn") % 3 == 0, "0").otherwise("Probing")
+    rows = _said(spark, sf_dir).select(F.col("conv_id").alias("group_id"), F.col("turn").alias("message_id"), F.col("role").alias("origin"), F.col("text").alias("original_text"), kind.alias("annotation_type"))
+    rows.write.option("sep", "\t").option("header", True).csv(path)
+    return _links(delidata_tsv(spark, path), "has_contribution", "made_by", "has_participant", "has_argument")
+
+
+@query(r"""
+WITH s AS (SELECT conv_id, turn, role FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL AND upper(role) <> 'SYSTEM' AND trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) <> ''),
+n AS (SELECT '{R}delidata_' AS d)
+SELECT 'has_contribution' AS link, d || 'process_' || conv_id AS source, d || 'message_' || conv_id || '_' || turn AS target FROM s, n UNION SELECT 'made_by', d || 'message_' || conv_id || '_' || turn, d || 'participant_' || conv_id || '_' || lower(role) FROM s, n
+UNION SELECT 'has_argument', d || 'message_' || conv_id || '_' || turn, d || 'message_' || conv_id || '_' || turn || '_argument' FROM s, n WHERE turn % 3 > 0""")
+def chat_documents(spark, sf_dir):
+    """Conversations as documents of annotated chats, and back."""
+    path = _folder(spark, "chats")
+    kind = F.when(F.col("turn") % 3 == 0, "0").otherwise("Probing")
+    one = F.struct(F.col("turn").alias("message_id"), F.col("role").alias("origin"), F.col("text").alias("original_text"), kind.alias("annotation_type"))
+    docs = _said(spark, sf_dir).groupBy(F.col("conv_id").alias("group_id")).agg(F.collect_list(one).alias("messages"))
+    _json_files(docs, F.floor(F.col("group_id") / 100), "conversations", path)
+    return _links(delidata(spark, path), "has_contribution", "made_by", "has_argument")
+
+
+@query("""
+WITH p AS (SELECT o_orderkey AS id, o_custkey AS who FROM orders), c AS (SELECT l_orderkey AS parent, l_orderkey || '_' || l_linenumber AS id, l_suppkey AS who FROM lineitem JOIN orders ON o_orderkey = l_orderkey), m AS (SELECT '{R}madrid_' AS m)
+SELECT 'has_contribution' AS link, m || 'proposal_' || id AS source, m || 'text_' || id AS target FROM p, m UNION SELECT 'has_contribution', m || 'proposal_' || parent, m || 'comment_' || c.id FROM c, m
+UNION SELECT 'response_to', m || 'comment_' || c.id, m || 'text_' || parent FROM c, m UNION SELECT 'made_by', m || 'text_' || id, m || 'participant_' || who FROM p, m UNION SELECT 'made_by', m || 'comment_' || c.id, m || 'participant_' || c.who FROM c, m""")
+def proposal_documents(spark, sf_dir):
+    """Orders as proposals with line items as the comments below them, as documents, and back."""
+    path = _folder(spark, "proposals")
+    l = _t(spark, sf_dir, "lineitem")
+    said = l.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.concat_ws("_", "l_orderkey", "l_linenumber").alias("id"), F.col("l_returnflag").alias("body"), F.struct(F.col("l_suppkey").alias("id")).alias("author"))).alias("comments"))
+    o = _t(spark, sf_dir, "orders").join(said, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    docs = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("summary"), F.struct(F.col("o_custkey").alias("id")).alias("author"), F.date_format("o_orderdate", STAMP).alias("created_at"), "comments")
+    _json_files(docs, F.floor(F.col("id") / 4000), "proposals", path)
+    return _links(madrid(spark, path), "has_contribution", "response_to", "made_by")
+
+
+@query("""
+SELECT 'has_contribution' AS link, '{R}euhys_process_' || c_custkey AS source, '{R}euhys_feedback_' || o_orderkey AS target FROM orders JOIN customer ON o_custkey = c_custkey
+UNION SELECT 'made_by', '{R}euhys_feedback_' || o_orderkey, '{R}euhys_participant_person_' || lower(o_orderstatus) || '_' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey
+UNION SELECT 'has_topic', '{R}euhys_process_' || c_custkey, '{R}euhys_topic_' || lower(c_mktsegment) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""")
+def initiative_documents(spark, sf_dir):
+    """Customers as initiatives with their orders as feedback, a document each, and back."""
+    path = _folder(spark, "initiatives")
+    said = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"), F.col("o_orderstatus").alias("surname"), F.lit("X").alias("country"))).alias("feedback"))
+    c = _t(spark, sf_dir, "customer").join(said, F.col("c_custkey") == F.col("o_custkey"))
+    docs = c.select(F.col("c_custkey").alias("initiative_id"), F.col("c_name").alias("title"), F.array("c_mktsegment").alias("policy_areas"), "feedback")
+    files = docs.groupBy(F.floor(F.col("initiative_id") / 500).alias("file")).agg(F.to_json(F.collect_list(F.struct(*docs.columns))).alias("value"))
+    files.repartition("file").write.partitionBy("file").text(path)
+    return _links(consultation_documents(spark, path), "has_contribution", "made_by", "has_topic")
+
+
+@query("""
+SELECT n_nationkey AS process, n_name AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS participants,
+(SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey) AS contributions FROM nation""")
+def process_summaries(spark, sf_dir):
+    """A nested document a process, written and read back, and what its summary counts."""
+    path = _folder(spark, "documents")
+    nation, customer, orders = (_t(spark, sf_dir, n) for n in ("nation", "customer", "orders"))
+    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    e = M.Entities(
+        {
+            "process": nation.select(res("process", "n_nationkey").alias("id"), F.col("n_name").alias("name")), "participant": customer.select(res("participant", "c_custkey").alias("id"), F.col("c_name").alias("name")),
+            "contribution": orders.select(res("contribution", "o_orderkey").alias("id"), F.col("o_orderpriority").alias("text")),
+        },
+        {
+            "has_participant": customer.select(res("process", "c_nationkey").alias("source"), res("participant", "c_custkey").alias("target")),
+            "has_contribution": placed.select(res("process", "c_nationkey").alias("source"), res("contribution", "o_orderkey").alias("target")),
+        },
+    )
+    write_documents(e, f"{path}/documents")
+    write_summary(spark.read.json(f"{path}/documents"), f"{path}/summary")
+    back = spark.read.json(f"{path}/summary")
+    return back.select(F.substring_index("process_id", "_", -1).cast("long").alias("process"), "name", "participants", "contributions")
+
+
+@query(r"""
+WITH s AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL)
+SELECT '{R}scotus_case_' || conv_id || '_contribution_' || n AS source, '{R}scotus_participant_' || lower(role) AS target FROM s WHERE text <> ''""")
+def court_speakers(spark, sf_dir):
+    """Conversations as transcripts whose contributions are numbered by their place in the file."""
+    path = _folder(spark, "court")
+    rows = _said(spark, sf_dir).select(F.col("conv_id").alias("case"), F.col("role").alias("speaker"), "text", "turn")
+    rows.repartition("case").sortWithinPartitions("case", "turn", "speaker").select("case", "speaker", "text").write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return court_csv(spark, path).links["made_by"]
+
+
+@query("""
+WITH f AS (SELECT o_orderkey AS fid, c_nationkey AS iid, CASE WHEN o_orderpriority LIKE '1%' THEN c_mktsegment END AS org, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey),
+w AS (SELECT *, CASE WHEN org IS NOT NULL THEN 'org_' || lower(org) ELSE 'person_' || lower(regexp_replace(name, '[^A-Za-z0-9_]', '', 'g')) || '_' || fid END AS k FROM f)
+SELECT 'has_contribution' AS link, '{R}euhys_process_' || iid AS source, '{R}euhys_feedback_' || fid AS target FROM w UNION SELECT 'made_by', '{R}euhys_feedback_' || fid, '{R}euhys_participant_' || k FROM w
+UNION SELECT 'has_participant', '{R}euhys_process_' || iid, '{R}euhys_participant_' || k FROM w UNION SELECT 'affiliated', '{R}euhys_participant_' || k, '{R}euhys_org_' || lower(org) FROM w WHERE org IS NOT NULL""")
+def consultation_links(spark, sf_dir):
+    """Orders as feedback to the initiatives of nations, in the files of consultations."""
+    path = _folder(spark, "consultations")
+    o = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    org = F.when(F.col("o_orderpriority").startswith("1"), F.col("c_mktsegment"))
+    o.select(
+        F.col("o_orderkey").alias("id"), F.col("c_nationkey").alias("publication_id"), F.lit("en").alias("language"), F.lit("X").alias("country"), org.alias("organization"), F.col("c_name").alias("surname"), F.lit(None).cast("string").alias("first_name"),
+        F.col("o_orderpriority").alias("feedback"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_feedback"), F.lit("Plan").alias("publication"),
+    ).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return _links(consultations(spark, path), "has_contribution", "made_by", "has_participant", "affiliated")
+
+
+@query("""
+WITH p AS (SELECT o_orderkey AS id, 'customer' || o_custkey AS who FROM orders), c AS (SELECT l_orderkey AS parent, l_orderkey || '_' || l_linenumber AS id, 'supplier' || l_suppkey AS who FROM lineitem), m AS (SELECT '{R}madrid_' AS m)
+SELECT 'has_contribution' AS link, m || 'proposal_' || id AS source, m || 'text_' || id AS target FROM p, m UNION SELECT 'has_contribution', m || 'proposal_' || parent, m || 'comment_' || c.id FROM c JOIN p ON p.id = parent, m
+UNION SELECT 'response_to', m || 'comment_' || c.id, m || 'text_' || parent FROM c JOIN p ON p.id = parent, m UNION SELECT 'made_by', m || 'text_' || id, m || 'participant_' || who FROM p, m
+UNION SELECT 'made_by', m || 'comment_' || c.id, m || 'participant_' || c.who FROM c JOIN p ON p.id = parent, m""")
+def debate_comments(spark, sf_dir):
+    """Orders as debates and line items as comments to them, in the files of a city's portal."""
+    path = _folder(spark, "madrid")
+    csv = lambda df, at: df.write.option("sep", ";").option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/{at}")
+    when = lambda c: F.date_format(c, "dd/MM/yyyy HH").alias("created_at")
+    o, l = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    csv(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("description"), F.concat(F.lit("Customer"), "o_custkey").alias("author_name"), when("o_orderdate")), "debates")
+    csv(l.select(F.concat_ws("_", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("debate_id"), F.col("l_returnflag").alias("body"), F.concat(F.lit("Supplier"), "l_suppkey").alias("author_name"), when("l_shipdate")), "comments")
+    return _links(madrid_csv(spark, f"{path}/debates", f"{path}/comments"), "has_contribution", "response_to", "made_by")
+
+
 def _member_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and nations with names, and texts of documents that need escaping."""
     customer, nation, docs = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text <> ''")
