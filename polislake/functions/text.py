@@ -145,6 +145,11 @@ def iso_time(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
 
+def without_zone(c: Column) -> Column:
+    """A time with Z or an offset as UTC without a zone, as times without one are taken; others as they are."""
+    return F.when(c.rlike(r"T.*(Z|[+-]\d{2}:?\d{2})$"), F.coalesce(F.date_format(F.to_utc_timestamp(iso_time(c), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), c)).otherwise(c)
+
+
 def sitting_date(identifier: Column) -> Column:
     return F.regexp_extract(identifier, r"(\d{4}-\d{2}-\d{2})", 1)
 

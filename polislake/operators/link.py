@@ -139,8 +139,9 @@ def mine_arguments(contributions: DataFrame, markers: tuple[str, ...] = X.ARGUME
 
 
 def frequent_keywords(texts: DataFrame, most: int = 5) -> DataFrame:
-    """(id, keyword, n, rank): words of four letters or more that occur twice, the most frequent first, ties by first appearance."""
-    words = texts.select("id", F.posexplode(X.keywords(F.col("text"))).alias("pos", "keyword")).groupBy("id", "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    """(id, keyword, n, rank): words of four letters or more that occur twice, the most frequent first, ties by first appearance. Texts are dealt out by id once; their words are
+    counted and ranked where they are."""
+    words = texts.repartition("id").select("id", F.posexplode(X.keywords(F.col("text"))).alias("pos", "keyword")).groupBy("id", "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "first"))
     return words.where("n > 1").select("id", "keyword", "n", rank.alias("rank")).where(F.col("rank") <= most)
 

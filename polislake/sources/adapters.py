@@ -81,7 +81,7 @@ def process_documents(docs: DataFrame, compat: bool = False, platform: str | Non
     none = F.lit(None).cast("string")
     e = Entities()
     e.tables["process"] = docs.select(
-        pid.alias("id"), F.col("pkey").alias("identifier"), _d(docs, "name").alias("name"), _d(docs, "startDate").alias("start_date"), _d(docs, "endDate").alias("end_date"), (F.lit(platform) if platform else _d(docs, "platform")).alias("platform"), _d(docs, "description").alias("description")
+        pid.alias("id"), F.col("pkey").alias("identifier"), _d(docs, "name").alias("name"), X.without_zone(_d(docs, "startDate")).alias("start_date"), X.without_zone(_d(docs, "endDate")).alias("end_date"), (F.lit(platform) if platform else _d(docs, "platform")).alias("platform"), _d(docs, "description").alias("description")
     )
     t = explode(docs, "hasTopic", F.col("pkey"))
     if t is not None:
@@ -120,8 +120,11 @@ def process_documents(docs: DataFrame, compat: bool = False, platform: str | Non
 def parliament_api(spark: SparkSession, path: str) -> Entities:
     """speeches[] of the parliament's interface: topics are the distinct activity labels, numbered by first appearance."""
     docs = read_json(spark, path)
-    docs = docs.withColumn("pkey", F.coalesce(field(docs, "debate_id"), field(docs, "debate_date"), field(docs, "date")))
-    s = explode(docs, "speeches", F.col("pkey"), field(docs, "debate_date", "date").alias("day"))
+    # Without a date the sitting is told by the id of a speech, such as SPEECH-9-2024-07-17.
+    sitting = F.nullif(X.sitting_date(F.array_min(F.col("speeches.id").cast("array<string>"))), F.lit("")) if _has(docs, "speeches", "id") else F.lit(None).cast("string")
+    docs = docs.withColumn("day", F.coalesce(field(docs, "debate_date"), field(docs, "date"), sitting))
+    docs = docs.withColumn("pkey", F.coalesce(field(docs, "debate_id"), F.col("day")))
+    s = explode(docs, "speeches", F.col("pkey"), F.col("day"))
     pid = address("debate_", F.col("pkey"))
     label = field(s, "activity_label/en", "activity_label/fr", "activity_label/mul", "activity_label")
     person = field(s, "had_participation/had_participant_person", "had_participation/had_participant_person/0")
@@ -134,7 +137,7 @@ def parliament_api(spark: SparkSession, path: str) -> Entities:
     cid = address("speech_", F.regexp_replace("sid", "[/ ]", "_"))
     who = address("person_", X.local_name(F.col("person")))
     e = Entities()
-    e.tables["process"] = docs.select(pid.alias("id"), F.col("pkey").alias("identifier"), F.concat(F.lit("Debate "), F.col("pkey")).alias("name"), field(docs, "debate_date", "date").alias("start_date"))
+    e.tables["process"] = docs.select(pid.alias("id"), F.col("pkey").alias("identifier"), F.concat(F.lit("Debate "), F.col("pkey")).alias("name"), F.col("day").alias("start_date"))
     e.tables["topic"] = topics.select(F.concat(pid, F.lit("_topic_"), F.col("n")).alias("id"), F.col("label").alias("name"))
     e.tables["contribution"] = rows.select(cid.alias("id"), F.col("sid").alias("identifier"), F.col("label").alias("text"), F.col("at").alias("timestamp"))
     e.tables["participant"] = rows.where("person IS NOT NULL").select(who.alias("id"), F.col("person").alias("identifier"), X.local_name(F.col("person")).alias("name")).distinct()

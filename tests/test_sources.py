@@ -103,6 +103,22 @@ def test_html(spark, tmp_path):
     assert e.tables["process"].first()["start_date"] == "2025-03-10"
 
 
+def test_times_of_sources(spark, tmp_path):
+    undated = {"speeches": [{"id": f"SPEECH-9-2024-07-17-{i}", "activity_label": {"en": "A"}} for i in range(2)]}
+    p = S.parliament_api(spark, put(tmp_path, "u.json", undated)).tables["process"].first()
+    assert p["id"].endswith("debate_2024-07-17") and p["start_date"] == "2024-07-17"
+    zoned = DEBATE | {"del:startDate": "2024-07-17T10:00:00Z", "del:endDate": "2024-07-17T14:30:00+02:00"}
+    for zone in ("UTC", "America/New_York"):
+        before = spark.conf.get("spark.sql.session.timeZone")
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            d = S.debates(spark, put(tmp_path, "z.json", zoned)).tables["process"].first()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)
+        assert (d["start_date"], d["end_date"]) == ("2024-07-17T10:00:00", "2024-07-17T12:30:00")
+    assert S.debates(spark, put(tmp_path, "n.json", DEBATE | {"del:startDate": "2024-07-17", "del:endDate": "soon"})).tables["process"].select("start_date", "end_date").first() == ("2024-07-17", "soon")
+
+
 def test_proposals(spark, tmp_path):
     flat = {"proposals": [{"id": 1, "title": "Bikes", "text": "<p>More  bikes</p>", "userId": 7, "date": "2020-01-01"}], "comments": [{"id": 5, "proposalId": 1, "userId": 8, "text": "Yes", "date": "2020-01-02"}, {"id": 6, "proposalId": 99, "userId": 8, "text": "Orphan"}]}
     assert counts(spark, S.madrid(spark, put(tmp_path, "m.json", flat))) == (1, 2, 2, 1, 0)
