@@ -196,3 +196,14 @@ def test_other_containments_stay_filters(spark):
     text = "SELECT ?n ?m WHERE { ?x del:name ?n . ?y del:name ?m FILTER(CONTAINS(?n, ?m) || STRLEN(?n) > 6) }"
     names = topics(spark)[0]
     assert sorted(tuple(r) for r in values(sparql(g, text)).collect()) == sorted((n, m) for n in names for m in names if m in n or len(n) > 6)
+
+
+def test_patterns_that_a_union_connects(spark):
+    rows = [(f"p{i}", "uri", DEL + "name", f"N{i}", "literal", None, None, "x") for i in range(6)] + [("p0", "uri", T.OWL + "sameAs", "p1", "uri", None, None, "x"), ("p2", "uri", T.SKOS + "related", "p3", "uri", None, None, "x")]
+    g = spark.createDataFrame(rows, TRIPLE_SCHEMA).persist()
+    df = sparql(g, "SELECT ?n ?m ?r WHERE { ?p del:name ?n . ?q del:name ?m { ?p owl:sameAs ?q BIND('same' AS ?r) } UNION { ?p skos:related ?q BIND('near' AS ?r) } }")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert sorted(map(tuple, values(df).collect())) == [("N0", "N1", "same"), ("N2", "N3", "near")]
+    apart = sparql(g, "SELECT ?n ?m WHERE { { ?p del:name ?n . ?q del:name ?m } { ?p owl:sameAs ?x } }")
+    assert len({r["m"] for r in apart.collect()}) == 6 and apart.count() == 6
