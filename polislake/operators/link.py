@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.store import measured_joins, written
 
 SAME, RELATED = 0.8, 0.6
 
@@ -19,16 +22,19 @@ def name_similarity(a: Column, b: Column) -> Column:
 
 
 def contained_names(names: DataFrame, gram: int = 3) -> DataFrame:
-    """(x, y), x contained in y and another name: y has the rarest of x's character grams, or x itself where x is shorter than a gram. names: n, distinct."""
-    of = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - (k - 1), F.lit(1))), lambda i: F.substring(F.col("n"), i, F.lit(k))))
-    keyed = names.select("n", F.explode(of(gram)).alias("g"))
+    """(x, y), x contained in y and another name: y has the rarest of x's character runs of one length, at least half of x's own up to eight grams; x itself where it is shorter than a gram. names: n, distinct.
+
+    Runs of a length are taken only of names longer than the shortest that is looked up by them: names of one length, however many and however alike, have none to compare."""
+    sizes = [*range(1, gram), *(gram << k for k in range(4))]  # of runs
+    size = reduce(lambda rest, k: F.when(F.length("n") >= k, F.lit(k)).otherwise(rest), sizes, F.lit(0))
+    of = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") - k + 1), lambda i: F.substring(F.col("n"), i, k)))
+    sized = names.where("n <> ''").withColumn("k", size)
+    least = sized.groupBy("k").agg(F.min(F.length("n")).alias("least"))  # a row a length of runs
+    keyed = sized.select("n").join(F.broadcast(least), F.length("n") > F.col("least")).select("n", F.explode(of(F.col("k"))).alias("g"))
     common = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    rarest = keyed.where(F.length("n") >= gram).join(common, "g").groupBy("n").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
-    found = rarest.select(F.col("n").alias("x"), "g").join(keyed.select(F.col("n").alias("y"), "g"), "g").where("contains(y, x)").select("x", "y")
-    for k in range(1, gram):
-        short = names.where(F.length("n") == k).select(F.col("n").alias("x"), F.col("n").alias("g"))
-        found = found.unionByName(short.join(names.select(F.col("n").alias("y"), F.explode(of(k)).alias("g")), "g").select("x", "y"))
-    return found.where("x <> y")
+    own = sized.select("n", F.explode(of(F.col("k"))).alias("g"))
+    rarest = own.join(common, "g", "left").groupBy("n").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"))
+    return rarest.select(F.col("n").alias("x"), "g").join(keyed.select(F.col("n").alias("y"), "g"), "g").where("length(y) > length(x) AND contains(y, x)").select("x", "y")
 
 
 def similar_words(names: DataFrame) -> DataFrame:
@@ -47,15 +53,16 @@ def resolve_participants(participants: DataFrame, cap: int | None = None, compat
 
     participants: id, name, platform. Candidates share one of the rarest words (see similar_words), or, so that containment inside a word is found too, the
     rarest of the character `gram`s of the shorter name. cap keeps so many a platform, by id."""
+    measured_joins(participants.sparkSession)
     p = participants.select("id", "platform", X.normalize_name(F.col("name"), compat).alias("n")).where("id IS NOT NULL AND platform IS NOT NULL AND n IS NOT NULL")
     if not compat:
         p = p.where("n <> ''")
     p = p.dropDuplicates(["id", "platform", "n"])
     if cap is not None:
         p = p.withColumn("k", F.row_number().over(Window.partitionBy("platform").orderBy("id"))).where(F.col("k") <= cap).drop("k")
-    names = p.select("n", "platform").distinct()
-    # Names are compared once, whoever bears them.
-    distinct = names.select("n").distinct()
+    # Names are cleaned once, and compared once, whoever bears them.
+    p, _ = written(p, "people")
+    distinct, _ = written(p.select("n").distinct(), "names")
     inside = contained_names(distinct.where("n <> ''"), gram)
     if compat:  # an empty name is contained in every name
         inside = inside.unionByName(distinct.where("n = ''").select(F.col("n").alias("x")).crossJoin(distinct.where("n <> ''").select(F.col("n").alias("y"))))

@@ -32,3 +32,13 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def measured_joins(spark: SparkSession) -> None:
+    """Joins of the session broadcast a side by its size once it is there. A scan's estimate is of its compressed files and a few of their columns, and tells nothing of the texts made of them:
+    by it, a driver would gather tables that grow."""
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    if spark.conf.get("spark.sql.adaptive.enabled") == "true" and spark.conf.get(static) != "-1":
+        if spark.conf.get(adaptive, None) is None:
+            spark.conf.set(adaptive, spark.conf.get(static))
+        spark.conf.set(static, "-1")

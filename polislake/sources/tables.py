@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import DEL, RES, TYPE, XSD
+from .store import measured_joins
 
 STAMP = "yyyy-MM-dd'T'HH:mm:ss"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    measured_joins(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
