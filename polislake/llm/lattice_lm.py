@@ -521,7 +521,8 @@ def _answer(held: DataFrame, words: DataFrame, buckets: int, path: str, model: d
         counts, logs = np.zeros(len(g.distinct), np.int64), np.zeros((classes + 1, len(g.distinct)))
         places, bounds = split_by((g.distinct % U(buckets)).astype(np.int64), buckets)
         for x in (a.as_py() for a in answers.column(1)):
-            (k,), names, c, *parts_logs = unpack(x)
+            told, names, c, *parts_logs = unpack(x)
+            k = int(told[0])  # packed in as few bytes as it fits: k + 1 must not wrap
             i = np.searchsorted(g.distinct, names.astype(U)) if len(names) else places[bounds[k] : bounds[k + 1]]
             counts[i] = c
             logs[:, i] = parts_logs
