@@ -549,7 +549,7 @@ def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _json_files(docs: DataFrame, file: Column, name: str, path: str) -> None:
     """A JSON document a `file` (some hundred documents each), which holds its documents as the list `name`."""
     whole = docs.groupBy(file.alias("file")).agg(F.to_json(F.struct(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(name))).alias("value"))
-    whole.repartition("file").write.partitionBy("file").text(path)
+    whole.write.partitionBy("file").text(path)
 
 
 SAID_SQL = "WITH s AS (SELECT conv_id, turn, role FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL)"
@@ -627,7 +627,7 @@ def initiative_documents(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").join(said, F.col("c_custkey") == F.col("o_custkey"))
     docs = c.select(F.col("c_custkey").alias("initiative_id"), F.col("c_name").alias("title"), F.array("c_mktsegment").alias("policy_areas"), "feedback")
     files = docs.groupBy(F.floor(F.col("initiative_id") / 500).alias("file")).agg(F.to_json(F.collect_list(F.struct(*docs.columns))).alias("value"))
-    files.repartition("file").write.partitionBy("file").text(path)
+    files.write.partitionBy("file").text(path)
     return _links(consultation_documents(spark, path), "has_contribution", "made_by", "has_topic")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.model import Entities, address
 from .places import with_places
+from .store import written
 
 
 def _has(df: DataFrame, *path: str) -> bool:
@@ -57,8 +58,12 @@ def _d(df: DataFrame, name: str) -> Column:
     return field(df, f"del:{name}", f"dkg:{name}", name)
 
 
+NO_JSON = "\u0001\u001e\u0002\u001e"
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", "true").option("primitivesAsString", "true").json(path)
+    """Documents of files, numbers as they are written. A file is a record up to a separator that JSON text cannot hold: read as multi-line documents, each number to be kept as text is a read of the file of its own."""
+    return spark.read.option("lineSep", NO_JSON).option("primitivesAsString", "true").json(path)
 
 
 def documents_of(docs: DataFrame) -> DataFrame:
@@ -245,7 +250,8 @@ def debate_html(spark: SparkSession, path: str) -> Entities:
 
 
 def _proposals(p: DataFrame, c: DataFrame | None, prefix: str, platform: str) -> Entities:
-    """p: id, title, text, author, author_name, at; c: id, parent, text, author, author_name, at, to. One process a proposal."""
+    """p: id, title, text, author, author_name, at; c: id, parent, text, author, author_name, at, to. One process a proposal. Files are parsed into a table once, not once a link."""
+    p, _ = written(p, "proposals")
     pid, person = address(f"{prefix}_proposal_", F.col("id")), address(f"{prefix}_participant_", F.col("author"))
     e = Entities()
     e.tables["process"] = p.select(pid.alias("id"), F.col("id").alias("identifier"), F.col("title").alias("name"), F.lit(platform).alias("platform"), F.col("at").alias("start_date"))
@@ -259,7 +265,7 @@ def _proposals(p: DataFrame, c: DataFrame | None, prefix: str, platform: str) ->
             F.when(F.col("to").isNotNull(), address(f"{prefix}_comment_", F.col("to"))).otherwise(address(f"{prefix}_text_", F.col("parent"))).alias("to"),
         )
         body = body.unionByName(own)
-    body = body.where("text <> ''")
+    body, _ = written(body.where("text <> ''"), "contributions")
     e.tables["contribution"] = body.select("id", "text", "timestamp")
     e.links["has_contribution"] = body.select(F.col("process").alias("source"), F.col("id").alias("target"))
     e.links["response_to"] = body.where(F.col("to").isNotNull()).select(F.col("id").alias("source"), F.col("to").alias("target"))
@@ -441,7 +447,7 @@ def delidata_tsv(spark: SparkSession, path: str) -> Entities:
 
 def _feedback(rows: DataFrame) -> Entities:
     """rows: initiative, title, fid, text, org, name, country, at, language. A person is an organisation, else named with the feedback's id, else anonymous by country."""
-    rows = rows.where("initiative IS NOT NULL AND fid IS NOT NULL")
+    rows, _ = written(rows.where("initiative IS NOT NULL AND fid IS NOT NULL"), "feedback")  # parsed once, not once a link
     some = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     key = F.when(some("org").isNotNull(), F.concat(F.lit("org_"), X.slug(F.col("org")))).when(some("name").isNotNull(), F.concat(F.lit("person_"), X.slug(F.col("name")), F.lit("_"), F.col("fid"))).otherwise(F.concat(F.lit("anonymous_"), F.coalesce(some("country"), F.lit("unknown"))))
     shown = F.coalesce(some("name"), some("org"), F.concat(F.lit("Anonymous, "), F.coalesce(some("country"), F.lit("unknown"))))
