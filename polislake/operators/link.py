@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.store import measured_joins, written
+from ..sources.store import dealt, measured_joins, written
+
+#: Bytes of text whose words a task counts.
+TEXT_BYTES = 8 << 20
 
 SAME, RELATED = 0.8, 0.6
 
@@ -145,10 +148,10 @@ def mine_arguments(contributions: DataFrame, markers: tuple[str, ...] = X.ARGUME
     return contributions.where(hit).select("id", F.concat(F.lit("argument_"), X.stable_id(F.col("id"), low)).alias("argument"), F.when(has, premise).alias("premise"), F.when(has, conclusion).alias("conclusion"))
 
 
-def frequent_keywords(texts: DataFrame, most: int = 5) -> DataFrame:
-    """(id, keyword, n, rank): words of four letters or more that occur twice, the most frequent first, ties by first appearance. Texts are dealt out by id once; their words are
-    counted and ranked where they are."""
-    words = texts.repartition("id").select("id", F.posexplode(X.keywords(F.col("text"))).alias("pos", "keyword")).groupBy("id", "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+def frequent_keywords(texts: DataFrame, most: int = 5, text: Column | None = None) -> DataFrame:
+    """(id, keyword, n, rank): words of four letters or more that occur twice, the most frequent first, ties by first appearance. Texts are dealt out by id once, about TEXT_BYTES
+    a task; their words are counted and ranked where they are. text: what is made of a text first, there."""
+    words = dealt(texts, "id", size="octet_length(text)", each=TEXT_BYTES).select("id", F.posexplode(X.keywords(F.col("text") if text is None else text)).alias("pos", "keyword")).groupBy("id", "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "first"))
     return words.where("n > 1").select("id", "keyword", "n", rank.alias("rank")).where(F.col("rank") <= most)
 

@@ -960,7 +960,7 @@ SELECT doc_id AS id, keyword, n, CAST(row_number() OVER (PARTITION BY doc_id ORD
 @query(KEYWORD_SQL)
 def keyword_frequency(spark, sf_dir):
     plain = F.regexp_replace("text", "[^A-Za-z ]", " ")  # the common subset of the regular expression dialects
-    return L.frequent_keywords(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), plain.alias("text")))
+    return L.frequent_keywords(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), text=plain)
 
 
 TAG_SQL = "WITH t AS (SELECT doc_id AS id, list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f"contains(lower(text), '{k}')" for k in v)} THEN '{n}' END" for n, v in X.TOPIC_KEYWORDS.items()) + "], lambda x: x IS NOT NULL)[1:3] AS l FROM documents) SELECT id, unnest(l) AS topic FROM t"

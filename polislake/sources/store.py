@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MOST_TASKS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +31,13 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def dealt(df: DataFrame, *keys: str, size: str = "1", each: int = 100_000) -> DataFrame:
+    """`df` dealt out by `keys` to so many tasks that one has about `each` of `size` (an expression, summed over the rows). For rows that get many more or longer in the next step: splits of files
+    and shuffles are as large as what is read, not as what is made of it."""
+    total = df.agg(F.sum(F.expr(size)).cast("double")).first()[0] or 0
+    return df.repartition(int(min(MOST_TASKS, max(df.sparkSession.sparkContext.defaultParallelism, total // each + 1))), *keys)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
