@@ -21,7 +21,7 @@ from .plans.results import bindings, sparql, values
 from .sources.adapters import consultation_documents, consultations, court_csv, debates, decidim_spaces, delidata, delidata_tsv, madrid, madrid_csv
 from .sources.places import with_places
 from .sources.rdf import read_rdf, write_rdf
-from .sources.store import shared_dir
+from .sources.store import dealt, shared_dir
 from .sources.tables import STAMP, branch, conversation_graph, res, table, table_graph
 from .sources.turtle import read_turtle
 from .streaming import ingest as I
@@ -1055,7 +1055,7 @@ def _ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(INGEST_SQL)
 def ingest_triples(spark, sf_dir):
-    return T.graph(I.ingest(_ingest_events(spark, sf_dir))).select("s", "p", "o")
+    return T.graph(I.ingest(dealt(_ingest_events(spark, sf_dir), "contribution_id"))).select("s", "p", "o")
 
 
 @query(INGEST_SQL)
