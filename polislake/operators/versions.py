@@ -23,6 +23,8 @@ from ..sources.store import drop, written
 
 #: Folders that a cell may be spread over before it is merged.
 MOST_FOLDERS = 8
+#: A cell is written by a task for each so many rows of a change, so that large cells do not make few tasks long.
+FILE_ROWS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -103,16 +105,21 @@ class Versions:
     def missing(self, df: DataFrame, manifest: dict) -> DataFrame:
         """The rows of `df` (placed) that a version does not hold; only their cells are read."""
         cells = {f"pk={r['pk']}/bucket={r['bucket']}" for r in df.select("pk", "bucket").distinct().collect()}  # of a fixed number
+        if not cells & manifest["cells"].keys():
+            return df
         held = self._cells(manifest, cells).select("pk", "bucket", *[F.col(c).alias(f"held_{c}") for c in self.layout.identity])
         held = held.withColumnRenamed("pk", "held_pk").withColumnRenamed("bucket", "held_bucket")
         same = [F.col(c).eqNullSafe(F.col(f"held_{c}")) for c in ("pk", "bucket", *self.layout.identity)]
-        return df.join(held, reduce(lambda a, b: a & b, same), "left_anti")
+        # By a hash first: names that begin alike are long to compare, and sorted they would be compared with all their neighbours.
+        df, held = df.withColumn("hash", F.xxhash64(*self.layout.identity)), held.withColumn("held_hash", F.xxhash64(*[f"held_{c}" for c in self.layout.identity]))
+        return df.join(held, reduce(lambda a, b: a & b, same, F.col("hash") == F.col("held_hash")), "left_anti").drop("hash")
 
-    def _write(self, df: DataFrame) -> tuple[str, list[str]]:
-        """A new folder with rows by cell, and its cells."""
+    def _write(self, df: DataFrame, files: int = 1) -> tuple[str, list[str]]:
+        """A new folder with rows by cell, up to `files` files each, and its cells."""
         folder = uuid.uuid4().hex
         at = f"{self.root}/data/u={folder}"
-        df.select(*self.columns, "pk", "bucket").repartition("pk", "bucket").write.partitionBy("pk", "bucket").parquet(at)
+        rows, part = df.select(*self.columns, "pk", "bucket"), F.pmod(F.xxhash64(*self.layout.identity, F.lit(1)), F.lit(files))
+        rows.repartition("pk", "bucket", part).write.partitionBy("pk", "bucket").parquet(at)
         return folder, [f"{k}/{b}" for k in self._names(at) if k.startswith("pk=") for b in self._names(f"{at}/{k}")]
 
     # Changes
@@ -121,8 +128,9 @@ class Versions:
         m = self.manifest()
         if applied and m["applied"].get(applied[0], [-1])[0] >= applied[1]:
             return m
-        placed, at = written(self._placed(rows, m["buckets"]).dropDuplicates(list(self.layout.identity)), "changes")
-        folder, cells = self._write(self.missing(placed, m))
+        once = self._placed(rows, m["buckets"]).withColumn("hash", F.xxhash64(*self.layout.identity)).dropDuplicates(["hash", *self.layout.identity]).drop("hash")
+        placed, at = written(once, "changes")
+        folder, cells = self._write(self.missing(placed, m), placed.count() // FILE_ROWS + 1)
         drop(self.spark, at)
         m["added"] = self.spark.read.schema(self.layout.schema).parquet(f"{self.root}/data/u={folder}").count() if cells else 0
         if not cells:
@@ -143,7 +151,8 @@ class Versions:
         """Cells of too many folders get one."""
         full = {c for c, folders in m["cells"].items() if len(folders) > MOST_FOLDERS}
         if full:
-            folder, cells = self._write(self._cells(m, full))
+            rows = self._cells(m, full)
+            folder, cells = self._write(rows, rows.count() // FILE_ROWS + 1)
             m["folders"][folder] = len(cells)
             m["cells"].update({c: [folder] for c in cells})
             live = {f for folders in m["cells"].values() for f in folders}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.terms import DEL, RDFS, TRIPLE_COLUMNS, TYPE, XSD
 from ..functions.text import stable_id
 from ..operators.versions import IDS, Versions
-from ..sources.store import drop, written
+from ..sources.store import dealt, drop, written
 
 BASE = "https://example.org/ingest/"
 EVENT = (
@@ -19,6 +19,11 @@ EVENT = (
 
 def event_triples(base: str = BASE, language: str = "it", platform: str = "Your Priorities") -> Column:
     """array<triple> of an event's columns. Fallacy ids derive from the event, so a replay adds nothing."""
+    return F.filter(_possible_triples(base, language, platform), lambda x: x.isNotNull())
+
+
+def _possible_triples(base: str = BASE, language: str = "it", platform: str = "Your Priorities") -> Column:
+    """event_triples() with nulls for the triples that an event does not have. A filter of the array would have Spark interpret all that makes it."""
     c = lambda n: F.col(n).cast("string")
     me = F.concat(F.lit(base), F.coalesce(c("contribution_id"), F.concat(F.lit("point-"), stable_id(F.col("text"), F.col("timestamp"), F.col("user_id")))))
     node = lambda tag, n: F.concat(F.lit(f"{base}{tag}-"), c(n))
@@ -47,7 +52,7 @@ def event_triples(base: str = BASE, language: str = "it", platform: str = "Your
         )
 
     extra = F.flatten(F.transform(F.coalesce("fallacies", F.from_json(F.lit("[]"), "array<struct<type:string,score:double,rationale:string>>")), fallacy))
-    return F.filter(F.concat(F.array(*rows), extra), lambda x: x.isNotNull())
+    return F.concat(F.array(*rows), extra)
 
 
 def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -56,7 +61,7 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def ingest(events: DataFrame, **options) -> DataFrame:
     """Triples of events, for a batch or a stream alike (a batch is made a set by the caller's graph)."""
-    return events.select(F.inline(event_triples(**options)))
+    return events.select(F.inline(_possible_triples(**options))).where("p IS NOT NULL")
 
 
 def counters(events: DataFrame) -> DataFrame:
@@ -112,11 +117,11 @@ def ingest_batch(events: DataFrame, root: str, name: str, batch: int, buckets: i
     known = seen.manifest()
     if known["applied"].get(name, [-1])[0] >= batch:
         return
-    held, at = written(events.withColumn("id", F.sha2(F.to_json(F.struct(*events.columns)), 256)), "batch")
+    held, at = written(dealt(events, "contribution_id").withColumn("id", F.sha2(F.to_json(F.struct(*events.columns)), 256)), "batch")
     ids = seen._placed(held.select("id").distinct(), known["buckets"])
     new, new_at = written(seen.missing(ids, known).select("id"), "new")
     fresh = held.dropDuplicates(["id"]).join(new, "id", "left_semi")
-    made = graph.add(ingest(fresh.drop("id"), **options), (name, batch))
+    made = graph.add(ingest(dealt(fresh, "id").drop("id"), **options), (name, batch))
     told = counters(fresh).agg(
         F.count(F.lit(1)).alias("new"), F.coalesce(F.sum("fallacies_added"), F.lit(0)).alias("fallacies_added"), F.count_if("participant_linked").alias("participants_linked"),
         F.count_if("topic_linked").alias("topics_linked"), F.count_if("process_created").alias("processes_created"),
