@@ -70,16 +70,50 @@ class Network:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """(positions, rows, labels): the label distribution of every position."""
         logits = np.empty((*x.shape, len(self.labels)), np.float32)
-        for t, h in self.states(x, "f"):
+        for t, h in self._plain_states(x, "f"):
             np.matmul(h, self.w["out_f"], out=logits[t])
-        for t, h in self.states(x, "b"):
+        for t, h in self._plain_states(x, "b"):
             logits[t] += h @ self.w["out_b"]
         logits += self.w["bias"]
-        logits -= logits.max(axis=2, keepdims=True)
+        # Label by label: the last axis is too short for a reduction of its own.
+        top = logits[:, :, 0].copy()
+        for i in range(1, len(self.labels)):
+            np.maximum(top, logits[:, :, i], out=top)
+        logits -= top[:, :, None]
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
+        total = logits[:, :, 0].copy()
+        for i in range(1, len(self.labels)):
+            total += logits[:, :, i]
+        logits /= total[:, :, None]
         return logits
 
+    def _plain_states(self, x: np.ndarray, d: str) -> Iterator[tuple[int, np.ndarray]]:
+        """states() without what backpropagation needs: a table and a product for each gate, so that all passes go over whole arrays."""
+        k = self.hidden
+        tables = [np.ascontiguousarray(self.w[f"in_{d}"][:, i * k : (i + 1) * k]) for i in range(3)]
+        steps = [np.ascontiguousarray(self.w[f"rec_{d}"][:, i * k : (i + 1) * k]) for i in range(3)]
+        for m in (*tables[:2], *steps[:2]):
+            m *= 0.5
+        h = np.zeros((x.shape[1], k), np.float32)
+        whole = (x != PAD).all(axis=1)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            at = x[t]
+            z, r, n = (table.take(at, axis=0) for table in tables)
+            for gate, step in zip((z, r), steps[:2], strict=True):
+                gate += h @ step
+                np.tanh(gate, out=gate)
+                gate *= 0.5
+                gate += 0.5
+            r *= h @ steps[2]
+            n += r
+            np.tanh(n, out=n)
+            h = h - n
+            h *= z
+            h += n
+            if not whole[t]:
+                h *= (at != PAD)[:, None]
+            yield t, h
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over positions, and its gradient by backpropagation through time."""
         k = self.hidden
