@@ -536,8 +536,10 @@ def nested_contributions(spark, sf_dir):
     )
 
 
-def _links(e: M.Entities, *names: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [e.links[k].select(F.lit(k).alias("link"), "source", "target").distinct() for k in names])
+def _links(e: M.Entities, *names: str, sets: bool = False) -> DataFrame:
+    """Links as a set; sets: they hold no row twice as they are."""
+    each = [e.links[k].select(F.lit(k).alias("link"), "source", "target") for k in names]
+    return reduce(DataFrame.unionByName, each if sets else [df.distinct() for df in each])
 
 
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -696,7 +698,7 @@ def debate_comments(spark, sf_dir):
     o, l = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
     csv(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("description"), F.concat(F.lit("Customer"), "o_custkey").alias("author_name"), when("o_orderdate")), "debates")
     csv(l.select(F.concat_ws("_", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("debate_id"), F.col("l_returnflag").alias("body"), F.concat(F.lit("Supplier"), "l_suppkey").alias("author_name"), when("l_shipdate")), "comments")
-    return _links(madrid_csv(spark, f"{path}/debates", f"{path}/comments"), "has_contribution", "response_to", "made_by")
+    return _links(madrid_csv(spark, f"{path}/debates", f"{path}/comments"), "has_contribution", "response_to", "made_by", sets=True)
 
 
 def _member_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

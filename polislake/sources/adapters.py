@@ -249,30 +249,30 @@ def debate_html(spark: SparkSession, path: str) -> Entities:
     return e
 
 
-def _proposals(p: DataFrame, c: DataFrame | None, prefix: str, platform: str) -> Entities:
-    """p: id, title, text, author, author_name, at; c: id, parent, text, author, author_name, at, to. One process a proposal. Files are parsed into a table once, not once a link."""
+def _proposals(p: DataFrame, c: DataFrame | None, prefix: str, platform: str, time: Callable[[Column], Column] = lambda at: at) -> Entities:
+    """p: id, title, text, author, author_name, at; c: id, parent, text, author, author_name, at, each an answer to its proposal's text; time: what makes a time of `at`. One process a proposal. Links of contributions hold no row twice.
+
+    Files are parsed into a table once, not once a link. The tables hold ids as the files have them: addresses and times are made where they are asked for."""
     p, _ = written(p, "proposals")
     pid, person = address(f"{prefix}_proposal_", F.col("id")), address(f"{prefix}_participant_", F.col("author"))
     e = Entities()
-    e.tables["process"] = p.select(pid.alias("id"), F.col("id").alias("identifier"), F.col("title").alias("name"), F.lit(platform).alias("platform"), F.col("at").alias("start_date"))
+    e.tables["process"] = p.select(pid.alias("id"), F.col("id").alias("identifier"), F.col("title").alias("name"), F.lit(platform).alias("platform"), time(F.col("at")).alias("start_date"))
     e.tables["topic"] = p.select(address(f"{prefix}_topic_", F.col("id")).alias("id"), F.col("title").alias("name"))
     e.links["has_topic"] = p.select(pid.alias("source"), address(f"{prefix}_topic_", F.col("id")).alias("target"))
-    body = p.select(address(f"{prefix}_text_", F.col("id")).alias("id"), pid.alias("process"), X.clean_html(F.col("text")).alias("text"), "author", "author_name", F.col("at").alias("timestamp"), F.lit(None).cast("string").alias("to"))
+    columns = [X.clean_html(F.col("text")).alias("text"), "author", "author_name", "at"]
+    body = p.select(F.lit("text").alias("kind"), "id", F.col("id").alias("parent"), *columns)
     if c is not None:
-        known = p.select(F.col("id").alias("parent")).distinct()
-        own = c.join(known, "parent").select(
-            address(f"{prefix}_comment_", F.col("id")).alias("id"), address(f"{prefix}_proposal_", F.col("parent")).alias("process"), X.clean_html(F.col("text")).alias("text"), "author", "author_name", F.col("at").alias("timestamp"),
-            F.when(F.col("to").isNotNull(), address(f"{prefix}_comment_", F.col("to"))).otherwise(address(f"{prefix}_text_", F.col("parent"))).alias("to"),
-        )
-        body = body.unionByName(own)
+        body = body.unionByName(c.join(p.select(F.col("id").alias("parent")), "parent", "left_semi").select(F.lit("comment").alias("kind"), "id", "parent", *columns))
     body, _ = written(body.where("text <> ''"), "contributions")
-    e.tables["contribution"] = body.select("id", "text", "timestamp")
-    e.links["has_contribution"] = body.select(F.col("process").alias("source"), F.col("id").alias("target"))
-    e.links["response_to"] = body.where(F.col("to").isNotNull()).select(F.col("id").alias("source"), F.col("to").alias("target"))
+    placed, _ = written(body.select("kind", "parent", "id").distinct(), "placed")  # for two links
+    cid, of = address(f"{prefix}_", F.col("kind"), "_", F.col("id")), address(f"{prefix}_proposal_", F.col("parent"))
+    e.tables["contribution"] = body.select(cid.alias("id"), "text", time(F.col("at")).alias("timestamp"))
+    e.links["has_contribution"] = placed.select(of.alias("source"), cid.alias("target"))
+    e.links["response_to"] = placed.where("kind = 'comment'").select(cid.alias("source"), address(f"{prefix}_text_", F.col("parent")).alias("target"))
     made = body.where("author IS NOT NULL")
+    e.links["made_by"] = made.select("kind", "id", "author").distinct().select(cid.alias("source"), person.alias("target"))
     e.tables["participant"] = made.groupBy("author").agg(F.min("author_name").alias("name")).select(person.alias("id"), F.col("author").alias("identifier"), F.coalesce("name", F.concat(F.lit("Citizen "), F.col("author"))).alias("name"), F.lit(platform).alias("platform"))
-    e.links["made_by"] = made.select(F.col("id").alias("source"), person.alias("target"))
-    e.links["has_participant"] = made.select(F.col("process").alias("source"), person.alias("target")).distinct()
+    e.links["has_participant"] = made.select("parent", "author").distinct().select(of.alias("source"), person.alias("target"))
     return e
 
 
@@ -283,7 +283,7 @@ def madrid(spark: SparkSession, path: str) -> Entities:
     p = raw.select(field(raw, "id").alias("id"), field(raw, "title").alias("title"), F.coalesce(field(raw, "text"), field(raw, "summary"), field(raw, "description")).alias("text"), F.coalesce(field(raw, "userId"), field(raw, "author/id")).alias("author"), field(raw, "author/username").alias("author_name"), F.coalesce(field(raw, "date"), field(raw, "created_at")).alias("at"))
     c = explode(docs, "comments") if _has(docs, "comments") else explode(raw.withColumnRenamed("id", "pid"), "comments", F.col("pid")) if _has(raw, "comments") else None
     if c is not None:
-        c = c.select(field(c, "id").alias("id"), F.coalesce(field(c, "proposalId"), field(c, "proposal_id"), field(c, "pid")).alias("parent"), F.coalesce(field(c, "text"), field(c, "body")).alias("text"), F.coalesce(field(c, "userId"), field(c, "author/id")).alias("author"), field(c, "author/username").alias("author_name"), F.coalesce(field(c, "date"), field(c, "created_at")).alias("at"), F.lit(None).cast("string").alias("to"))
+        c = c.select(field(c, "id").alias("id"), F.coalesce(field(c, "proposalId"), field(c, "proposal_id"), field(c, "pid")).alias("parent"), F.coalesce(field(c, "text"), field(c, "body")).alias("text"), F.coalesce(field(c, "userId"), field(c, "author/id")).alias("author"), field(c, "author/username").alias("author_name"), F.coalesce(field(c, "date"), field(c, "created_at")).alias("at"))
     return _proposals(p, c, "madrid", "Decide Madrid")
 
 
@@ -293,12 +293,12 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 def madrid_csv(spark: SparkSession, debates_path: str, comments_path: str | None = None) -> Entities:
     d = read_csv(spark, debates_path, ";")
-    p = d.select(field(d, "id").alias("id"), field(d, "title").alias("title"), field(d, "description").alias("text"), X.slug(field(d, "author_name")).alias("author"), field(d, "author_name").alias("author_name"), X.day_hour(field(d, "created_at")).alias("at"))
+    p = d.select(field(d, "id").alias("id"), field(d, "title").alias("title"), field(d, "description").alias("text"), X.slug(field(d, "author_name")).alias("author"), field(d, "author_name").alias("author_name"), field(d, "created_at").alias("at"))
     c = None
     if comments_path:
         c = read_csv(spark, comments_path, ";")
-        c = c.select(field(c, "id").alias("id"), field(c, "debate_id").alias("parent"), field(c, "body").alias("text"), X.slug(field(c, "author_name")).alias("author"), field(c, "author_name").alias("author_name"), X.day_hour(field(c, "created_at")).alias("at"), F.lit(None).cast("string").alias("to"))
-    return _proposals(p, c, "madrid", "Decide Madrid")
+        c = c.select(field(c, "id").alias("id"), field(c, "debate_id").alias("parent"), field(c, "body").alias("text"), X.slug(field(c, "author_name")).alias("author"), field(c, "author_name").alias("author_name"), field(c, "created_at").alias("at"))
+    return _proposals(p, c, "madrid", "Decide Madrid", X.day_hour)
 
 
 def _many(df: DataFrame, name: str) -> Column:
@@ -312,7 +312,7 @@ def decidim(spark: SparkSession, path: str) -> Entities:
     p = raw.select(field(raw, "id").alias("id"), _many(raw, "title").alias("title"), _many(raw, "body").alias("text"), field(raw, "author/id").alias("author"), field(raw, "author/name").alias("author_name"), field(raw, "created_at").alias("at"))
     c = explode(docs, "comments")
     if c is not None:
-        c = c.select(field(c, "id").alias("id"), field(c, "proposal_id").alias("parent"), _many(c, "body").alias("text"), field(c, "author/id").alias("author"), field(c, "author/name").alias("author_name"), field(c, "created_at").alias("at"), F.lit(None).cast("string").alias("to"))
+        c = c.select(field(c, "id").alias("id"), field(c, "proposal_id").alias("parent"), _many(c, "body").alias("text"), field(c, "author/id").alias("author"), field(c, "author/name").alias("author_name"), field(c, "created_at").alias("at"))
     return _proposals(p, c, "decidim", "Decidim Barcelona")
 
 
@@ -324,7 +324,7 @@ def decidim_csv(spark: SparkSession, proposals_path: str, comments_path: str | N
     c = None
     if comments_path:
         c = read_csv(spark, comments_path, ";")
-        c = c.select(col(c, "id").alias("id"), col(c, "commentable_id").alias("parent"), col(c, "body").alias("text"), col(c, "author/id").alias("author"), col(c, "author/name").alias("author_name"), col(c, "created_at").alias("at"), F.lit(None).cast("string").alias("to"))
+        c = c.select(col(c, "id").alias("id"), col(c, "commentable_id").alias("parent"), col(c, "body").alias("text"), col(c, "author/id").alias("author"), col(c, "author/name").alias("author_name"), col(c, "created_at").alias("at"))
     return _proposals(p, c, "decidim", "Decidim Barcelona")
 
 
