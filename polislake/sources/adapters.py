@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.model import Entities, address
 from .places import with_places
-from .store import written
+from .store import few, written
 
 
 def _has(df: DataFrame, *path: str) -> bool:
@@ -348,45 +348,48 @@ def decidim_spaces(proposals: DataFrame, meetings: DataFrame | None = None, prop
     text = lambda df, body: F.btrim(F.concat_ws("\n\n", _many(df, "title"), _many(df, body)), F.lit(" \t\n\r"))
     who = ("author/id", "author/name")
     p = proposals.select(*_cells(proposals, "id", space, "participatory_space/url", category, *who, "published_at"), _many(proposals, "category/name").alias("category_name"), text(proposals, "body").alias("text")).where(F.col(space).isNotNull())
+    p, _ = written(p, "proposals")
     pid = address("decidim_process_", F.col(space))
-    spaces = p.groupBy(space).agg(F.min(X.url_tail(F.col("participatory_space/url"))).alias("name"))
+    spaces = few(p.groupBy(space).agg(F.min(X.url_tail(F.col("participatory_space/url"))).alias("name")), "spaces")
     e = Entities()
     e.tables["process"] = spaces.select(pid.alias("id"), F.concat(F.lit("decidim_process_"), F.col(space)).alias("identifier"), F.concat(F.lit("Decidim Barcelona: "), F.coalesce("name", F.lit(""))).alias("name"), F.lit("Decidim Barcelona").alias("platform"))
 
-    topics = p.where(F.col(category).isNotNull()).groupBy(space, category).agg(F.min("category_name").alias("name")).where("name IS NOT NULL")
+    topics = few(p.where(F.col(category).isNotNull()).groupBy(space, category).agg(F.min("category_name").alias("name")).where("name IS NOT NULL"), "topics")
     tid = address("decidim_topic_", F.col(category))
     e.tables["topic"] = topics.groupBy(category).agg(F.min("name").alias("name")).select(tid.alias("id"), "name")
-    e.links["has_topic"] = topics.select(pid.alias("source"), tid.alias("target"))
 
+    # All rows as a table, parsed and joined once, not once a link; ids as the files have them.
     none = F.lit(None).cast("string")
-    columns = ["id", space, "text", F.col("author/id").alias("author"), F.col("author/name").alias("author_name"), "timestamp", category, "to"]
-    own = address("decidim_proposal_", F.col("id"))
-    body = [p.withColumns({"timestamp": F.col("published_at"), "to": none}).select(own.alias("id"), *columns[1:])]
-    parents = [(proposal_comments, p, "decidim_proposal_")]
+    columns = ["id", space, "text", F.col("author/id").alias("author"), F.col("author/name").alias("author_name"), "timestamp", category, "to_kind", "to"]
+    of_kind = lambda df, kind, **more: df.withColumns({"to_kind": none, "to": none} | more).select(F.lit(kind).alias("kind"), *columns)
+    body = [of_kind(p, "proposal", timestamp=F.col("published_at"))]
+    parents = [(proposal_comments, p, "proposal")]
     if meetings is not None:
         m = meetings.select(*_cells(meetings, "id", space, category, "start_time"), text(meetings, "description").alias("text")).join(spaces.select(space), space, "left_semi")
-        body.append(m.withColumns({"timestamp": F.col("start_time"), "to": none, "author/id": none, "author/name": none}).select(address("decidim_meeting_", F.col("id")).alias("id"), *columns[1:]))
-        parents.append((meeting_comments, m, "decidim_meeting_"))
-    for c, of, prefix in parents:
+        body.append(of_kind(m, "meeting", **{"timestamp": F.col("start_time"), "author/id": none, "author/name": none}))
+        parents.append((meeting_comments, m, "meeting"))
+    for c, of, kind in parents:
         if c is not None:
             c = c.select(*_cells(c, "id", "commentable_id", "body", *who, "created_at"))
             c = c.join(of.select(F.col("id").alias("commentable_id"), space).distinct(), "commentable_id")
-            c = c.withColumns({"text": F.col("body"), "timestamp": F.col("created_at"), category: none, "to": address(prefix, F.col("commentable_id"))})
-            body.append(c.select(address("decidim_comment_", F.col("id")).alias("id"), *columns[1:]))
-    rows = reduce(DataFrame.unionByName, body)
+            body.append(of_kind(c, "comment", **{"text": F.col("body"), "timestamp": F.col("created_at"), category: none, "to_kind": F.lit(kind), "to": F.col("commentable_id")}))
+    rows, _ = written(reduce(DataFrame.unionByName, body), "contributions")
 
-    person = address("decidim_participant_", F.col("author"))
+    person, cid = address("decidim_participant_", F.col("author")), address("decidim_", F.col("kind"), "_", F.col("id"))
     # Whoever wrote a row of a space takes part in it, also where the row gives no contribution.
-    named = rows.where("author IS NOT NULL AND author_name IS NOT NULL").groupBy(space, "author").agg(F.min("author_name").alias("name"))
+    named, _ = written(rows.where("author IS NOT NULL AND author_name IS NOT NULL").groupBy(space, "author").agg(F.min("author_name").alias("name")), "named")
     e.tables["participant"] = named.groupBy("author").agg(F.min("name").alias("name")).select(person.alias("id"), F.col("author").alias("identifier"), "name", F.lit("Decidim Barcelona").alias("platform"))
     e.links["has_participant"] = named.select(pid.alias("source"), person.alias("target"))
 
     said = rows.where("id IS NOT NULL AND text <> ''")
-    e.tables["contribution"] = said.groupBy("id").agg(F.min("text").alias("text"), F.min("timestamp").alias("timestamp"))
-    e.links["has_contribution"] = said.select(pid.alias("source"), F.col("id").alias("target")).distinct()
-    e.links["made_by"] = said.join(named.select(space, "author"), [space, "author"], "left_semi").select(F.col("id").alias("source"), person.alias("target")).distinct()
-    e.links["has_topic"] = e.links["has_topic"].unionByName(said.join(topics.select(space, category), [space, category], "left_semi").select(F.col("id").alias("source"), tid.alias("target")).distinct())
-    e.links["response_to"] = said.where(F.col("to").isNotNull()).select(F.col("id").alias("source"), F.col("to").alias("target")).distinct()
+    e.tables["contribution"] = said.groupBy("kind", "id").agg(F.min("text").alias("text"), F.min("timestamp").alias("timestamp")).select(cid.alias("id"), "text", "timestamp")
+    e.links["has_contribution"] = said.select(space, "kind", "id").distinct().select(pid.alias("source"), cid.alias("target"))
+    made = said.where("author IS NOT NULL")  # a row with a name is among those that name its author
+    made = made.where("author_name IS NOT NULL").select("kind", "id", "author").unionByName(made.where("author_name IS NULL").join(named.select(space, "author"), [space, "author"], "left_semi").select("kind", "id", "author"))
+    e.links["made_by"] = made.distinct().select(cid.alias("source"), person.alias("target"))
+    about = said.where(F.col(category).isNotNull()).join(topics.select(space, category), [space, category], "left_semi").select("kind", "id", category).distinct()
+    e.links["has_topic"] = topics.select(pid.alias("source"), tid.alias("target")).unionByName(about.select(cid.alias("source"), tid.alias("target")))
+    e.links["response_to"] = said.where("to IS NOT NULL").select("kind", "id", "to_kind", "to").distinct().select(cid.alias("source"), address("decidim_", F.col("to_kind"), "_", F.col("to")).alias("target"))
 
     if results is not None:
         r = results.select(*_cells(results, "id", space), _many(results, "title").alias("name")).where("id IS NOT NULL")

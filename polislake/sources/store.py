@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_TASKS = 100_000
+#: Rows that are broadcast.
+FEW = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +33,12 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def few(df: DataFrame, tag: str) -> DataFrame:
+    """`df` as a table of the shared folder, to be broadcast if it has no more than FEW rows: its few keys would else deal a large table to as few tasks."""
+    table, _ = written(df, tag)
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def dealt(df: DataFrame, *keys: str, size: str = "1", each: int = 100_000) -> DataFrame:
     """`df` dealt out by `keys` to so many tasks that one has about `each` of `size` (an expression, summed over the rows). For rows that get many more or longer in the next step: splits of files
     and shuffles are as large as what is read, not as what is made of it."""

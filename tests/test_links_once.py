@@ -5,7 +5,7 @@ from collections import Counter
 
 from polislake.functions import text as X
 from polislake.operators.model import RES
-from polislake.sources.adapters import madrid_csv
+from polislake.sources.adapters import decidim_spaces, madrid_csv
 
 
 def test_links_of_repeated_comments_hold_no_row_twice(spark, tmp_path):
@@ -26,3 +26,21 @@ def test_slugs(spark):
     rows = spark.createDataFrame([(n,) for n in names], "n string")
     want = [n if n is None else re.sub(r"[ \t\n\x0b\f\r]+", "_", re.sub(r"[^a-zA-Z0-9 \t\n\x0b\f\r]", "", n).strip(" ")).lower() for n in names]
     assert [r[0] for r in rows.select(X.slug(rows["n"])).collect()] == want
+
+
+def test_links_of_spaces_read_one_table_of_rows(spark, tmp_path):
+    """Comments were joined to their parents anew for each link, and few spaces dealt all rows to as few tasks."""
+    made = lambda rows, names, at: (spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)).write.parquet(f"{tmp_path}/{at}"), spark.read.parquet(f"{tmp_path}/{at}"))[1]
+    space = "participatory_space/id"
+    p = made([("1", "s", "k", "K", "a", "Ann", "x"), ("1", "t", "k", "K", "a", "Ann", "x"), ("2", "s", "q", None, "b", None, "y"), ("3", "s", None, None, None, None, "z")], ["id", space, "category/id", "category/name/es", "author/id", "author/name", "title/ca"], "source_p")
+    c = made([("7", "1", "hi", "b", None), ("7", "1", "hi", "b", None), ("7", "2", "yo", "a", "Ann"), ("8", "2", "oh", "c", None), ("9", "5", "lost", "a", "Ann"), ("6", "3", "", "c", "Cy")], ["id", "commentable_id", "body", "author/id", "author/name"], "source_c")
+    e = decidim_spaces(p, None, c)
+    assert not any("/source_" in f for df in e.links.values() for f in df.inputFiles())
+    got = {k: Counter((r[0].removeprefix(RES + "decidim_"), r[1].removeprefix(RES + "decidim_")) for r in df.select("source", "target").collect()) for k, df in e.links.items()}
+    assert got["has_contribution"] == Counter([("process_s", "proposal_1"), ("process_t", "proposal_1"), ("process_s", "proposal_2"), ("process_s", "proposal_3"), ("process_s", "comment_7"), ("process_t", "comment_7"), ("process_s", "comment_8")])
+    assert got["has_participant"] == Counter([("process_s", "participant_a"), ("process_t", "participant_a"), ("process_s", "participant_c")])
+    assert got["made_by"] == Counter([("proposal_1", "participant_a"), ("comment_7", "participant_a"), ("comment_8", "participant_c")])
+    assert got["response_to"] == Counter([("comment_7", "proposal_1"), ("comment_7", "proposal_2"), ("comment_8", "proposal_2")])
+    assert got["has_topic"] == Counter([("process_s", "topic_k"), ("process_t", "topic_k"), ("proposal_1", "topic_k")])
+    assert {r["id"].removeprefix(RES + "decidim_"): r["text"] for r in e.tables["contribution"].collect()} == {"proposal_1": "x", "proposal_2": "y", "proposal_3": "z", "comment_7": "hi", "comment_8": "oh"}
+    assert "BroadcastHashJoin" in e.links["has_topic"]._jdf.queryExecution().sparkPlan().toString()
