@@ -46,13 +46,14 @@ def search(triples: DataFrame, words: str, limit: int | None = 50) -> DataFrame:
     return found.limit(limit) if limit is not None else found
 
 
-def contributions(triples: DataFrame, limit: int | None = 1000) -> DataFrame:
-    """contribution, text, timestamp, participant, process, platform (declared, else told by the process's name), the first `limit` by process and time."""
+def contributions(triples: DataFrame, limit: int | None = 1000, ordered: bool = True) -> DataFrame:
+    """contribution, text, timestamp, participant, process, platform (declared, else told by the process's name), the first `limit` by process and time. ordered: False leaves the order of all open."""
     made = links(triples, "made_by").join(values(triples, "name"), F.col("target") == F.col("id")).select(F.col("source").alias("id"), F.col("name").alias("participant"))
     of = links(triples, "has_contribution").join(values(triples, "name"), F.col("source") == F.col("id")).select(F.col("source").alias("pid"), F.col("target").alias("id"), F.col("name").alias("process"))
     of = of.join(values(triples, "platform").withColumnRenamed("id", "pid"), "pid", "left").drop("pid")
     rows = instances(triples, "contribution").join(values(triples, "text"), "id", "left").join(values(triples, "timestamp"), "id", "left").join(made, "id", "left").join(of, "id", "left").distinct()
-    rows = rows.orderBy(F.col("process").asc_nulls_first(), F.col("timestamp").asc_nulls_first(), "id")
+    if ordered or limit is not None:
+        rows = rows.orderBy(F.col("process").asc_nulls_first(), F.col("timestamp").asc_nulls_first(), "id")
     rows = rows.limit(limit) if limit is not None else rows
     process = F.coalesce("process", F.lit("Unknown Process"))
     return rows.select(

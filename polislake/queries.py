@@ -527,10 +527,10 @@ def nested_contributions(spark, sf_dir):
     nested.write_contributions(table_graph(spark, sf_dir), path)
     # The number of a line in its file, and of its file: those of one document.
     lines = with_places(spark.read.text(path).select("value", "_metadata"), "line").withColumn("file", F.col("_metadata.file_name"))
-    files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("lines"))
     before = files.alias("a").join(files.alias("b"), F.col("b.file") < F.col("a.file"), "left").groupBy(F.col("a.file").alias("file")).agg(F.coalesce(F.sum("b.lines"), F.lit(0)).alias("before"))  # a row a file
     found = lambda pattern: F.nullif(F.regexp_extract("value", pattern, 1), F.lit(""))
-    return lines.join(before, "file").select(
+    return lines.join(F.broadcast(before), "file").select(
         (F.col("before") + F.col("line") + 1).alias("k"), found('"contribution":"([^"]*)"').alias("contribution"), found('[{]"platform":"([^"]*)","processes"').alias("opens_platform"),
         found('[{]"process":"([^"]*)","contributions"').alias("opens_process"), F.length(F.regexp_replace(F.regexp_extract("value", r"}((?:\]})*)\]?$", 1), "]", "")).alias("closes"),
     )

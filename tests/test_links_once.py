@@ -1,9 +1,14 @@
 """Links of proposals and spaces are made from few short columns, each row once."""
 
+import glob
+import json
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from polislake.functions import text as X
+from polislake.operators import nested
 from polislake.operators.model import RES
 from polislake.sources.adapters import decidim_spaces, madrid_csv
 
@@ -44,3 +49,24 @@ def test_links_of_spaces_read_one_table_of_rows(spark, tmp_path):
     assert got["has_topic"] == Counter([("process_s", "topic_k"), ("process_t", "topic_k"), ("proposal_1", "topic_k")])
     assert {r["id"].removeprefix(RES + "decidim_"): r["text"] for r in e.tables["contribution"].collect()} == {"proposal_1": "x", "proposal_2": "y", "proposal_3": "z", "comment_7": "hi", "comment_8": "oh"}
     assert "BroadcastHashJoin" in e.links["has_topic"]._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_nested_documents_come_in_order_without_a_sort_of_all(spark, tmp_path):
+    """Rows were dealt out by ranges three times, and what was before that made anew each time."""
+    rows = spark.range(3000).select((F.col("id") % 3).cast("string").alias("platform"), (F.col("id") % 7).cast("string").alias("process"), F.hash("id").alias("timestamp"), F.col("id").alias("contribution"))
+    levels = [("platform", "processes"), ("process", "contributions")]
+    pieces, _ = nested.nested_text(rows, levels, ["timestamp"], F.struct("contribution"))
+    plan = pieces._jdf.queryExecution().optimizedPlan().toString()
+    assert "], true" not in plan and plan.count("RepartitionByExpression") == 1
+    nested.write_nested(rows, f"{tmp_path}/out", levels, ["timestamp"], F.struct("contribution"))
+    text = "".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/out/part-*")))
+    got = [(p["platform"], q["process"], c["contribution"]) for p in json.loads(text) for q in p["processes"] for c in q["contributions"]]
+    assert got == [(r[0], r[1], r[3]) for r in sorted(map(tuple, rows.collect()))]
+
+
+def test_all_contributions_need_no_order(spark, sf):
+    from polislake.operators.analytics import contributions
+    from polislake.sources.tables import table_graph
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [" not in plan(contributions(table_graph(spark, sf), None, ordered=False)) and "Sort [" in plan(contributions(table_graph(spark, sf), None))
