@@ -47,6 +47,10 @@ KEPT = 3 << 20
 U = np.uint64
 SALT = constants(0x5EED, 4)
 ONE = 1 << 53
+#: No standard Gumbel of 53 bits is above this.
+MOST_GUMBEL = 37.5
+#: Sets whose log probability is this far below their path's are looked at only where nearer ones do not settle the offers.
+REACH = 45.0
 
 
 def uniform(*parts: np.ndarray) -> np.ndarray:
@@ -275,7 +279,7 @@ class Lattice:
 
 
 class _Search:
-    """The search of one text. A path: arcs, and for each arc the number of its unit and the log probability of what comes before it."""
+    """The search of one text. A path: arcs, log probability, perturbed value. In the queue: value, turn, path, place in it, arcs excluded there, the log probability of what comes before it, its unit."""
 
     __slots__ = ("a", "b", "paths", "queue", "seed", "turn")
 
@@ -302,7 +306,7 @@ def sample_texts(lattice: Lattice, data: np.ndarray, offsets: np.ndarray, keys:
     top = -np.log(-np.log(uniform(begin, np.full(len(begin), 3))))
     for s, v in zip(searches, top.tolist(), strict=True):
         if s.b > s.a:
-            s.queue.append((-v, 0, -1, 0, ()))
+            s.queue.append((-v, 0, -1, 0, (), 0.0, s.a))
     for turn in range(k):
         todo = [s for s in searches if s.queue]
         if not todo:
@@ -318,10 +322,8 @@ def sample_texts(lattice: Lattice, data: np.ndarray, offsets: np.ndarray, keys:
             nodes, place, seed_of = [lattice.first[of]], [np.arange(len(everyone)) - first[everyone]], [np.array(seeds, U)[everyone]]
             heads = [(-x[0], -1, 0, None, s.a) for s, x in zip(todo, popped, strict=True)]
             counts = np.array([s.b - s.a for s in todo])
-        for s, u, (value, _, parent, p, excluded) in zip(todo, head_u, popped, strict=True) if turn else ():
-            arcs, units, before = s.paths[parent][:3]
-            unit = int(units[p])
-            node = lattice.start[arcs[p]]
+        for s, u, (value, _, parent, p, excluded, before, unit) in zip(todo, head_u, popped, strict=True) if turn else ():
+            node = lattice.start[s.paths[parent][0][p]]
             a = int(lattice.arcs_from[node])
             b = a + int(lattice.arcs[node])
             p_left = np.exp(lattice.log_p[a:b])
@@ -330,7 +332,7 @@ def sample_texts(lattice: Lattice, data: np.ndarray, offsets: np.ndarray, keys:
             chosen = a + int(min(np.searchsorted(run, u * run[-1], "right"), np.flatnonzero(p_left)[-1]))
             left = float(run[-1] - p_left[chosen - a])
             rest = np.log(left) if len(excluded) + 1 < b - a and left > 0 else -np.inf
-            head = (chosen, float(before[p]), rest, (*excluded, chosen))
+            head = (chosen, before, rest, (*excluded, chosen))
             more = np.arange(unit, s.b)
             nodes.append(np.append(lattice.end[chosen], lattice.first[of[more[1:]]]))
             place.append(more - s.a)
@@ -340,47 +342,59 @@ def sample_texts(lattice: Lattice, data: np.ndarray, offsets: np.ndarray, keys:
             counts = np.array([len(x) for x in nodes])
         drawn, length = lattice.walk(np.concatenate(nodes), np.concatenate(seed_of), np.concatenate(place), turn)
         walker_at = np.concatenate([[0], np.cumsum(counts)])
-        ends = np.concatenate([[0], np.cumsum(length)])[walker_at]
-        unit_of = np.repeat(np.concatenate([np.arange(h[4], s.b, dtype=np.int32) for s, h in zip(todo, heads, strict=True)]), length)
-        logs, rests = lattice.log_p[drawn], lattice.others(drawn)
+        walked = np.cumsum(length)
+        ends = np.concatenate([[0], walked])[walker_at]
+        logs = lattice.log_p[drawn]
         size = np.diff(ends)
         run = np.cumsum(logs) - logs
         base = np.array([0.0 if h[3] is None else h[3][1] + float(lattice.log_p[h[3][0]]) for h in heads])
-        before_of = run - np.repeat(np.append(run, 0.0)[np.minimum(ends[:-1], len(run))] - base, size)
-        # uniform(seed, turn * 8 + 6, place in the draw)
-        u = np.repeat(own_seed * SALT[0] + np.full(1, turn * 8 + 6, U) * SALT[1] - ends[:-1].astype(U) * SALT[2], size)
-        u += np.arange(len(drawn), dtype=U) * SALT[2]
-        # Gumbels at the log probability of each set left; below a bound they keep their order, so only the largest are cut. A node with one arc leaves nothing.
-        gumbels = before_of + rests
-        gumbels -= np.log(-np.log(unit_interval(u)))
+        shift = np.append(run, 0.0)[np.minimum(ends[:-1], len(run))] - base  # run less this: what comes before an arc in its path
+        seed_at = own_seed * SALT[0] + np.full(1, turn * 8 + 6, U) * SALT[1] - ends[:-1].astype(U) * SALT[2]
+
+        def perturbed(at: np.ndarray, shift: np.ndarray, begin: np.ndarray) -> np.ndarray:
+            """Gumbels at the log probability of the sets left at some places of the draw; uniform(seed, turn * 8 + 6, place in the path's draw). A node with one arc leaves nothing."""
+            v = run[at] - shift + lattice.others(drawn[at])
+            v -= np.log(-np.log(unit_interval(begin + at.astype(U) * SALT[2])))
+            return v
+
+        # What comes before a set bounds its probability, and only the largest values of a path are offered: sets far down a long path need no value.
+        near = np.flatnonzero(run > np.repeat(shift + base - REACH, size))
+        near_at = np.searchsorted(near, ends)
+        # Below a bound Gumbels keep their order, so only the largest are cut.
+        gumbels = perturbed(near, np.repeat(shift, np.diff(near_at)), np.repeat(seed_at, np.diff(near_at)))
         again = np.array([-np.inf if h[3] is None else h[3][1] + h[3][2] for h in heads])
         again = cut_gumbel(again, np.array([h[0] for h in heads]), offer_u)
         want = k - turn
         for i, (s, (value, parent, p, head, unit)) in enumerate(zip(todo, heads, strict=True)):
             a, b = int(ends[i]), int(ends[i + 1])
-            arcs, units, before, v = drawn[a:b], unit_of[a:b], before_of[a:b], gumbels[a:b]
-            log_p = float(before[-1] + logs[b - 1]) if b > a else float(base[i])
+            arcs = drawn[a:b]
+            v, places = gumbels[near_at[i] : near_at[i + 1]], near[near_at[i] : near_at[i + 1]]
+            if len(v) < b - a and np.count_nonzero(v > base[i] - REACH + MOST_GUMBEL) < want:
+                places = np.arange(a, b)
+                v = perturbed(places, shift[i], seed_at[i : i + 1])
+            log_p = float(run[b - 1] - shift[i] + logs[b - 1]) if b > a else float(base[i])
             skip = 0
             if head is not None:
-                old = s.paths[parent]
-                arcs, units, before = (np.concatenate([x[:p], [y], z]) for x, y, z in ((old[0], head[0], arcs), (old[1], unit, units), (old[2], head[1], before)))
+                arcs = np.concatenate([s.paths[parent][0][:p], [head[0]], arcs])
                 skip = p + 1
             number = len(s.paths)
-            s.paths.append((arcs, units, before, log_p, value))
+            s.paths.append((arcs, log_p, value))
             best = np.argpartition(v, len(v) - want)[-want:] if len(v) > want else np.arange(len(v))
             best = best[np.isfinite(v[best])]
-            offers = [(x, skip + j, (int(drawn[a + j]),)) for x, j in zip((-np.logaddexp(-value, -v[best])).tolist(), best.tolist(), strict=True)]
+            at = places[best]
+            values, befores, units = -np.logaddexp(-value, -v[best]), run[at] - shift[i], np.searchsorted(walked, at, "right") + (unit - walker_at[i])
+            offers = [(x, skip + j - a, (int(drawn[j]),), y, w) for x, j, y, w in zip(values.tolist(), at.tolist(), befores.tolist(), units.tolist(), strict=True)]
             if np.isfinite(again[i]):
-                offers.append((float(again[i]), p, head[3]))
-            for x, j, ban in offers:
+                offers.append((float(again[i]), p, head[3], head[1], unit))
+            for x, *offer in offers:
                 s.turn += 1
-                heapq.heappush(s.queue, (-x, s.turn, number, j, ban))
+                heapq.heappush(s.queue, (-x, s.turn, number, *offer))
     out = []
     for s, z in zip(searches, log_z.tolist(), strict=True):
         if s.b == s.a:
             out.append(([(np.zeros(0, np.int64), 0.0, 0.0)], -np.inf, 0.0))
         else:
-            out.append(([(lattice.piece[x[0]], x[3], x[4]) for x in s.paths], -s.queue[0][0] if s.queue else -np.inf, z))
+            out.append(([(lattice.piece[x[0]], x[1], x[2]) for x in s.paths], -s.queue[0][0] if s.queue else -np.inf, z))
     return out
 
 
