@@ -311,17 +311,14 @@ def sample_texts(lattice: Lattice, data: np.ndarray, offsets: np.ndarray, keys:
         todo = [s for s in searches if s.queue]
         if not todo:
             break
-        nodes, seed_of, place, heads = [], [], [], []
+        heads = []
         popped = [heapq.heappop(s.queue) for s in todo]
         own_seed = np.array([s.seed for s in todo], U)
         at_arc = np.array([x[3] for x in popped])
         head_u = uniform(own_seed, np.full(1, turn * 8 + 5), at_arc).tolist()
         offer_u = uniform(own_seed, np.full(1, turn * 8 + 7), at_arc)
         if turn == 0:  # every text from its start
-            everyone = np.repeat(np.arange(len(searches)), np.diff(first))
-            nodes, place, seed_of = [lattice.first[of]], [np.arange(len(everyone)) - first[everyone]], [np.array(seeds, U)[everyone]]
             heads = [(-x[0], -1, 0, None, s.a) for s, x in zip(todo, popped, strict=True)]
-            counts = np.array([s.b - s.a for s in todo])
         for s, u, (value, _, parent, p, excluded, before, unit) in zip(todo, head_u, popped, strict=True) if turn else ():
             node = lattice.start[s.paths[parent][0][p]]
             a = int(lattice.arcs_from[node])
@@ -333,14 +330,16 @@ def sample_texts(lattice: Lattice, data: np.ndarray, offsets: np.ndarray, keys:
             left = float(run[-1] - p_left[chosen - a])
             rest = np.log(left) if len(excluded) + 1 < b - a and left > 0 else -np.inf
             head = (chosen, before, rest, (*excluded, chosen))
-            more = np.arange(unit, s.b)
-            nodes.append(np.append(lattice.end[chosen], lattice.first[of[more[1:]]]))
-            place.append(more - s.a)
-            seed_of.append(np.full(len(more), s.seed, U))
             heads.append((-value, parent, p, head, unit))
+        # A walk for each unit from a head's on; the first goes on behind the head.
+        begin = np.array([h[4] for h in heads])
+        counts = np.array([s.b for s in todo]) - begin
+        at = np.cumsum(counts) - counts
+        everyone = np.arange(int(counts.sum())) + np.repeat(begin - at, counts)
+        nodes = lattice.first[of[everyone]]
         if turn:
-            counts = np.array([len(x) for x in nodes])
-        drawn, length = lattice.walk(np.concatenate(nodes), np.concatenate(seed_of), np.concatenate(place), turn)
+            nodes[at] = lattice.end[np.array([h[3][0] for h in heads])]
+        drawn, length = lattice.walk(nodes, np.repeat(own_seed, counts), everyone - np.repeat(np.array([s.a for s in todo]), counts), turn)
         walker_at = np.concatenate([[0], np.cumsum(counts)])
         walked = np.cumsum(length)
         ends = np.concatenate([[0], walked])[walker_at]
