@@ -10,7 +10,8 @@ They are found by a best-first (A*) search over sets of segmentations: a set is
 and everything after that free. The perturbed value of a set's best member is known in advance without error (a Gumbel at the log of the
 set's probability, cut at the value of the set it came from), so the top of the queue is the next sample. Its arc at the node is drawn among the others and its free
 units by backward sums, arc by arc; what remains of the set is split at each arc of the new path. The searches of many texts advance
-in step: each round draws the next sample of each text in vectorised passes. Distinct units are solved once and kept for later runs, within a bound;
+in step: each round draws the next sample of each text in vectorised passes over all of them, walks of equal units side by side. Of a queue only as many
+sets stay as samples are left to draw, and one for kappa. Distinct units are solved once and kept for later runs, within a bound;
 units are told apart by their bytes.
 
 Results: rank, ids, log_prob (of the segmentation, among all segmentations of the text), perturbed, and inclusion, the probability that the
@@ -25,9 +26,9 @@ is sampled whole, in a run of its own if it is long: memory grows with the longe
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ from .pieces import MARK, default_vocabulary, vocabulary
 K = 4
 #: Bytes of text whose searches advance in step.
 TOGETHER = 5 << 18
-#: Arcs of units that a worker keeps for the next run of texts (some 40 bytes each).
-KEPT = 3 << 20
+#: Arcs of units that a worker keeps for the next run of texts (some 30 bytes each).
+KEPT = 4 << 20
 U = np.uint64
 SALT = constants(0x5EED, 4)
 ONE = 1 << 53
@@ -69,8 +70,12 @@ def unit_interval(x: np.ndarray) -> np.ndarray:
 
 def log1mexp(x: np.ndarray) -> np.ndarray:
     """log(1 - exp(x)) for x <= 0."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(x > -0.6931, np.log(-np.expm1(x)), np.log1p(-np.exp(x)))
+    out, near = np.empty(len(x)), x > -0.6931
+    with np.errstate(divide="ignore"):
+        out[near] = np.log(-np.expm1(x[near]))
+        near = ~near
+        out[near] = np.log1p(-np.exp(x[near]))
+    return out
 
 
 def cut_gumbel(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -122,14 +127,15 @@ class Lattice:
 
     def __init__(self, lattices: Lattices, logp: np.ndarray, most: int = KEPT) -> None:
         self.lattices, self.logp, self.most = lattices, logp, most
-        # By unit: a hash, uses, first node, log of the sum over its segmentations, end of its bytes; and the bytes.
+        # By unit: a hash, uses, first arc, log of the sum over its segmentations, end of its bytes; and the bytes.
         self._of_units = {"hash": Grown(U), "uses": Grown(np.int64), "first": Grown(np.int32), "log_z": Grown(float), "until": Grown(np.int64)}
         self._bytes = {"data": Grown(np.uint8)}
         # By node: its unit, its first arc and their number (0 at the end of a unit).
         self._of_nodes = {"unit": Grown(np.int32), "arcs_from": Grown(np.int32), "arcs": Grown(np.int32)}
-        # By arc: log probability among the node's arcs, sum of the probabilities up to it in parts of ONE, log of the sum of the others (NaN until asked for).
-        self._of_arcs = {"start": Grown(np.int32), "end": Grown(np.int32), "piece": Grown(np.int32), "log_p": Grown(float), "cum": Grown(U), "rest": Grown(float)}
+        # By arc: its node, the first arc of the node at its end (-1 at the end of a unit), log probability among the node's arcs, sum of the probabilities up to it in parts of ONE.
+        self._of_arcs = {"start": Grown(np.int32), "next": Grown(np.int32), "piece": Grown(np.int32), "log_p": Grown(float), "cum": Grown(U)}
         self._set({})
+        self._by_hash, self._hashes = np.zeros(0, np.int64), np.zeros(0, U)  # the units in the order of their hashes, and these
 
     def _set(self, more: dict[str, np.ndarray], anew: bool = False) -> None:
         for group in (self._of_units, self._bytes, self._of_nodes, self._of_arcs):
@@ -137,20 +143,28 @@ class Lattice:
                 if name in more or not more:
                     setattr(self, name, grown.put(more.get(name, ()), anew))
 
-    def admit(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The unit of each span. Spans share a unit if their bytes are equal, not their hashes alone."""
+    def admit(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit of each span, and the spans in an order that has those of a unit side by side. Spans share a unit if their bytes are equal, not their hashes alone."""
         if len(self.start) > self.most:
             self._forget()
-        _, first, of, count = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True, return_counts=True)
-        other = np.flatnonzero(~same_spans(data, start, end, data, start[first[of]], end[first[of]]))
+        hashes = span_hashes(data, start, end)
+        order = np.argsort(hashes)
+        own = hashes[order]
+        heads = np.append(True, own[1:] != own[:-1])
+        head = np.flatnonzero(heads)
+        count = np.diff(head, append=len(own))
+        first, kind = order[head], np.cumsum(heads) - 1
+        of = np.empty(len(order), np.int64)
+        of[order] = kind
+        own, groups = own[head], (head, head + count)
+        again, like = order[~heads], first[kind[~heads]]
+        other = again[~same_spans(data, start[again], end[again], data, start[like], end[like])]
         if len(other):  # spans that share a hash with others get a unit each
             of[other] = len(first) + np.arange(len(other))
-            first, count = np.append(first, other), np.append(count, np.ones(len(other), np.int64))
-        own = span_hashes(data, start[first], end[first])
+            first, count, own = np.append(first, other), np.append(count, np.ones(len(other), np.int64)), np.append(own, hashes[other])
         unit = np.full(len(first), -1)
         if len(self.hash):
-            order = np.argsort(self.hash)
-            i = order[np.minimum(np.searchsorted(self.hash, own, sorter=order), len(order) - 1)]
+            i = self._by_hash[np.minimum(np.searchsorted(self._hashes, own), len(self._hashes) - 1)]
             held = np.flatnonzero(self.hash[i] == own)
             held = held[same_spans(data, start[first[held]], end[first[held]], self.data, np.append(0, self.until)[i[held]], self.until[i[held]])]
             unit[held] = i[held]
@@ -160,7 +174,15 @@ class Lattice:
         unit[new] = len(self.hash) + np.arange(len(new))
         if len(new):
             self._add(own[new], np.minimum(count[new], 2), *gather(data, start[first[new]], end[first[new]]))
-        return unit[of]
+            self._index(len(self.hash) - len(new))
+        by = np.argsort(unit[: len(head)])
+        return unit[of], gather(order, groups[0][by], groups[1][by])[0]
+
+    def _index(self, known: int) -> None:
+        """Puts the units from `known` on in the order of hashes."""
+        new = known + np.argsort(self.hash[known:])
+        to = np.searchsorted(self._hashes[:known], self.hash[new])
+        self._by_hash, self._hashes = np.insert(self._by_hash[:known], to, new), np.insert(self._hashes[:known], to, self.hash[new])
 
     def _add(self, hashes: np.ndarray, uses: np.ndarray, data: np.ndarray, at: np.ndarray) -> None:
         """New units, the longest first."""
@@ -174,17 +196,17 @@ class Lattice:
         parts = self.lattices.arc_lists(data, at)
         by_place = base.astype(np.int32)
         node = by_place[place] + unit
-        arcs = np.zeros(nodes, np.int32)
+        arcs, froms = np.zeros(nodes, np.int32), []
         for a, _, _ in parts:
-            arcs[node[a]] += 1
+            froms.append(node[a])
+            arcs[froms[-1]] += 1
         arcs_from = (np.cumsum(arcs) - arcs).astype(np.int32)
         start, end, piece = (np.empty(int(arcs.sum()), np.int32) for _ in range(3))
         fill = arcs_from.copy()
         while parts:  # long pieces first: they are likely
-            a, e, p = parts.pop()
-            to = node[a]
+            (a, e, p), to = parts.pop(), froms.pop()
             i = fill[to]
-            fill[to] += 1
+            fill[to] = i + 1
             start[i], piece[i] = to, p
             end[i] = by_place[place[a] + (e - a)] + unit[a]
         beta = np.full(nodes, -np.inf)
@@ -217,15 +239,15 @@ class Lattice:
             cum[a:b] = run
         np.minimum(log_p, 0, out=log_p)
         log_p[np.isnan(log_p)] = -np.inf  # arcs between nodes that no segmentation visits
-        one = arcs[start] == 1
-        log_p[one] = 0
+        log_p[arcs[start] == 1] = 0
         n, k, units = len(self.unit), len(self.start), len(self.hash)
         start += n
-        end += n
+        arcs_from += k
+        follow = np.where(arcs > 0, arcs_from, -1)[end]
         self._set({
-            "hash": hashes, "uses": uses, "first": n + np.arange(len(size)), "log_z": beta[: len(size)], "until": at[1:] + len(self.data), "data": data,
-            "unit": units + np.arange(nodes) - np.repeat(base[:-1], width), "arcs_from": arcs_from + k, "arcs": arcs,
-            "start": start, "end": end, "piece": piece, "log_p": log_p, "cum": cum, "rest": np.where(one, -np.inf, np.nan),
+            "hash": hashes, "uses": uses, "first": arcs_from[: len(size)], "log_z": beta[: len(size)], "until": at[1:] + len(self.data), "data": data,
+            "unit": units + np.arange(nodes) - np.repeat(base[:-1], width), "arcs_from": arcs_from, "arcs": arcs,
+            "start": start, "next": follow, "piece": piece, "log_p": log_p, "cum": cum,
         })
 
     def _forget(self) -> None:
@@ -237,163 +259,216 @@ class Lattice:
             stay[:], here[:], arc[:] = False, False, False
         units, nodes, arcs = ((np.cumsum(x) - 1).astype(np.int32) for x in (stay, here, arc))
         data, at = gather(self.data, np.append(0, self.until)[:-1][stay], self.until[stay])
-        ends = self.arcs[here] == 0
+        ends, follow = self.arcs[here] == 0, self.next[arc]
         self._set({
-            "hash": self.hash[stay], "uses": np.ones(int(stay.sum()), np.int64), "first": nodes[self.first[stay]], "log_z": self.log_z[stay], "until": at[1:], "data": data,
+            "hash": self.hash[stay], "uses": np.ones(int(stay.sum()), np.int64), "first": arcs[self.first[stay]], "log_z": self.log_z[stay], "until": at[1:], "data": data,
             "unit": units[self.unit[here]], "arcs": self.arcs[here], "arcs_from": np.where(ends, 0, np.append(arcs, 0)[np.where(ends, 0, self.arcs_from[here])]),
-            "start": nodes[self.start[arc]], "end": nodes[self.end[arc]], "piece": self.piece[arc], "log_p": self.log_p[arc], "cum": self.cum[arc], "rest": self.rest[arc],
+            "start": nodes[self.start[arc]], "next": np.where(follow < 0, -1, np.append(arcs, 0)[follow]), "piece": self.piece[arc], "log_p": self.log_p[arc], "cum": self.cum[arc],
         }, anew=True)
+        self._index(0)
 
-    def others(self, arcs: np.ndarray) -> np.ndarray:
-        """The log of the sum of the other arcs' probabilities at each arc's node."""
-        out = self.rest[arcs]
-        new = np.flatnonzero(np.isnan(out))
-        if len(new):
-            out[new] = self.rest[arcs[new]] = log1mexp(self.log_p[arcs[new]])
-        return out
+    def walk(self, arc: np.ndarray, seed: np.ndarray, place: np.ndarray, turn: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Arcs drawn from each node to its unit's end, one walk after the other, their log probabilities (both with a 0 after the last), and the length of each walk.
 
-    def walk(self, node: np.ndarray, seed: np.ndarray, place: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
-        """Arcs drawn from each node to its unit's end, one walk after the other, and the length of each walk."""
-        length = np.zeros(len(node), np.int32)
-        live = np.flatnonzero(self.arcs[node]).astype(np.int32)
+        arc: the first arc of each walk's node, -1 for none. order: the walks in an order that has those of a unit side by side."""
+        length = np.zeros(len(arc), np.int64)
         base = seed * SALT[0] + (place * 8 + turn).astype(U) * SALT[1]  # the sum that uniform(seed, place, step) begins with
-        now, base, steps, k = node[live], base[live], [], 0
+        arc = arc[order]
+        live = np.flatnonzero(arc >= 0)
+        arc, live = arc[live].astype(np.intp), order[live]
+        base, steps, k = base[live], [], 0
         while len(live):
             u = mix(base + np.full(1, k + 1, U) * SALT[2]) >> U(11)
-            arc = self.arcs_from[now]
             over = np.flatnonzero(u >= self.cum[arc])
+            u, other = u[over], arc[over]
             while len(over):  # likely arcs come first, so few look further
-                arc[over] += 1
-                over = over[u[over] >= self.cum[arc[over]]]
+                other += 1
+                arc[over] = other
+                more = np.flatnonzero(u >= self.cum[other])
+                over, u, other = over[more], u[more], other[more]
             steps.append((live, arc))
-            length[live] += 1
-            now = self.end[arc]
-            more = np.flatnonzero(self.arcs[now])
-            live, now, base = live[more], now[more], base[more]
             k += 1
+            then = self.next[arc]
+            on = then >= 0
+            length[live[~on]] = k
+            live, arc, base = live[on], then[on].astype(np.intp), base[on]
         at = np.cumsum(length) - length
-        out = np.zeros(int(length.sum()), np.int32)
+        out, logs = np.zeros(int(length.sum()) + 1, np.int32), np.zeros(int(length.sum()) + 1)
         for k, (who, arc) in enumerate(steps):
-            out[at[who] + k] = arc
-        return out, length
-
-
-class _Search:
-    """The search of one text. A path: arcs, log probability, perturbed value. In the queue: value, turn, path, place in it, arcs excluded there, the log probability of what comes before it, its unit."""
-
-    __slots__ = ("a", "b", "paths", "queue", "seed", "turn")
-
-    def __init__(self, a: int, b: int, seed: int) -> None:
-        self.a, self.b, self.seed = a, b, seed
-        self.paths: list[tuple] = []
-        self.queue: list[tuple] = []
-        self.turn = 0
-
-
-Sample = tuple[np.ndarray, float, float]
-
-
-def sample_texts(lattice: Lattice, data: np.ndarray, offsets: np.ndarray, keys: list[bytes], k: int) -> list[tuple[list[Sample], float, float]]:
-    """For each text: [(ids, log_prob, perturbed)] in falling order of perturbed, kappa (the next value, or -inf), log_likelihood."""
+            to = at[who]
+            to += k
+            out[to], logs[to] = arc, self.log_p[arc]
+        return out, logs, length
+
+    def choose(self, arc: np.ndarray, excluded: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An arc drawn at each arc's node among those that are not excluded (-1: none), and the log of the sum of the probabilities of those that are left after it."""
+        node = self.start[arc]
+        a, n = self.arcs_from[node], self.arcs[node]
+        cell, row = np.arange(int(n.max())), np.arange(len(arc))
+        p = np.exp(self.log_p[np.minimum(a[:, None] + cell, len(self.log_p) - 1)])
+        p[cell >= n[:, None]] = 0
+        for e in excluded.T:
+            gone = np.flatnonzero(e >= 0)
+            p[gone, e[gone] - a[gone]] = 0
+        run = np.cumsum(p, axis=1)
+        last = len(cell) - 1 - np.argmax(p[:, ::-1] > 0, axis=1)
+        chosen = np.minimum(np.count_nonzero(run <= (u * run[:, -1])[:, None], axis=1), last)
+        left = run[:, -1] - p[row, chosen]
+        some = (np.count_nonzero(excluded >= 0, axis=1) + 1 < n) & (left > 0)
+        return a + chosen, np.where(some, np.log(np.where(some, left, 1.0)), -np.inf)
+
+
+def largest(v: np.ndarray, counts: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `want` largest of each run of values, falling, and their places; -inf and 0 where a run has fewer. Overwrites v; values that are not finite do not count."""
+    values, at = np.full((len(counts), want), -np.inf), np.zeros((len(counts), want), np.int64)
+    v[~np.isfinite(v)] = -np.inf
+    some = np.flatnonzero(counts)
+    counts = counts[some]
+    start = np.cumsum(counts) - counts
+    for i in range(want if len(some) else 0):
+        top = np.maximum.reduceat(v, start)
+        hit = np.flatnonzero(v == np.repeat(top, counts))
+        hit = hit[np.searchsorted(hit, start)]
+        values[some, i], at[some, i] = top, hit
+        v[hit] = -np.inf
+    return values, at
+
+
+class Drawn(NamedTuple):
+    """Samples of some texts, text after text and in falling order of perturbed. By sample: its text, rank from 0, log_prob, perturbed, its arcs' bounds in `arcs`; by text: kappa (the next value, or -inf), log_likelihood.
+
+    A sample's arcs are two spans of `arcs`: up to the head that it was drawn from, and after it."""
+
+    of: np.ndarray
+    rank: np.ndarray
+    log_prob: np.ndarray
+    perturbed: np.ndarray
+    spans: np.ndarray
+    arcs: np.ndarray
+    kappa: np.ndarray
+    log_z: np.ndarray
+
+    def path(self, some: slice) -> np.ndarray:
+        """The arcs of some samples, one after the other."""
+        return np.concatenate([self.arcs[a:b] for spans in self.spans[:, some].T.tolist() for a, b in (spans[:2], spans[2:])])
+
+
+def draw_texts(lattice: Lattice, data: np.ndarray, offsets: np.ndarray, keys: list[bytes], k: int) -> Drawn:
+    """k samples of each text, fewer where it has fewer segmentations. `arcs` are the lattice's until its next texts."""
     marked, start, end, first = split_units(data, offsets)
-    if not len(start):
-        return [([(np.zeros(0, np.int64), 0.0, 0.0)], -np.inf, 0.0) for _ in keys]
-    of = lattice.admit(marked, start, end)
-    log_z = np.add.reduceat(np.append(lattice.log_z[of], 0.0), np.minimum(first[:-1], len(start)))
-    seeds = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in keys]
-    searches = [_Search(int(a), int(b), s) for a, b, s in zip(first[:-1], first[1:], seeds, strict=True)]
-    begin = np.repeat(np.array(seeds, U), 1)
-    top = -np.log(-np.log(uniform(begin, np.full(len(begin), 3))))
-    for s, v in zip(searches, top.tolist(), strict=True):
-        if s.b > s.a:
-            s.queue.append((-v, 0, -1, 0, (), 0.0, s.a))
+    n = len(keys)
+    kappa, log_z = np.full(n, -np.inf), np.zeros(n)
+    # By turn and text: a path's log probability, perturbed value and its two spans of `arcs`. The path of a text without units is empty.
+    found, spans, arcs = np.zeros((2, k, n)), np.zeros((4, k, n), np.int64), np.zeros(0, np.int32)
+    drawn_at = np.zeros((k, n), bool)
+    who = np.flatnonzero(np.diff(first))
+    drawn_at[0] = True
+    if len(who):
+        of, order = lattice.admit(marked, start, end)
+        firsts = lattice.first[of]
+        log_z[who] = np.add.reduceat(np.append(lattice.log_z[of], 0.0), np.minimum(first[:-1], len(start)))[who]
+    seeds = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in keys], U)
+    # Of each text the sets to look at, by falling value: the path they leave, the place in it, the arcs excluded there, the log probability of what comes before it, its unit.
+    kind = np.dtype([("value", float), ("before", float), ("place", np.int64), ("unit", np.int64), ("path", np.int32), ("excluded", np.int32, (k,))])
+    queue = np.zeros((len(who), 1), kind)
+    queue["value"][:, 0] = -np.log(-np.log(uniform(seeds[who], np.full(len(who), 3))))
+    queue["unit"][:, 0] = first[who]
     for turn in range(k):
-        todo = [s for s in searches if s.queue]
-        if not todo:
+        live = queue["value"][:, 0] > -np.inf
+        who, queue = who[live], queue[live]
+        if not len(who):
             break
-        heads = []
-        popped = [heapq.heappop(s.queue) for s in todo]
-        own_seed = np.array([s.seed for s in todo], U)
-        at_arc = np.array([x[3] for x in popped])
-        head_u = uniform(own_seed, np.full(1, turn * 8 + 5), at_arc).tolist()
-        offer_u = uniform(own_seed, np.full(1, turn * 8 + 7), at_arc)
-        if turn == 0:  # every text from its start
-            heads = [(-x[0], -1, 0, None, s.a) for s, x in zip(todo, popped, strict=True)]
-        for s, u, (value, _, parent, p, excluded, before, unit) in zip(todo, head_u, popped, strict=True) if turn else ():
-            node = lattice.start[s.paths[parent][0][p]]
-            a = int(lattice.arcs_from[node])
-            b = a + int(lattice.arcs[node])
-            p_left = np.exp(lattice.log_p[a:b])
-            p_left[[e - a for e in excluded]] = 0
-            run = np.cumsum(p_left)
-            chosen = a + int(min(np.searchsorted(run, u * run[-1], "right"), np.flatnonzero(p_left)[-1]))
-            left = float(run[-1] - p_left[chosen - a])
-            rest = np.log(left) if len(excluded) + 1 < b - a and left > 0 else -np.inf
-            head = (chosen, before, rest, (*excluded, chosen))
-            heads.append((-value, parent, p, head, unit))
+        head, queue, want = queue[:, 0], queue[:, 1:], k - turn
+        seed, value, begin, excluded = seeds[who], head["value"], head["unit"], head["excluded"].copy()
+        base, again = np.zeros(len(who)), np.full(len(who), -np.inf)
+        if turn:  # the texts of the first turn begin at their start
+            path, place = spans[:, head["path"], who], head["place"]
+            skip = path[1] - path[0]
+            chosen, rest = lattice.choose(arcs[np.where(place < skip, path[0] + place, path[2] + place - skip)], excluded, uniform(seed, np.full(1, turn * 8 + 5), head["place"]))
+            excluded[np.arange(len(who)), np.count_nonzero(excluded >= 0, axis=1)] = chosen
+            base = head["before"] + lattice.log_p[chosen]
+            again = cut_gumbel(head["before"] + rest, value, uniform(seed, np.full(1, turn * 8 + 7), head["place"]))
         # A walk for each unit from a head's on; the first goes on behind the head.
-        begin = np.array([h[4] for h in heads])
-        counts = np.array([s.b for s in todo]) - begin
+        counts = first[who + 1] - begin
         at = np.cumsum(counts) - counts
         everyone = np.arange(int(counts.sum())) + np.repeat(begin - at, counts)
-        nodes = lattice.first[of[everyone]]
+        nodes = firsts[everyone]
+        walks = order
         if turn:
-            nodes[at] = lattice.end[np.array([h[3][0] for h in heads])]
-        drawn, length = lattice.walk(nodes, np.repeat(own_seed, counts), everyone - np.repeat(np.array([s.a for s in todo]), counts), turn)
+            nodes[at] = lattice.next[chosen]
+            walks = np.full(len(of), -1)
+            walks[everyone] = np.arange(len(everyone))
+            walks = walks[order]
+            walks = walks[walks >= 0]
+        drawn, logs, length = lattice.walk(nodes, np.repeat(seed, counts), everyone - np.repeat(first[who], counts), turn, walks)
         walker_at = np.concatenate([[0], np.cumsum(counts)])
         walked = np.cumsum(length)
         ends = np.concatenate([[0], walked])[walker_at]
-        logs = lattice.log_p[drawn]
         size = np.diff(ends)
-        run = np.cumsum(logs) - logs
-        base = np.array([0.0 if h[3] is None else h[3][1] + float(lattice.log_p[h[3][0]]) for h in heads])
-        shift = np.append(run, 0.0)[np.minimum(ends[:-1], len(run))] - base  # run less this: what comes before an arc in its path
-        seed_at = own_seed * SALT[0] + np.full(1, turn * 8 + 6, U) * SALT[1] - ends[:-1].astype(U) * SALT[2]
-
-        def perturbed(at: np.ndarray, shift: np.ndarray, begin: np.ndarray) -> np.ndarray:
-            """Gumbels at the log probability of the sets left at some places of the draw; uniform(seed, turn * 8 + 6, place in the path's draw). A node with one arc leaves nothing."""
-            v = run[at] - shift + lattice.others(drawn[at])
-            v -= np.log(-np.log(unit_interval(begin + at.astype(U) * SALT[2])))
-            return v
+        total = np.cumsum(logs)
+        run = total - logs
+        shift = run[ends[:-1]] - base  # run less this: what comes before an arc in its path
+        seed_at = seed * SALT[0] + np.full(1, turn * 8 + 6, U) * SALT[1] - ends[:-1].astype(U) * SALT[2]
+
+        def offers(
+            texts: np.ndarray, counts: np.ndarray, want: int = want, run: np.ndarray = run, logs: np.ndarray = logs, shift: np.ndarray = shift, ends: np.ndarray = ends, seed_at: np.ndarray = seed_at
+        ) -> tuple[np.ndarray, np.ndarray]:
+            """Gumbels at the log probabilities of the sets left at the first places of the draw, the largest: uniform(seed, turn * 8 + 6, place in the path's draw). A node with one arc leaves nothing."""
+            places = np.arange(int(counts.sum())) + np.repeat(ends[texts] - (np.cumsum(counts) - counts), counts)
+            v = run[places] - np.repeat(shift[texts], counts) + log1mexp(logs[places])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                v -= np.log(-np.log(unit_interval(np.repeat(seed_at[texts], counts) + places.astype(U) * SALT[2])))
+            values, at = largest(v, counts, want)
+            return values, places[at] if len(places) else at
 
         # What comes before a set bounds its probability, and only the largest values of a path are offered: sets far down a long path need no value.
-        near = np.flatnonzero(run > np.repeat(shift + base - REACH, size))
-        near_at = np.searchsorted(near, ends)
         # Below a bound Gumbels keep their order, so only the largest are cut.
-        gumbels = perturbed(near, np.repeat(shift, np.diff(near_at)), np.repeat(seed_at, np.diff(near_at)))
-        again = np.array([-np.inf if h[3] is None else h[3][1] + h[3][2] for h in heads])
-        again = cut_gumbel(again, np.array([h[0] for h in heads]), offer_u)
-        want = k - turn
-        for i, (s, (value, parent, p, head, unit)) in enumerate(zip(todo, heads, strict=True)):
-            a, b = int(ends[i]), int(ends[i + 1])
-            arcs = drawn[a:b]
-            v, places = gumbels[near_at[i] : near_at[i + 1]], near[near_at[i] : near_at[i + 1]]
-            if len(v) < b - a and np.count_nonzero(v > base[i] - REACH + MOST_GUMBEL) < want:
-                places = np.arange(a, b)
-                v = perturbed(places, shift[i], seed_at[i : i + 1])
-            log_p = float(run[b - 1] - shift[i] + logs[b - 1]) if b > a else float(base[i])
-            skip = 0
-            if head is not None:
-                arcs = np.concatenate([s.paths[parent][0][:p], [head[0]], arcs])
-                skip = p + 1
-            number = len(s.paths)
-            s.paths.append((arcs, log_p, value))
-            best = np.argpartition(v, len(v) - want)[-want:] if len(v) > want else np.arange(len(v))
-            best = best[np.isfinite(v[best])]
-            at = places[best]
-            values, befores, units = -np.logaddexp(-value, -v[best]), run[at] - shift[i], np.searchsorted(walked, at, "right") + (unit - walker_at[i])
-            offers = [(x, skip + j - a, (int(drawn[j]),), y, w) for x, j, y, w in zip(values.tolist(), at.tolist(), befores.tolist(), units.tolist(), strict=True)]
-            if np.isfinite(again[i]):
-                offers.append((float(again[i]), p, head[3], head[1], unit))
-            for x, *offer in offers:
-                s.turn += 1
-                heapq.heappush(s.queue, (-x, s.turn, number, *offer))
-    out = []
-    for s, z in zip(searches, log_z.tolist(), strict=True):
-        if s.b == s.a:
-            out.append(([(np.zeros(0, np.int64), 0.0, 0.0)], -np.inf, 0.0))
+        near = np.clip(np.searchsorted(-total[:-1], REACH - shift - base) + 1 - ends[:-1], 0, size)
+        v, at = offers(np.arange(len(who)), near)
+        far = np.flatnonzero((near < size) & ~(v[:, -1] > base - REACH + MOST_GUMBEL))
+        if len(far):
+            v[far], at[far] = offers(far, size[far])
+        drawn_at[turn, who], spans[2, turn, who], spans[3, turn, who] = True, len(arcs) + ends[:-1], len(arcs) + ends[1:]
+        skip = np.zeros(len(who), np.int64)
+        if turn:  # the path of the set up to the head, and the head
+            heads = len(arcs) + np.arange(len(who))
+            skip = path[1] - path[0]
+            pieces = (path[0], path[0] + np.minimum(place, skip)), (path[2], path[2] + np.maximum(place - skip, 0)), (heads, heads + 1)
+            before, at_head = gather(np.append(arcs, chosen.astype(np.int32)), *(np.stack(x, axis=1).ravel() for x in zip(*pieces, strict=True)))
+            at_head = len(arcs) + len(drawn) + at_head[::3]
+            spans[0, turn, who], spans[1, turn, who], skip = at_head[:-1], at_head[1:], place + 1
+            arcs = np.concatenate([arcs, drawn, before])
         else:
-            out.append(([(lattice.piece[x[0]], x[1], x[2]) for x in s.paths], -s.queue[0][0] if s.queue else -np.inf, z))
+            arcs = drawn
+        last = np.maximum(ends[1:] - 1, 0)
+        found[0, turn, who] = np.where(size > 0, run[last] - shift + logs[last], base)
+        found[1, turn, who] = value
+        fresh = np.zeros((len(who), want + 1), kind)
+        fresh["path"], fresh["excluded"] = turn, -1
+        one, back = fresh[:, :want], fresh[:, want]
+        one["value"] = -np.logaddexp(-value[:, None], -v)
+        one["before"] = run[at] - shift[:, None]
+        one["place"] = skip[:, None] + at - ends[:-1, None]
+        one["unit"] = np.searchsorted(walked, at, "right") + (begin - walker_at[:-1])[:, None]
+        one["excluded"][:, :, 0] = drawn[at]
+        back["value"], back["before"], back["place"], back["unit"], back["excluded"] = again, head["before"], head["place"], begin, excluded
+        queue = np.concatenate([queue, fresh], axis=1)
+        queue = np.take_along_axis(queue, np.argsort(-queue["value"], axis=1, kind="stable")[:, :want], axis=1)
+    else:
+        kappa[who] = queue["value"][:, 0]
+    of, rank = np.nonzero(drawn_at.T)
+    return Drawn(of, rank, *found[:, rank, of], spans[:, rank, of], arcs, kappa, log_z)
+
+
+Sample = tuple[np.ndarray, float, float]
+
+
+def sample_texts(lattice: Lattice, data: np.ndarray, offsets: np.ndarray, keys: list[bytes], k: int) -> list[tuple[list[Sample], float, float]]:
+    """For each text: [(ids, log_prob, perturbed)] in falling order of perturbed, kappa, log_likelihood."""
+    d = draw_texts(lattice, data, offsets, keys, k)
+    out = [([], kappa, z) for kappa, z in zip(d.kappa.tolist(), d.log_z.tolist(), strict=True)]
+    for j, (i, p, v) in enumerate(zip(d.of.tolist(), d.log_prob.tolist(), d.perturbed.tolist(), strict=True)):
+        out[i][0].append((lattice.piece[d.path(slice(j, j + 1))], p, v))
     return out
 
 
@@ -416,22 +491,22 @@ def _sampler(path: str, k: int, seed: int, together: int = TOGETHER) -> Callable
             b = b.filter(b.column(1).is_valid())
             for part, data, offsets in portions(b.column(1), together):
                 keys = b.column(0)[part]
-                found = sample_texts(lattice, data, offsets, [f"{seed}|{x}".encode() for x in keys.to_pylist()], k)
-                doc, rows = [], []
-                for i, (samples, kappa, z) in enumerate(found):
-                    for rank, (ids, log_p, value) in enumerate(samples):
-                        doc.append(i)
-                        rows.append((rank + 1, ids, log_p, value, 1.0 if np.isneginf(kappa) else float(-np.expm1(-np.exp(min(log_p - kappa, 700.0)))), z))
-                for a in range(0, len(rows), 2000):
-                    some = rows[a : a + 2000]
-                    sizes = np.array([len(r[1]) for r in some], np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([r[1] for r in some]).astype(np.int32)))
-                    column = lambda i, t, some=some: pa.array([r[i] for r in some], t)
+                d = draw_texts(lattice, data, offsets, [f"{seed}|{x}".encode() for x in keys.to_pylist()], k)
+                kappa = d.kappa[d.of]
+                with np.errstate(invalid="ignore", over="ignore"):
+                    inclusion = np.where(np.isneginf(kappa), 1.0, -np.expm1(-np.exp(np.minimum(d.log_prob - kappa, 700.0))))
+                for at in range(0, len(d.of), 2000):
+                    some = slice(at, at + 2000)
+                    sizes = np.diff(d.spans[:, some], axis=0)[::2].sum(axis=0).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(lattice.piece[d.path(some)]))
                     yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(doc[a : a + 2000])), column(0, pa.int32()), pa.array(sizes), ids, *(column(i, pa.float64()) for i in (2, 3, 4, 5))],
+                        [
+                            keys.take(pa.array(d.of[some])), pa.array((d.rank[some] + 1).astype(np.int32)), pa.array(sizes), ids,
+                            *(pa.array(x[some]) for x in (d.log_prob, d.perturbed, inclusion, d.log_z[d.of])),
+                        ],
                         ["doc_id", "sample_rank", "n_pieces", "ids", "log_prob", "perturbed", "inclusion", "log_likelihood"],
-                    )
-                del found, rows
+                    )
+                del d
 
     return run
 
