@@ -44,7 +44,7 @@ K = 4
 #: Bytes of text whose searches advance in step.
 TOGETHER = 5 << 18
 #: Arcs of units that a worker keeps for the next run of texts (some 30 bytes each).
-KEPT = 4 << 20
+KEPT = 3 << 20
 U = np.uint64
 SALT = constants(0x5EED, 4)
 ONE = 1 << 53
